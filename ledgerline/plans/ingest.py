@@ -1,0 +1,3 @@
+"""Registered ingest queries."""
+
+from __future__ import annotations
