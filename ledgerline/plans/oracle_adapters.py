@@ -7,6 +7,8 @@ oracle check compares the two engines on the same parquet tables.
 from __future__ import annotations
 
 ADAPTERS: dict[str, str] = {
+    "companies": """
+SELECT n_nationkey AS company_id, n_name AS name FROM nation""",
     "sales": """
 SELECT s.s_nationkey AS company_id,
        s.s_nationkey * 100 + CAST(substr(p.p_brand, 7) AS INT) AS product_id,

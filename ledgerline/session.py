@@ -26,6 +26,7 @@ def build_session(master: str | None = None, app_name: str = "ledgerline",
         b = b.master(master)
     conf = dict(DEFAULT_CONF)
     conf["spark.ui.enabled"] = "false"
+    conf["spark.ui.showConsoleProgress"] = "false"
     conf["spark.driver.memory"] = os.environ.get("LEDGERLINE_DRIVER_MEMORY", "16g")
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)

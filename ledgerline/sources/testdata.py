@@ -138,6 +138,11 @@ class SupplyChainData:
                 .withColumn("shipment_key", shipment_key()))
 
     # ---- dimensions --------------------------------------------------------------------
+    @cached_property
+    def companies(self) -> DataFrame:
+        """Tenants: one per nation."""
+        return self.t.nation.select(F.col("n_nationkey").alias("company_id"), F.col("n_name").alias("name"))
+
     @cached_property
     def products(self) -> DataFrame:
         t = self.t
