@@ -62,4 +62,4 @@ def merged_ranking(*anomaly_frames: DataFrame, limit: int = 100) -> DataFrame:
         u = u.unionByName(f, allowMissingColumns=True)
     w = Window.partitionBy("company_id").orderBy(F.col("score").desc(), F.col("_src"), F.col("entity_id"),
                                                  F.col("record_id"))
-    return u.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit).drop("_src")
+    return u.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= limit).drop("_src")

@@ -10,8 +10,15 @@ MAX_PER_COMPANY = 30
 ANOMALY_POOL = 20     # anomalies considered (the reference asks for the top 20 ...)
 ANOMALY_RECS = 5      # ... and turns the first 5 into recommendations
 
-PRIORITY_ORDER = F.create_map(*[x for kv in (("critical", 0), ("high", 1), ("medium", 2), ("low", 3))
-                                for x in (F.lit(kv[0]), F.lit(kv[1]))])
+PRIORITY_RANK = (("critical", 0), ("high", 1), ("medium", 2), ("low", 3))
+
+
+def priority_order(col):
+    """critical < high < medium < low; unknown labels sort as medium."""
+    out = None
+    for label, rank in PRIORITY_RANK:
+        out = F.when(col == label, rank) if out is None else out.when(col == label, rank)
+    return out.otherwise(2)
 
 
 def _pct0(x):
@@ -84,7 +91,7 @@ def merge_recommendations(*recs: DataFrame, limit: int = MAX_PER_COMPANY) -> Dat
     u = recs[0]
     for r in recs[1:]:
         u = u.unionByName(r)
-    prio = F.coalesce(PRIORITY_ORDER[F.col("priority")], F.lit(2))
+    prio = priority_order(F.col("priority"))
     w = Window.partitionBy("company_id").orderBy(prio, F.col("source_rank"), F.col("source_order"))
-    return (u.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
+    return (u.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= limit)
             .drop("source_rank", "source_order"))

@@ -69,7 +69,7 @@ def top_suppliers(scorecard: DataFrame, k: int = 6) -> DataFrame:
     with a huge supplier base ships only k rows per map partition.
     """
     w = Window.partitionBy("company_id").orderBy(F.col("risk_score").asc(), F.col("supplier_id").asc())
-    return scorecard.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return scorecard.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
 
 
 def delay_by_reliability_band(shipments: DataFrame, suppliers: DataFrame,
