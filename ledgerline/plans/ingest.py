@@ -1,3 +1,331 @@
-"""Registered ingest queries."""
+"""Registered ingest queries: header mapping, validation, quarantine, imports, audit, prep."""
 
 from __future__ import annotations
+
+from functools import lru_cache
+
+from pyspark.sql import functions as F
+
+from ledgerline.operators import loading as ld
+from ledgerline.operators import mapping as mp
+from ledgerline.operators import prep
+from ledgerline.operators import validation as val
+from ledgerline.plans.oracle_adapters import oracle
+from ledgerline.plans.register import query
+from ledgerline.sources import registry as reg
+
+IMPORT_COMPANY = 3  # tenant that receives the single (tenant-less) raw sales upload
+
+# raw upload -> (dataset type, data headers, pass-through key columns)
+UPLOADS = {
+    "raw_sales": ("sales", ["SKU", "Qty_Sold", "Date", "Region"],
+                  ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]),
+    "raw_inventory": ("inventory", ["Product_ID", "Stock", "Date", "Warehouse", "Min_Stock"],
+                      ["company_id", "src_warehouse_id"]),
+    "raw_shipments": ("shipments", ["Shipment_No", "SKU", "Ship_From", "Ship_To", "ETA", "Delivery_Date", "Carrier",
+                                    "Distance_KM", "Weight_KG", "Mode", "Qty", "Order_Date", "Vendor_ID"],
+                      ["company_id", "l_orderkey", "l_linenumber", "l_partkey", "supplier_id"]),
+    "raw_suppliers": ("suppliers", ["Vendor_ID", "Vendor_Name", "Lead_Time_Days", "On_Time_Rate", "Cost_Index",
+                                    "Reject_Rate"], ["company_id", "row_version", "row_key"]),
+}
+FEED_IDS = {name: i + 1 for i, name in enumerate(UPLOADS)}
+
+
+@lru_cache(maxsize=None)
+def _mapping_for(spark_id: int, dtype: str, headers: tuple) -> tuple:
+    from pyspark.sql import SparkSession
+    spark = SparkSession.getActiveSession()
+    m = mp.suggest_mapping(mp.headers_of(spark, [(1, dtype, list(headers))]))
+    return tuple(mp.mapping_dict(m, 1).items())
+
+
+def mapped(d, raw_name):
+    """Suggest the mapping from the upload's own headers and apply it."""
+    dtype, headers, keys = UPLOADS[raw_name]
+    raw = getattr(d, raw_name)
+    m = dict(_mapping_for(id(d.spark), dtype, tuple(headers)))
+    # pass-through keys must not collide with standard names chosen by the mapping
+    keys = [k for k in keys if k not in set(v for v in m.values() if v)]
+    return mp.apply_mapping(raw, m, keep=keys)
+
+
+def _q(c: str) -> str:
+    return '"' + c + '"'
+
+
+# raw column feeding each standard field (what the mapping resolves to), per upload
+SQL_MAP = {
+    "raw_sales": {"product_id": "SKU", "quantity": "Qty_Sold", "date": "Date", "region": "Region"},
+    "raw_inventory": {"product_id": "Product_ID", "inventory_level": "Stock", "date": "Date",
+                      "warehouse": "Warehouse", "safety_stock": "Min_Stock"},
+    "raw_shipments": {"shipment_id": "Shipment_No", "product_id": "SKU", "origin": "Ship_From",
+                      "destination": "Ship_To", "planned_delivery": "ETA", "actual_delivery": "Delivery_Date",
+                      "carrier": "Carrier", "distance": "Distance_KM", "weight": "Weight_KG",
+                      "transport_mode": "Mode", "quantity": "Qty", "order_date": "Order_Date",
+                      "supplier_id": "Vendor_ID"},
+    "raw_suppliers": {"supplier_id": "Vendor_ID", "supplier_name": "Vendor_Name", "lead_time": "Lead_Time_Days",
+                      "reliability": "On_Time_Rate", "cost": "Cost_Index", "defect_rate": "Reject_Rate"},
+}
+
+
+def sql_mapped(raw_name: str) -> str:
+    keys = [k for k in UPLOADS[raw_name][2] if k not in SQL_MAP[raw_name]]
+    cols = [f"{_q(src)} AS {std}" for std, src in SQL_MAP[raw_name].items()] + keys
+    return f"mp AS (SELECT {', '.join(cols)} FROM {raw_name})"
+
+
+def _miss(c):
+    return f"({c} IS NULL OR trim(CAST({c} AS VARCHAR)) = '')"
+
+
+def _num(c):
+    return f"TRY_CAST(trim({c}) AS DOUBLE)"
+
+
+def _date(c):
+    return f"TRY_CAST(trim({c}) AS DATE)"
+
+
+def sql_rules(dtype: str, cols) -> list[tuple[str, str, str, bool, str, str]]:
+    """Twin of the validation rules: (name, field, kind, invalidates, predicate, message)."""
+    out = []
+    for f in reg.STANDARD_SCHEMA[dtype]["required"]:
+        if f in cols:
+            out.append((f"missing_{f}", f, "missing", True, _miss(f), f"%d row(s) missing required value for ''{f}''."))
+    if dtype == "sales":
+        out.append(("negative_quantity", "quantity", "error", True, f"coalesce({_num('quantity')} < 0, false)",
+                    "%d row(s) have negative quantity sold."))
+        out.append(("bad_date", "date", "error", True, f"({_date('date')} IS NULL AND NOT {_miss('date')})",
+                    "%d row(s) have an unparseable date."))
+    if dtype == "inventory":
+        out.append(("negative_inventory", "inventory_level", "error", True,
+                    f"coalesce({_num('inventory_level')} < 0, false)", "%d row(s) have negative inventory levels."))
+    if dtype == "shipments":
+        out.append(("implausible_delivery", "actual_delivery", "warning", False,
+                    f"coalesce({_date('actual_delivery')} < {_date('planned_delivery')} - 365, false)",
+                    "%d row(s) have an actual delivery date implausibly earlier than planned."))
+        out.append(("negative_distance", "distance", "warning_once", False, f"coalesce({_num('distance')} < 0, false)",
+                    "Some rows have a negative distance value."))
+    if dtype == "suppliers":
+        out.append(("negative_lead_time", "lead_time", "error", True, f"coalesce({_num('lead_time')} < 0, false)",
+                    "%d row(s) have a negative/impossible lead time."))
+        out.append(("reliability_range", "reliability", "warning", False,
+                    f"NOT coalesce({_num('reliability')} BETWEEN 0 AND 1, false)",
+                    "%d row(s) have a reliability value outside the expected 0-1 range."))
+    return out
+
+
+def sql_report(raw_name: str) -> str:
+    dtype = UPLOADS[raw_name][0]
+    cols = list(SQL_MAP[raw_name])
+    rules = sql_rules(dtype, cols)
+    keys = [k for k in reg.DUPLICATE_KEYS if k in cols]
+    inval = " OR ".join(r[4] for r in rules if r[3]) or "false"
+    counts = ", ".join(f"count(CASE WHEN {r[4]} THEN 1 END) AS n_{r[0]}" for r in rules)
+    issues = []
+    for name, field, kind, _, _, msg in rules:
+        if kind == "missing":
+            sev = f"CASE WHEN n_{name} / greatest(row_count, 1) > {val.ERROR_SHARE} THEN 'error' ELSE 'warning' END"
+            issues.append((f"n_{name} > 0", sev, field, f"printf('{msg}', n_{name})"))
+        elif kind == "warning_once":
+            issues.append((f"n_{name} > 0", "'warning'", field, f"'{msg}'"))
+        else:
+            issues.append((f"n_{name} > 0", f"'{kind}'", field, f"printf('{msg}', n_{name})"))
+    klist = str(keys).replace("'", "''")
+    issues.append(("n_dup > 0", "'warning'", None, f"printf('%d duplicate row(s) detected based on {klist}.', n_dup)"))
+    n_warn = " + ".join(f"CASE WHEN ({c}) AND ({s}) = 'warning' THEN 1 ELSE 0 END" for c, s, _, _ in issues)
+    union = "\nUNION ALL ".join(
+        f"SELECT '{dtype}' AS dataset_type, {s} AS severity, {('NULL' if f is None else repr(f))} AS field, "
+        f"{m} AS message, data_quality_score, row_count, valid_row_count FROM sc WHERE {c}"
+        for c, s, f, m in issues)
+    grp = ", ".join(keys)
+    return oracle(raw_name, sql_mapped(raw_name) + f""",
+agg AS (SELECT count(*) AS row_count, count(CASE WHEN {inval} THEN 1 END) AS invalid, {counts} FROM mp),
+dup AS (SELECT coalesce(sum(c - 1), 0) AS n_dup FROM (SELECT count(*) AS c FROM mp GROUP BY {grp}) t),
+s1 AS (SELECT * FROM agg, dup),
+sc AS (SELECT *, CAST(greatest(0, least(100, round_even(100.0 - CASE WHEN row_count > 0 THEN 40.0 * invalid / row_count
+                  ELSE 0 END - 2.0 * ({n_warn}), 0))) AS BIGINT) AS data_quality_score,
+              greatest(row_count - invalid, 0) AS valid_row_count FROM s1)
+SELECT '{dtype}' AS dataset_type, 'summary' AS severity, NULL AS field, NULL AS message, data_quality_score,
+       row_count, valid_row_count FROM sc
+UNION ALL {union}""")
+
+
+@query("mapped_raw_sales", oracle("raw_sales", sql_mapped("raw_sales") + "\nSELECT * FROM mp"))
+def q_mapped_raw_sales(d):
+    """The messy sales upload renamed to standard fields by the suggested mapping."""
+    return mapped(d, "raw_sales")
+
+
+def _report(raw_name):
+    def fn(d):
+        return val.validation_report(mapped(d, raw_name), UPLOADS[raw_name][0])
+    fn.__doc__ = f"V1-V12: validation issues and quality score of the {UPLOADS[raw_name][0]} upload."
+    return fn
+
+
+for _raw in UPLOADS:
+    query(f"{UPLOADS[_raw][0]}_validation_report", sql_report(_raw))(_report(_raw))
+
+
+def sql_quarantine(raw_name: str, out_cols) -> str:
+    dtype = UPLOADS[raw_name][0]
+    rules = [r for r in sql_rules(dtype, list(SQL_MAP[raw_name])) if r[3]]
+    reasons = "concat_ws(',', " + ", ".join(f"CASE WHEN {r[4]} THEN '{r[0]}' END" for r in rules) + ")"
+    return oracle(raw_name, sql_mapped(raw_name) + f"""
+SELECT {', '.join(out_cols)}, {reasons} AS reasons FROM mp WHERE {' OR '.join(r[4] for r in rules)}""")
+
+
+@query("sales_quarantine", sql_quarantine("raw_sales", ["product_id", "quantity", "date", "region", "l_orderkey",
+                                                         "l_linenumber", "l_partkey", "l_suppkey"]))
+def q_sales_quarantine(d):
+    """Invalid sales upload rows with the rules they break."""
+    return val.quarantine(mapped(d, "raw_sales"), "sales")
+
+
+SQL_NEW_PRODUCTS = """
+newp AS (
+  SELECT n.company_id,
+         CAST(coalesce(t.mx, 0) + row_number() OVER (PARTITION BY n.company_id ORDER BY n.ext) AS BIGINT) AS product_id,
+         n.ext AS external_product_id, n.ext AS name
+  FROM (SELECT DISTINCT a.company_id, a.ext FROM acc a
+        WHERE NOT EXISTS (SELECT 1 FROM products p WHERE p.company_id = a.company_id
+                                                      AND p.external_product_id = a.ext)) n
+  LEFT JOIN (SELECT company_id, max(product_id) AS mx FROM products GROUP BY company_id) t
+    ON n.company_id = t.company_id),
+ids AS (SELECT company_id, external_product_id AS ext, CAST(product_id AS BIGINT) AS product_id FROM products
+        UNION ALL SELECT company_id, external_product_id, product_id FROM newp)"""
+
+
+@query("import_sales", oracle("products,raw_sales", sql_mapped("raw_sales") + f""",
+acc AS (SELECT {IMPORT_COMPANY} AS company_id, CAST(product_id AS VARCHAR) AS ext, {_date('date')} AS sale_date,
+               {_num('quantity')} AS q, CASE WHEN NOT {_miss('region')} THEN region END AS region
+        FROM mp
+        WHERE NOT {_miss('product_id')} AND NOT {_miss('date')} AND NOT {_miss('quantity')}
+          AND {_date('date')} IS NOT NULL AND {_num('quantity')} IS NOT NULL AND NOT isnan({_num('quantity')})
+          AND NOT isinf({_num('quantity')}) AND {_num('quantity')} >= 0),""" + SQL_NEW_PRODUCTS + """
+SELECT a.company_id, i.product_id, a.sale_date, a.q AS quantity, a.region, CAST(NULL AS DOUBLE) AS price,
+       0 AS promotion
+FROM acc a LEFT JOIN ids i ON a.company_id = i.company_id AND a.ext = i.ext"""))
+def q_import_sales(d):
+    """Accepted rows of the sales upload, loaded into one tenant with product keys resolved."""
+    sales, _, _ = ld.load_sales(mapped(d, "raw_sales"), IMPORT_COMPANY, d.products)
+    return sales
+
+
+SQL_INV_ACC = sql_mapped("raw_inventory") + f""",
+acc AS (SELECT company_id, CAST(product_id AS VARCHAR) AS ext,
+               CASE WHEN NOT {_miss('warehouse')} THEN warehouse END AS warehouse_name,
+               {_date('date')} AS record_date, {_num('inventory_level')} AS lvl, {_num('safety_stock')} AS ss
+        FROM mp
+        WHERE NOT {_miss('product_id')} AND NOT {_miss('date')} AND NOT {_miss('inventory_level')}
+          AND {_date('date')} IS NOT NULL AND {_num('inventory_level')} IS NOT NULL
+          AND NOT isnan({_num('inventory_level')}) AND NOT isinf({_num('inventory_level')})
+          AND {_num('inventory_level')} >= 0),
+neww AS (SELECT company_id, CAST(row_number() OVER (PARTITION BY company_id ORDER BY warehouse_name) AS BIGINT)
+                  AS warehouse_id, warehouse_name AS name
+         FROM (SELECT DISTINCT company_id, warehouse_name FROM acc WHERE warehouse_name IS NOT NULL) t),"""
+
+
+@query("import_inventory", oracle("products,raw_inventory", SQL_INV_ACC + SQL_NEW_PRODUCTS + """
+SELECT a.company_id, i.product_id, w.warehouse_id, a.record_date, a.lvl AS inventory_level, a.ss AS safety_stock
+FROM acc a LEFT JOIN ids i ON a.company_id = i.company_id AND a.ext = i.ext
+LEFT JOIN neww w ON a.company_id = w.company_id AND a.warehouse_name = w.name"""))
+def q_import_inventory(d):
+    """Accepted inventory rows per tenant with product and warehouse keys (created as needed)."""
+    rows, _, _, _ = ld.load_inventory(mapped(d, "raw_inventory"), None, d.products, _no_warehouses(d))
+    return rows
+
+
+def _no_warehouses(d):
+    return d.spark.createDataFrame([], "company_id int, warehouse_id long, name string")
+
+
+@query("conform_products", oracle("products,raw_inventory", SQL_INV_ACC + SQL_NEW_PRODUCTS + """
+SELECT * FROM newp"""))
+def q_conform_products(d):
+    """Products of the inventory upload missing from the dimension, with new per-tenant ids."""
+    _, newp, _, _ = ld.load_inventory(mapped(d, "raw_inventory"), None, d.products, _no_warehouses(d))
+    return newp
+
+
+@query("conform_warehouses", oracle("products,raw_inventory", SQL_INV_ACC.rstrip().rstrip(",") + """
+SELECT * FROM neww"""))
+def q_conform_warehouses(d):
+    """Warehouses named by the inventory upload, created per tenant (blank name = no warehouse)."""
+    _, _, neww, _ = ld.load_inventory(mapped(d, "raw_inventory"), None, d.products, _no_warehouses(d))
+    return neww
+
+
+@query("import_shipments", oracle("products,raw_shipments", sql_mapped("raw_shipments") + f""",
+acc AS (SELECT company_id, CAST(product_id AS VARCHAR) AS ext, CAST(shipment_id AS VARCHAR) AS external_shipment_id,
+               TRY_CAST(CASE WHEN NOT {_miss('supplier_id')} THEN supplier_id END AS BIGINT) AS supplier_id,
+               CASE WHEN NOT {_miss('origin')} THEN origin END AS origin,
+               CASE WHEN NOT {_miss('destination')} THEN destination END AS destination,
+               CASE WHEN NOT {_miss('carrier')} THEN carrier END AS carrier,
+               CASE WHEN NOT {_miss('transport_mode')} THEN transport_mode END AS transport_mode,
+               {_num('distance')} AS distance_km, {_num('weight')} AS weight_kg, {_num('quantity')} AS quantity,
+               {_date('order_date')} AS order_date, {_date('planned_delivery')} AS planned_delivery,
+               {_date('actual_delivery')} AS actual_delivery
+        FROM mp
+        WHERE NOT {_miss('shipment_id')} AND NOT {_miss('product_id')} AND NOT {_miss('planned_delivery')}
+          AND {_date('planned_delivery')} IS NOT NULL),""" + SQL_NEW_PRODUCTS + """
+SELECT a.company_id, i.product_id, a.external_shipment_id, a.supplier_id, a.origin, a.destination, a.carrier,
+       a.transport_mode, a.distance_km, a.weight_kg, a.quantity, a.order_date, a.planned_delivery, a.actual_delivery
+FROM acc a LEFT JOIN ids i ON a.company_id = i.company_id AND a.ext = i.ext"""))
+def q_import_shipments(d):
+    """Accepted shipment rows per tenant; unparseable actual delivery = still in flight."""
+    rows, _, _ = ld.load_shipments(mapped(d, "raw_shipments"), None, d.products)
+    return rows
+
+
+@query("upsert_suppliers", oracle("suppliers,raw_suppliers", sql_mapped("raw_suppliers") + f""",
+acc AS (SELECT * FROM mp WHERE NOT {_miss('supplier_id')} AND NOT {_miss('supplier_name')}),
+lt AS (SELECT company_id, CAST(supplier_id AS VARCHAR) AS external_supplier_id,
+              arg_max(supplier_name, row_version * 1000000000 + row_key) AS name,
+              arg_max({_num('lead_time')}, row_version * 1000000000 + row_key)
+                FILTER (WHERE {_num('lead_time')} IS NOT NULL) AS lead_time_days,
+              arg_max({_num('reliability')}, row_version * 1000000000 + row_key)
+                FILTER (WHERE {_num('reliability')} IS NOT NULL) AS reliability,
+              arg_max({_num('cost')}, row_version * 1000000000 + row_key)
+                FILTER (WHERE {_num('cost')} IS NOT NULL) AS cost_index,
+              arg_max({_num('defect_rate')}, row_version * 1000000000 + row_key)
+                FILTER (WHERE {_num('defect_rate')} IS NOT NULL) AS defect_rate
+       FROM acc GROUP BY company_id, CAST(supplier_id AS VARCHAR))
+SELECT coalesce(o.company_id, n.company_id) AS company_id,
+       coalesce(CAST(o.supplier_id AS BIGINT), TRY_CAST(n.external_supplier_id AS BIGINT)) AS supplier_id,
+       coalesce(CAST(o.supplier_id AS VARCHAR), n.external_supplier_id) AS external_supplier_id,
+       coalesce(n.name, o.name) AS name,
+       coalesce(n.lead_time_days, o.lead_time_days) AS lead_time_days,
+       coalesce(n.reliability, o.reliability) AS reliability,
+       coalesce(n.cost_index, o.cost_index) AS cost_index,
+       coalesce(n.defect_rate, o.defect_rate) AS defect_rate
+FROM suppliers o FULL OUTER JOIN lt n
+  ON o.company_id = n.company_id AND CAST(o.supplier_id AS VARCHAR) = n.external_supplier_id"""))
+def q_upsert_suppliers(d):
+    """Supplier upload merged into the dimension; last non-null value per attribute wins."""
+    out, _ = ld.upsert_suppliers(mapped(d, "raw_suppliers"), None, d.suppliers, pos=["row_version", "row_key"])
+    return out
+
+
+@query("prep_shipments", oracle("", f"""
+SELECT CAST(o_orderkey AS VARCHAR) AS shipment_id, 'mixed' AS product_id, 'mixed' AS supplier_id,
+       'Olist Warehouse' AS origin, 'Customer' AS destination, 'Correios' AS carrier, 'road' AS transport_mode,
+       500.0 AS distance_km, 2.0 AS weight_kg, 1.0 AS quantity, 2.0 AS supplier_lead_time_days,
+       0.9 AS supplier_reliability, 1.0 AS supplier_cost_index, CAST(o_orderdate AS DATE) AS order_date,
+       CAST(o_orderdate AS DATE) + CAST(7 + o_orderkey % 5 AS INTEGER) AS planned_delivery,
+       CAST(o_orderdate AS DATE) + CAST(3 + o_orderkey % 11 AS INTEGER) AS actual_delivery
+FROM orders WHERE o_orderstatus = '{prep.DELIVERED_STATUS}' AND o_orderdate IS NOT NULL"""))
+def q_prep_shipments(d):
+    """Delivered public orders reshaped to the shipment schema with the reference's constants."""
+    return prep.prep_shipments(d.online_orders)
+
+
+@query("prep_daily_sales", oracle("", """
+SELECT l.l_partkey AS product_id, CAST(o.o_orderdate AS DATE) AS date, CAST(count(*) AS DOUBLE) AS quantity,
+       0 AS promotion
+FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
+GROUP BY l.l_partkey, CAST(o.o_orderdate AS DATE)"""))
+def q_prep_daily_sales(d):
+    """Public order items counted per (product, purchase day), promotion 0."""
+    return prep.prep_daily_sales(d.t.lineitem, d.online_orders)

@@ -85,6 +85,37 @@ SELECT CASE WHEN l.l_orderkey % 97 = 0 THEN NULL WHEN l.l_orderkey % 89 = 0 THEN
        l.l_returnflag AS "Region",
        l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey
 FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey""",
+    "raw_inventory": """
+SELECT 'SKU-' || CAST(product_id AS VARCHAR) AS "Product_ID",
+       CASE WHEN product_id % 41 = 0 THEN '-' || printf('%.1f', inventory_level)
+            ELSE printf('%.1f', inventory_level) END AS "Stock",
+       CAST(record_date AS VARCHAR) AS "Date", 'WH-' || CAST(warehouse_id AS VARCHAR) AS "Warehouse",
+       printf('%.1f', safety_stock) AS "Min_Stock", company_id, warehouse_id AS src_warehouse_id
+FROM inventory_records""",
+    "raw_shipments": """
+SELECT shipment_key AS "Shipment_No", 'SKU-' || CAST(product_id AS VARCHAR) AS "SKU",
+       origin AS "Ship_From", destination AS "Ship_To", CAST(planned_delivery AS VARCHAR) AS "ETA",
+       CASE WHEN l_orderkey % 67 = 0 THEN CAST(planned_delivery - 730 AS VARCHAR)
+            ELSE CAST(actual_delivery AS VARCHAR) END AS "Delivery_Date",
+       carrier AS "Carrier",
+       CASE WHEN l_orderkey % 61 = 0 THEN '-' || printf('%.1f', distance_km) ELSE printf('%.1f', distance_km) END
+         AS "Distance_KM",
+       printf('%.2f', weight_kg) AS "Weight_KG", transport_mode AS "Mode", printf('%.1f', quantity) AS "Qty",
+       CAST(order_date AS VARCHAR) AS "Order_Date", CAST(supplier_id AS VARCHAR) AS "Vendor_ID",
+       company_id, l_orderkey, l_linenumber, l_partkey, supplier_id
+FROM shipments""",
+    "raw_suppliers": """
+SELECT CAST(supplier_id AS VARCHAR) AS "Vendor_ID", name AS "Vendor_Name",
+       CASE WHEN supplier_id % 23 = 0 THEN '-1' ELSE printf('%.1f', lead_time_days) END AS "Lead_Time_Days",
+       CASE WHEN supplier_id % 19 = 0 THEN '1.5' WHEN supplier_id % 17 = 0 THEN NULL
+            ELSE printf('%.2f', reliability) END AS "On_Time_Rate",
+       printf('%.2f', cost_index) AS "Cost_Index", printf('%.3f', defect_rate) AS "Reject_Rate",
+       company_id, 0 AS row_version, supplier_id AS row_key
+FROM suppliers
+UNION ALL
+SELECT CAST(supplier_id AS VARCHAR), name || ' (renamed)', NULL, NULL, printf('%.2f', cost_index + 0.05), NULL,
+       company_id, 1, supplier_id
+FROM suppliers WHERE supplier_id % 7 = 0""",
 }
 
 # adapter -> adapters it reads
@@ -92,6 +123,9 @@ DEPENDS = {
     "shipments": ["shipments_truth"],
     "inventory_records": ["products"],
     "sales_pool": ["sales"],
+    "raw_inventory": ["inventory_records"],
+    "raw_shipments": ["shipments"],
+    "raw_suppliers": ["suppliers"],
 }
 
 ORDER = list(ADAPTERS)

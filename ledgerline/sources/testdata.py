@@ -225,6 +225,72 @@ class SupplyChainData:
             "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
         )
 
+    @cached_property
+    def raw_inventory(self) -> DataFrame:
+        """All-string inventory upload: negative level when product_id % 41 = 0."""
+        r = self.inventory_records
+        lvl = F.format_string("%.1f", F.col("inventory_level"))
+        return r.select(
+            F.concat(F.lit("SKU-"), F.col("product_id").cast("string")).alias("Product_ID"),
+            F.when(F.col("product_id") % 41 == 0, F.concat(F.lit("-"), lvl)).otherwise(lvl).alias("Stock"),
+            F.col("record_date").cast("string").alias("Date"),
+            F.concat(F.lit("WH-"), F.col("warehouse_id").cast("string")).alias("Warehouse"),
+            F.format_string("%.1f", F.col("safety_stock")).alias("Min_Stock"),
+            "company_id", F.col("warehouse_id").alias("src_warehouse_id"),
+        )
+
+    @cached_property
+    def raw_shipments(self) -> DataFrame:
+        """All-string shipment upload: delivery two years early when l_orderkey % 67 = 0,
+        negative distance when l_orderkey % 61 = 0."""
+        s = self.shipments
+        k = F.col("l_orderkey")
+        dist = F.format_string("%.1f", F.col("distance_km"))
+        return s.select(
+            F.col("shipment_key").alias("Shipment_No"),
+            F.concat(F.lit("SKU-"), F.col("product_id").cast("string")).alias("SKU"),
+            F.col("origin").alias("Ship_From"), F.col("destination").alias("Ship_To"),
+            F.col("planned_delivery").cast("string").alias("ETA"),
+            F.when(k % 67 == 0, F.date_sub("planned_delivery", 730).cast("string"))
+             .otherwise(F.col("actual_delivery").cast("string")).alias("Delivery_Date"),
+            F.col("carrier").alias("Carrier"),
+            F.when(k % 61 == 0, F.concat(F.lit("-"), dist)).otherwise(dist).alias("Distance_KM"),
+            F.format_string("%.2f", F.col("weight_kg")).alias("Weight_KG"),
+            F.col("transport_mode").alias("Mode"),
+            F.format_string("%.1f", F.col("quantity")).alias("Qty"),
+            F.col("order_date").cast("string").alias("Order_Date"),
+            F.col("supplier_id").cast("string").alias("Vendor_ID"),
+            "company_id", "l_orderkey", "l_linenumber", "l_partkey", "supplier_id",
+        )
+
+    @cached_property
+    def raw_suppliers(self) -> DataFrame:
+        """All-string supplier upload: lead -1 when id % 23 = 0; reliability 1.5 when id % 19 = 0 and
+        missing when id % 17 = 0; a second, later row renames every 7th supplier and leaves
+        the lead time blank (exercises last-non-null-wins)."""
+        s = self.suppliers
+        k = F.col("supplier_id")
+        first = s.select(
+            k.cast("string").alias("Vendor_ID"), F.col("name").alias("Vendor_Name"),
+            F.when(k % 23 == 0, F.lit("-1")).otherwise(F.format_string("%.1f", F.col("lead_time_days")))
+             .alias("Lead_Time_Days"),
+            F.when(k % 19 == 0, F.lit("1.5")).when(k % 17 == 0, F.lit(None).cast("string"))
+             .otherwise(F.format_string("%.2f", F.col("reliability"))).alias("On_Time_Rate"),
+            F.format_string("%.2f", F.col("cost_index")).alias("Cost_Index"),
+            F.format_string("%.3f", F.col("defect_rate")).alias("Reject_Rate"),
+            "company_id", F.lit(0).alias("row_version"), k.alias("row_key"))
+        second = s.where(k % 7 == 0).select(
+            k.cast("string").alias("Vendor_ID"), F.concat(F.col("name"), F.lit(" (renamed)")).alias("Vendor_Name"),
+            F.lit(None).cast("string").alias("Lead_Time_Days"), F.lit(None).cast("string").alias("On_Time_Rate"),
+            F.format_string("%.2f", F.col("cost_index") + 0.05).alias("Cost_Index"),
+            F.lit(None).cast("string").alias("Reject_Rate"),
+            "company_id", F.lit(1).alias("row_version"), k.alias("row_key"))
+        return first.unionByName(second)
+
+    @cached_property
+    def online_orders(self) -> DataFrame:
+        return self.t.orders.select("o_orderkey", "o_orderstatus", "o_orderdate")
+
 
 def shipment_key():
     """Unique, order-preserving tie key of a shipment (order, line, part, supplier)."""
