@@ -1,0 +1,123 @@
+"""Tree ensembles as flat numpy arrays, evaluated on whole batches at once.
+
+A fitted MLlib forest is saved to the shared checkpoint folder and its node
+table (``<path>/data``: treeID + nodeData) is read back into per-tree arrays.
+The arrays are small and bounded by (trees x 2^(depth+1)) nodes, so they can be
+shipped to executors as a broadcast and evaluated inside ``mapInPandas`` --
+the recursive forecast then needs no ``model.transform`` per step.
+
+Left branch: continuous ``x <= threshold``; categorical ``x in left categories``.
+RF regression = mean over trees, GBT regression = weighted sum,
+GBT class probability = 1 / (1 + e^(-2 * margin)), RF class probability =
+mean of the leaves' normalised class counts.
+"""
+
+from __future__ import annotations
+
+import uuid
+from dataclasses import dataclass, field
+
+import numpy as np
+from pyspark.sql import SparkSession
+
+from ledgerline.session import checkpoint_root
+
+MAX_NODES = 50_000_000  # refuse to broadcast absurd ensembles
+
+
+@dataclass
+class ForestArrays:
+    kind: str                     # rf_reg | gbt_reg | gbt_clf | rf_clf
+    weights: np.ndarray           # per-tree weight
+    feature: list = field(default_factory=list)     # per tree: int array (-1 at leaves)
+    threshold: list = field(default_factory=list)   # per tree: float array
+    left: list = field(default_factory=list)
+    right: list = field(default_factory=list)
+    value: list = field(default_factory=list)       # leaf prediction (or P(class 1) for rf_clf)
+    categories: list = field(default_factory=list)  # per tree: dict node -> set(left categories)
+
+    @property
+    def n_nodes(self) -> int:
+        return int(sum(len(f) for f in self.feature))
+
+    def _tree_eval(self, t: int, x: np.ndarray) -> np.ndarray:
+        feat, thr, lt, rt, val = self.feature[t], self.threshold[t], self.left[t], self.right[t], self.value[t]
+        cats = self.categories[t]
+        node = np.zeros(len(x), dtype=np.int64)
+        active = feat[node] >= 0
+        rows = np.arange(len(x))
+        while active.any():
+            idx = rows[active]
+            nd = node[idx]
+            xv = x[idx, feat[nd]]
+            go_left = xv <= thr[nd]
+            if cats:
+                for j, n in enumerate(nd):
+                    if n in cats:
+                        go_left[j] = xv[j] in cats[n]
+            node[idx] = np.where(go_left, lt[nd], rt[nd])
+            active = feat[node] >= 0
+        return val[node]
+
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        x = np.asarray(x, dtype=np.float64)
+        per_tree = np.stack([self._tree_eval(t, x) for t in range(len(self.feature))])
+        if self.kind in ("rf_reg", "rf_clf"):
+            return per_tree.mean(axis=0)
+        margin = (per_tree * self.weights[:, None]).sum(axis=0)
+        if self.kind == "gbt_clf":
+            return 1.0 / (1.0 + np.exp(-2.0 * margin))
+        return margin
+
+
+def _kind(model) -> str:
+    name = type(model).__name__
+    return {"RandomForestRegressionModel": "rf_reg", "GBTRegressionModel": "gbt_reg",
+            "GBTClassificationModel": "gbt_clf", "RandomForestClassificationModel": "rf_clf"}[name]
+
+
+def from_model(model, spark: SparkSession | None = None) -> ForestArrays:
+    """Save the fitted ensemble to the shared checkpoint folder and read its node table."""
+    spark = spark or SparkSession.getActiveSession()
+    path = f"{checkpoint_root(spark)}/forests/{uuid.uuid4().hex}"
+    model.write().overwrite().save(path)
+    nodes = spark.read.parquet(f"{path}/data")
+    n = nodes.count()
+    if n > MAX_NODES:
+        raise ValueError(f"ensemble has {n} nodes; too large to broadcast")
+    kind = _kind(model)
+    rows = nodes.select("treeID", "nodeData.*").collect()
+    by_tree: dict[int, list] = {}
+    for r in rows:
+        by_tree.setdefault(int(r["treeID"]), []).append(r)
+    fa = ForestArrays(kind=kind, weights=np.asarray(model.treeWeights, dtype=np.float64))
+    for t in sorted(by_tree):
+        rs = sorted(by_tree[t], key=lambda r: r["id"])
+        m = len(rs)
+        feat = np.full(m, -1, dtype=np.int64)
+        thr = np.zeros(m)
+        lt = np.zeros(m, dtype=np.int64)
+        rt = np.zeros(m, dtype=np.int64)
+        val = np.zeros(m)
+        cats: dict[int, set] = {}
+        for r in rs:
+            i = int(r["id"])
+            if kind == "rf_clf":
+                stats = np.asarray(r["impurityStats"], dtype=np.float64)
+                tot = stats.sum()
+                val[i] = stats[1] / tot if tot > 0 and len(stats) > 1 else 0.0
+            else:
+                val[i] = float(r["prediction"])
+            if r["leftChild"] >= 0:
+                sp = r["split"]
+                feat[i] = int(sp["featureIndex"])
+                lt[i], rt[i] = int(r["leftChild"]), int(r["rightChild"])
+                lc = list(sp["leftCategoriesOrThreshold"])
+                if sp["numCategories"] is not None and int(sp["numCategories"]) > 0:
+                    cats[i] = set(float(v) for v in lc)
+                    thr[i] = np.inf
+                else:
+                    thr[i] = float(lc[0])
+        fa.feature.append(feat), fa.threshold.append(thr), fa.left.append(lt), fa.right.append(rt)
+        fa.value.append(val), fa.categories.append(cats)
+    return fa

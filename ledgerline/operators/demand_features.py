@@ -147,9 +147,12 @@ def mean_encoding(train: DataFrame, keys: Sequence[str] = PRODUCT, scope: Sequen
 def apply_mean_encoding(df: DataFrame, prod: DataFrame, glob: DataFrame, keys: Sequence[str] = PRODUCT,
                         scope: Sequence[str] = ("company_id",)) -> DataFrame:
     """Unseen products fall back to the global mean of their scope."""
-    return (df.join(prod, list(keys), "left").join(glob, list(scope), "left")
-            .withColumn("product_mean_demand",
-                        F.coalesce(F.col("product_mean_demand"), F.col("global_mean_demand")))
+    j = df.join(prod, list(keys), "left")
+    if scope:
+        j = j.join(glob, list(scope), "left")
+    else:  # one pooled mean: a scalar subquery, not a join
+        j = j.withColumn("global_mean_demand", glob.select("global_mean_demand").scalar())
+    return (j.withColumn("product_mean_demand", F.coalesce(F.col("product_mean_demand"), F.col("global_mean_demand")))
             .drop("global_mean_demand"))
 
 

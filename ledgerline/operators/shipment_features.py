@@ -167,9 +167,15 @@ def shipment_feature_matrix(shipments: DataFrame, train_end=None, completed_only
 
 
 def balanced_weights(df: DataFrame, label: str = "is_delayed", scope: Sequence[str] = ("company_id",)) -> DataFrame:
-    """Sklearn 'balanced' sample weight n / (2 * n_class), per scope."""
+    """Sklearn 'balanced' sample weight n / (2 * n_class), per scope (pooled when empty).
+
+    Class counts are a tiny aggregate (scopes x 2 rows) joined back on (scope, label).
+    """
     sc = list(scope)
-    cls = df.groupBy(*sc, label).agg(F.count(F.lit(1)).alias("_nc"))
-    tot = df.groupBy(*sc).agg(F.count(F.lit(1)).alias("_n"))
-    w = cls.join(tot, sc).select(*sc, label, (F.col("_n") / (2.0 * F.col("_nc"))).alias("sample_weight"))
-    return df.join(w, [*sc, label], "left")
+    base = df if sc else df.withColumn("_scope", F.lit(0))
+    keys = sc or ["_scope"]
+    cls = base.groupBy(*keys, label).agg(F.count(F.lit(1)).alias("_nc"))
+    tot = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    w = cls.join(tot, keys).select(*keys, label, (F.col("_n") / (2.0 * F.col("_nc"))).alias("sample_weight"))
+    out = base.join(w, [*keys, label], "left")
+    return out if sc else out.drop("_scope")

@@ -1,3 +1,171 @@
-"""Registered modeling queries."""
+"""Registered model-backed queries (rows-only checks: model outputs have no SQL twin).
+
+Trained models are memoised per (session, data folder), so the queries that
+share the base demand or delay models fit them once per process. The
+registered queries use 10-tree ensembles to keep the checks quick; the
+library defaults are the reference's sizes.
+"""
 
 from __future__ import annotations
+
+import datetime as dt
+
+from pyspark.sql import functions as F
+from pyspark.sql import Window
+
+from ledgerline.models import delay as dl
+from ledgerline.models import demand as dm
+from ledgerline.operators import anomaly as anom
+from ledgerline.operators import dashboard as dash
+from ledgerline.operators import governance as gov
+from ledgerline.operators import inventory as inv
+from ledgerline.operators import isolation_forest as iso
+from ledgerline.operators import recommend as rec
+from ledgerline.operators import scenario as scn
+from ledgerline.operators import supplier as sup
+from ledgerline.plans.register import query
+
+N_EST = 10
+_MODELS: dict = {}
+
+
+def _memo(d, key, build):
+    k = (id(d.spark), d.t.root, key)
+    if k not in _MODELS:
+        _MODELS[k] = build()
+    return _MODELS[k]
+
+
+def base_demand(d):
+    """Base (pooled) demand model on the brand pool: the reference's base model grain."""
+    return _memo(d, "demand", lambda: dm.train_demand_model(d.sales_pool, keys=("product_id",), scope=(),
+                                                            n_estimators=N_EST))
+
+
+def _delay_feat(d):
+    return dl.feature_frame(d.shipments, d.suppliers, scope=())
+
+
+def base_classifier(d):
+    return _memo(d, "clf", lambda: dl.train_delay_classifier(_delay_feat(d), scope=(), n_estimators=N_EST))
+
+
+def base_duration(d):
+    return _memo(d, "dur", lambda: dl.train_duration_model(_delay_feat(d), scope=(), n_estimators=N_EST))
+
+
+@query("demand_model_metrics")
+def q_demand_model_metrics(d):
+    """Base demand model vs seasonal-naive baseline on the held-out period (MAE/RMSE/MAPE)."""
+    return dm.metrics_frame(d.spark, base_demand(d))
+
+
+@query("demand_forecast")
+def q_demand_forecast(d):
+    """30-day recursive forecast of every brand with the base model (array forest)."""
+    return dm.forecast_products(d.sales_pool, base_demand(d), 30)
+
+
+@query("delay_model_metrics")
+def q_delay_model_metrics(d):
+    """Delay classifier selection and test metrics vs the majority baseline."""
+    return dl.metrics_rows(d.spark, base_classifier(d))
+
+
+@query("duration_model_metrics")
+def q_duration_model_metrics(d):
+    """Delay-duration regressor vs the mean baseline (MAE/RMSE/R^2) on delayed shipments."""
+    return dl.metrics_rows(d.spark, base_duration(d))
+
+
+def _latest_scored(d, limit=50):
+    feat = dl.serving_features(d.shipments, d.suppliers, scope=("company_id",))
+    w = Window.partitionBy("company_id").orderBy(*[F.col(c).desc() for c in
+                                                   ("order_date", "l_orderkey", "l_linenumber", "l_partkey",
+                                                    "supplier_id")])
+    latest = feat.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= limit)
+    return dl.score_shipments(latest, base_classifier(d), base_duration(d))
+
+
+@query("shipment_risk")
+def q_shipment_risk(d):
+    """Each tenant's 50 newest shipments scored (probability, tier, expected delay) with truth."""
+    s = _latest_scored(d)
+    return s.select("company_id", "shipment_key", "order_date", "rank", "delay_probability", "risk_tier",
+                    "expected_delay_days",
+                    F.col("actual_delivery").isNotNull().alias("is_completed"),
+                    F.when(F.col("actual_delivery").isNotNull(), F.col("delay_days") > 0).alias("actual_was_delayed"),
+                    F.col("delay_days").alias("actual_delay_days"))
+
+
+@query("risk_factors")
+def q_risk_factors(d):
+    """C17: top-5 risk factors (importance or |coef|, value, direction) of the scored shipments."""
+    s = _latest_scored(d)
+    return s.select("company_id", "shipment_key", F.posexplode("top_risk_factors").alias("pos", "f")) \
+        .select("company_id", "shipment_key", (F.col("pos") + 1).alias("factor_rank"), "f.feature", "f.importance",
+                "f.value", "f.direction")
+
+
+@query("shipment_isolation_forest")
+def q_shipment_isolation_forest(d):
+    """A2: per-tenant isolation forest over (distance, weight, quantity); 5% contamination."""
+    return iso.shipment_anomalies(d.shipments)
+
+
+def _merged(d, limit=100):
+    z = anom.zscore_anomalies(anom.daily_product_demand(d.sales))
+    return anom.merged_ranking(z, iso.shipment_anomalies(d.shipments), limit=limit)
+
+
+@query("anomalies_merged")
+def q_anomalies_merged(d):
+    """A3: demand z-score and shipment isolation-forest anomalies, top 100 per tenant by score."""
+    return _merged(d)
+
+
+def _inputs(d):
+    return inv.inventory_inputs(d.products, d.inventory_records, d.sales, d.shipments, d.suppliers)
+
+
+@query("shipment_impact")
+def q_shipment_impact(d):
+    """Every in-flight shipment scored by the duration model; its product re-planned with that delay."""
+    open_feat = dl.serving_features(d.shipments, d.suppliers).where(F.col("actual_delivery").isNull())
+    scored = dl.score_shipments(open_feat, base_classifier(d), base_duration(d))
+    fl = scored.select("company_id", "product_id", "shipment_key", "supplier_id", "expected_delay_days",
+                       F.col("delay_probability"), F.col("risk_tier").alias("delay_risk_tier"))
+    impact = scn.shipment_impact(_inputs(d), fl.drop("delay_probability", "delay_risk_tier"))
+    return impact.join(fl.select("company_id", "shipment_key", "delay_probability", "delay_risk_tier"),
+                       ["company_id", "shipment_key"])
+
+
+def _recs(d):
+    health = inv.inventory_health(d.products, d.inventory_records, d.sales, d.shipments, d.suppliers)
+    card = sup.supplier_scorecard(d.suppliers, d.shipments)
+    return rec.merge_recommendations(rec.inventory_recommendations(health), rec.supplier_recommendations(card),
+                                     rec.anomaly_recommendations(_merged(d, rec.ANOMALY_POOL)))
+
+
+@query("recommendations_full")
+def q_recommendations_full(d):
+    """R4-R7 with both anomaly sources (z-score and isolation forest), top 30 per tenant."""
+    return _recs(d)
+
+
+@query("dashboard")
+def q_dashboard(d):
+    """K1/K3/K4: KPI row per tenant with shipment risk counts from the delay model over all shipments."""
+    feat = dl.serving_features(d.shipments, d.suppliers)
+    scored = dl.score_shipments(feat, base_classifier(d))
+    risk = scored.groupBy("company_id").agg(F.count(F.when(F.col("risk_tier") == "CRITICAL", 1)).alias("critical"),
+                                            F.count(F.when(F.col("risk_tier") == "HIGH", 1)).alias("high"),
+                                            F.count(F.when(F.col("risk_tier") == "MEDIUM", 1)).alias("medium"),
+                                            F.count(F.when(F.col("risk_tier") == "LOW", 1)).alias("low"))
+    health = inv.inventory_health(d.products, d.inventory_records, d.sales, d.shipments, d.suppliers)
+    counts = dash.company_counts(d.companies, d.products, d.suppliers, d.sales, d.shipments)
+    k = dash.dashboard_kpis(d.companies, inv.inventory_summary(health), dash.inventory_value(health, d.products),
+                            counts, risk.select("company_id", "critical", "high"))
+    return k.join(risk.select("company_id", F.col("critical").alias("risk_critical"), F.col("high").alias("risk_high"),
+                              F.col("medium").alias("risk_medium"), F.col("low").alias("risk_low")),
+                  "company_id", "left")
