@@ -329,3 +329,40 @@ GROUP BY l.l_partkey, CAST(o.o_orderdate AS DATE)"""))
 def q_prep_daily_sales(d):
     """Public order items counted per (product, purchase day), promotion 0."""
     return prep.prep_daily_sales(d.t.lineitem, d.online_orders)
+
+
+# ----------------------------------------------------------------------------------------
+# I10 file-arrival stream and S7 ingest audit
+# ----------------------------------------------------------------------------------------
+def _scratch(d, what):
+    import uuid
+    from ledgerline.session import checkpoint_root
+    return f"{checkpoint_root(d.spark)}/{what}/{uuid.uuid4().hex}"
+
+
+@query("file_arrival_ingest")
+def q_file_arrival_ingest(d):
+    """The sales upload lands as CSV files; a Structured Streaming job (availableNow) maps, validates,
+    loads it idempotently and writes audit events; returns the audit state of the upload."""
+    from ledgerline.streaming import file_arrival as fa
+    dtype, headers, _ = UPLOADS["raw_sales"]
+    landing, tables, ckpt = _scratch(d, "landing"), _scratch(d, "tables"), _scratch(d, "streams")
+    d.raw_sales.select(*headers).write.option("header", True).mode("overwrite").csv(landing)
+    q = fa.start_file_ingest(d.spark, landing, headers, dtype, IMPORT_COMPANY, tables, ckpt, d.products)
+    q.awaitTermination()
+    audit = d.spark.read.schema(fa.AUDIT_SCHEMA).parquet(f"{tables}/ingest_audit")
+    return fa.ingest_audit(audit).drop("uploaded_at", "imported_at")
+
+
+@query("ingest_audit")
+def q_ingest_audit(d):
+    """All four raw uploads processed as batches (sales into one tenant, the rest per their tenant
+    column), then the latest state of every upload from the append-only audit events."""
+    from ledgerline.streaming import file_arrival as fa
+    tables = _scratch(d, "tables")
+    for name, (dtype, headers, keys) in UPLOADS.items():
+        raw = getattr(d, name)
+        extra = [F.col(k).alias(f"_{k}") for k in keys if k in ("row_version", "row_key")]
+        fa.process_upload(raw.select(*headers, *extra), FEED_IDS[name], IMPORT_COMPANY, dtype, tables, d.products)
+    audit = d.spark.read.schema(fa.AUDIT_SCHEMA).parquet(f"{tables}/ingest_audit")
+    return fa.ingest_audit(audit).drop("uploaded_at", "imported_at")
