@@ -51,16 +51,56 @@ def _product_id(nation_col: str = "s_nationkey", brand_col: str = "p_brand"):
     return F.col(nation_col) * F.lit(100) + _brand_no(brand_col)
 
 
+# Conformed tables written once per data folder (what an ingest run would have loaded).
+CONFORMED = ("sales", "shipments", "products", "suppliers", "inventory_records")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 class SupplyChainData:
-    """Lazily built supply-chain views over one test-data folder."""
+    """Lazily built supply-chain views over one test-data folder.
+
+    With ``materialize`` (default) the conformed tables are written once as
+    Parquet partitioned by ``company_id`` under the session's shared
+    checkpoint folder and read back from there -- the layout the engine
+    expects in production (ingest writes conformed tables, analytics read
+    them), which also cuts the adapters' join lineage out of every query.
+    """
 
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, materialize: bool = True):
         self.spark = spark
         self.t = TestTables(spark, root)
+        self.materialize = materialize
+        self._base = None
+
+    def _conformed(self, name: str, build) -> DataFrame:
+        if not self.materialize:
+            return build()
+        if self._base is None:
+            import hashlib
+
+            from ledgerline.session import checkpoint_root
+            try:
+                root = checkpoint_root(self.spark)
+            except RuntimeError:
+                self.materialize = False
+                return build()
+            self._base = f"{root}/conformed/{hashlib.sha1(self.t.root.encode()).hexdigest()[:16]}"
+        path = f"{self._base}/{name}"
+        if not _exists(self.spark, f"{path}/_SUCCESS"):
+            build().write.mode("overwrite").partitionBy("company_id").parquet(path)
+        return self.spark.read.parquet(path)
 
     # ---- facts -------------------------------------------------------------------------
     @cached_property
     def sales(self) -> DataFrame:
+        return self._conformed("sales", lambda: self._build_sales())
+
+    def _build_sales(self) -> DataFrame:
         t = self.t
         l = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
                               "l_extendedprice", "l_discount", "l_shipdate")
@@ -134,8 +174,8 @@ class SupplyChainData:
     @cached_property
     def shipments(self) -> DataFrame:
         """Observable shipments: truth columns dropped, ``shipment_key`` added as unique tie key."""
-        return (self.shipments_truth.drop("late_days", "arrival")
-                .withColumn("shipment_key", shipment_key()))
+        return self._conformed("shipments", lambda: self.shipments_truth.drop("late_days", "arrival")
+                               .withColumn("shipment_key", shipment_key()))
 
     # ---- dimensions --------------------------------------------------------------------
     @cached_property
@@ -145,6 +185,9 @@ class SupplyChainData:
 
     @cached_property
     def products(self) -> DataFrame:
+        return self._conformed("products", lambda: self._build_products())
+
+    def _build_products(self) -> DataFrame:
         t = self.t
         l = t.lineitem.select("l_suppkey", "l_partkey")
         s = t.supplier.select("s_suppkey", "s_nationkey")
@@ -163,6 +206,9 @@ class SupplyChainData:
 
     @cached_property
     def suppliers(self) -> DataFrame:
+        return self._conformed("suppliers", lambda: self._build_suppliers())
+
+    def _build_suppliers(self) -> DataFrame:
         k = F.col("s_suppkey")
         rel_pct = F.when(k % 10 == 3, F.lit(10) + (k * 11) % 35).otherwise(F.lit(55) + (k * 37) % 45)
         return self.t.supplier.select(
@@ -177,6 +223,9 @@ class SupplyChainData:
 
     @cached_property
     def inventory_records(self) -> DataFrame:
+        return self._conformed("inventory_records", lambda: self._build_inventory_records())
+
+    def _build_inventory_records(self) -> DataFrame:
         """12 snapshots x 2 warehouses per product, generated per product row (no join)."""
         p = self.products.select("company_id", "product_id")
         df = (p.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(INVENTORY_SNAPSHOTS - 1))))
