@@ -90,15 +90,17 @@ def demand_feature_matrix(sales: DataFrame, keys: Sequence[str] = PRODUCT, date_
 
 
 def nearest_quantile_cutoff(df: DataFrame, date_col: str = "date", q: float = 1 - TEST_FRACTION,
-                            group_cols: Sequence[str] = ("company_id",)) -> DataFrame:
+                            group_cols: Sequence[str] = ("company_id",), weight_col: str | None = None) -> DataFrame:
     """Pandas ``quantile(q, interpolation='nearest')`` of the row dates, per group.
 
     Index = half-even round of (n - 1) * q (0-based) into the sorted dates.
-    Rows are counted per (group, date) first; the running count then runs over
-    distinct dates only (a calendar, not the facts).
+    Rows are counted per (group, date) first (or ``weight_col`` already holds
+    that count); the running count then runs over distinct dates only (a
+    calendar, not the facts).
     """
     g = list(group_cols)
-    per_day = df.groupBy(*g, F.col(date_col).alias("_d")).agg(F.count(F.lit(1)).alias("_c"))
+    c = F.sum(weight_col) if weight_col else F.count(F.lit(1))
+    per_day = df.groupBy(*g, F.col(date_col).alias("_d")).agg(c.alias("_c"))
     w = (Window.partitionBy(*g) if g else Window.partitionBy(F.lit(0))).orderBy("_d") \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     per_day = per_day.withColumn("_cum", F.sum("_c").over(w))
@@ -122,17 +124,25 @@ def time_split(df: DataFrame, date_col: str = "date", test_fraction: float = TES
 
 
 def split_summary(feat: DataFrame, group_cols: Sequence[str] = ("company_id",)) -> DataFrame:
-    """D1/D9 overview per group: outer cutoff, inner validation cutoff and the four row counts."""
+    """D1/D9 overview per group: outer cutoff, inner validation cutoff and the four row counts.
+
+    Everything is derived from per-(group, date) row counts -- a calendar-sized
+    frame -- so the feature matrix is read once.
+    """
     g = list(group_cols)
-    outer = time_split(feat, "date", TEST_FRACTION, g)
-    train = outer.where(~F.col("is_test")).drop("cutoff", "is_test")
-    inner = time_split(train, "date", VALIDATION_FRACTION, g)
-    o = outer.groupBy(*g).agg(F.first("cutoff").alias("test_cutoff"),
-                              F.count(F.when(~F.col("is_test"), 1)).alias("train_rows"),
-                              F.count(F.when(F.col("is_test"), 1)).alias("test_rows"))
-    i = inner.groupBy(*g).agg(F.first("cutoff").alias("validation_cutoff"),
-                              F.count(F.when(~F.col("is_test"), 1)).alias("train_sub_rows"),
-                              F.count(F.when(F.col("is_test"), 1)).alias("validation_rows"))
+    per_day = feat.groupBy(*g, "date").agg(F.count(F.lit(1)).alias("n"))
+    outer = nearest_quantile_cutoff(per_day, "date", 1 - TEST_FRACTION, g, "n").select(*g, F.col("cutoff").alias("oc"))
+    pd_o = per_day.join(outer, g)
+    o = pd_o.groupBy(*g).agg(F.first("oc").alias("test_cutoff"),
+                             F.sum(F.when(F.col("date") < F.col("oc"), F.col("n")).otherwise(0)).alias("train_rows"),
+                             F.sum(F.when(F.col("date") >= F.col("oc"), F.col("n")).otherwise(0)).alias("test_rows"))
+    train_days = pd_o.where(F.col("date") < F.col("oc")).drop("oc")
+    inner = nearest_quantile_cutoff(train_days, "date", 1 - VALIDATION_FRACTION, g, "n") \
+        .select(*g, F.col("cutoff").alias("ic"))
+    i = (train_days.join(inner, g).groupBy(*g)
+         .agg(F.first("ic").alias("validation_cutoff"),
+              F.sum(F.when(F.col("date") < F.col("ic"), F.col("n")).otherwise(0)).alias("train_sub_rows"),
+              F.sum(F.when(F.col("date") >= F.col("ic"), F.col("n")).otherwise(0)).alias("validation_rows")))
     return o.join(i, g, "left")
 
 

@@ -166,10 +166,15 @@ def score_rows(rows: DataFrame, forests: DataFrame, keep: Sequence[str], tenants
     return u
 
 
-def shipment_anomalies(shipments: DataFrame, contamination: float = CONTAMINATION) -> DataFrame:
-    """A2: anomalous shipments per tenant with score = min(1, 2|decision|) and severity tiers."""
+def shipment_anomalies(shipments: DataFrame, contamination: float = CONTAMINATION,
+                       forests: DataFrame | None = None) -> DataFrame:
+    """A2: anomalous shipments per tenant with score = min(1, 2|decision|) and severity tiers.
+
+    ``forests`` (from ``fit_forests``) may be passed in to reuse a fitted model.
+    """
     keep = ["shipment_key", "order_date", "quantity"]
-    scored = score_rows(shipments, fit_forests(shipments), keep).withColumnRenamed("company_id_", "company_id")
+    forests = forests if forests is not None else fit_forests(shipments)
+    scored = score_rows(shipments, forests, keep).withColumnRenamed("company_id_", "company_id")
     offset = scored.groupBy("company_id").agg(
         F.percentile_approx("if_score", contamination, 100000).alias("_offset"))
     j = scored.join(offset, "company_id").withColumn("decision", F.col("if_score") - F.col("_offset"))

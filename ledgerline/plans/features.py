@@ -125,11 +125,16 @@ SELECT oc.company_id, oc.cutoff AS test_cutoff,
 FROM oc LEFT JOIN ic ON oc.company_id = ic.company_id"""))
 def q_time_split(d):
     """Per-tenant nearest-quantile time cutoffs (test 20%, validation 25% of train) and row counts."""
-    return dfe.split_summary(dfe.demand_feature_matrix(d.sales))
+    return dfe.split_summary(demand_features(d))
+
+
+def demand_features(d):
+    """The demand feature matrix as a shared feature table (written once, read by its consumers)."""
+    return d.feature_table("demand", lambda: dfe.demand_feature_matrix(d.sales))
 
 
 def _demand_split(d):
-    feat = dfe.demand_feature_matrix(d.sales)
+    feat = demand_features(d)
     s = dfe.time_split(feat, "date", dfe.TEST_FRACTION)
     return s.where(~F.col("is_test")), s.where(F.col("is_test"))
 
@@ -146,7 +151,7 @@ def q_mean_encoding(d):
     """Product mean demand from the training split only; unseen products take the tenant mean."""
     train, test = _demand_split(d)
     prod, glob = dfe.mean_encoding(train)
-    allp = dfe.demand_feature_matrix(d.sales).select("company_id", "product_id").distinct()
+    allp = demand_features(d).select("company_id", "product_id").distinct()
     enc = allp.join(prod, ["company_id", "product_id"], "left").join(glob, ["company_id"], "left")
     return enc.select("company_id", "product_id",
                       F.round(F.coalesce("product_mean_demand", "global_mean_demand"), R).alias("product_mean_demand"),
@@ -297,7 +302,13 @@ SF_OUT = ["shipment_key", "company_id", "product_id", "supplier_id", "order_date
 
 
 def _ship_features(d, completed_only=True):
-    """Tenant-scoped feature matrix with labels masked from each tenant's own test cutoff on."""
+    """Tenant-scoped feature matrix (a shared feature table) with labels masked from each tenant's cutoff on."""
+    if completed_only:
+        return d.feature_table("shipment_tenant", lambda: _build_ship_features(d))
+    return _build_ship_features(d, False)
+
+
+def _build_ship_features(d, completed_only=True):
     sh = sfe.attach_suppliers(d.shipments, d.suppliers, "inner")
     done = sh.where(F.col("actual_delivery").isNotNull())
     cut = dfe.nearest_quantile_cutoff(done, "order_date", 1 - dfe.TEST_FRACTION)
@@ -310,7 +321,7 @@ SELECT {', '.join(SF_OUT)}, {_sql_r(sfe.NUMERIC_FEATURE_COLUMNS)}, is_delayed, d
 FROM sfm WHERE actual_delivery IS NOT NULL"""))
 def q_shipment_feature_matrix(d):
     """Training features of completed shipments, labels masked after each tenant's cutoff."""
-    f = _ship_features(d)
+    f = _build_ship_features(d)
     return f.select(*SF_OUT, *_r(sfe.NUMERIC_FEATURE_COLUMNS), "is_delayed", "delay_days")
 
 

@@ -43,7 +43,23 @@ def base_demand(d):
 
 
 def _delay_feat(d):
-    return dl.feature_frame(d.shipments, d.suppliers, scope=())
+    """Pooled (base-model) training features as a shared feature table."""
+    return d.feature_table("shipment_pooled", lambda: dl.feature_frame(d.shipments, d.suppliers, scope=()))
+
+
+def _serving(d):
+    """Serving features of every shipment from the real history, as a shared feature table."""
+    return d.feature_table("shipment_serving",
+                           lambda: dl.serving_features(d.shipments, d.suppliers, scope=("company_id",)))
+
+
+def _forests(d):
+    """Isolation forests per tenant, fitted once per data folder (a model artifact, like the others)."""
+    return d.feature_table("iforest", lambda: iso.fit_forests(d.shipments))
+
+
+def _shipment_anomalies(d):
+    return iso.shipment_anomalies(d.shipments, forests=_forests(d))
 
 
 def base_classifier(d):
@@ -79,7 +95,7 @@ def q_duration_model_metrics(d):
 
 
 def _latest_scored(d, limit=50):
-    feat = dl.serving_features(d.shipments, d.suppliers, scope=("company_id",))
+    feat = _serving(d)
     w = Window.partitionBy("company_id").orderBy(*[F.col(c).desc() for c in
                                                    ("order_date", "l_orderkey", "l_linenumber", "l_partkey",
                                                     "supplier_id")])
@@ -110,12 +126,12 @@ def q_risk_factors(d):
 @query("shipment_isolation_forest")
 def q_shipment_isolation_forest(d):
     """A2: per-tenant isolation forest over (distance, weight, quantity); 5% contamination."""
-    return iso.shipment_anomalies(d.shipments)
+    return _shipment_anomalies(d)
 
 
 def _merged(d, limit=100):
     z = anom.zscore_anomalies(anom.daily_product_demand(d.sales))
-    return anom.merged_ranking(z, iso.shipment_anomalies(d.shipments), limit=limit)
+    return anom.merged_ranking(z, _shipment_anomalies(d), limit=limit)
 
 
 @query("anomalies_merged")
@@ -131,7 +147,7 @@ def _inputs(d):
 @query("shipment_impact")
 def q_shipment_impact(d):
     """Every in-flight shipment scored by the duration model; its product re-planned with that delay."""
-    open_feat = dl.serving_features(d.shipments, d.suppliers).where(F.col("actual_delivery").isNull())
+    open_feat = _serving(d).where(F.col("actual_delivery").isNull())
     scored = dl.score_shipments(open_feat, base_classifier(d), base_duration(d))
     fl = scored.select("company_id", "product_id", "shipment_key", "supplier_id", "expected_delay_days",
                        F.col("delay_probability"), F.col("risk_tier").alias("delay_risk_tier"))
@@ -156,8 +172,7 @@ def q_recommendations_full(d):
 @query("dashboard")
 def q_dashboard(d):
     """K1/K3/K4: KPI row per tenant with shipment risk counts from the delay model over all shipments."""
-    feat = dl.serving_features(d.shipments, d.suppliers)
-    scored = dl.score_shipments(feat, base_classifier(d))
+    scored = dl.score_shipments(_serving(d), base_classifier(d))
     risk = scored.groupBy("company_id").agg(F.count(F.when(F.col("risk_tier") == "CRITICAL", 1)).alias("critical"),
                                             F.count(F.when(F.col("risk_tier") == "HIGH", 1)).alias("high"),
                                             F.count(F.when(F.col("risk_tier") == "MEDIUM", 1)).alias("medium"),

@@ -77,6 +77,14 @@ class SupplyChainData:
         self.materialize = materialize
         self._base = None
 
+    def feature_table(self, name: str, build) -> DataFrame:
+        """A derived table (feature matrix, serving features) written once and shared by its consumers."""
+        key = f"features/{name}"
+        cache = self.__dict__.setdefault("_feature_tables", {})
+        if key not in cache:
+            cache[key] = self._conformed(key, build)
+        return cache[key]
+
     def _conformed(self, name: str, build) -> DataFrame:
         if not self.materialize:
             return build()
