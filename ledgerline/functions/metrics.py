@@ -1,9 +1,14 @@
 """Classifier evaluation metrics as DataFrame aggregates (C7-C11), per group.
 
 ROC-AUC and average precision first collapse the rows to one row per
-(group, score) -- positives and negatives at that score -- and only then run
-a running sum over the *distinct scores* of a group, so ties are handled
-exactly (tie-aware, like sklearn) and the window never sees raw rows.
+(group, score) -- positives and negatives at that score -- and then need a
+running sum over a group's *distinct scores* (exact and tie-aware, like
+sklearn). Model probabilities are nearly all distinct, so one large tenant
+would put almost all of its rows into a single window partition. The running
+sum is therefore computed as a distributed prefix sum (``prefix_sums``):
+range-partition by (group, score), fix the slices with a reliable
+checkpoint, add per-slice offsets from a small (slice x group) table, and run
+windows only within slices.
 """
 
 from __future__ import annotations
@@ -13,6 +18,32 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerline.session import cut_lineage
+
+
+def prefix_sums(df: DataFrame, group_cols: Sequence[str], order_col: str, cols: Sequence[str],
+                descending: bool = False, inclusive: bool = False, n_slices: int | None = None) -> DataFrame:
+    """Running sums of ``cols`` per group in ``order_col`` order, skew-safe.
+
+    Adds ``_cum_<c>``: the sum over rows before (``inclusive``: up to and
+    including) each row. ``order_col`` must be unique within a group (e.g.
+    distinct scores). No window partition is larger than one range slice.
+    """
+    g = list(group_cols)
+    spark = df.sparkSession
+    n = n_slices or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    o = F.col(order_col).desc() if descending else F.col(order_col).asc()
+    r = df.repartitionByRange(n, *[F.col(c) for c in g], o).withColumn("_slice", F.spark_partition_id())
+    r = cut_lineage(r)  # reliable checkpoint: slice ids stay fixed however often r is read
+    tot = r.groupBy("_slice", *g).agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
+    wo = Window.partitionBy(*g).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    off = tot.select("_slice", *g, *[F.coalesce(F.sum(f"_t_{c}").over(wo), F.lit(0)).alias(f"_o_{c}") for c in cols])
+    wl = Window.partitionBy("_slice", *g).orderBy(o).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow if inclusive else -1)
+    j = r.join(off, ["_slice", *g])
+    return j.select(*df.columns, *[(F.col(f"_o_{c}") + F.coalesce(F.sum(c).over(wl), F.lit(0))).alias(f"_cum_{c}")
+                                   for c in cols])
+
 
 def confusion(df: DataFrame, y: str, p: str, group_cols: Sequence[str] = ("company_id",)) -> DataFrame:
     """Tp, tn, fp, fn (labels and predictions as 0/1)."""
@@ -55,10 +86,7 @@ def _score_groups(df: DataFrame, y: str, score: str, g: list[str]) -> DataFrame:
 def roc_auc(df: DataFrame, y: str, score: str, group_cols: Sequence[str] = ("company_id",)) -> DataFrame:
     """AUC = sum over scores of pos * (neg below + neg at the score / 2) / (P * N); null if one class."""
     g = list(group_cols)
-    sg = _score_groups(df, y, score, g)
-    w = (Window.partitionBy(*g) if g else Window.partitionBy(F.lit(0))).orderBy("_s") \
-        .rowsBetween(Window.unboundedPreceding, -1)
-    sg = sg.withColumn("_neg_below", F.coalesce(F.sum("_neg").over(w), F.lit(0)))
+    sg = prefix_sums(_score_groups(df, y, score, g), g, "_s", ["_neg"]).withColumnRenamed("_cum__neg", "_neg_below")
     agg = sg.groupBy(*g).agg(F.sum(F.col("_pos") * (F.col("_neg_below") + F.col("_neg") / 2.0)).alias("_u"),
                              F.sum("_pos").alias("positives"), F.sum("_neg").alias("negatives"))
     auc = F.when((F.col("positives") > 0) & (F.col("negatives") > 0),
@@ -69,10 +97,8 @@ def roc_auc(df: DataFrame, y: str, score: str, group_cols: Sequence[str] = ("com
 def average_precision(df: DataFrame, y: str, score: str, group_cols: Sequence[str] = ("company_id",)) -> DataFrame:
     """C11: step-form AP = sum (pos/P) * precision at each distinct threshold (descending); null if no positive."""
     g = list(group_cols)
-    sg = _score_groups(df, y, score, g)
-    w = (Window.partitionBy(*g) if g else Window.partitionBy(F.lit(0))).orderBy(F.col("_s").desc()) \
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sg = sg.withColumn("_tp", F.sum("_pos").over(w)).withColumn("_fp", F.sum("_neg").over(w))
+    sg = prefix_sums(_score_groups(df, y, score, g), g, "_s", ["_pos", "_neg"], descending=True, inclusive=True)
+    sg = sg.withColumnRenamed("_cum__pos", "_tp").withColumnRenamed("_cum__neg", "_fp")
     agg = sg.groupBy(*g).agg(F.sum(F.col("_pos") * F.col("_tp") / (F.col("_tp") + F.col("_fp"))).alias("_a"),
                              F.sum("_pos").alias("positives"))
     return agg.select(*g, "positives", F.when(F.col("positives") > 0, F.col("_a") / F.col("positives"))
