@@ -270,3 +270,11 @@ def metrics_rows(spark, m: DelayModel, scope_label: str = "base") -> DataFrame:
     schema = ("scope string, kind string, model string, selected_model string, metric string, value double, "
               "train_rows long, test_rows long")
     return spark.createDataFrame(rows, schema)
+
+
+def shipment_detail(shipments: DataFrame, suppliers: DataFrame, clf: DelayModel, dur: DelayModel | None,
+                    company_id: int, shipment_key: str) -> DataFrame:
+    """One shipment's risk, with features from its tenant's full history (partition-pruned by tenant)."""
+    tenant = shipments.where(F.col("company_id") == company_id)
+    feat = serving_features(tenant, suppliers.where(F.col("company_id") == company_id), scope=("company_id",))
+    return score_shipments(feat.where(F.col("shipment_key") == shipment_key), clf, dur)
