@@ -81,3 +81,14 @@ def nullif_zero(x) -> Column:
 
 def ceil_long(x) -> Column:
     return F.ceil(c(x)).cast("long")
+
+
+def round_stable(x, n: int) -> Column:
+    """Round at ``n`` decimals after a first rounding at 9.
+
+    Engines round a double differently when it sits one ulp below a decimal
+    tie (28.724999999999998): Spark goes by the shortest decimal string, float
+    arithmetic by ``x * 10^n``. Rounding to 9 decimals first turns such values
+    into clean ties that every engine rounds the same way.
+    """
+    return F.round(F.round(c(x), 9), n)

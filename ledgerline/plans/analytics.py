@@ -365,12 +365,12 @@ g3 AS (
          CAST(ceil(greatest(0.0, s_daily * 30 + s_safety - s_inv - s_inc + reorder_delta)) AS BIGINT) AS s_order,
          least(greatest(greatest(0.0, s_inv / greatest(1.0, s_daily * 45) - 1) * 0.75, 0.0), 1.0) AS s_overstock
   FROM g2)
-SELECT company_id, product_id, scenario_id, round(s_inv, 2) AS inventory_level, round(s_daily, 2) AS daily_demand,
-       round(s_inc, 2) AS incoming_quantity, round(s_lead, 2) AS effective_lead_time_days,
-       round(s_stockout, 4) AS stockout_probability, """ + sql_tier("s_stockout") + """ AS stockout_risk,
-       round(s_overstock, 4) AS overstock_probability, """ + sql_tier("s_overstock") + """ AS overstock_risk,
+SELECT company_id, product_id, scenario_id, round(round(s_inv, 9), 2) AS inventory_level, round(round(s_daily, 9), 2) AS daily_demand,
+       round(round(s_inc, 9), 2) AS incoming_quantity, round(round(s_lead, 9), 2) AS effective_lead_time_days,
+       round(round(s_stockout, 9), 4) AS stockout_probability, """ + sql_tier("s_stockout") + """ AS stockout_risk,
+       round(round(s_overstock, 9), 4) AS overstock_probability, """ + sql_tier("s_overstock") + """ AS overstock_risk,
        s_order AS recommended_order_quantity,
-       round(s_stockout - base_stockout_p, 4) + 0.0 AS stockout_probability_change,
+       round(round(s_stockout - base_stockout_p, 9), 4) + 0.0 AS stockout_probability_change,
        s_order - base_order_qty AS recommended_order_change
 FROM g3"""))
 def q_scenario_grid(d):
