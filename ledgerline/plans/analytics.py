@@ -513,7 +513,7 @@ val AS (SELECT h.company_id, round(sum(h.inventory_level * coalesce(p.unit_cost,
 SELECT c.company_id, c.name, c.product_count AS products, c.shipment_count AS shipments,
        CAST(0 AS BIGINT) AS high_risk_shipments, CAST(coalesce(s.stockout_high, 0) AS BIGINT) AS stockout_risks,
        coalesce(v.inventory_units, 0.0) AS inventory_units, coalesce(v.inventory_value, 0.0) AS inventory_value,
-       round(least(greatest(100.0 - 2 * coalesce(s.stockout_high, 0), 0.0), 100.0), 1) AS supply_chain_health,
+       CAST(round(least(greatest(100.0 - 2 * coalesce(s.stockout_high, 0), 0.0), 100.0), 1) AS DOUBLE) AS supply_chain_health,
        c.supplier_count
 FROM cnt c LEFT JOIN summary s ON c.company_id = s.company_id LEFT JOIN val v ON c.company_id = v.company_id"""))
 def q_chain_health_stock_only(d):

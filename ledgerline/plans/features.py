@@ -192,7 +192,7 @@ TIE_SQL = "order_date, l_orderkey, l_linenumber, l_partkey, supplier_id"
 SQL_LABELS = """
 lab AS (SELECT *, CAST(actual_delivery - planned_delivery AS INTEGER) AS delay_days,
                CASE WHEN actual_delivery IS NOT NULL
-                    THEN CASE WHEN actual_delivery - planned_delivery > 0 THEN 1.0 ELSE 0.0 END END AS target,
+                    THEN CASE WHEN actual_delivery - planned_delivery > 0 THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END END AS target,
                coalesce(origin, 'None') || ' -> ' || coalesce(destination, 'None') AS route
         FROM shipments)"""
 
@@ -249,7 +249,7 @@ def q_route_known_prior_rate(d):
 SELECT shipment_key, company_id, supplier_id, order_date,
        round(avg(target) OVER (PARTITION BY company_id, supplier_id ORDER BY {TIE_SQL}
                                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), {R}) AS supplier_recent_delay_rate,
-       coalesce(lag(target) OVER (PARTITION BY company_id, supplier_id ORDER BY {TIE_SQL}), 0.0)
+       coalesce(lag(target) OVER (PARTITION BY company_id, supplier_id ORDER BY {TIE_SQL}), CAST(0.0 AS DOUBLE))
          AS previous_shipment_delayed
 FROM lab"""))
 def q_supplier_prior_rate(d):
@@ -269,7 +269,7 @@ lab AS (SELECT s.*, sp.lead_time_days AS supplier_lead_time_days, sp.reliability
                sp.cost_index AS supplier_cost_index,
                CAST(s.actual_delivery - s.planned_delivery AS INTEGER) AS delay_days,
                CASE WHEN s.actual_delivery IS NOT NULL
-                    THEN CASE WHEN s.actual_delivery - s.planned_delivery > 0 THEN 1.0 ELSE 0.0 END END AS target,
+                    THEN CASE WHEN s.actual_delivery - s.planned_delivery > 0 THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END END AS target,
                coalesce(s.origin, 'None') || ' -> ' || coalesce(s.destination, 'None') AS route
         FROM shipments s JOIN suppliers sp ON s.company_id = sp.company_id AND s.supplier_id = sp.supplier_id),
 msk AS (SELECT l.*, CASE WHEN l.order_date < c.cutoff THEN l.target END AS obs
@@ -292,7 +292,7 @@ sfm AS (
          coalesce(supplier_cost_index, 0.0) AS supplier_cost_index,
          coalesce(hr, coalesce(gl_rate, 0.1)) AS historical_route_delay_rate,
          coalesce(sr, coalesce(gl_rate, 0.1)) AS supplier_recent_delay_rate,
-         coalesce(prev, 0.0) AS previous_shipment_delayed,
+         coalesce(prev, CAST(0.0 AS DOUBLE)) AS previous_shipment_delayed,
          CAST(isodow(order_date) - 1 AS DOUBLE) AS order_day_of_week, CAST(month(order_date) AS DOUBLE) AS order_month,
          target AS is_delayed, delay_days, actual_delivery, l_orderkey, l_partkey
   FROM sf)"""

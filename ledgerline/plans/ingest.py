@@ -311,8 +311,9 @@ def q_upsert_suppliers(d):
 @query("prep_shipments", oracle("", f"""
 SELECT CAST(o_orderkey AS VARCHAR) AS shipment_id, 'mixed' AS product_id, 'mixed' AS supplier_id,
        'Olist Warehouse' AS origin, 'Customer' AS destination, 'Correios' AS carrier, 'road' AS transport_mode,
-       500.0 AS distance_km, 2.0 AS weight_kg, 1.0 AS quantity, 2.0 AS supplier_lead_time_days,
-       0.9 AS supplier_reliability, 1.0 AS supplier_cost_index, CAST(o_orderdate AS DATE) AS order_date,
+       CAST(500.0 AS DOUBLE) AS distance_km, CAST(2.0 AS DOUBLE) AS weight_kg, CAST(1.0 AS DOUBLE) AS quantity,
+       CAST(2.0 AS DOUBLE) AS supplier_lead_time_days, CAST(0.9 AS DOUBLE) AS supplier_reliability,
+       CAST(1.0 AS DOUBLE) AS supplier_cost_index, CAST(o_orderdate AS DATE) AS order_date,
        CAST(o_orderdate AS DATE) + CAST(7 + o_orderkey % 5 AS INTEGER) AS planned_delivery,
        CAST(o_orderdate AS DATE) + CAST(3 + o_orderkey % 11 AS INTEGER) AS actual_delivery
 FROM orders WHERE o_orderstatus = '{prep.DELIVERED_STATUS}' AND o_orderdate IS NOT NULL"""))
