@@ -234,12 +234,17 @@ def forecast(state: DataFrame, model: DemandModel, horizon: int, forest: ForestA
     return state.mapInPandas(run, out_schema)
 
 
-def forecast_products(sales: DataFrame, model: DemandModel, horizon: int, date_col: str = "sale_date") -> DataFrame:
-    """Forecast every product with >= 20 sales records; unseen products use the global mean."""
+def forecast_products(sales: DataFrame, model: DemandModel, horizon: int, date_col: str = "sale_date",
+                      model_source: str = "base", model_version: str | None = None) -> DataFrame:
+    """Forecast every product with >= 20 sales records; unseen products use the global mean.
+
+    Rows carry the last actual date and quantity and the serving model's name, source and version.
+    """
     keys = list(model.keys)
     st = history_state(sales, keys, date_col)
     st = st.join(model.product_means, keys, "left").withColumn(
         "product_mean_demand", F.coalesce(F.col("product_mean_demand"), F.lit(model.global_mean)))
     fc = forecast(st, model, horizon)
-    return fc.join(st.select(*keys, "last_date", "last_actual_quantity"), keys).withColumn(
-        "model_name", F.lit(model.name))
+    return (fc.join(st.select(*keys, "last_date", "last_actual_quantity"), keys)
+            .withColumn("model_name", F.lit(model.name)).withColumn("model_source", F.lit(model_source))
+            .withColumn("model_version", F.lit(model_version).cast("string")))

@@ -173,10 +173,7 @@ def q_recommendations_full(d):
 def q_dashboard(d):
     """K1/K3/K4: KPI row per tenant with shipment risk counts from the delay model over all shipments."""
     scored = dl.score_shipments(_serving(d), base_classifier(d))
-    risk = scored.groupBy("company_id").agg(F.count(F.when(F.col("risk_tier") == "CRITICAL", 1)).alias("critical"),
-                                            F.count(F.when(F.col("risk_tier") == "HIGH", 1)).alias("high"),
-                                            F.count(F.when(F.col("risk_tier") == "MEDIUM", 1)).alias("medium"),
-                                            F.count(F.when(F.col("risk_tier") == "LOW", 1)).alias("low"))
+    risk = dash.risk_distribution(scored)
     health = inv.inventory_health(d.products, d.inventory_records, d.sales, d.shipments, d.suppliers)
     counts = dash.company_counts(d.companies, d.products, d.suppliers, d.sales, d.shipments)
     k = dash.dashboard_kpis(d.companies, inv.inventory_summary(health), dash.inventory_value(health, d.products),
