@@ -61,6 +61,21 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def _publish(spark: SparkSession, df: DataFrame, path: str) -> str:
+    """Write to a private temporary folder, then rename into place: readers never see a partial table,
+    and when two writers race, the first rename wins and the other uses that table."""
+    import uuid
+    tmp = f"{path}.tmp-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").partitionBy("company_id").parquet(tmp)
+    jvm = spark.sparkContext._jvm
+    src, dst = jvm.org.apache.hadoop.fs.Path(tmp), jvm.org.apache.hadoop.fs.Path(path)
+    fs = dst.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(dst):
+        fs.mkdirs(dst.getParent())
+        fs.rename(src, dst)
+    return path if fs.exists(dst) else tmp
+
+
 class SupplyChainData:
     """Lazily built supply-chain views over one test-data folder.
 
@@ -100,7 +115,7 @@ class SupplyChainData:
             self._base = f"{root}/conformed/{hashlib.sha1(self.t.root.encode()).hexdigest()[:16]}"
         path = f"{self._base}/{name}"
         if not _exists(self.spark, f"{path}/_SUCCESS"):
-            build().write.mode("overwrite").partitionBy("company_id").parquet(path)
+            path = _publish(self.spark, build(), path)
         return self.spark.read.parquet(path)
 
     # ---- facts -------------------------------------------------------------------------
