@@ -351,7 +351,7 @@ def q_file_arrival_ingest(d):
     d.raw_sales.select(*headers).write.option("header", True).mode("overwrite").csv(landing)
     q = fa.start_file_ingest(d.spark, landing, headers, dtype, IMPORT_COMPANY, tables, ckpt, d.products)
     q.awaitTermination()
-    audit = d.spark.read.schema(fa.AUDIT_SCHEMA).parquet(f"{tables}/ingest_audit")
+    audit = fa.read_audit(d.spark, tables)
     return fa.ingest_audit(audit).drop("uploaded_at", "imported_at")
 
 
@@ -360,10 +360,18 @@ def q_ingest_audit(d):
     """All four raw uploads processed as batches (sales into one tenant, the rest per their tenant
     column), then the latest state of every upload from the append-only audit events."""
     from ledgerline.streaming import file_arrival as fa
+    from concurrent.futures import ThreadPoolExecutor
     tables = _scratch(d, "tables")
-    for name, (dtype, headers, keys) in UPLOADS.items():
-        raw = getattr(d, name)
+
+    def one(name):
+        dtype, headers, keys = UPLOADS[name]
         extra = [F.col(k).alias(f"_{k}") for k in keys if k in ("row_version", "row_key")]
-        fa.process_upload(raw.select(*headers, *extra), FEED_IDS[name], IMPORT_COMPANY, dtype, tables, d.products)
-    audit = d.spark.read.schema(fa.AUDIT_SCHEMA).parquet(f"{tables}/ingest_audit")
+        fa.process_upload(getattr(d, name).select(*headers, *extra), FEED_IDS[name], IMPORT_COMPANY, dtype, tables,
+                          d.products)
+
+    # independent uploads: their Spark jobs run concurrently (each writes only its own partitions)
+    with ThreadPoolExecutor(max_workers=len(UPLOADS)) as pool:
+        for f in [pool.submit(one, n) for n in UPLOADS]:
+            f.result()
+    audit = fa.read_audit(d.spark, tables)
     return fa.ingest_audit(audit).drop("uploaded_at", "imported_at")

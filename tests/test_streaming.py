@@ -28,7 +28,7 @@ def test_stream_ingest_is_idempotent_and_audited(spark, tmp_path):
 
     q = fa.start_file_ingest(spark, landing, HEADERS, "sales", 7, tables, ckpt, _products(spark), on_imported=hook)
     q.awaitTermination()
-    audit = fa.ingest_audit(spark.read.parquet(f"{tables}/ingest_audit")).collect()
+    audit = fa.ingest_audit(fa.read_audit(spark, tables)).collect()
     assert len(audit) == 1
     a = audit[0]
     assert (a["imported"], a["skipped"], a["row_count"]) == (3, 2, 5)
@@ -44,14 +44,14 @@ def test_stream_ingest_is_idempotent_and_audited(spark, tmp_path):
         f.write(CSV)
     fa.start_file_ingest(spark, landing, HEADERS, "sales", 7, tables, ckpt, _products(spark)).awaitTermination()
     assert spark.read.parquet(f"{tables}/sales").count() == 6
-    assert len(fa.ingest_audit(spark.read.parquet(f"{tables}/ingest_audit")).collect()) == 2
+    assert len(fa.ingest_audit(fa.read_audit(spark, tables)).collect()) == 2
 
 
 def test_upload_with_unmapped_required_field_is_rejected(spark, tmp_path):
     tables = str(tmp_path / "t")
     batch = spark.createDataFrame([("A", "2026-01-01")], "SKU string, Date string")
     fa.process_upload(batch, 1, 7, "sales", tables, _products(spark))
-    a = fa.ingest_audit(spark.read.parquet(f"{tables}/ingest_audit")).first()
+    a = fa.ingest_audit(fa.read_audit(spark, tables)).first()
     assert a["status"] == "rejected"
 
 
