@@ -22,7 +22,7 @@ from pyspark.sql import SparkSession
 
 from ledgerline.session import checkpoint_root
 
-MAX_NODES = 50_000_000  # refuse to broadcast absurd ensembles
+MAX_NODES = 5_000_000  # 200 trees of depth 10 have <= 409,400 nodes; refuse anything far beyond
 
 
 @dataclass

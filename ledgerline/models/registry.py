@@ -143,30 +143,27 @@ def outcome_frame(spark, outcomes: list[tuple]) -> DataFrame:
     return spark.createDataFrame(outcomes, "company_id int, model_type string, trained boolean, reason string")
 
 
-def derived_registry(demand_suff: DataFrame, shipment_suff: DataFrame, span: DataFrame) -> DataFrame:
+def derived_registry(demand_suff: DataFrame, shipment_suff: DataFrame, d0: dt.date, d1: dt.date, n: int) -> DataFrame:
     """A registry as two base training rounds and one tenant round would write it.
 
     Base models are trained at (first day + 180) and at the last day of the
-    sales history; every sufficient tenant gets its own model the day after.
-    Used to exercise G3/G4/G8 on data derived from the tables.
+    sales history (``d0``, ``d1``: three scalars computed once by the caller);
+    every sufficient tenant gets its own model the day after. Used to exercise
+    G3/G4/G8 on data derived from the tables.
     """
-    s = span.select(F.col("d0"), F.col("d1"), F.col("n"))
-    parts = []
+    spark = demand_suff.sparkSession
+    base_rows = []
+    for ti, mtype in enumerate(MODEL_TYPES):
+        for run, day in ((1, d0 + dt.timedelta(days=180)), (2, d1)):
+            base_rows.append((ti * 1_000_000 + run, None, mtype, "base", dt.datetime.combine(day, dt.time()), int(n),
+                              int((d1 - d0).days), None, f"models/{mtype}/base/{run}"))
+    parts = [spark.createDataFrame(base_rows, gov.REGISTRY_SCHEMA)]
     for ti, mtype in enumerate(MODEL_TYPES):
         suff = demand_suff if mtype == "demand" else shipment_suff
-        for run, day in ((1, F.date_add("d0", 180)), (2, F.col("d1"))):
-            parts.append(s.select(
-                (F.lit(ti * 1_000_000 + run)).cast("long").alias("registry_id"),
-                F.lit(None).cast("int").alias("company_id"), F.lit(mtype).alias("model_type"),
-                F.lit("base").alias("model_source"), day.cast("timestamp").alias("training_date"),
-                F.col("n").cast("long").alias("dataset_size"), F.datediff("d1", "d0").cast("long").alias("history_days"),
-                F.lit(None).cast("string").alias("metrics_json"),
-                F.concat(F.lit(f"models/{mtype}/base/"), F.lit(run).cast("string")).alias("model_path")))
-        t = suff.where("is_sufficient").withColumn("d1", s.select("d1").scalar())
-        parts.append(t.select(
+        parts.append(suff.where("is_sufficient").select(
             (F.lit(ti * 1_000_000) + (F.col("company_id") + 1) * 10 + 3).cast("long").alias("registry_id"),
             F.col("company_id").cast("int"), F.lit(mtype).alias("model_type"), F.lit("company").alias("model_source"),
-            F.date_add("d1", 1).cast("timestamp").alias("training_date"),
+            F.lit(d1 + dt.timedelta(days=1)).cast("timestamp").alias("training_date"),
             F.col("record_count").cast("long").alias("dataset_size"), F.col("history_days").cast("long"),
             F.lit(None).cast("string").alias("metrics_json"),
             F.concat(F.lit(f"models/{mtype}/company_"), F.col("company_id").cast("string")).alias("model_path")))

@@ -598,9 +598,11 @@ st AS (
 
 def _derived_registry(d):
     from ledgerline.models import registry as mreg
-    span = d.sales.agg(F.min("sale_date").alias("d0"), F.max("sale_date").alias("d1"), F.count(F.lit(1)).alias("n"))
+    # three scalars of the sales history, computed once (a global aggregate) and passed as literals
+    span = d.sales.agg(F.min("sale_date").alias("d0"), F.max("sale_date").alias("d1"),
+                       F.count(F.lit(1)).alias("n")).first()
     return mreg.derived_registry(gov.demand_sufficiency(d.companies, d.sales),
-                                 gov.shipment_sufficiency(d.companies, d.shipments), span)
+                                 gov.shipment_sufficiency(d.companies, d.shipments), span["d0"], span["d1"], span["n"])
 
 
 REG_ADAPTERS = "companies,sales,shipments"

@@ -18,6 +18,20 @@ DEFAULT_CONF = {
 }
 
 
+# Starting points for a large cluster (apply with build_session(extra=CLUSTER_CONF) or spark-submit --conf).
+# Shuffle partitions are set high and AQE coalesces them to ~256 MB each; skewed partitions above 512 MB are
+# split; files are read in 256 MB splits; tenant model fits share the cluster through FAIR pools.
+CLUSTER_CONF = {
+    "spark.sql.shuffle.partitions": "20000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.autoBroadcastJoinThreshold": "64m",
+    "spark.scheduler.mode": "FAIR",
+    "spark.sql.parquet.filterPushdown": "true",
+}
+
+
 def build_session(master: str | None = None, app_name: str = "ledgerline",
                   shuffle_partitions: int | None = None, extra: dict | None = None) -> SparkSession:
     """Local/test session builder. On a cluster, pass your own session instead."""
