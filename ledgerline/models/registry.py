@@ -49,9 +49,13 @@ def append_registry(spark: SparkSession, rows: list[tuple], path: str | None = N
 
 
 def _save(model, spark, model_type, company_id) -> str:
+    """Versioned artifact path; demand models are saved as a full bundle (see ``demand.save_model``)."""
     owner = "base" if company_id is None else f"company_{company_id}"
     path = f"{checkpoint_root(spark)}/models/{model_type}/{owner}/{uuid.uuid4().hex}"
-    model.write().overwrite().save(path)
+    if isinstance(model, dm.DemandModel):
+        dm.save_model(model, path)
+    else:
+        model.write().overwrite().save(path)
     return path
 
 
@@ -68,7 +72,7 @@ def train_base(spark, sales: DataFrame, shipments: DataFrame, suppliers: DataFra
     if kind == "demand":
         m = dm.train_demand_model(sales, keys=("company_id", "product_id"), scope=(), n_estimators=n_estimators)
         span = sales.agg(F.count(F.lit(1)), F.datediff(F.max("sale_date"), F.min("sale_date"))).first()
-        return [_row(spark, "demand", None, m.model, m.metrics, span[0], span[1])]
+        return [_row(spark, "demand", None, m, m.metrics, span[0], span[1])]
     feat = dl.feature_frame(shipments, suppliers, scope=())
     clf = dl.train_delay_classifier(feat, n_estimators=n_estimators)
     out = [_row(spark, "shipment_delay", None, clf.model, clf.metrics, clf.metrics["train_rows"], 0)]
@@ -86,7 +90,7 @@ def _train_one(spark, kind, cid, sales, shipments, suppliers, n_estimators):
         if kind == "demand":
             s = sales.where(F.col("company_id") == cid)
             m = dm.train_demand_model(s, scope=(), n_estimators=n_estimators)
-            return [_row(spark, "demand", cid, m.model, m.metrics, m.metrics["train_rows"], 0)], None
+            return [_row(spark, "demand", cid, m, m.metrics, m.metrics["train_rows"], 0)], None
         sh = shipments.where(F.col("company_id") == cid)
         feat = dl.feature_frame(sh, suppliers.where(F.col("company_id") == cid), scope=())
         clf = dl.train_delay_classifier(feat, n_estimators=n_estimators)

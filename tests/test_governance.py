@@ -71,3 +71,22 @@ def test_train_tenants_trains_only_sufficient(spark):
     out = {o[0]: o for o in outcomes}
     assert out[1][2] is True and out[2][2] is False and "Insufficient" in out[2][3]
     assert len(rows) == 1 and rows[0][1] == 1 and rows[0][3] == "company"
+
+
+def test_registry_driven_forecast(spark, tmp_path):
+    """G5/G6/G7 -> D11: tenant 1 has enough history for its own model, tenant 2 falls back to the base."""
+    from ledgerline.models import demand as dm
+    from ledgerline.models import registry as mreg
+    sales_rows = [(1, p, D0 + dt.timedelta(days=i), float(10 + (i * 7 + p) % 5)) for p in range(8) for i in range(400)]
+    sales_rows += [(2, 1, D0 + dt.timedelta(days=i), float(3 + i % 4)) for i in range(120)]
+    sales = spark.createDataFrame(sales_rows, S)
+    comps = spark.createDataFrame([(1, "a"), (2, "b")], C)
+    reg_path = str(tmp_path / "registry")
+    base = mreg.train_base(spark, sales, None, None, "demand", n_estimators=3)
+    own, _ = mreg.train_tenants(spark, comps, sales, None, None, "demand", n_estimators=3, max_parallel=2)
+    mreg.append_registry(spark, base + own, reg_path)
+    active = gov.active_model(comps, mreg.read_registry(spark, reg_path), "demand")
+    fc = dm.forecast_with_registry(sales, active, 7)
+    src = {r["company_id"]: r["model_source"] for r in fc.select("company_id", "model_source").distinct().collect()}
+    assert src == {1: "company", 2: "base"}
+    assert fc.count() == (8 + 1) * 7
