@@ -77,6 +77,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if root:
+        if not spark.sparkContext.getCheckpointDir():   # conf given at runtime: make checkpoint() use it
+            spark.sparkContext.setCheckpointDir(root)
         return root.rstrip("/")
     master = spark.sparkContext.master or ""
     if not master.startswith("local"):
