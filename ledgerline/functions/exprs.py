@@ -92,3 +92,11 @@ def round_stable(x, n: int) -> Column:
     into clean ties that every engine rounds the same way.
     """
     return F.round(F.round(c(x), 9), n)
+
+
+def present_keys(df, preferred, fallbacks=()) -> list[str]:
+    """Tie-break columns for a stable record order: ``preferred`` if the frame has them all, otherwise
+    whichever ``fallbacks`` it has (e.g. an imported table's external id). May be empty."""
+    if all(c in df.columns for c in preferred):
+        return list(preferred)
+    return [c for c in fallbacks if c in df.columns]

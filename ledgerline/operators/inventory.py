@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.exprs import (INVENTORY_TIERS, ceil_long, clip, logistic_tail, nullif_zero,
-                                        tier)
+                                        present_keys, tier)
 
 KEY = ["company_id", "product_id"]
 
@@ -39,6 +39,7 @@ def latest_inventory(inventory: DataFrame, date_col: str = "record_date",
     A hash aggregate with ``max_by`` (partial aggregation map-side, no sort).
     ``sum_warehouses=True`` instead sums the newest record of every warehouse.
     """
+    tie = present_keys(inventory, tie, ("warehouse_id",))
     order = F.struct(F.col(date_col), *[F.col(t) for t in tie])
     if not sum_warehouses:
         return (inventory.groupBy(*KEY)
@@ -58,6 +59,7 @@ def recent_demand(sales: DataFrame, date_col: str = "sale_date", tie: Sequence[s
     Records, not days (as the reference). Null quantities are skipped.
     """
     n = max(n_mean, n_std)
+    tie = present_keys(sales, tie, ("sale_id", "external_sale_id", "quantity"))
     w = Window.partitionBy(*KEY).orderBy(F.col(date_col).desc(), *[F.col(t).desc() for t in tie])
     top = (sales.select(*KEY, date_col, "quantity", *tie)
            .withColumn("rn", F.row_number().over(w))

@@ -28,6 +28,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerline.functions.exprs import present_keys
+
 CATEGORICAL_COLUMNS = ["transport_mode", "carrier"]
 NUMERIC_FEATURE_COLUMNS = [
     "distance_km", "weight_kg", "quantity",
@@ -37,6 +39,7 @@ NUMERIC_FEATURE_COLUMNS = [
 ]
 DEFAULT_DELAY_RATE = 0.1
 SHIP_TIE = ("l_orderkey", "l_linenumber", "l_partkey", "supplier_id")
+SHIP_TIE_FALLBACK = ("shipment_key", "external_shipment_id", "shipment_id")
 
 
 def delay_labels(shipments: DataFrame) -> DataFrame:
@@ -140,6 +143,7 @@ def shipment_feature_matrix(shipments: DataFrame, train_end=None, completed_only
     Output keeps ``is_delayed`` (restored true label) and ``delay_days`` as targets.
     """
     sc = list(scope)
+    tie = present_keys(shipments, tie, SHIP_TIE_FALLBACK)
     df = mask_labels(delay_labels(shipments), train_end).withColumn("route", route_key())
     df = prior_rate(df, [*sc, "route"], "historical_route_delay_rate", mode, tie=tie)
     df = prior_rate(df, [*sc, "supplier_id"], "supplier_recent_delay_rate", mode, tie=tie)
