@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerline.session import cut_lineage
+
 LAGS = (1, 7, 14)
 ROLLING_WINDOWS = (7, 14)
 LAG_ROLL_COLUMNS = ([f"lag_{k}" for k in LAGS] + [f"rollmean_{w}" for w in ROLLING_WINDOWS]
@@ -130,7 +132,8 @@ def split_summary(feat: DataFrame, group_cols: Sequence[str] = ("company_id",))
     frame -- so the feature matrix is read once.
     """
     g = list(group_cols)
-    per_day = feat.groupBy(*g, "date").agg(F.count(F.lit(1)).alias("n"))
+    # calendar-sized and read five times below: materialise it once instead of re-reading the features
+    per_day = cut_lineage(feat.groupBy(*g, "date").agg(F.count(F.lit(1)).alias("n")))
     outer = nearest_quantile_cutoff(per_day, "date", 1 - TEST_FRACTION, g, "n").select(*g, F.col("cutoff").alias("oc"))
     pd_o = per_day.join(outer, g)
     o = pd_o.groupBy(*g).agg(F.first("oc").alias("test_cutoff"),

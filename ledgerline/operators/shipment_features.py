@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.exprs import present_keys
+from ledgerline.session import cut_lineage
 
 CATEGORICAL_COLUMNS = ["transport_mode", "carrier"]
 NUMERIC_FEATURE_COLUMNS = [
@@ -141,22 +142,33 @@ def shipment_feature_matrix(shipments: DataFrame, train_end=None, completed_only
     """H1-H10 over supplier-enriched shipments; every statistic stays within ``scope`` (the tenant).
 
     Output keeps ``is_delayed`` (restored true label) and ``delay_days`` as targets.
+
+    Plan shape: the labelled base is materialised once (reliable checkpoint, with
+    a row id); the route rate, supplier rate and previous outcome are computed
+    *independently* from it and joined back by row id. Chaining the three
+    aggregate-and-join-back steps instead would copy the upstream plan at every
+    step (2, 4, 8 ... scans), because each copy is pruned differently and cannot
+    be reused.
     """
     sc = list(scope)
     tie = present_keys(shipments, tie, SHIP_TIE_FALLBACK)
-    df = mask_labels(delay_labels(shipments), train_end).withColumn("route", route_key())
-    df = prior_rate(df, [*sc, "route"], "historical_route_delay_rate", mode, tie=tie)
-    df = prior_rate(df, [*sc, "supplier_id"], "supplier_recent_delay_rate", mode, tie=tie)
-    df = previous_outcome(df, [*sc, "supplier_id"], tie=tie)
-    glob = df.groupBy(*sc).agg(F.avg("is_delayed_obs").alias("_global")) if sc else None
-    if glob is not None:
+    base = mask_labels(delay_labels(shipments), train_end).withColumn("route", route_key())
+    base = cut_lineage(base.withColumn("_rid", F.monotonically_increasing_id()))
+    route = prior_rate(base, [*sc, "route"], "historical_route_delay_rate", mode, tie=tie) \
+        .select("_rid", "historical_route_delay_rate")
+    supplier = prior_rate(base, [*sc, "supplier_id"], "supplier_recent_delay_rate", mode, tie=tie) \
+        .select("_rid", "supplier_recent_delay_rate")
+    previous = previous_outcome(base, [*sc, "supplier_id"], tie=tie).select("_rid", "previous_shipment_delayed")
+    df = base.join(route, "_rid").join(supplier, "_rid").join(previous, "_rid")
+    if sc:
+        glob = base.groupBy(*sc).agg(F.avg("is_delayed_obs").alias("_global"))
         df = df.join(glob, sc, "left")
     else:
-        df = df.withColumn("_global", df.select(F.avg("is_delayed_obs")).scalar())
+        df = df.withColumn("_global", base.select(F.avg("is_delayed_obs")).scalar())
     fill = F.coalesce(F.col("_global"), F.lit(DEFAULT_DELAY_RATE))
     df = (df.withColumn("historical_route_delay_rate", F.coalesce("historical_route_delay_rate", fill))
             .withColumn("supplier_recent_delay_rate", F.coalesce("supplier_recent_delay_rate", fill))
-            .drop("_global"))
+            .drop("_global", "_rid"))
     df = df.withColumn("order_day_of_week", F.weekday("order_date")).withColumn("order_month", F.month("order_date"))
     for c in CATEGORICAL_COLUMNS:
         df = df.withColumn(c, F.coalesce(F.col(c).cast("string"), F.lit("unknown"))) if c in df.columns \

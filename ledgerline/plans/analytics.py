@@ -518,9 +518,7 @@ SELECT c.company_id, c.name, c.product_count AS products, c.shipment_count AS sh
 FROM cnt c LEFT JOIN summary s ON c.company_id = s.company_id LEFT JOIN val v ON c.company_id = v.company_id"""))
 def q_chain_health_stock_only(d):
     """K1/K4 without the delay model: KPI row per company, health from stockout risk only."""
-    health = _health(d)
-    return dash.dashboard_kpis(d.companies, inv.inventory_summary(health), dash.inventory_value(health, d.products),
-                               _counts(d))
+    return dash.dashboard_kpis(d.companies, dash.inventory_rollup(_health(d), d.products), _counts(d))
 
 
 def sql_suff_cte(name: str, src: str, date_col: str, min_n: int, noun: str, empty: str) -> str:

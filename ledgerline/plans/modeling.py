@@ -176,8 +176,8 @@ def q_dashboard(d):
     risk = dash.risk_distribution(scored)
     health = inv.inventory_health(d.products, d.inventory_records, d.sales, d.shipments, d.suppliers)
     counts = dash.company_counts(d.companies, d.products, d.suppliers, d.sales, d.shipments)
-    k = dash.dashboard_kpis(d.companies, inv.inventory_summary(health), dash.inventory_value(health, d.products),
-                            counts, risk.select("company_id", "critical", "high"))
+    k = dash.dashboard_kpis(d.companies, dash.inventory_rollup(health, d.products), counts,
+                            risk.select("company_id", "critical", "high"))
     return k.join(risk.select("company_id", F.col("critical").alias("risk_critical"), F.col("high").alias("risk_high"),
                               F.col("medium").alias("risk_medium"), F.col("low").alias("risk_low")),
                   "company_id", "left")
