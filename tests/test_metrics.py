@@ -40,3 +40,21 @@ def test_majority_baseline(spark):
     test = spark.createDataFrame([(1, 1), (1, 0)], "company_id int, y int")
     r = met.majority_baseline(train, test, "y").first()
     assert r["majority_class"] == 0 and r["accuracy"] == 0.5 and r["recall"] == 0.0
+
+
+def test_prefix_sums_exact_across_slices(spark):
+    """One hot group spread over many range slices plus small groups: running sums equal a local cumsum."""
+    import random
+    rnd = random.Random(11)
+    rows = [(0, float(i), rnd.randrange(5)) for i in range(3000)]          # hot group
+    rows += [(g, float(i), rnd.randrange(5)) for g in (1, 2) for i in range(7)]
+    df = spark.createDataFrame(rows, "g int, s double, v long")
+    got = {(r["g"], r["s"]): r["_cum_v"] for r in met.prefix_sums(df, ["g"], "s", ["v"], n_slices=13).collect()}
+    for g in (0, 1, 2):
+        acc = 0
+        for _, s, v in sorted(r for r in rows if r[0] == g):
+            assert got[(g, s)] == acc
+            acc += v
+    inc = {(r["g"], r["s"]): r["_cum_v"] for r in
+           met.prefix_sums(df, ["g"], "s", ["v"], descending=True, inclusive=True, n_slices=5).collect()}
+    assert inc[(0, 0.0)] == sum(r[2] for r in rows if r[0] == 0)
