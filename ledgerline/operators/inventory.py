@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.exprs import (INVENTORY_TIERS, ceil_long, clip, logistic_tail, nullif_zero,
-                                        present_keys, tier)
+                                        present_keys, round_stable, tier)
 
 KEY = ["company_id", "product_id"]
 
@@ -153,25 +153,25 @@ def present_inventory(m: DataFrame, with_assumptions: bool = False) -> DataFrame
     """N14 presentation: the reference's rounding of every output field."""
     cols = [
         "company_id", "product_id", "external_product_id", "product_name",
-        F.round("inventory", 2).alias("inventory_level"),
-        F.round("daily", 2).alias("daily_demand"),
-        F.round("std", 2).alias("demand_std"),
-        F.round("coverage", 1).alias("inventory_coverage_days"),
+        round_stable("inventory", 2).alias("inventory_level"),
+        round_stable("daily", 2).alias("daily_demand"),
+        round_stable("std", 2).alias("demand_std"),
+        round_stable("coverage", 1).alias("inventory_coverage_days"),
         F.col("supplier_id").cast("long").alias("supplier_id"),
         "supplier_name",
-        F.round("reliability", 3).alias("supplier_reliability"),
-        F.round("lead", 1).alias("lead_time_days"),
-        F.round("delay_days", 1).alias("simulated_delay_days"),
-        F.round("eff_lead", 1).alias("effective_lead_time_days"),
-        F.round("incoming", 2).alias("incoming_quantity"),
+        round_stable("reliability", 3).alias("supplier_reliability"),
+        round_stable("lead", 1).alias("lead_time_days"),
+        round_stable("delay_days", 1).alias("simulated_delay_days"),
+        round_stable("eff_lead", 1).alias("effective_lead_time_days"),
+        round_stable("incoming", 2).alias("incoming_quantity"),
         F.col("next_arrival_delayed").alias("next_arrival"),
-        F.round("safety", 2).alias("safety_stock"),
-        F.round("reorder_point", 2).alias("reorder_point"),
+        round_stable("safety", 2).alias("safety_stock"),
+        round_stable("reorder_point", 2).alias("reorder_point"),
         F.col("order_qty").alias("recommended_order_quantity"),
-        F.round("stockout_p", 4).alias("stockout_probability"),
+        round_stable("stockout_p", 4).alias("stockout_probability"),
         tier("stockout_p", INVENTORY_TIERS).alias("stockout_risk"),
-        F.round("shortage", 2).alias("expected_shortage"),
-        F.round("overstock_p", 4).alias("overstock_probability"),
+        round_stable("shortage", 2).alias("expected_shortage"),
+        round_stable("overstock_p", 4).alias("overstock_probability"),
         tier("overstock_p", INVENTORY_TIERS).alias("overstock_risk"),
     ]
     if with_assumptions:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.functions.exprs import SUPPLIER_TIERS, clip, nullif_zero, tier
+from ledgerline.functions.exprs import SUPPLIER_TIERS, clip, nullif_zero, round_stable, tier
 
 SKEY = ["company_id", "supplier_id"]
 DEFAULT_RELIABILITY = 0.85
@@ -50,14 +50,14 @@ def supplier_scorecard(suppliers: DataFrame, shipments: DataFrame) -> DataFrame:
     return r.select(
         "company_id", F.col("supplier_id").cast("long").alias("supplier_id"), "name",
         F.round(F.coalesce(nullif_zero("lead_time_days"), F.lit(0.0)), 1).alias("lead_time_days"),
-        F.round("rel", 3).alias("reliability"),
-        F.round("cost", 3).alias("cost_index"),
-        F.round("defect", 4).alias("defect_rate"),
+        round_stable("rel", 3).alias("reliability"),
+        round_stable("cost", 3).alias("cost_index"),
+        round_stable("defect", 4).alias("defect_rate"),
         F.coalesce("shipment_count", F.lit(0)).alias("shipment_count"),
         F.coalesce("completed_shipments", F.lit(0)).alias("completed_shipments"),
-        F.round("delay_rate", 4).alias("delay_rate"),
-        F.round("avg_delay", 2).alias("avg_delay_days"),
-        F.round("risk", 1).alias("risk_score"),
+        round_stable("delay_rate", 4).alias("delay_rate"),
+        round_stable("avg_delay", 2).alias("avg_delay_days"),
+        round_stable("risk", 1).alias("risk_score"),
         tier("risk", SUPPLIER_TIERS).alias("risk_tier"),
     )
 

@@ -93,16 +93,16 @@ def sql_tier(x: str, t=(0.85, 0.65, 0.35)) -> str:
 
 SQL_PRESENT = f"""
   SELECT company_id, product_id, external_product_id, product_name,
-         round(inventory, 2) AS inventory_level, round(daily, 2) AS daily_demand, round(std, 2) AS demand_std,
-         round(coverage, 1) AS inventory_coverage_days, CAST(supplier_id AS BIGINT) AS supplier_id, supplier_name,
-         round(reliability, 3) AS supplier_reliability, round(lead, 1) AS lead_time_days,
-         round(delay_days, 1) AS simulated_delay_days, round(eff_lead, 1) AS effective_lead_time_days,
-         round(incoming, 2) AS incoming_quantity, next_arrival_delayed AS next_arrival,
-         round(safety, 2) AS safety_stock, round(reorder_point, 2) AS reorder_point,
+         round(round(inventory, 9), 2) AS inventory_level, round(round(daily, 9), 2) AS daily_demand, round(round(std, 9), 2) AS demand_std,
+         round(round(coverage, 9), 1) AS inventory_coverage_days, CAST(supplier_id AS BIGINT) AS supplier_id, supplier_name,
+         round(round(reliability, 9), 3) AS supplier_reliability, round(round(lead, 9), 1) AS lead_time_days,
+         round(round(delay_days, 9), 1) AS simulated_delay_days, round(round(eff_lead, 9), 1) AS effective_lead_time_days,
+         round(round(incoming, 9), 2) AS incoming_quantity, next_arrival_delayed AS next_arrival,
+         round(round(safety, 9), 2) AS safety_stock, round(round(reorder_point, 9), 2) AS reorder_point,
          order_qty AS recommended_order_quantity,
-         round(stockout_p, 4) AS stockout_probability, {sql_tier('stockout_p')} AS stockout_risk,
-         round(shortage, 2) AS expected_shortage,
-         round(overstock_p, 4) AS overstock_probability, {sql_tier('overstock_p')} AS overstock_risk
+         round(round(stockout_p, 9), 4) AS stockout_probability, {sql_tier('stockout_p')} AS stockout_risk,
+         round(round(shortage, 9), 2) AS expected_shortage,
+         round(round(overstock_p, 9), 4) AS overstock_probability, {sql_tier('overstock_p')} AS overstock_risk
   FROM m"""
 
 SQL_HEALTH_CTES = ",".join([SQL_LATEST, SQL_DEMAND, SQL_BEST, SQL_INCOMING, SQL_INPUTS, sql_metrics()])
@@ -241,10 +241,10 @@ sr AS (
   FROM sr2),
 sc AS (
   SELECT company_id, CAST(supplier_id AS BIGINT) AS supplier_id, name,
-         round(coalesce(nullif(lead_time_days, 0), 0.0), 1) AS lead_time_days, round(rel, 3) AS reliability,
-         round(cost, 3) AS cost_index, round(defect, 4) AS defect_rate,
+         round(coalesce(nullif(lead_time_days, 0), 0.0), 1) AS lead_time_days, round(round(rel, 9), 3) AS reliability,
+         round(round(cost, 9), 3) AS cost_index, round(round(defect, 9), 4) AS defect_rate,
          coalesce(shipment_count, 0) AS shipment_count, coalesce(completed_shipments, 0) AS completed_shipments,
-         round(delay_rate, 4) AS delay_rate, round(avg_delay, 2) AS avg_delay_days, round(risk, 1) AS risk_score,
+         round(round(delay_rate, 9), 4) AS delay_rate, round(round(avg_delay, 9), 2) AS avg_delay_days, round(round(risk, 9), 1) AS risk_score,
          CASE WHEN risk >= 70 THEN 'CRITICAL' WHEN risk >= 45 THEN 'HIGH' WHEN risk >= 25 THEN 'MEDIUM'
               ELSE 'LOW' END AS risk_tier
   FROM sr)"""
@@ -401,10 +401,10 @@ fi AS (SELECT fl.shipment_key, fl.shipment_supplier_id, fl.expected_delay_days,
        FROM fl JOIN inp ON fl.company_id = inp.company_id AND fl.product_id = inp.product_id),
 """ + sql_metrics("coalesce(expected_delay_days, 0.0)", "fi").lstrip().lstrip(",") + """
 SELECT company_id, product_id, shipment_key, shipment_supplier_id AS supplier_id,
-       round(delay_days, 1) AS simulated_delay_days, round(eff_lead, 1) AS effective_lead_time_days,
-       next_arrival_delayed AS next_arrival, round(safety, 2) AS safety_stock, round(reorder_point, 2) AS reorder_point,
-       order_qty AS recommended_order_quantity, round(stockout_p, 4) AS stockout_probability,
-       """ + sql_tier("stockout_p") + """ AS stockout_risk, round(shortage, 2) AS expected_shortage
+       round(round(delay_days, 9), 1) AS simulated_delay_days, round(round(eff_lead, 9), 1) AS effective_lead_time_days,
+       next_arrival_delayed AS next_arrival, round(round(safety, 9), 2) AS safety_stock, round(round(reorder_point, 9), 2) AS reorder_point,
+       order_qty AS recommended_order_quantity, round(round(stockout_p, 9), 4) AS stockout_probability,
+       """ + sql_tier("stockout_p") + """ AS stockout_risk, round(round(shortage, 9), 2) AS expected_shortage
 FROM m"""))
 def q_shipment_impact_fixed_delay(d):
     """R1 (rule part): each in-flight shipment's product re-run with the supplier's mean delay."""
