@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -54,7 +55,8 @@ def build_session(master: str | None = None, app_name: str = "ledgerline",
 
 
 def apply_defaults(spark: SparkSession) -> None:
-    """Set the runtime SQL settings the operators assume (UTC, AQE) if unset."""
+    """Set the runtime SQL settings the operators assume (UTC, AQE) if unset; ship the package to the workers."""
+    ship_package(spark)
     for k, v in DEFAULT_CONF.items():
         if k.startswith("spark.sql."):
             try:
@@ -65,6 +67,29 @@ def apply_defaults(spark: SparkSession) -> None:
                 spark.conf.set(k, v)
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package's sources to the workers once per application, so that Python tasks can import it anywhere.
+
+    Spark's own file server distributes the archive; the driver-local copy is only what it serves from.
+    """
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    top = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="ledgerline-src-"), "ledgerline_src.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for folder, _, names in os.walk(top):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.relpath(path, os.path.dirname(top)))
+    spark.sparkContext.addPyFile(archive)
+    _SHIPPED.add(app)
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 
