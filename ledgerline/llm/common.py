@@ -73,3 +73,8 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     at = np.frombuffer(offsets, np.int64)[column.offset: column.offset + len(column) + 1]
     raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     return raw[at[0]: at[-1]], at - at[0]
+
+
+def hinted(df: DataFrame, rows: int, limit: int = 20_000) -> DataFrame:
+    """A small saved table with a broadcast hint if it has at most ``limit`` rows; beyond that a shuffle join is planned."""
+    return F.broadcast(df) if rows <= limit else df

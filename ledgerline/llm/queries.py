@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import sentencepiece_codec
+from ledgerline.llm import chat_format, line_dedup, mixing, sentencepiece_codec
 from ledgerline.llm.common import table
 from ledgerline.session import apply_defaults
 
@@ -40,3 +40,36 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"),
                         F.sha2("ids", 256).alias("ids_sha256"),
                         F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+
+
+@query
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes, targets and words taken of all documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+ORACLE["op4_mixing"] = mixing.ORACLE
+
+
+@query
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, their source as site, without the lines that are boilerplate there."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return line_dedup.drop_boilerplate(docs).select("doc_id", "n_lines", "n_dropped", "text")
+
+
+ORACLE["op7_line_dedup"] = line_dedup.ORACLE
+
+
+@query
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one that is made of control strings, formatted, read back and digested."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    text = "</s>[INST] ok [/INST]"
+    turns = turns.unionByName(spark.createDataFrame([(-1, 0, "user", text), (-1, 1, "assistant", text)], turns.schema))
+    back = chat_format.read_chats(chat_format.format_chats(turns))
+    digest = F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
+    return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(F.encode(digest, "UTF-8"), 256).alias("turns_sha256"),
+                       F.length("loss_text").cast("long").alias("loss_chars"), F.sha2(F.encode("loss_text", "UTF-8"), 256).alias("loss_sha256"),
+                       F.length("formatted").cast("long").alias("formatted_chars"))
