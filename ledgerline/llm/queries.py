@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import chat_format, line_dedup, mixing, sentencepiece_codec
+from ledgerline.llm import chat_format, learned_partitions, line_dedup, mixing, pivot_topk, sentencepiece_codec
 from ledgerline.llm.common import table
 from ledgerline.session import apply_defaults
 
@@ -73,3 +73,19 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(F.encode(digest, "UTF-8"), 256).alias("turns_sha256"),
                        F.length("loss_text").cast("long").alias("loss_chars"), F.sha2(F.encode("loss_text", "UTF-8"), 256).alias("loss_sha256"),
                        F.length("formatted").cast("long").alias("formatted_chars"))
+
+
+@query
+def op2_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 largest integer inner products of every hundredth vector with all others."""
+    rows = pivot_topk.quantised(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return pivot_topk.search(rows, F.col("vec_id") % 100 == 0)
+
+
+ORACLE["op2_pivot_topk"] = pivot_topk.ORACLE
+
+
+@query
+def op10_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found of every twentieth vector among all others."""
+    return learned_partitions.search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 20 == 0)
