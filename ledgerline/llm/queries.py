@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import chat_format, learned_partitions, line_dedup, mixing, pivot_topk, sentencepiece_codec
-from ledgerline.llm.common import table
+from ledgerline.llm import chat_format, language_id, learned_partitions, line_dedup, mixing, pivot_topk, sentencepiece_codec, token_rollup
+from ledgerline.llm.common import save, scratch, table, word_count
 from ledgerline.session import apply_defaults
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +89,35 @@ ORACLE["op2_pivot_topk"] = pivot_topk.ORACLE
 def op10_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest found of every twentieth vector among all others."""
     return learned_partitions.search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 20 == 0)
+
+
+@query
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every whole text, learned from the documents that aren't held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = language_id.predict(docs.select("doc_id", "text"), language_id.train(docs))
+    return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of two tokenizer versions after three batches: all documents in, exact copies out, and the counts of the
+    sentence pieces revised to include the begin and end ids. The second batch is sent twice."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    coded = sentencepiece_codec.encode(docs, piece_model(), bos=False, eos=False)
+    counted = save(coded.select("doc_id", "source", "lang", F.sha2("text", 256).alias("digest"), word_count("text").alias("words"),
+                                (F.length("ids") / 4).cast("long").alias("pieces")), "token-counts")
+    first = counted.groupBy("digest").agg(F.min("doc_id").alias("first"))
+    marked = counted.join(first.withColumnRenamed("digest", "d"), F.col("digest").eqNullSafe(F.col("d")))
+    versions = F.array(F.struct(F.lit("words-1").alias("tokenizer"), F.col("words").alias("n_tokens")),
+                       F.struct(F.lit("piece_bpe_32k").alias("tokenizer"), F.col("pieces").alias("n_tokens")))
+    rows = counted.select("source", "lang", F.inline(versions))
+    copies = marked.filter(F.col("doc_id") > F.col("first")).select("source", "lang", F.inline(versions))
+    kept = marked.filter(F.col("doc_id") == F.col("first")).select("source", "lang", F.lit("piece_bpe_32k").alias("tokenizer"),
+                                                                   (F.col("pieces") + 2).alias("n_tokens"), F.col("pieces").alias("old_tokens"))
+    rollup = token_rollup.TokenRollup(spark, f"{scratch(spark, 'token-rollup')}/r")
+    rollup.commit("1-insert", rows.withColumn("kind", F.lit("insert")))
+    rollup.commit("2-copies", copies.withColumn("kind", F.lit("delete")))
+    rollup.commit("3-begin-end", kept.withColumn("kind", F.lit("revise")))
+    rollup.commit("2-copies", copies.withColumn("kind", F.lit("delete")))
+    return rollup.totals()
