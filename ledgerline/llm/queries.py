@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import chat_format, language_id, learned_partitions, line_dedup, mixing, pivot_topk, sentencepiece_codec, token_rollup
+from ledgerline.llm import chat_format, language_id, learned_partitions, line_dedup, minhash_dedup, mixing, pivot_topk, sentencepiece_codec, token_rollup
 from ledgerline.llm.common import save, scratch, table, word_count
 from ledgerline.session import apply_defaults
 
@@ -121,3 +121,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rollup.commit("3-begin-end", kept.withColumn("kind", F.lit("revise")))
     rollup.commit("2-copies", copies.withColumn("kind", F.lit("delete")))
     return rollup.totals()
+
+
+@query
+def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class of every document, its number of documents and whether it is the one that stays."""
+    found = minhash_dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "class_id", "n_class", (F.col("doc_id") == F.col("class_id")).alias("stays"))

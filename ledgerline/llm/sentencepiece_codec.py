@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -317,7 +318,7 @@ def encode(df: DataFrame, model: str, text: str = "text", out: str = "ids", bos:
         encoder = _live(Encoder, shared)
         for batch in batches:
             column = batch.column("__text")
-            lengths = np.array([0 if x is None else x for x in pa.compute.binary_length(column).to_pylist()], np.int64)
+            lengths = np.array([0 if x is None else x for x in pc.binary_length(column).to_pylist()], np.int64)
             for a, b in slices(lengths, SLICE_CHARS):
                 packed = encoder.encode(column.slice(a, b - a).to_pylist(), bos, eos)
                 kept = [batch.column(n).slice(a, b - a) for n in names]
@@ -336,7 +337,7 @@ def decode(df: DataFrame, model: str, ids: str = "ids", out: str = "decoded") ->
         decoder = _live(Decoder, shared)
         for batch in batches:
             column = batch.column("__ids")
-            lengths = np.array([0 if x is None else x for x in pa.compute.binary_length(column).to_pylist()], np.int64)
+            lengths = np.array([0 if x is None else x for x in pc.binary_length(column).to_pylist()], np.int64)
             for a, b in slices(lengths, SLICE_CHARS):
                 texts = [None if x is None else decoder.decode(x) for x in column.slice(a, b - a).to_pylist()]
                 kept = [batch.column(n).slice(a, b - a) for n in names]
