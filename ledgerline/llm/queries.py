@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import chat_format, language_id, learned_partitions, line_dedup, minhash_dedup, mixing, pivot_topk, sentencepiece_codec, token_rollup
+from ledgerline.llm import chat_format, language_id, learned_partitions, line_dedup, minhash_dedup, mixing, pivot_topk, sentencepiece_codec, substring_dedup, token_rollup
 from ledgerline.llm.common import save, scratch, table, word_count
 from ledgerline.session import apply_defaults
 
@@ -128,3 +128,10 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate class of every document, its number of documents and whether it is the one that stays."""
     found = minhash_dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "class_id", "n_class", (F.col("doc_id") == F.col("class_id")).alias("stays"))
+
+
+@query
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the words of 20-word windows that also start earlier in the corpus."""
+    kept = substring_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.encode(F.coalesce("kept", F.lit("")), "UTF-8"), 256).alias("kept_sha256"))
