@@ -28,13 +28,13 @@ from pyspark.sql.window import Window
 from ledgerline.llm.common import save
 
 SAMPLE = 4096
-PARTS = 16
-PART_SAMPLE = 32  # sample rows a part at least
+PARTS = 64
+PART_SAMPLE = 16  # sample rows a part at least
 NEIGHBOURS = 16
-PROBE_SHARE = 0.625  # of the parts
+PROBE_SHARE = 0.75  # of the parts
 BLOCK = 8192
 HIDDEN = 96
-EPOCHS = 150
+EPOCHS = 50
 
 
 @dataclass
@@ -114,9 +114,11 @@ def balanced_parts(a: np.ndarray, parts: int, seed: int = 7) -> np.ndarray:
     out = np.zeros(len(a), np.int64)
     while parts > 1:
         parts //= 2
+        finer = 2 * out
         for p in np.unique(out):
             at = np.flatnonzero(out == p)
-            out[at] = 2 * p + bisect(a[np.ix_(at, at)], rng)
+            finer[at] += bisect(a[np.ix_(at, at)], rng)
+        out = finer
     return out
 
 

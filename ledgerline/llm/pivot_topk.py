@@ -10,7 +10,8 @@ ranks those. Vectors hold integers in doubles: scores use matrix products while
 Python integers beyond. Results: vectors that are null or hold null or non-finite components, and rows without id,
 take no part; vectors of different lengths are never compared; an empty vector scores 0 with its like; a query id that
 stands on several rows is asked once, with its smallest vector; repeated candidate rows are each a candidate; ties go to
-the smaller id; an empty table gives an empty result. Scores must fit 64 bits.
+the smaller id; an empty table gives an empty result; scores beyond 64 bits are
+reported as the nearest 64-bit number.
 """
 
 from __future__ import annotations
@@ -102,7 +103,7 @@ def eliminate(queries: pa.Table, rows: pa.Table, k: int) -> pa.Table:
             a, step = a + step, step * 2
         out_q.append(np.full(len(ids), qid[i]))
         out_x.append(ids)
-        out_s.append(np.array([int(s) for s in scores], np.int64))
+        out_s.append(np.array([min(max(int(s), -(2**63)), 2**63 - 1) for s in scores], np.int64))
     return pa.table({"query_id": np.concatenate(out_q).astype(np.int64), "vec_id": np.concatenate(out_x).astype(np.int64), "score": np.concatenate(out_s).astype(np.int64)})
 
 
