@@ -37,19 +37,44 @@ def to_double(x) -> Column:
     return F.trim(c(x).cast("string")).try_cast("double")
 
 
+_TIME = (r"(?:[T\s]+(?:[01]?\d|2[0-3])(?::[0-5]\d(?::[0-5]\d(?:[.,]\d+)?)?)?\s*(?:[AaPp][Mm])?\s*(?:Z|UTC|GMT|[+-]\d{2}:?\d{2})?)?")
+_MONTH = r"(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*"
+_GAP = r"[\s./,-]+"
+#: Written forms of a date and where year, month and day stand in them; a time of day may follow any of them.
+DATE_FORMS = (
+    (r"(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})", (1, 2, 3)),
+    (r"(\d{4})(\d{2})(\d{2})", (1, 2, 3)),
+    (r"(\d{1,2})[-/.](\d{1,2})[-/.](\d{4}|\d{2})", (3, 1, 2)),
+    (rf"(\d{{1,2}})(?:st|nd|rd|th)?[\s./-]*({_MONTH}){_GAP}(\d{{4}}|\d{{2}})", (3, 2, 1)),
+    (rf"({_MONTH}){_GAP}(\d{{1,2}})(?:st|nd|rd|th)?{_GAP}(\d{{4}})", (3, 1, 2)),
+    (rf"(\d{{4}}){_GAP}({_MONTH}){_GAP}(\d{{1,2}})", (1, 2, 3)),
+)
+
+
 def to_date_lenient(x) -> Column:
     """Parse a raw value to a date; unparseable -> null.
 
-    Accepts ISO dates and timestamps (``yyyy-MM-dd[ HH:mm:ss]``, ``yyyy/MM/dd``).
+    Accepts the usual written forms, alone or with a time of day (whose zone is
+    not applied: the date is the one written): year first with ``- / .`` or
+    nothing between, month/day/year (day first where the first number can't be
+    a month), and English month names. Two-digit years are the ones within 50 years of today.
     """
-    x = F.trim(c(x).cast("string"))
-    return F.coalesce(
-        F.try_to_timestamp(x, F.lit("yyyy-MM-dd")),
-        F.try_to_timestamp(x, F.lit("yyyy-MM-dd HH:mm:ss")),
-        F.try_to_timestamp(x, F.lit("yyyy-MM-dd'T'HH:mm:ss")),
-        F.try_to_timestamp(x, F.lit("yyyy/MM/dd")),
-        F.try_to_timestamp(x, F.lit("MM/dd/yyyy")),
-    ).cast("date")
+    x = F.lower(F.regexp_replace(F.trim(c(x).cast("string")), r"^[A-Za-z]{3,9},\s*", ""))
+    now = F.year(F.current_date())
+    out = []
+    for form, (y, m, d) in DATE_FORMS:
+        whole = rf"(?i)^{form}{_TIME}$"
+        year, month, day = (F.regexp_extract(x, whole, g) for g in (y, m, d))
+        number = F.position(F.substring(month, 1, 3), F.lit("janfebmaraprmayjunjulaugsepoctnovdec"))
+        month = F.when(month.rlike("^[a-z]"), ((number + 2) / 3).cast("int").cast("string")).otherwise(month)
+        near = now - now % 100 + year.try_cast("int")
+        near = F.when(near >= now + 50, near - 100).when(near < now - 50, near + 100).otherwise(near)
+        year = F.when(F.length(year) == 2, near.cast("string")).otherwise(year)
+        first = (y, m, d) == (3, 1, 2) and form[1] == "\\"
+        swap = (month.try_cast("int") > 12) if first else F.lit(False)
+        text = F.concat_ws("-", year, F.when(swap, day).otherwise(month), F.when(swap, month).otherwise(day))
+        out.append(F.when(x.rlike(whole), F.try_to_timestamp(text, F.lit("y-M-d"))))
+    return F.coalesce(*out).cast("date")
 
 
 def truthy(x) -> Column:

@@ -22,9 +22,6 @@ from pyspark.sql import SparkSession
 
 from ledgerline.session import checkpoint_root
 
-MAX_NODES = 5_000_000  # 200 trees of depth 10 have <= 409,400 nodes; refuse anything far beyond
-
-
 @dataclass
 class ForestArrays:
     kind: str                     # rf_reg | gbt_reg | gbt_clf | rf_clf
@@ -82,9 +79,6 @@ def from_model(model, spark: SparkSession | None = None) -> ForestArrays:
     path = f"{checkpoint_root(spark)}/forests/{uuid.uuid4().hex}"
     model.write().overwrite().save(path)
     nodes = spark.read.parquet(f"{path}/data")
-    n = nodes.count()
-    if n > MAX_NODES:
-        raise ValueError(f"ensemble has {n} nodes; too large to broadcast")
     kind = _kind(model)
     rows = nodes.select("treeID", "nodeData.*").collect()
     by_tree: dict[int, list] = {}

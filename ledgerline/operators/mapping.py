@@ -6,9 +6,10 @@ number of uploads are mapped in one job:
 * pass 1 (exact name, else alias) is an equi-join of normalised headers with the
   alias registry (a fixed ~125-row table: a bounded broadcast) and a
   ``row_number`` so the first header of a feed wins a field;
-* pass 2 (fuzzy, Ratcliff-Obershelp >= 0.72 over the remaining fields) is a
-  greedy, order-dependent walk, so it runs per feed in ``applyInPandas`` --
-  a feed has tens of headers (checked against ``MAX_HEADERS``).
+* pass 2 scores every header left against every alias of the fields left (one
+  row per pair, joined on the dataset type), keeps the best alias per (header,
+  field) and lets each feed's headers choose in order of position: a fold over
+  the feed's array of headers, as wide as its header line.
 """
 
 from __future__ import annotations
@@ -23,8 +24,6 @@ from pyspark.sql import types as T
 
 from ledgerline.sources import registry as reg
 
-MAX_HEADERS = 4096
-
 MAPPING_SCHEMA = T.StructType([
     T.StructField("feed_id", T.LongType()),
     T.StructField("dataset_type", T.StringType()),
@@ -55,34 +54,33 @@ def _registry_frames(spark: SparkSession):
     return aliases, fields
 
 
-def _fuzzy_pass(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Pass 2 for one feed: headers in position order take the best remaining field (first max wins)."""
-    pdf = pdf.sort_values("pos")
-    if len(pdf) > MAX_HEADERS:
-        raise ValueError(f"feed has more than {MAX_HEADERS} headers")
-    dtype = pdf["dataset_type"].iloc[0]
-    used = set(pdf["field"].dropna())
-    remaining = [f for f in reg.all_fields(dtype) if f not in used]
-    fields, methods, scores = [], [], []
-    for _, r in pdf.iterrows():
-        if r["field"] is not None and not pd.isna(r["field"]):
-            fields.append(r["field"]), methods.append(r["method"]), scores.append(1.0)
-            continue
-        norm = reg.normalize_header(r["header"])
-        best, best_score = None, 0.0
-        for f in remaining:
-            for alias in reg.FIELD_ALIASES.get(f, [f]):
-                s = difflib.SequenceMatcher(None, norm, alias).ratio()
-                if s > best_score:
-                    best, best_score = f, s
-        if best is not None and best_score >= reg.FUZZY_MATCH_THRESHOLD:
-            remaining.remove(best)
-            fields.append(best), methods.append("fuzzy"), scores.append(best_score)
-        else:
-            fields.append(None), methods.append(None), scores.append(None)
-    out = pdf[["feed_id", "dataset_type", "pos", "header"]].copy()
-    out["field"], out["method"], out["score"] = fields, methods, scores
-    return out
+@F.pandas_udf(T.DoubleType())
+def _similarity(left: pd.Series, right: pd.Series) -> pd.Series:
+    """Ratcliff-Obershelp ratio of each pair of names."""
+    return pd.Series([difflib.SequenceMatcher(None, a, b).ratio() for a, b in zip(left, right, strict=True)], dtype="float64")
+
+
+def _similar_fields(p1: DataFrame, aliases: DataFrame, fields: DataFrame) -> DataFrame:
+    """Pass 2: (feed_id, pos, field, score) for the headers that pass 1 left open."""
+    names = fields.join(aliases, "field", "left").select("dataset_type", "field", "field_pos", F.coalesce("alias", "field").alias("alias"))
+    taken = p1.where(F.col("field").isNotNull()).select("feed_id", "field")
+    pairs = (p1.where(F.col("field").isNull()).select("feed_id", "dataset_type", "pos", normalize_header_col("header").alias("norm"))
+             .join(F.broadcast(names), "dataset_type").join(taken, ["feed_id", "field"], "left_anti"))
+    scored = (pairs.withColumn("score", _similarity("norm", "alias")).groupBy("feed_id", "pos", "field", "field_pos")
+              .agg(F.max("score").alias("score")).where(F.col("score") >= reg.FUZZY_MATCH_THRESHOLD))
+    # best first; of equal scores the field declared first
+    wish = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("low"), "field_pos", "field", "score"))).alias("wish")
+    feeds = scored.groupBy("feed_id", "pos").agg(wish).groupBy("feed_id").agg(F.array_sort(F.collect_list(F.struct("pos", "wish"))).alias("headers"))
+    start = F.struct(F.array().cast("array<string>").alias("used"),
+                     F.array().cast("array<struct<pos:int,field:string,score:double>>").alias("picks"))
+
+    def choose(done, h):
+        free = F.get(F.filter(h["wish"], lambda w: ~F.array_contains(done["used"], w["field"])), 0)
+        pick = F.struct(h["pos"].alias("pos"), free["field"].alias("field"), free["score"].alias("score"))
+        return F.when(free.isNull(), done).otherwise(F.struct(F.array_append(done["used"], free["field"]).alias("used"),
+                                                              F.array_append(done["picks"], pick).alias("picks")))
+
+    return feeds.select("feed_id", F.inline(F.aggregate("headers", start, choose)["picks"]))
 
 
 def suggest_mapping(headers: DataFrame) -> DataFrame:
@@ -111,7 +109,10 @@ def suggest_mapping(headers: DataFrame) -> DataFrame:
         F.when(F.col("win"), F.col("cand")).alias("field"),
         F.when(F.col("win"), F.col("cand_method")).alias("method"),
         F.when(F.col("win"), F.lit(1.0)).alias("score"))
-    return p1.groupBy("feed_id").applyInPandas(_fuzzy_pass, MAPPING_SCHEMA)
+    p2 = _similar_fields(p1, aliases, fields).select("feed_id", "pos", F.col("field").alias("f2"), F.col("score").alias("s2"))
+    return p1.join(p2, ["feed_id", "pos"], "left").select(
+        "feed_id", "dataset_type", "pos", "header", F.coalesce("field", "f2").alias("field"),
+        F.coalesce("method", F.when(F.col("f2").isNotNull(), "fuzzy")).alias("method"), F.coalesce("score", "s2").alias("score"))
 
 
 def unmapped_required(mapping: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from ledgerline.plans.oracle_adapters import oracle
 from ledgerline.plans.register import query
 
 R = 6  # decimals for float outputs compared across engines
+LATEST = 100  # default length of the newest-shipments list
 
 # ----------------------------------------------------------------------------------------
 # Demand features
@@ -354,9 +355,9 @@ def q_balanced_weights(d):
 
 
 # Deterministic stand-in score for the metric operators (ties on purpose): in [0, 1].
-def det_score():
-    return (((F.col("l_orderkey") * 13 + F.col("l_partkey") * 7) % 1000) / 1000.0 * 0.8
-            + F.col("is_delayed") * 0.2)
+def det_score(late=None):
+    late = F.col("is_delayed") if late is None else late
+    return ((F.col("l_orderkey") * 13 + F.col("l_partkey") * 7) % 1000) / 1000.0 * 0.8 + late * 0.2
 
 
 SQL_DET = "(((l_orderkey * 13 + l_partkey * 7) % 1000) / 1000.0 * 0.8 + is_delayed * 0.2)"
@@ -457,14 +458,17 @@ def q_average_precision_by_tenant(d):
     return r.select("company_id", "positives", F.round("average_precision", R).alias("average_precision"))
 
 
-@query("delay_risk_tier", oracle("suppliers,shipments", SQL_SCORED + f"""
+@query("delay_risk_tier", oracle("shipments", """
+te AS (SELECT shipment_key, company_id, ((l_orderkey * 13 + l_partkey * 7) % 1000) / 1000.0 * 0.8
+              + CASE WHEN actual_delivery > planned_delivery THEN 0.2 ELSE 0.0 END AS score FROM shipments)
 SELECT shipment_key, company_id, round(score, 4) AS delay_probability,
        CASE WHEN score >= 0.85 THEN 'CRITICAL' WHEN score >= 0.7 THEN 'HIGH' WHEN score >= 0.4 THEN 'MEDIUM'
             ELSE 'LOW' END AS risk_tier
 FROM te"""))
 def q_delay_risk_tier(d):
-    """Delay-risk tier (>= .85 / .7 / .4) of a probability, here the deterministic score."""
-    te, _ = _scored_test(d)
+    """Delay-risk tier (>= .85 / .7 / .4) of a probability, here the deterministic score, of every shipment."""
+    late = F.coalesce((F.col("actual_delivery") > F.col("planned_delivery")).cast("double"), F.lit(0.0))
+    te = d.shipments.withColumn("score", det_score(late))
     return te.select("shipment_key", "company_id", F.round("score", 4).alias("delay_probability"),
                      tier("score", DELAY_TIERS).alias("risk_tier"))
 
@@ -499,15 +503,15 @@ SELECT shipment_key, company_id, order_date, actual_delivery IS NOT NULL AS is_c
        delay_days AS actual_delay_days, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY order_date DESC, l_orderkey DESC, l_linenumber DESC,
                                                                 l_partkey DESC, supplier_id DESC) AS rank
-  FROM lab) t WHERE rank <= 50"""))
+  FROM lab) t WHERE rank <= {LATEST}"""))
 def q_shipment_truth_latest(d):
-    """C18 (truth part): each tenant's 50 newest shipments with completion and actual delay."""
+    """C18 (truth part): each tenant's newest shipments (``LATEST`` of them, the reference's default) with completion and actual delay."""
     from pyspark.sql import Window
     df = sfe.delay_labels(d.shipments)
     w = Window.partitionBy("company_id").orderBy(*[F.col(c).desc() for c in
                                                    ("order_date", "l_orderkey", "l_linenumber", "l_partkey",
                                                     "supplier_id")])
-    df = df.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= 50)
+    df = df.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= LATEST)
     return df.select("shipment_key", "company_id", "order_date",
                      F.col("actual_delivery").isNotNull().alias("is_completed"),
                      F.when(F.col("actual_delivery").isNotNull(), F.col("delay_days") > 0).alias("actual_was_delayed"),

@@ -1,5 +1,4 @@
 from ledgerline.operators import mapping as mp
-from ledgerline.sources import registry as reg
 
 
 def _suggest(spark, dtype, headers):
@@ -7,9 +6,22 @@ def _suggest(spark, dtype, headers):
     return mp.mapping_dict(m, 1), m
 
 
-def test_normalize_header():
-    assert reg.normalize_header("Qty_Sold") == "qtysold"
-    assert reg.normalize_header(" Unit-Price ") == "unitprice"
+def test_normalized_headers(spark):
+    df = spark.createDataFrame([("Qty_Sold",), (" Unit-Price ",), ("Größe №1",), ("",)], "h string")
+    assert [r[0] for r in df.select(mp.normalize_header_col("h")).collect()] == ["qtysold", "unitprice", "größe1", ""]
+
+
+def test_similar_headers_choose_in_order(spark):
+    """Two headers near the same field: the first by position takes it, the other its next best or none."""
+    m, full = _suggest(spark, "sales", ["quantitys", "quantityy", "Region", "regions", "zzz"])
+    assert m["quantitys"] == "quantity" and m["quantityy"] is None and m["Region"] == "region" and m["zzz"] is None
+    by = {r["header"]: r for r in full.collect()}
+    assert by["quantitys"]["method"] == "fuzzy" and 0.72 <= by["quantitys"]["score"] < 1 and by["Region"]["score"] == 1.0
+
+
+def test_any_number_of_headers(spark):
+    m, _ = _suggest(spark, "sales", [f"x{i}" for i in range(5000)] + ["SKU"])
+    assert m["SKU"] == "product_id" and sum(v is not None for v in m.values()) == 1
 
 
 def test_sales_exact_and_alias(spark):
