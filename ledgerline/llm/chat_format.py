@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import slices, text_bytes
+from ledgerline.llm.common import slices, text_bytes, tidily
 
 OPEN, CLOSE = "<s>[INST]", "[/INST]</s>\n"
 SLICE_BYTES = 2_000_000
@@ -123,7 +123,7 @@ def _one(rows: pa.Table, name: str) -> pa.Array:
 def format_chats(turns: DataFrame) -> DataFrame:
     """(conv_id, n_turns, formatted, loss_starts, loss_ends) of a frame with conv_id, turn, role and text."""
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").drop("turn").mapInArrow(_run, SCHEMA)
+    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").drop("turn").mapInArrow(tidily(_run), SCHEMA)
 
 
 def read_chats(formatted: DataFrame) -> DataFrame:
@@ -139,5 +139,4 @@ def read_chats(formatted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("conv_id"), batch.column("formatted"), pa.array(turns, kind), pa.array(loss, pa.string())],
                                              ["conv_id", "formatted", "turns", "loss_text"])
 
-    return formatted.select("conv_id", "formatted", "loss_starts", "loss_ends").mapInArrow(
-        run, "conv_id long, formatted string, turns array<struct<role:string,text:string>>, loss_text string")
+    return formatted.select("conv_id", "formatted", "loss_starts", "loss_ends").mapInArrow(tidily(run), "conv_id long, formatted string, turns array<struct<role:string,text:string>>, loss_text string")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -78,3 +80,21 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def hinted(df: DataFrame, rows: int, limit: int = 20_000) -> DataFrame:
     """A small saved table with a broadcast hint if it has at most ``limit`` rows; beyond that a shuffle join is planned."""
     return F.broadcast(df) if rows <= limit else df
+
+
+def tidily(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow; afterwards the worker, which Spark keeps for other tasks, gives freed memory back."""
+
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return inner
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass

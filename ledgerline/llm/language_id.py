@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ledgerline.llm.common import hinted, save, slices, with_schema, without
+from ledgerline.llm.common import hinted, save, slices, tidily, with_schema, without
 
 SLOTS = 1 << 14
 SIZES = (1, 2, 3)
@@ -32,7 +32,7 @@ PER_LANG = 256
 LANDMARKS = 128
 RIDGE = 0.1
 BLOCK_TEXTS = 64
-SLICE_CHARS = 1_000_000
+SLICE_CHARS = 300_000
 UNKNOWN = "und"
 
 
@@ -100,7 +100,7 @@ def train(docs: DataFrame, per_lang: int = PER_LANG, landmarks: int = LANDMARKS,
             packed = [np.packbits(presence([t])[0]).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("n"), pa.array(packed, pa.binary())], ["lang", "n", "bits"])
 
-    rows = rows.filter(has_letter("text")).select("lang", "n", "text").mapInArrow(bits, "lang string, n int, bits binary")
+    rows = rows.filter(has_letter("text")).select("lang", "n", "text").mapInArrow(tidily(bits), "lang string, n int, bits binary")
     sample = sorted((r["n"], r["lang"], bytes(r["bits"])) for r in rows.collect())  # turn by turn over the languages
     if not sample:
         return None
@@ -147,4 +147,4 @@ def predict(docs: DataFrame, model: LanguageModel | None, text: str = "text") ->
                                              [*names, "lang_pred", "score"])
 
     marked = without(docs.withColumns({"__text": F.col(text).cast("string"), "__letter": has_letter(text)}), "lang_pred", "score")
-    return marked.mapInArrow(run, schema)
+    return marked.mapInArrow(tidily(run), schema)

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerline.llm.common import save
+from ledgerline.llm.common import save, tidily
 
 SAMPLE = 4096
 PARTS = 64
@@ -177,7 +177,7 @@ def _route(rows: DataFrame, shared, probes: int, counts: dict[int, int] | None =
             parts = [next(found) if f else [-1] for f in fits]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(parts, pa.list_(pa.int32()))], [*batch.schema.names, "parts"])
 
-    return rows.mapInArrow(run, "vec_id long, vec array<double>, parts array<int>")
+    return rows.mapInArrow(tidily(run), "vec_id long, vec array<double>, parts array<int>")
 
 
 def rerank(queries: pa.Table, rows: pa.Table, k: int) -> pa.Table:

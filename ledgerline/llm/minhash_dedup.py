@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import hinted, save, slices
+from ledgerline.llm.common import hinted, save, slices, tidily
 from ledgerline.llm.components import components
 from ledgerline.llm.shingles import hashed_words, mix, multiset, shingled
 
@@ -82,7 +82,7 @@ def levels_of(docs: DataFrame, text: str = "text") -> np.ndarray:
         return pa.table({"grp": rows.column("grp")[:1], "block": rows.column("block")[:1], "n": [sum(rows.column("n").to_pylist())], "df": [total.tobytes()]})
 
     schema = "grp int, block int, n long, df binary"
-    counts = docs.select(F.col(text).cast("string")).mapInArrow(count, schema)
+    counts = docs.select(F.col(text).cast("string")).mapInArrow(tidily(count), schema)
     for keys in (("grp", "block"), ("block",)):  # partial sums of up to 256 partitions, then of those
         counts = counts.groupBy(*keys).applyInArrow(add, schema)
     rows = sorted(counts.collect(), key=lambda r: r["block"])
@@ -155,7 +155,7 @@ def signatures(docs: DataFrame, levels: np.ndarray, text: str = "text") -> DataF
                                              ["doc_id", "digest", "sketch", "bands"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.withColumn("digest", F.md5("text")).mapInArrow(run, "doc_id long, digest string, sketch binary, bands array<long>")
+    return rows.withColumn("digest", F.md5("text")).mapInArrow(tidily(run), "doc_id long, digest string, sketch binary, bands array<long>")
 
 
 def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -223,7 +223,7 @@ def plausible_edges(buckets: DataFrame) -> DataFrame:
         b = np.concatenate([f[1] for f in found]) if found else np.zeros(0, np.int64)
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return buckets.repartition("band").sortWithinPartitions("band", "node").mapInArrow(run, "a long, b long").filter("a != b").distinct()
+    return buckets.repartition("band").sortWithinPartitions("band", "node").mapInArrow(tidily(run), "a long, b long").filter("a != b").distinct()
 
 
 def links(members: DataFrame, levels: np.ndarray, similarity: float = SIMILARITY) -> DataFrame:
@@ -327,7 +327,7 @@ def _with_elements(docs: DataFrame, members: DataFrame, n: int, text: str) -> Da
                     slots.append(place[a:b][order].tobytes())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(elements, pa.binary()), pa.array(slots, pa.binary())], [*kept, "elements", "slots"])
 
-    return rows.mapInArrow(run, schema + ", elements binary, slots binary")
+    return rows.mapInArrow(tidily(run), schema + ", elements binary, slots binary")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY) -> DataFrame:

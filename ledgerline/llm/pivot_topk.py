@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerline.llm.common import save
+from ledgerline.llm.common import save, tidily
 from ledgerline.llm.learned_partitions import matrix, valid
 
 PIVOTS = 24
@@ -64,7 +64,7 @@ def with_pivots(rows: DataFrame, pivots: int = PIVOTS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), vec, pa.array(dists, pa.list_(pa.float64())), pa.array(dims.astype(np.int32))],
                                              ["vec_id", "vec", "dists", "dim"])
 
-    return rows.select("vec_id", "vec").mapInArrow(run, "vec_id long, vec array<double>, dists array<double>, dim int")
+    return rows.select("vec_id", "vec").mapInArrow(tidily(run), "vec_id long, vec array<double>, dists array<double>, dim int")
 
 
 def _scores(x: np.ndarray, q: np.ndarray, wide: bool) -> np.ndarray:

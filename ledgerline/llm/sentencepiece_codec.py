@@ -25,11 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerline.llm.common import slices, with_schema, without
+from ledgerline.llm.common import slices, tidily, with_schema, without
 
-SLICE_CHARS = 2_000_000
+SLICE_CHARS = 1_000_000
 ROUND_CHARS = 200_000
-TABLE_WORDS = 250_000
+TABLE_WORDS = 200_000
 NONE = np.int32(2**31 - 1)
 MARK = "▁"
 
@@ -303,28 +303,37 @@ def _live(kind, shared):
     """One encoder or decoder a worker process and broadcast."""
     key = (kind.__name__, shared.id if hasattr(shared, "id") else id(shared))
     if key not in _LIVE:
-        _LIVE.clear() if len(_LIVE) > 3 else None
+        if len(_LIVE) > 1:
+            _LIVE.clear()
         _LIVE[key] = kind(shared.value)
     return _LIVE[key]
 
 
-def encode(df: DataFrame, model: str, text: str = "text", out: str = "ids", bos: bool = True, eos: bool = True) -> DataFrame:
-    """Add ``out``: the ids of ``text`` packed as little-endian unsigned 32-bit integers. ``model``: path of the model file."""
+def encode(df: DataFrame, model: str, text: str = "text", out: str = "ids", bos: bool = True, eos: bool = True, decoded: str | None = None) -> DataFrame:
+    """Add ``out``: the ids of ``text`` packed as little-endian unsigned 32-bit integers. ``model``: path of the model file.
+
+    ``decoded`` names a column for the text that the ids decode to, made in the same pass.
+    """
     shared = df.sparkSession.sparkContext.broadcast(load_model(model))
-    schema = with_schema(df, [(out, T.BinaryType())])
-    names = [f.name for f in schema.fields[:-1]]
+    added = [(out, T.BinaryType())] + ([(decoded, T.StringType())] if decoded else [])
+    schema = with_schema(df, added)
+    names = [f.name for f in schema.fields[: -len(added)]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _live(Encoder, shared)
         for batch in batches:
             column = batch.column("__text")
-            lengths = np.array([0 if x is None else x for x in pc.binary_length(column).to_pylist()], np.int64)
+            lengths = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
             for a, b in slices(lengths, SLICE_CHARS):
                 packed = encoder.encode(column.slice(a, b - a).to_pylist(), bos, eos)
+                made = [pa.array(packed, pa.binary())]
+                if decoded:
+                    made.append(pa.array([_live(Decoder, shared).decode(x) for x in packed], pa.string()))
                 kept = [batch.column(n).slice(a, b - a) for n in names]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(packed, pa.binary())], [*names, out])
+                yield pa.RecordBatch.from_arrays([*kept, *made], schema.names)
+        encoder.table.clear()
 
-    return without(df.withColumn("__text", F.col(text).cast("string")), out).mapInArrow(run, schema)
+    return without(df.withColumn("__text", F.col(text).cast("string")), *(n for n, _ in added)).mapInArrow(tidily(run), schema)
 
 
 def decode(df: DataFrame, model: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -337,10 +346,10 @@ def decode(df: DataFrame, model: str, ids: str = "ids", out: str = "decoded") ->
         decoder = _live(Decoder, shared)
         for batch in batches:
             column = batch.column("__ids")
-            lengths = np.array([0 if x is None else x for x in pc.binary_length(column).to_pylist()], np.int64)
+            lengths = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
             for a, b in slices(lengths, SLICE_CHARS):
                 texts = [None if x is None else decoder.decode(x) for x in column.slice(a, b - a).to_pylist()]
                 kept = [batch.column(n).slice(a, b - a) for n in names]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(texts, pa.string())], [*names, out])
 
-    return without(df.withColumn("__ids", F.col(ids)), out).mapInArrow(run, schema)
+    return without(df.withColumn("__ids", F.col(ids)), out).mapInArrow(tidily(run), schema)

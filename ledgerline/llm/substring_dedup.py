@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerline.llm.common import WORD, slices, with_schema, without
+from ledgerline.llm.common import WORD, slices, tidily, with_schema, without
 from ledgerline.llm.shingles import hashed_words, windows
 
 WINDOW = 20
@@ -128,7 +128,7 @@ def anchor_rows(docs: DataFrame, text: str, window: int) -> DataFrame:
                 yield _anchor_rows(batch.column("text").slice(a, b - a).take(pa.array(order)), doc[order], combiner, window)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
-    return rows.filter(F.col("doc").isNotNull() & F.col("text").isNotNull()).mapInArrow(run, ANCHORS)
+    return rows.filter(F.col("doc").isNotNull() & F.col("text").isNotNull()).mapInArrow(tidily(run), ANCHORS)
 
 
 _BITS = np.array([bin(i).count("1") for i in range(1 << 16)], np.int64)
@@ -198,7 +198,7 @@ def removals(docs: DataFrame, text: str = "text", window: int = WINDOW) -> DataF
                 yield out
 
     rows = anchor_rows(docs, text, window).repartition("key").sortWithinPartitions("key", "doc", "place")
-    return rows.mapInArrow(run, "doc long, place int, mask int")
+    return rows.mapInArrow(tidily(run), "doc long, place int, mask int")
 
 
 def cut(docs: DataFrame, found: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -235,7 +235,7 @@ def cut(docs: DataFrame, found: DataFrame, text: str = "text", window: int = WIN
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(total, pa.int64()), pa.array(away, pa.int64()), pa.array(kept, pa.string())],
                                              [*names, "n_words", "n_removed", "kept"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidily(run), schema)
 
 
 def dedup(docs: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
