@@ -83,7 +83,7 @@ def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     apply_defaults(spark)
 
     def stage(d: DataFrame) -> DataFrame:
-        coded = sentencepiece_codec.decode(sentencepiece_codec.encode(d, piece_model(), out="token_ids"), piece_model(), ids="token_ids", out="__decoded")
+        coded = sentencepiece_codec.encode(d, piece_model(), out="token_ids", decoded="__decoded")
         return coded.withColumns({"n_tokens": (F.length("token_ids") / 4).cast("long"), "round_trip": F.col("__decoded") == F.coalesce("text", F.lit(""))}).drop("__decoded")
 
     return _apart(docs, stage)
