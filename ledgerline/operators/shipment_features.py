@@ -1,16 +1,20 @@
 """Shipment delay features (H1-H12), leakage-safe and skew-safe.
 
-The expanding "prior delay rate" of a route or supplier is computed in two
-levels instead of one window over all of a group's shipments:
+A route's or supplier's history is computed in two levels instead of one
+window over all of a group's shipments:
 
-1. collapse outcomes to (group, day): outcome sum and count -- a calendar per
-   group, however many shipments the group has;
-2. a running sum over those day rows gives everything *before* the day;
+1. collapse outcomes to (group, day): outcome sum, count and last outcome --
+   a calendar per group, however many shipments the group has;
+2. a window over those day rows gives everything *before* the day;
 3. only the within-day prefix (``row_prior`` mode) needs a row window, and
    that window is partitioned by (group, day).
 
 So one route or supplier holding a third of all shipments is still spread
-over as many tasks as it has days. Three modes:
+over as many tasks as it has days. Shipments without an order date come after
+all dated ones of their group, see all of them and not each other; they are
+dealt over ``SALTS`` parts, so a feed without dates isn't one task. Rows whose
+group is null (no supplier) have no history: they get the fill values, take no
+part in anyone's statistics and are spread the same way. Three modes:
 
 * ``row_prior``    -- earlier rows by (order_date, tie key): the reference's
                       behaviour with its arbitrary tie order made stable;
@@ -29,8 +33,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.exprs import present_keys
-from ledgerline.session import cut_lineage
 
+# The reference's model columns, in its order.
 CATEGORICAL_COLUMNS = ["transport_mode", "carrier"]
 NUMERIC_FEATURE_COLUMNS = [
     "distance_km", "weight_kg", "quantity",
@@ -39,6 +43,8 @@ NUMERIC_FEATURE_COLUMNS = [
     "order_day_of_week", "order_month",
 ]
 DEFAULT_DELAY_RATE = 0.1
+SALTS = 64
+NO_DATE = "9999-12-31"
 SHIP_TIE = ("l_orderkey", "l_linenumber", "l_partkey", "supplier_id")
 SHIP_TIE_FALLBACK = ("shipment_key", "external_shipment_id", "shipment_id")
 
@@ -67,64 +73,81 @@ def route_key() -> F.Column:
                     F.coalesce(F.col("destination"), F.lit("None")))
 
 
+def with_history(df: DataFrame, scope: Sequence[str], group: str, rate: str | None = None, previous: str | None = None,
+                 mode: str = "row_prior", value: str = "is_delayed_obs", day: str = "order_date",
+                 tie: Sequence[str] = SHIP_TIE, source: DataFrame | None = None) -> DataFrame:
+    """H4-H6: ``rate`` = mean of the group's earlier observed outcomes, ``previous`` = its previous shipment's outcome.
+
+    Nulls are skipped in the mean and kept as an outcome by ``previous``; both are null without history. The day
+    table comes from ``source``, a frame of the same rows (default ``df``) that needn't carry ``df``'s other history.
+    """
+    if mode not in ("row_prior", "strict_prior"):
+        raise ValueError(f"unknown mode {mode}")
+    sc, v = list(scope), F.col(value).cast("double")
+    far = F.lit(NO_DATE).cast("date")
+    salt = F.pmod(F.xxhash64(*tie), F.lit(SALTS)).cast("int")
+    keyed = df.withColumns({
+        "_key": F.coalesce(F.col(group).cast("string"), F.concat(F.lit("\x00"), salt.cast("string"))),
+        "_day": F.coalesce(F.col(day).cast("date"), far),
+        "_salt": F.when(F.col(day).isNull(), salt).otherwise(0)})
+    src = (df if source is None else source).where(F.col(group).isNotNull())
+    per_day = (src.groupBy(*sc, F.col(group).cast("string").alias("_key"), F.coalesce(F.col(day).cast("date"), far).alias("_day"))
+               .agg(F.sum(v).alias("_s"), F.count(v).alias("_n"), F.max_by(v, F.struct(*[F.col(t) for t in tie])).alias("_last")))
+    wd = Window.partitionBy(*sc, "_key").orderBy("_day")
+    before = wd.rowsBetween(Window.unboundedPreceding, -1)
+    parts = F.when(F.col("_day") == far, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    per_day = per_day.select(*sc, "_key", "_day", F.sum("_s").over(before).alias("_cs"), F.sum("_n").over(before).alias("_cn"),
+                             F.lag("_last").over(wd).alias("_before")).withColumn("_salt", F.explode(parts))
+    keys = [*sc, "_key", "_day", "_salt"]
+    j = keyed.join(per_day, keys, "left")
+    wr = Window.partitionBy(*keys).orderBy(*tie)
+    dated, known = F.col(day).isNotNull(), F.col(group).isNotNull()
+    if rate:
+        s_, n_ = F.coalesce("_cs", F.lit(0.0)), F.coalesce("_cn", F.lit(0))
+        if mode == "row_prior":
+            prefix = wr.rowsBetween(Window.unboundedPreceding, -1)
+            s_ = s_ + F.when(dated, F.coalesce(F.sum(v).over(prefix), F.lit(0.0))).otherwise(0.0)
+            n_ = n_ + F.when(dated, F.coalesce(F.count(v).over(prefix), F.lit(0))).otherwise(0)
+        j = j.withColumn(rate, F.when(known & (n_ > 0), s_ / n_))
+    if previous:
+        prev = F.when(dated & (F.row_number().over(wr) > 1), F.lag(v).over(wr)).otherwise(F.col("_before"))
+        j = j.withColumn(previous, F.when(known, prev))
+    return j.drop("_key", "_day", "_salt", "_cs", "_cn", "_before")
+
+
 def prior_rate(df: DataFrame, group_cols: Sequence[str], out: str, mode: str = "row_prior",
                value: str = "is_delayed_obs", day: str = "order_date", tie: Sequence[str] = SHIP_TIE) -> DataFrame:
     """H4/H5: mean of earlier observed outcomes in the group (nulls skipped, self excluded)."""
     g = list(group_cols)
-    v = F.col(value).cast("double")
     if mode == "known_prior":
         return _known_prior(df, g, out, value, day)
-    per_day = df.groupBy(*g, day).agg(F.sum(v).alias("_s"), F.count(v).alias("_n"))
-    wd = Window.partitionBy(*g).orderBy(day).rowsBetween(Window.unboundedPreceding, -1)
-    per_day = per_day.select(*g, day, F.sum("_s").over(wd).alias("_cs"), F.sum("_n").over(wd).alias("_cn"))
-    j = df.join(per_day, [*g, day], "left")
-    cs, cn = F.coalesce("_cs", F.lit(0.0)), F.coalesce("_cn", F.lit(0))
-    if mode == "strict_prior":
-        s_, n_ = cs, cn
-    elif mode == "row_prior":
-        wr = Window.partitionBy(*g, day).orderBy(*tie).rowsBetween(Window.unboundedPreceding, -1)
-        s_ = cs + F.coalesce(F.sum(v).over(wr), F.lit(0.0))
-        n_ = cn + F.coalesce(F.count(v).over(wr), F.lit(0))
-    else:
-        raise ValueError(f"unknown mode {mode}")
-    return j.withColumn(out, F.when(n_ > 0, s_ / n_)).drop("_cs", "_cn")
+    return with_history(df, g[:-1], g[-1], rate=out, mode=mode, value=value, day=day, tie=tie)
 
 
 def _known_prior(df: DataFrame, g: list[str], out: str, value: str, day: str) -> DataFrame:
+    """Undated rows and rows of a null group have no order day to look back from: null."""
     v = F.col(value).cast("double")
+    whole, df = df, df.where(F.col(g[-1]).isNotNull())
     deliveries = (df.where(v.isNotNull() & F.col("actual_delivery").isNotNull())
                   .groupBy(*g, F.col("actual_delivery").alias("_day"))
                   .agg(F.sum(v).alias("_s"), F.count(v).alias("_n"))
                   .withColumn("_kind", F.lit(1)))
-    probes = (df.select(*g, F.col(day).alias("_day")).distinct()
+    probes = (df.where(F.col(day).isNotNull()).select(*g, F.col(day).alias("_day")).distinct()
               .select(*g, "_day", F.lit(0.0).alias("_s"), F.lit(0).cast("long").alias("_n"), F.lit(0).alias("_kind")))
     # probes sort before same-day deliveries, so an outcome known on the order day does not count
     w = Window.partitionBy(*g).orderBy("_day", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ev = deliveries.unionByName(probes).select(*g, "_day", "_kind", F.sum("_s").over(w).alias("_cs"),
                                                F.sum("_n").over(w).alias("_cn"))
     ev = ev.where(F.col("_kind") == 0).drop("_kind").withColumnRenamed("_day", day)
-    j = df.join(ev, [*g, day], "left")
+    j = whole.join(ev, [*g, day], "left")
     return j.withColumn(out, F.when(F.col("_cn") > 0, F.col("_cs") / F.col("_cn"))).drop("_cs", "_cn")
 
 
 def previous_outcome(df: DataFrame, group_cols: Sequence[str], out: str = "previous_shipment_delayed",
                      value: str = "is_delayed_obs", day: str = "order_date", tie: Sequence[str] = SHIP_TIE) -> DataFrame:
-    """H6: the group's previous shipment's observed outcome (by day, tie key); null -> 0.
-
-    Within a day: ``lag`` over a (group, day) window; the first row of a day
-    takes the last outcome of the group's previous active day from a day-level
-    table (one row per group and day).
-    """
+    """H6: the group's previous shipment's observed outcome (by day, tie key); null -> 0."""
     g = list(group_cols)
-    tie_struct = F.struct(*[F.col(t) for t in tie])
-    last = (df.groupBy(*g, day)
-            .agg(F.max_by(F.col(value).cast("double"), tie_struct).alias("_last")))
-    wd = Window.partitionBy(*g).orderBy(day)
-    last = last.select(*g, day, F.lag("_last").over(wd).alias("_prev_day_last"))
-    j = df.join(last, [*g, day], "left")
-    wr = Window.partitionBy(*g, day).orderBy(*tie)
-    prev = F.when(F.row_number().over(wr) == 1, F.col("_prev_day_last")).otherwise(F.lag(value).over(wr))
-    return j.withColumn(out, F.coalesce(prev.cast("double"), F.lit(0.0))).drop("_prev_day_last")
+    return with_history(df, g[:-1], g[-1], previous=out, value=value, day=day, tie=tie).fillna(0.0, [out])
 
 
 def attach_suppliers(shipments: DataFrame, suppliers: DataFrame, how: str = "inner") -> DataFrame:
@@ -143,23 +166,20 @@ def shipment_feature_matrix(shipments: DataFrame, train_end=None, completed_only
 
     Output keeps ``is_delayed`` (restored true label) and ``delay_days`` as targets.
 
-    Plan shape: the labelled base is materialised once (reliable checkpoint, with
-    a row id); the route rate, supplier rate and previous outcome are computed
-    *independently* from it and joined back by row id. Chaining the three
-    aggregate-and-join-back steps instead would copy the upstream plan at every
-    step (2, 4, 8 ... scans), because each copy is pruned differently and cannot
-    be reused.
+    Plan shape: one day table and one row window for the routes, one of each for
+    the suppliers (rate and previous outcome together). Both day tables come from
+    the labelled base, so the steps don't copy each other's plan, and the facts
+    are shuffled twice, not checkpointed.
     """
     sc = list(scope)
     tie = present_keys(shipments, tie, SHIP_TIE_FALLBACK)
     base = mask_labels(delay_labels(shipments), train_end).withColumn("route", route_key())
-    base = cut_lineage(base.withColumn("_rid", F.monotonically_increasing_id()))
-    route = prior_rate(base, [*sc, "route"], "historical_route_delay_rate", mode, tie=tie) \
-        .select("_rid", "historical_route_delay_rate")
-    supplier = prior_rate(base, [*sc, "supplier_id"], "supplier_recent_delay_rate", mode, tie=tie) \
-        .select("_rid", "supplier_recent_delay_rate")
-    previous = previous_outcome(base, [*sc, "supplier_id"], tie=tie).select("_rid", "previous_shipment_delayed")
-    df = base.join(route, "_rid").join(supplier, "_rid").join(previous, "_rid")
+    df = prior_rate(base, [*sc, "route"], "historical_route_delay_rate", mode, tie=tie)
+    if mode == "known_prior":
+        df = previous_outcome(prior_rate(df, [*sc, "supplier_id"], "supplier_recent_delay_rate", mode, tie=tie), [*sc, "supplier_id"], tie=tie)
+    else:
+        df = with_history(df, sc, "supplier_id", "supplier_recent_delay_rate", "previous_shipment_delayed", mode, tie=tie, source=base)
+        df = df.fillna(0.0, ["previous_shipment_delayed"])
     if sc:
         glob = base.groupBy(*sc).agg(F.avg("is_delayed_obs").alias("_global"))
         df = df.join(glob, sc, "left")
@@ -168,7 +188,7 @@ def shipment_feature_matrix(shipments: DataFrame, train_end=None, completed_only
     fill = F.coalesce(F.col("_global"), F.lit(DEFAULT_DELAY_RATE))
     df = (df.withColumn("historical_route_delay_rate", F.coalesce("historical_route_delay_rate", fill))
             .withColumn("supplier_recent_delay_rate", F.coalesce("supplier_recent_delay_rate", fill))
-            .drop("_global", "_rid"))
+            .drop("_global"))
     df = df.withColumn("order_day_of_week", F.weekday("order_date")).withColumn("order_month", F.month("order_date"))
     for c in CATEGORICAL_COLUMNS:
         df = df.withColumn(c, F.coalesce(F.col(c).cast("string"), F.lit("unknown"))) if c in df.columns \

@@ -317,6 +317,39 @@ def _build_ship_features(d, completed_only=True):
     return sfe.shipment_feature_matrix(sh, train_end=F.col("cutoff"), completed_only=completed_only)
 
 
+GAP_TIE = "l_orderkey, l_linenumber, l_partkey, supplier_id"
+
+
+@query("shipment_history_with_gaps", oracle("shipments", """
+lab AS (SELECT shipment_key, company_id, coalesce(origin, 'None') || ' -> ' || coalesce(destination, 'None') AS route,
+               CASE WHEN l_orderkey % 11 <> 0 THEN supplier_id END AS sup, CASE WHEN l_orderkey % 13 <> 0 THEN order_date END AS od,
+               CASE WHEN actual_delivery > planned_delivery THEN CAST(1.0 AS DOUBLE) WHEN actual_delivery IS NOT NULL THEN CAST(0.0 AS DOUBLE) END AS obs,
+               l_orderkey, l_linenumber, l_partkey, supplier_id FROM shipments),
+h AS (SELECT *,
+    avg(obs) OVER (PARTITION BY company_id, route ORDER BY od NULLS LAST, """ + GAP_TIE + """ ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r1,
+    avg(CASE WHEN od IS NOT NULL THEN obs END) OVER (PARTITION BY company_id, route) AS r2,
+    avg(obs) OVER (PARTITION BY company_id, sup ORDER BY od NULLS LAST, """ + GAP_TIE + """ ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS s1,
+    avg(CASE WHEN od IS NOT NULL THEN obs END) OVER (PARTITION BY company_id, sup) AS s2,
+    lag(obs) OVER (PARTITION BY company_id, sup ORDER BY od NULLS LAST, """ + GAP_TIE + """) AS p1,
+    max(CASE WHEN od IS NOT NULL THEN 1 END) OVER (PARTITION BY company_id, sup) AS has,
+    first_value(obs) OVER (PARTITION BY company_id, sup ORDER BY CASE WHEN od IS NULL THEN 1 ELSE 0 END, od DESC, l_orderkey DESC,
+                           l_linenumber DESC, l_partkey DESC, supplier_id DESC) AS p2
+  FROM lab)
+SELECT shipment_key, company_id, round(CASE WHEN od IS NOT NULL THEN r1 ELSE r2 END, """ + str(R) + """) AS route_rate,
+       CASE WHEN sup IS NOT NULL THEN round(CASE WHEN od IS NOT NULL THEN s1 ELSE s2 END, """ + str(R) + """) END AS supplier_rate,
+       CASE WHEN sup IS NULL THEN 0.0::DOUBLE ELSE coalesce(CASE WHEN od IS NOT NULL THEN p1 WHEN has = 1 THEN p2 END, 0.0::DOUBLE) END AS previous
+FROM h"""))
+def q_shipment_history_with_gaps(d):
+    """H4-H6 where every eleventh order has no supplier and every thirteenth no order date."""
+    gaps = d.shipments.withColumns({"sup": F.when(F.col("l_orderkey") % 11 != 0, F.col("supplier_id")),
+                                    "order_date": F.when(F.col("l_orderkey") % 13 != 0, F.col("order_date"))})
+    df = sfe.mask_labels(sfe.delay_labels(gaps)).withColumn("route", sfe.route_key())
+    df = sfe.prior_rate(df, ["company_id", "route"], "route_rate")
+    df = sfe.with_history(df, ["company_id"], "sup", "supplier_rate", "previous")
+    return df.select("shipment_key", "company_id", F.round("route_rate", R).alias("route_rate"),
+                     F.round("supplier_rate", R).alias("supplier_rate"), F.coalesce("previous", F.lit(0.0)).alias("previous"))
+
+
 @query("shipment_feature_matrix", oracle("suppliers,shipments", SQL_SHIP_FEAT + f"""
 SELECT {', '.join(SF_OUT)}, {_sql_r(sfe.NUMERIC_FEATURE_COLUMNS)}, is_delayed, delay_days
 FROM sfm WHERE actual_delivery IS NOT NULL"""))

@@ -7,18 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerline.session import apply_defaults
-from ledgerline.sources.testdata import SupplyChainData
+from ledgerline.sources.testdata import SupplyChainData, fingerprint
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
-_DATA_CACHE: dict[tuple[int, str], SupplyChainData] = {}
+_DATA_CACHE: dict[tuple[str, str, str], SupplyChainData] = {}
 
 
 def data(spark: SparkSession, sf_dir: str) -> SupplyChainData:
-    key = (id(spark), sf_dir)
+    apply_defaults(spark)
+    key = (spark.sparkContext.applicationId, sf_dir, fingerprint(spark, sf_dir))  # changed files are read anew
     if key not in _DATA_CACHE:
-        apply_defaults(spark)
         _DATA_CACHE[key] = SupplyChainData(spark, sf_dir)
     return _DATA_CACHE[key]
 

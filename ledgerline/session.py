@@ -43,6 +43,7 @@ def build_session(master: str | None = None, app_name: str = "ledgerline",
     conf = dict(DEFAULT_CONF)
     conf["spark.ui.enabled"] = "false"
     conf["spark.ui.showConsoleProgress"] = "false"
+    conf["spark.cleaner.referenceTracking.cleanCheckpoints"] = "true"  # checkpoints go with the frames that use them
     conf["spark.driver.memory"] = os.environ.get("LEDGERLINE_DRIVER_MEMORY", "16g")
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)

@@ -66,7 +66,8 @@ def _publish(spark: SparkSession, df: DataFrame, path: str) -> str:
     and when two writers race, the first rename wins and the other uses that table."""
     import uuid
     tmp = f"{path}.tmp-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").partitionBy("company_id").parquet(tmp)
+    # a few files a tenant, large tenants split: AQE rebalances what one tenant's partition would be
+    df.hint("rebalance", "company_id").write.mode("overwrite").partitionBy("company_id").parquet(tmp)
     jvm = spark.sparkContext._jvm
     src, dst = jvm.org.apache.hadoop.fs.Path(tmp), jvm.org.apache.hadoop.fs.Path(path)
     fs = dst.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -76,6 +77,32 @@ def _publish(spark: SparkSession, df: DataFrame, path: str) -> str:
     return path if fs.exists(dst) else tmp
 
 
+def fingerprint(spark: SparkSession, root: str) -> str:
+    """Names, sizes and times of the input files and this package's sources: derived tables are kept under it."""
+    import hashlib
+    import pathlib
+
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(root)
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    seen = hashlib.sha1(root.encode())
+    todo = [f"{root.rstrip('/')}/{t}.parquet" for t in TABLES]
+    while todo:
+        path = jvm.org.apache.hadoop.fs.Path(todo.pop())
+        if not fs.exists(path):
+            continue
+        for st in sorted(fs.listStatus(path), key=lambda st: st.getPath().toString()):
+            if st.isDirectory():
+                todo.append(st.getPath().toString())
+            else:
+                seen.update(f"{st.getPath()} {st.getLen()} {st.getModificationTime()}\n".encode())
+    package = pathlib.Path(__file__).resolve().parent.parent
+    for source in sorted(package.rglob("*.py")):
+        if "llm" not in source.parts:
+            seen.update(source.read_bytes())
+    return seen.hexdigest()[:16]
+
+
 class SupplyChainData:
     """Lazily built supply-chain views over one test-data folder.
 
@@ -104,15 +131,13 @@ class SupplyChainData:
         if not self.materialize:
             return build()
         if self._base is None:
-            import hashlib
-
             from ledgerline.session import checkpoint_root
             try:
                 root = checkpoint_root(self.spark)
             except RuntimeError:
                 self.materialize = False
                 return build()
-            self._base = f"{root}/conformed/{hashlib.sha1(self.t.root.encode()).hexdigest()[:16]}"
+            self._base = f"{root}/conformed/{fingerprint(self.spark, self.t.root)}"
         path = f"{self._base}/{name}"
         if not _exists(self.spark, f"{path}/_SUCCESS"):
             path = _publish(self.spark, build(), path)

@@ -60,3 +60,19 @@ def test_prior_modes_on_same_day_ties(spark):
     assert out["strict_prior"]["S2"] == 1.0       # only S0
     assert out["known_prior"]["S1"] is None       # S0 arrives 01-13, after S1 is ordered (01-11)
     assert abs(out["known_prior"]["S3"] - 1 / 3) < 1e-12  # S0 late, S1 and S2 on time, all delivered by 01-31
+
+
+def test_new_input_gives_new_answers_in_the_same_folder(spark, tmp_path):
+    """Derived tables are kept by input files and sources, not by path alone."""
+    import shutil
+
+    from tests.conftest import SF_SMALL
+    from ledgerline.plans.register import data
+
+    root = tmp_path / "in"
+    shutil.copytree(SF_SMALL, root)
+    before = data(spark, str(root)).suppliers.count()
+    few = spark.read.parquet(f"{root}/supplier.parquet").limit(3).toPandas()
+    (root / "supplier.parquet").unlink()
+    few.to_parquet(root / "supplier.parquet")
+    assert before > 3 and data(spark, str(root)).suppliers.count() == 3
