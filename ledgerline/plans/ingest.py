@@ -28,6 +28,7 @@ UPLOADS = {
     "raw_suppliers": ("suppliers", ["Vendor_ID", "Vendor_Name", "Lead_Time_Days", "On_Time_Rate", "Cost_Index",
                                     "Reject_Rate"], ["company_id", "row_version", "row_key"]),
 }
+LANDED_FILES = 4
 FEED_IDS = {name: i + 1 for i, name in enumerate(UPLOADS)}
 
 
@@ -183,16 +184,17 @@ def q_sales_quarantine(d):
     return val.quarantine(mapped(d, "raw_sales"), "sales")
 
 
-SQL_NEW_PRODUCTS = """
+def sql_id(kind: str, ext: str) -> str:
+    """Twin of ``loading.stable_id``."""
+    return f"('0x' || substr(md5('{kind}|' || company_id || '|' || {ext}), 1, 15))::BIGINT"
+
+
+SQL_NEW_PRODUCTS = f"""
 newp AS (
-  SELECT n.company_id,
-         CAST(coalesce(t.mx, 0) + row_number() OVER (PARTITION BY n.company_id ORDER BY n.ext) AS BIGINT) AS product_id,
-         n.ext AS external_product_id, n.ext AS name
+  SELECT n.company_id, {sql_id('product_id', 'ext')} AS product_id, n.ext AS external_product_id, n.ext AS name
   FROM (SELECT DISTINCT a.company_id, a.ext FROM acc a
         WHERE NOT EXISTS (SELECT 1 FROM products p WHERE p.company_id = a.company_id
-                                                      AND p.external_product_id = a.ext)) n
-  LEFT JOIN (SELECT company_id, max(product_id) AS mx FROM products GROUP BY company_id) t
-    ON n.company_id = t.company_id),
+                                                      AND p.external_product_id = a.ext)) n),
 ids AS (SELECT company_id, external_product_id AS ext, CAST(product_id AS BIGINT) AS product_id FROM products
         UNION ALL SELECT company_id, external_product_id, product_id FROM newp)"""
 
@@ -222,8 +224,7 @@ acc AS (SELECT company_id, CAST(product_id AS VARCHAR) AS ext,
           AND {_date('date')} IS NOT NULL AND {_num('inventory_level')} IS NOT NULL
           AND NOT isnan({_num('inventory_level')}) AND NOT isinf({_num('inventory_level')})
           AND {_num('inventory_level')} >= 0),
-neww AS (SELECT company_id, CAST(row_number() OVER (PARTITION BY company_id ORDER BY warehouse_name) AS BIGINT)
-                  AS warehouse_id, warehouse_name AS name
+neww AS (SELECT company_id, {sql_id('warehouse_id', 'warehouse_name')} AS warehouse_id, warehouse_name AS name
          FROM (SELECT DISTINCT company_id, warehouse_name FROM acc WHERE warehouse_name IS NOT NULL) t),"""
 
 
@@ -257,9 +258,9 @@ def q_conform_warehouses(d):
     return neww
 
 
-@query("import_shipments", oracle("products,raw_shipments", sql_mapped("raw_shipments") + f""",
+@query("import_shipments", oracle("products,suppliers,raw_shipments", sql_mapped("raw_shipments") + f""",
 acc AS (SELECT company_id, CAST(product_id AS VARCHAR) AS ext, CAST(shipment_id AS VARCHAR) AS external_shipment_id,
-               TRY_CAST(CASE WHEN NOT {_miss('supplier_id')} THEN supplier_id END AS BIGINT) AS supplier_id,
+               CASE WHEN NOT {_miss('supplier_id')} THEN supplier_id END AS sup,
                CASE WHEN NOT {_miss('origin')} THEN origin END AS origin,
                CASE WHEN NOT {_miss('destination')} THEN destination END AS destination,
                CASE WHEN NOT {_miss('carrier')} THEN carrier END AS carrier,
@@ -270,12 +271,14 @@ acc AS (SELECT company_id, CAST(product_id AS VARCHAR) AS ext, CAST(shipment_id
         FROM mp
         WHERE NOT {_miss('shipment_id')} AND NOT {_miss('product_id')} AND NOT {_miss('planned_delivery')}
           AND {_date('planned_delivery')} IS NOT NULL),""" + SQL_NEW_PRODUCTS + """
-SELECT a.company_id, i.product_id, a.external_shipment_id, a.supplier_id, a.origin, a.destination, a.carrier,
-       a.transport_mode, a.distance_km, a.weight_kg, a.quantity, a.order_date, a.planned_delivery, a.actual_delivery
-FROM acc a LEFT JOIN ids i ON a.company_id = i.company_id AND a.ext = i.ext"""))
+SELECT a.company_id, i.product_id, a.external_shipment_id, coalesce(CAST(s.supplier_id AS BIGINT), a.made) AS supplier_id, a.origin,
+       a.destination, a.carrier, a.transport_mode, a.distance_km, a.weight_kg, a.quantity, a.order_date, a.planned_delivery,
+       a.actual_delivery
+FROM (SELECT *, """ + sql_id("supplier_id", "sup") + """ AS made FROM acc) a LEFT JOIN ids i ON a.company_id = i.company_id AND a.ext = i.ext
+LEFT JOIN suppliers s ON s.company_id = a.company_id AND CAST(s.supplier_id AS VARCHAR) = a.sup"""))
 def q_import_shipments(d):
     """Accepted shipment rows per tenant; unparseable actual delivery = still in flight."""
-    rows, _, _ = ld.load_shipments(mapped(d, "raw_shipments"), None, d.products)
+    rows, _, _, _ = ld.load_shipments(mapped(d, "raw_shipments"), None, d.products, d.suppliers)
     return rows
 
 
@@ -293,7 +296,8 @@ lt AS (SELECT company_id, CAST(supplier_id AS VARCHAR) AS external_supplier_id,
                 FILTER (WHERE {_num('defect_rate')} IS NOT NULL) AS defect_rate
        FROM acc GROUP BY company_id, CAST(supplier_id AS VARCHAR))
 SELECT coalesce(o.company_id, n.company_id) AS company_id,
-       coalesce(CAST(o.supplier_id AS BIGINT), TRY_CAST(n.external_supplier_id AS BIGINT)) AS supplier_id,
+       coalesce(CAST(o.supplier_id AS BIGINT), ('0x' || substr(md5('supplier_id|' || n.company_id || '|' || n.external_supplier_id), 1, 15))::BIGINT)
+         AS supplier_id,
        coalesce(CAST(o.supplier_id AS VARCHAR), n.external_supplier_id) AS external_supplier_id,
        coalesce(n.name, o.name) AS name,
        coalesce(n.lead_time_days, o.lead_time_days) AS lead_time_days,
@@ -341,37 +345,67 @@ def _scratch(d, what):
     return f"{checkpoint_root(d.spark)}/{what}/{uuid.uuid4().hex}"
 
 
-@query("file_arrival_ingest")
+SQL_ACCEPTED = {
+    "sales": f"""NOT {_miss('product_id')} AND NOT {_miss('date')} AND NOT {_miss('quantity')} AND {_date('date')} IS NOT NULL
+      AND {_num('quantity')} IS NOT NULL AND NOT isnan({_num('quantity')}) AND NOT isinf({_num('quantity')}) AND {_num('quantity')} >= 0""",
+    "inventory": f"""NOT {_miss('product_id')} AND NOT {_miss('date')} AND NOT {_miss('inventory_level')} AND {_date('date')} IS NOT NULL
+      AND {_num('inventory_level')} IS NOT NULL AND NOT isnan({_num('inventory_level')}) AND NOT isinf({_num('inventory_level')})
+      AND {_num('inventory_level')} >= 0""",
+    "shipments": f"""NOT {_miss('shipment_id')} AND NOT {_miss('product_id')} AND NOT {_miss('planned_delivery')}
+      AND {_date('planned_delivery')} IS NOT NULL""",
+    "suppliers": f"NOT {_miss('supplier_id')} AND NOT {_miss('supplier_name')}",
+}
+
+
+def sql_audit(raw_name: str) -> str:
+    """Row count, score, imported and skipped of an upload."""
+    dtype = UPLOADS[raw_name][0]
+    counts = oracle(raw_name, sql_mapped(raw_name) + f"""
+SELECT count(CASE WHEN {SQL_ACCEPTED[dtype]} THEN 1 END) AS imported, count(CASE WHEN NOT ({SQL_ACCEPTED[dtype]}) THEN 1 END) AS skipped FROM mp""")
+    company = IMPORT_COMPANY if raw_name == "raw_sales" else "NULL"
+    return f"""SELECT CAST({FEED_IDS[raw_name]} AS BIGINT) AS upload_id, CAST({company} AS INTEGER) AS company_id, '{dtype}' AS dataset_type,
+  'imported' AS status, CAST(r.row_count AS BIGINT) AS row_count, r.data_quality_score, c.imported, c.skipped, '{raw_name}' AS file_name
+FROM (SELECT * FROM ({sql_report(raw_name)}) q WHERE severity = 'summary') r, ({counts}) c"""
+
+
+@query("file_arrival_ingest", oracle("raw_sales", sql_mapped("raw_sales") + f"""
+SELECT 'sales' AS dataset_type, 'imported' AS status, count(*) AS row_count, count(CASE WHEN {SQL_ACCEPTED['sales']} THEN 1 END) AS imported,
+       count(CASE WHEN NOT ({SQL_ACCEPTED['sales']}) THEN 1 END) AS skipped,
+       (SELECT count(DISTINCT product_id) FROM mp WHERE {SQL_ACCEPTED['sales']}) AS products FROM mp"""))
 def q_file_arrival_ingest(d):
-    """The sales upload lands as CSV files; a Structured Streaming job (availableNow) maps, validates,
-    loads it idempotently and writes audit events; returns the audit state of the upload."""
+    """The sales upload lands as CSV files; a Structured Streaming job (availableNow) maps, validates and loads
+    each file idempotently into the import tenant, from an empty dimension; the audits of all files, and the products that
+    the stored dimension then holds."""
     from ledgerline.streaming import file_arrival as fa
     dtype, headers, _ = UPLOADS["raw_sales"]
     landing, tables, ckpt = _scratch(d, "landing"), _scratch(d, "tables"), _scratch(d, "streams")
-    d.raw_sales.select(*headers).write.option("header", True).mode("overwrite").csv(landing)
-    q = fa.start_file_ingest(d.spark, landing, headers, dtype, IMPORT_COMPANY, tables, ckpt, d.products)
+    d.raw_sales.select(*headers).coalesce(LANDED_FILES).write.option("header", True).mode("overwrite").csv(landing)
+    q = fa.start_file_ingest(d.spark, landing, headers, dtype, IMPORT_COMPANY, tables, ckpt)
     q.awaitTermination()
-    audit = fa.read_audit(d.spark, tables)
-    return fa.ingest_audit(audit).drop("uploaded_at", "imported_at")
+    state = fa.ingest_audit(fa.read_audit(d.spark, tables))
+    products = fa.read_dimension(d.spark, tables, "products").agg(F.count(F.lit(1))).scalar()
+    return state.groupBy("dataset_type", "status").agg(*[F.sum(c).alias(c) for c in ("row_count", "imported", "skipped")]).withColumn("products", products)
 
 
-@query("ingest_audit")
+@query("ingest_audit", "\nUNION ALL\n".join(sql_audit(n) for n in UPLOADS))
 def q_ingest_audit(d):
-    """All four raw uploads processed as batches (sales into one tenant, the rest per their tenant
-    column), then the latest state of every upload from the append-only audit events."""
-    from ledgerline.streaming import file_arrival as fa
+    """All four raw uploads processed as batches (sales, which has no tenant column, into one tenant, the rest per
+    their tenant column), then the latest state of every upload from the append-only audit events."""
     from concurrent.futures import ThreadPoolExecutor
+
+    from ledgerline.streaming import file_arrival as fa
     tables = _scratch(d, "tables")
 
     def one(name):
         dtype, headers, keys = UPLOADS[name]
+        own = ["company_id"] if "company_id" in keys else []
         extra = [F.col(k).alias(f"_{k}") for k in keys if k in ("row_version", "row_key")]
-        fa.process_upload(getattr(d, name).select(*headers, *extra), FEED_IDS[name], IMPORT_COMPANY, dtype, tables,
-                          d.products)
+        fa.process_upload(getattr(d, name).select(*headers, *own, *extra), FEED_IDS[name], None if own else IMPORT_COMPANY, dtype, tables,
+                          d.products, suppliers=d.suppliers, file_name=name)
 
     # independent uploads: their Spark jobs run concurrently (each writes only its own partitions)
     with ThreadPoolExecutor(max_workers=len(UPLOADS)) as pool:
         for f in [pool.submit(one, n) for n in UPLOADS]:
             f.result()
     audit = fa.read_audit(d.spark, tables)
-    return fa.ingest_audit(audit).drop("uploaded_at", "imported_at")
+    return fa.ingest_audit(audit).drop("uploaded_at", "imported_at", "position")

@@ -14,7 +14,7 @@ SF = "/root/testdata/sf0.001"
 def test_imported_tables_feed_the_analytics(spark):
     d = data(spark, SF)
     sales, newp, counts = ld.load_sales(ig.mapped(d, "raw_sales"), 3, d.products)
-    ships, newp2, _ = ld.load_shipments(ig.mapped(d, "raw_shipments"), None, d.products)
+    ships, newp2, _, _ = ld.load_shipments(ig.mapped(d, "raw_shipments"), None, d.products, d.suppliers)
     sups, _ = ld.upsert_suppliers(ig.mapped(d, "raw_suppliers"), None, d.suppliers, pos=["row_version", "row_key"])
     stock, _, _, _ = ld.load_inventory(ig.mapped(d, "raw_inventory"), None, d.products,
                                        spark.createDataFrame([], "company_id int, warehouse_id long, name string"))

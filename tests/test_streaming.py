@@ -63,3 +63,46 @@ def test_read_tabular_and_preview(spark, tmp_path):
     df = read_tabular(spark, str(p))
     assert df.columns == ["SKU", "Qty"] and dict(df.dtypes) == {"SKU": "string", "Qty": "string"}
     assert [r["SKU"] for r in preview(df, 2, order=["SKU"]).collect()] == ["A", "B"]
+
+
+def _land(folder, name, text):
+    os.makedirs(folder, exist_ok=True)
+    with open(os.path.join(folder, name), "w") as f:
+        f.write(text)
+
+
+def test_two_streams_keep_rows_and_dimensions(spark, tmp_path):
+    """Different new products and text supplier ids from two streams of one tenant: distinct ids, nothing lost."""
+    tables, head = str(tmp_path / "t"), ["Shipment_No", "SKU", "Ship_From", "Ship_To", "ETA", "Delivery_Date", "Vendor_ID"]
+    for k in (1, 2):
+        _land(tmp_path / f"in{k}", "up.csv", ",".join(head) + "\n" + f"S{k}1,NEW-{k},A,B,2026-02-0{k},2026-02-0{k},V-{k}\nS{k}2,SHARED,A,B,01-Feb-2026,,V-0\n")
+        fa.start_file_ingest(spark, str(tmp_path / f"in{k}"), head, "shipments", 7, tables, str(tmp_path / f"c{k}")).awaitTermination()
+    rows = {r["external_shipment_id"]: r for r in spark.read.parquet(f"{tables}/shipments").collect()}
+    assert set(rows) == {"S11", "S12", "S21", "S22"} and rows["S12"]["product_id"] == rows["S22"]["product_id"]
+    assert len({r["product_id"] for r in rows.values()}) == 3 and len({r["supplier_id"] for r in rows.values()}) == 3
+    assert {r["external_product_id"] for r in fa.read_dimension(spark, tables, "products").collect()} == {"NEW-1", "NEW-2", "SHARED"}
+    assert {r["external_supplier_id"] for r in fa.read_dimension(spark, tables, "suppliers").collect()} == {"V-0", "V-1", "V-2"}
+    audit = fa.ingest_audit(fa.read_audit(spark, tables)).collect()
+    assert len({r["upload_id"] for r in audit}) == 2 and {r["file_name"] for r in audit} == {"up.csv"}
+
+
+def test_supplier_upload_fills_in_what_shipments_created(spark, tmp_path):
+    tables = str(tmp_path / "t")
+    ships = spark.createDataFrame([("S1", "P", "A", "B", "2026-02-01", None, "V-9")], "Shipment_No string, SKU string, Ship_From string, Ship_To string, ETA string, Delivery_Date string, Vendor_ID string")
+    fa.process_upload(ships, 1, 7, "shipments", tables)
+    made = fa.read_dimension(spark, tables, "suppliers").first()
+    assert made["name"] == "V-9" and made["reliability"] is None
+    ups = spark.createDataFrame([("V-9", "Nine", "4", "0.9")], "Vendor_ID string, Vendor_Name string, Lead_Time_Days string, On_Time_Rate string")
+    fa.process_upload(ups, 2, 7, "suppliers", tables)
+    now = fa.read_dimension(spark, tables, "suppliers").collect()
+    assert len(now) == 1 and (now[0]["supplier_id"], now[0]["name"], now[0]["reliability"]) == (made["supplier_id"], "Nine", 0.9)
+
+
+def test_files_without_rows_are_audited(spark, tmp_path):
+    tables, landing = str(tmp_path / "t"), str(tmp_path / "in")
+    _land(landing, "empty.csv", ",".join(HEADERS) + "\n")
+    _land(landing, "full.csv", CSV)
+    fa.start_file_ingest(spark, landing, HEADERS, "sales", 7, tables, str(tmp_path / "c")).awaitTermination()
+    assert fa.audit_empty_files(spark, landing, "sales", 7, tables) == 1 and fa.audit_empty_files(spark, landing, "sales", 7, tables) == 0
+    assert {r["file_name"]: (r["status"], r["row_count"]) for r in fa.ingest_audit(fa.read_audit(spark, tables)).collect()} == {
+        "empty.csv": ("rejected", 0), "full.csv": ("imported", 5)}
