@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions import metrics as met
 from ledgerline.functions.exprs import DELAY_TIERS, tier
-from ledgerline.models.demand import InsufficientData
+from ledgerline.models.demand import FIT_ROWS, InsufficientData, fit_sample
 from ledgerline.operators import demand_features as dfe
 from ledgerline.operators import shipment_features as sfe
 
@@ -117,34 +117,56 @@ def feature_frame(shipments: DataFrame, suppliers: DataFrame, scope=()) -> DataF
     return sfe.shipment_feature_matrix(sh, train_end=F.col("cutoff"), completed_only=True, scope=list(scope))
 
 
-def train_delay_classifier(feat: DataFrame, scope=(), n_estimators: int | None = None) -> DelayModel:
-    """C1-C11, C14 on a precomputed feature frame (see ``feature_frame``)."""
+def _encoded(df: DataFrame, encoder: PipelineModel, *keep: str) -> DataFrame:
+    return encoder.transform(df).select("features", *keep).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _row_keys(df: DataFrame) -> list[str]:
+    return [c for c in ("company_id", "shipment_key", "external_shipment_id", "supplier_id", "order_date") if c in df.columns]
+
+
+def train_delay_classifier(feat: DataFrame, scope=(), n_estimators: int | None = None, fit_rows: int = FIT_ROWS) -> DelayModel:
+    """C1-C11, C14 on a precomputed feature frame (see ``feature_frame``).
+
+    Categories are encoded once, from the training period; fits see at most about ``fit_rows`` labelled rows, while
+    weights, counts and metrics cover all.
+    """
     feat = feat.withColumn("label", F.col("is_delayed").cast("double")).persist(StorageLevel.MEMORY_AND_DISK)
+    held = [feat]
     try:
         n = feat.count()
         if n < MIN_COMPLETED:
-            raise InsufficientData("Not enough completed shipments to train a delay classifier (need >= 40).")
+            raise InsufficientData(f"delay classifier: {n} completed shipments, at least {MIN_COMPLETED} are needed")
         train_full, test = _split(feat, dfe.TEST_FRACTION, scope)
-        n_tr, n_te = train_full.count(), test.count()
+        train_full = train_full.persist(StorageLevel.MEMORY_AND_DISK)
+        held.append(train_full)
+        known = train_full.agg(F.count(F.lit(1)).alias("n"), F.avg("label").alias("rate")).first()
+        n_tr, n_te = known["n"], test.count()
         if n_tr < MIN_TRAIN or n_te < MIN_TEST:
-            raise InsufficientData("Not enough data on one side of the time-based split to train/evaluate reliably.")
-        if train_full.select("label").distinct().count() < 2:
-            raise InsufficientData("Training split has only one class (all delayed or all on-time) - "
-                                   "cannot train a classifier.")
+            raise InsufficientData(f"delay classifier: the time split leaves {n_tr} training and {n_te} test shipments")
+        if known["rate"] in (0.0, 1.0):
+            raise InsufficientData("delay classifier: all training shipments have the same outcome")
+        encoder = Pipeline(stages=encoder_stages()).fit(train_full)
         sub, valid = _split(train_full, dfe.VALIDATION_FRACTION, scope)
-        sub_w = _weights(sub, scope).persist(StorageLevel.MEMORY_AND_DISK)
-        valid = valid.persist(StorageLevel.MEMORY_AND_DISK)
+        sub_w = _weights(sub, scope)
         tw = sub_w.select(F.sum("sample_weight")).first()[0] or 1.0
+        share = min(1.0, fit_rows / n_tr)
+        sub_v = _encoded(fit_sample(sub_w, n_tr, _row_keys(sub_w), fit_rows), encoder, "label", "sample_weight")
+        val_v = _encoded(valid, encoder, "label")
+        held += [sub_v, val_v]
         val_auc = {}
-        for name, stages in classifier_candidates(tw, n_estimators).items():
-            pm = Pipeline(stages=encoder_stages() + stages).fit(sub_w)
-            val_auc[name] = _auc(_p1(pm.transform(valid)))
+        for name, stages in classifier_candidates(tw * share, n_estimators).items():
+            val_auc[name] = _auc(_p1(Pipeline(stages=stages).fit(sub_v).transform(val_v)))
         best = max(val_auc, key=val_auc.get)
-        sub_w.unpersist(), valid.unpersist()
         tr_w = _weights(train_full, scope)
         tw_full = tr_w.select(F.sum("sample_weight")).first()[0] or 1.0
-        pm = Pipeline(stages=encoder_stages() + classifier_candidates(tw_full, n_estimators)[best]).fit(tr_w)
-        pred = _p1(pm.transform(test)).withColumn("pred", F.col("prediction").cast("int")).withColumn("_g", F.lit(1))
+        tr_v = _encoded(fit_sample(tr_w, n_tr, _row_keys(tr_w), fit_rows), encoder, "label", "sample_weight")
+        held.append(tr_v)
+        fitted = Pipeline(stages=classifier_candidates(tw_full * share, n_estimators)[best]).fit(tr_v)
+        pm = PipelineModel(stages=encoder.stages + fitted.stages)
+        pred = _p1(pm.transform(test)).select("label", "p_delay", F.col("prediction").cast("int").alias("pred"), F.lit(1).alias("_g"))
+        pred = pred.persist(StorageLevel.MEMORY_AND_DISK)
+        held.append(pred)
         cls = met.classification_metrics(pred, "label", "pred", ["_g"]).first().asDict()
         auc = met.roc_auc(pred, "label", "p_delay", ["_g"]).first()["roc_auc"]
         ap = met.average_precision(pred, "label", "p_delay", ["_g"]).first()["average_precision"]
@@ -152,7 +174,7 @@ def train_delay_classifier(feat: DataFrame, scope=(), n_estimators: int | None =
                                     ["_g"]).first().asDict()
         metrics = {
             "selected_model": best, "train_rows": n_tr, "test_rows": n_te,
-            "positive_rate_train": train_full.select(F.avg("label")).first()[0],
+            "positive_rate_train": known["rate"],
             "confusion_matrix_test": {k: cls[k] for k in ("true_positive", "true_negative", "false_positive",
                                                           "false_negative")},
             "comparison": {
@@ -164,33 +186,43 @@ def train_delay_classifier(feat: DataFrame, scope=(), n_estimators: int | None =
         }
         return DelayModel(best, pm, feature_names(pm), metrics, "classifier")
     finally:
-        feat.unpersist()
+        for frame in held:
+            frame.unpersist()
 
 
-def train_duration_model(feat: DataFrame, scope=(), n_estimators: int | None = None) -> DelayModel:
-    """Delay length in days, trained on delayed shipments only."""
+def train_duration_model(feat: DataFrame, scope=(), n_estimators: int | None = None, fit_rows: int = FIT_ROWS) -> DelayModel:
+    """Delay length in days, trained on delayed shipments only (at most about ``fit_rows`` of them a fit)."""
     dl = feat.where(F.col("is_delayed") == 1).withColumn("delay_days", F.col("delay_days").cast("double")) \
         .persist(StorageLevel.MEMORY_AND_DISK)
+    held = [dl]
     try:
-        if dl.count() < MIN_DELAYED:
-            raise InsufficientData("Not enough delayed shipments to train a delay-duration regressor (need >= 30).")
+        n = dl.count()
+        if n < MIN_DELAYED:
+            raise InsufficientData(f"duration model: {n} delayed shipments, at least {MIN_DELAYED} are needed")
         train_full, test = _split(dl, dfe.TEST_FRACTION, scope)
-        n_tr, n_te = train_full.count(), test.count()
+        train_full = train_full.persist(StorageLevel.MEMORY_AND_DISK)
+        held.append(train_full)
+        known = train_full.agg(F.count(F.lit(1)).alias("n"), F.avg("delay_days").alias("mean")).first()
+        n_tr, n_te = known["n"], test.count()
         if n_tr < MIN_DUR_TRAIN or n_te < MIN_DUR_TEST:
-            raise InsufficientData("Not enough delayed shipments on one side of the time-based split.")
+            raise InsufficientData(f"duration model: the time split leaves {n_tr} training and {n_te} test shipments")
+        encoder = Pipeline(stages=encoder_stages()).fit(train_full)
         sub, valid = _split(train_full, dfe.VALIDATION_FRACTION, scope)
+        sub_v = _encoded(fit_sample(sub, n_tr, _row_keys(sub), fit_rows), encoder, "delay_days")
+        val_v = _encoded(valid, encoder, "delay_days")
+        tr_v = _encoded(fit_sample(train_full, n_tr, _row_keys(train_full), fit_rows), encoder, "delay_days")
+        held += [sub_v, val_v, tr_v]
 
         def mae(pm, df):
             p = pm.transform(df).select(F.avg(F.abs(F.greatest("prediction", F.lit(0.0)) - F.col("delay_days"))))
             return float(p.first()[0])
 
-        val_mae = {name: mae(Pipeline(stages=encoder_stages() + st).fit(sub), valid)
-                   for name, st in duration_candidates(n_estimators).items()}
+        val_mae = {name: mae(Pipeline(stages=st).fit(sub_v), val_v) for name, st in duration_candidates(n_estimators).items()}
         best = min(val_mae, key=val_mae.get)
-        pm = Pipeline(stages=encoder_stages() + duration_candidates(n_estimators)[best]).fit(train_full)
-        mu = train_full.select(F.avg("delay_days")).first()[0]
+        fitted = Pipeline(stages=duration_candidates(n_estimators)[best]).fit(tr_v)
+        pm = PipelineModel(stages=encoder.stages + fitted.stages)
         pred = pm.transform(test).withColumn("prediction", F.greatest("prediction", F.lit(0.0))) \
-            .withColumn("mean_pred", F.lit(mu)).withColumn("_g", F.lit(1))
+            .withColumn("mean_pred", F.lit(known["mean"])).withColumn("_g", F.lit(1))
         base = dfe.regression_metrics(pred, "delay_days", "mean_pred", ["_g"]).first()
         fin = dfe.regression_metrics(pred, "delay_days", "prediction", ["_g"]).first()
         metrics = {"selected_model": best, "train_rows": n_tr, "test_rows": n_te,
@@ -199,7 +231,8 @@ def train_duration_model(feat: DataFrame, scope=(), n_estimators: int | None = N
                    "validation_maes": val_mae}
         return DelayModel(best, pm, feature_names(pm), metrics, "duration")
     finally:
-        dl.unpersist()
+        for frame in held:
+            frame.unpersist()
 
 
 def feature_names(pm: PipelineModel) -> list[str]:

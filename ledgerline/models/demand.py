@@ -31,6 +31,7 @@ HORIZONS = (7, 30, 90)
 MIN_USABLE_ROWS, MIN_TRAIN_ROWS, MIN_TEST_ROWS = 50, 20, 5
 MIN_SALES_ROWS_TO_FORECAST = 20
 SEED = 42
+FIT_ROWS = 100_000  # labelled rows a fit sees at most (a hash sample of all); evaluation covers every row
 
 
 class InsufficientData(ValueError):
@@ -69,40 +70,51 @@ def _encode(train: DataFrame, other: DataFrame, keys, scope):
             dfe.apply_mean_encoding(other, prod, glob, keys, scope), prod, glob)
 
 
+def fit_sample(df: DataFrame, n: int, keys, most: int = FIT_ROWS) -> DataFrame:
+    """About ``most`` of ``n`` labelled rows, picked by a hash of their keys: the same rows on any cluster."""
+    share = F.lit(min(1.0, most / max(n, 1)))
+    return df.where(F.pmod(F.xxhash64(*keys, F.lit(SEED)), F.lit(1 << 20)) < share * (1 << 20))
+
+
 def _mae(pred: DataFrame) -> float:
     return pred.select(F.avg(F.abs(F.greatest(F.col("prediction"), F.lit(0.0)) - F.col("quantity")))).first()[0]
 
 
 def train_demand_model(sales: DataFrame, keys=("company_id", "product_id"), scope=(), date_col: str = "sale_date",
-                       n_estimators: int | None = None) -> DemandModel:
+                       n_estimators: int | None = None, fit_rows: int = FIT_ROWS) -> DemandModel:
     """One model over all of ``sales`` (pooled base model when ``scope`` is empty).
 
     The feature frame is persisted (MEMORY_AND_DISK) across the candidate fits
     and released at the end; lost executors just recompute it from lineage.
+    Each fit sees at most about ``fit_rows`` labelled rows; means, splits and
+    metrics cover all.
     """
     keys, scope = list(keys), list(scope)
     feat = dfe.demand_feature_matrix(sales, keys, date_col).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         n = feat.count()
         if n < MIN_USABLE_ROWS:
-            raise InsufficientData("Not enough historical data to train a demand forecasting model "
-                                   "(need >= 50 usable rows).")
+            raise InsufficientData(f"demand model: {n} usable rows, at least {MIN_USABLE_ROWS} are needed")
         outer = dfe.time_split(feat, "date", dfe.TEST_FRACTION, scope)
         train_full = outer.where(~F.col("is_test")).drop("cutoff", "is_test")
         test = outer.where(F.col("is_test")).drop("cutoff", "is_test")
-        n_train, n_test = train_full.count(), test.count()
+        sizes = outer.agg(F.count_if(~F.col("is_test")).alias("train"), F.count_if("is_test").alias("test")).first()
+        n_train, n_test = sizes["train"], sizes["test"]
         if n_train < MIN_TRAIN_ROWS or n_test < MIN_TEST_ROWS:
-            raise InsufficientData("Not enough data on one side of the time-based split to train/evaluate reliably.")
+            raise InsufficientData(f"demand model: the time split leaves {n_train} training and {n_test} test rows")
         inner = dfe.time_split(train_full, "date", dfe.VALIDATION_FRACTION, scope)
         sub = inner.where(~F.col("is_test")).drop("cutoff", "is_test")
         valid = inner.where(F.col("is_test")).drop("cutoff", "is_test")
         sub_e, val_e, _, _ = _encode(sub, valid, keys, scope or [])
-        sub_v, val_v = _assemble(sub_e), _assemble(val_e)
+        rows = [*keys, "date"]
+        sub_v = _assemble(fit_sample(sub_e, n_train, rows, fit_rows)).select("features", "quantity").persist(StorageLevel.MEMORY_AND_DISK)
+        val_v = _assemble(val_e).select("features", "quantity").persist(StorageLevel.MEMORY_AND_DISK)
         cands = candidates(n_estimators)
         val_maes = {name: _mae(est.fit(sub_v).transform(val_v)) for name, est in cands.items()}
         best = min(val_maes, key=val_maes.get)
+        sub_v.unpersist(), val_v.unpersist()
         tr_e, te_e, prod, glob = _encode(train_full, test, keys, scope or [])
-        model = cands[best].fit(_assemble(tr_e))
+        model = cands[best].fit(_assemble(fit_sample(tr_e, n_train, rows, fit_rows)).select("features", "quantity"))
         te_p = model.transform(_assemble(te_e)).withColumn("prediction", F.greatest("prediction", F.lit(0.0)))
         te_p = dfe.naive_baseline(te_p)
         g = [F.lit(1).alias("_all")]
@@ -145,23 +157,16 @@ def history_state(sales: DataFrame, keys=("company_id", "product_id"), date_col:
     Only each product's last 60 calendar days are materialised.
     """
     keys = list(keys)
-    daily = dfe.daily_sales(sales, keys, date_col)
-    stats = sales.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_sales"))
-    span = daily.groupBy(*keys).agg(F.max("date").alias("last_date"))
-    cal = span.select(*keys, "last_date",
-                      F.explode(F.sequence(F.date_sub("last_date", HISTORY_ROWS - 1), F.col("last_date"),
-                                           F.expr("INTERVAL 1 DAY"))).alias("date"))
-    first = daily.groupBy(*keys).agg(F.min("date").alias("first_date"))
-    hist = (cal.join(first, keys).where(F.col("date") >= F.col("first_date"))
-            .join(daily, [*keys, "date"], "left")
-            .select(*keys, "last_date", "date", F.coalesce("quantity", F.lit(0.0)).alias("quantity")))
-    state = hist.groupBy(*keys, "last_date").agg(
-        F.array_sort(F.collect_list(F.struct("date", "quantity"))).alias("hist"))
-    last_qty = daily.join(span, keys).where(F.col("date") == F.col("last_date")) \
-        .select(*keys, F.col("quantity").alias("last_actual_quantity"))
-    return (state.join(stats, keys).where(F.col("n_sales") >= min_sales_rows).join(last_qty, keys, "left")
-            .select(*keys, "last_date", "last_actual_quantity",
-                    F.transform("hist", lambda s: s["quantity"]).alias("history")))
+    daily = sales.groupBy(*keys, F.col(date_col).alias("date")).agg(
+        F.sum(F.col("quantity").cast("double")).alias("quantity"), F.count(F.lit(1)).alias("n"))
+    # one row per active day and product, so a product's days are a calendar however many sales it has
+    state = daily.groupBy(*keys).agg(F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.sum("n").alias("n_sales"),
+                                     F.max_by("quantity", "date").alias("last_actual_quantity"),
+                                     F.map_from_entries(F.collect_list(F.struct("date", "quantity"))).alias("days"))
+    start = F.greatest(F.col("first_date"), F.date_sub("last_date", HISTORY_ROWS - 1))
+    dense = F.transform(F.sequence(start, F.col("last_date"), F.expr("INTERVAL 1 DAY")),
+                        lambda day: F.coalesce(F.try_element_at("days", day), F.lit(0.0)))
+    return state.where(F.col("n_sales") >= min_sales_rows).select(*keys, "last_date", "last_actual_quantity", dense.alias("history"))
 
 
 def _step_features(hist: np.ndarray, target: np.ndarray, origin: np.datetime64, means: np.ndarray) -> np.ndarray:

@@ -149,8 +149,12 @@ def inventory_metrics(inputs: DataFrame, delay_days: float | Column = 0.0) -> Da
     )
 
 
-def present_inventory(m: DataFrame, with_assumptions: bool = False) -> DataFrame:
-    """N14 presentation: the reference's rounding of every output field."""
+#: The assumptions that go with every answer, as JSON.
+ASSUMPTIONS = '{"service_factor":1.65,"target_inventory_horizon_days":30,"overstock_horizon_days":45}'
+
+
+def present_inventory(m: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """N14 presentation: the reference's rounding of every output field. ``carry``: further input columns to keep."""
     cols = [
         "company_id", "product_id", "external_product_id", "product_name",
         round_stable("inventory", 2).alias("inventory_level"),
@@ -174,19 +178,14 @@ def present_inventory(m: DataFrame, with_assumptions: bool = False) -> DataFrame
         round_stable("overstock_p", 4).alias("overstock_probability"),
         tier("overstock_p", INVENTORY_TIERS).alias("overstock_risk"),
     ]
-    if with_assumptions:
-        cols.append(F.struct(F.lit(SERVICE_FACTOR).alias("service_factor"),
-                             F.lit(TARGET_HORIZON_DAYS).alias("target_inventory_horizon_days"),
-                             F.lit(OVERSTOCK_HORIZON_DAYS).alias("overstock_horizon_days")).alias("assumptions"))
-    return m.select(*cols)
+    category = F.col("category") if "category" in m.columns else F.lit(None).cast("string").alias("category")
+    return m.select(*cols, category, F.lit(ASSUMPTIONS).alias("assumptions"), *carry)
 
 
-def inventory_health(products, inventory, sales, shipments, suppliers, delay_days=0.0,
-                     with_assumptions: bool = False, **kw) -> DataFrame:
+def inventory_health(products, inventory, sales, shipments, suppliers, delay_days=0.0, carry: Sequence[str] = (), **kw) -> DataFrame:
     """N14 company inventory for every tenant and product (order by company, name for display)."""
     return present_inventory(
-        inventory_metrics(inventory_inputs(products, inventory, sales, shipments, suppliers, **kw), delay_days),
-        with_assumptions)
+        inventory_metrics(inventory_inputs(products, inventory, sales, shipments, suppliers, **kw), delay_days), carry)
 
 
 def inventory_summary(health: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+# The titles, reasons and impacts below are fixed values: output that must equal the reference's.
 HI = ["HIGH", "CRITICAL"]
 MAX_PER_COMPANY = 30
 ANOMALY_POOL = 20     # anomalies considered (the reference asks for the top 20 ...)
@@ -46,7 +47,7 @@ def inventory_recommendations(health: DataFrame) -> DataFrame:
                                    F.col("recommended_order_quantity")))
          .otherwise(F.lit("Reduce holding-cost exposure by aligning replenishment with forecast demand."))
          .alias("expected_impact"),
-        name.alias("affected_entity"),
+        name.alias("affected_entity"), F.col("product_id").cast("long").alias("product_id"), F.lit(None).cast("long").alias("supplier_id"),
         F.lit(0).alias("source_rank"),
         F.concat_ws("|", name, F.format_string("%012d", F.col("product_id").cast("long"))).alias("source_order"),
     )
@@ -63,7 +64,7 @@ def supplier_recommendations(scorecard: DataFrame) -> DataFrame:
         F.format_string("Supplier risk score is %s/100 with %s%% historical delay rate.",
                         F.col("risk_score").cast("string"), _pct0("delay_rate")).alias("reason"),
         F.lit("Consider alternate sourcing or increased safety stock.").alias("expected_impact"),
-        F.col("name").alias("affected_entity"),
+        F.col("name").alias("affected_entity"), F.lit(None).cast("long").alias("product_id"), F.col("supplier_id").cast("long").alias("supplier_id"),
         F.lit(1).alias("source_rank"),
         F.format_string("%012.1f|%012d", F.col("risk_score"), F.col("supplier_id").cast("long"))
          .alias("source_order"),
@@ -80,7 +81,7 @@ def anomaly_recommendations(anomalies: DataFrame) -> DataFrame:
         F.concat(F.lit("Investigate "), F.col("entity_type"), F.lit(" anomaly")).alias("title"),
         F.col("explanation").alias("reason"),
         F.lit("Validate the underlying event before it distorts planning decisions.").alias("expected_impact"),
-        F.col("entity_id").alias("affected_entity"),
+        F.col("entity_id").alias("affected_entity"), F.lit(None).cast("long").alias("product_id"), F.lit(None).cast("long").alias("supplier_id"),
         F.lit(2).alias("source_rank"),
         F.format_string("%06d", F.col("rank")).alias("source_order"),
     )

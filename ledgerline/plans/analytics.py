@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ledgerline.functions.exprs import DELAY_TIERS, tier
 from ledgerline.operators import inventory as inv
 from ledgerline.plans.oracle_adapters import oracle
 from ledgerline.plans.register import query
@@ -50,7 +51,7 @@ inc AS (
 
 SQL_INPUTS = """
 inp AS (
-  SELECT p.company_id, p.product_id, p.external_product_id, p.name AS product_name, p.unit_cost,
+  SELECT p.company_id, p.product_id, p.external_product_id, p.name AS product_name, p.unit_cost, p.category,
          coalesce(l.inventory_level, 0.0) AS inventory,
          coalesce(d.daily_demand, 0.0) AS daily,
          coalesce(d.demand_std, 0.0) AS std,
@@ -102,15 +103,16 @@ SQL_PRESENT = f"""
          order_qty AS recommended_order_quantity,
          round(round(stockout_p, 9), 4) AS stockout_probability, {sql_tier('stockout_p')} AS stockout_risk,
          round(round(shortage, 9), 2) AS expected_shortage,
-         round(round(overstock_p, 9), 4) AS overstock_probability, {sql_tier('overstock_p')} AS overstock_risk
+         round(round(overstock_p, 9), 4) AS overstock_probability, {sql_tier('overstock_p')} AS overstock_risk,
+         category, '{inv.ASSUMPTIONS}' AS assumptions
   FROM m"""
 
 SQL_HEALTH_CTES = ",".join([SQL_LATEST, SQL_DEMAND, SQL_BEST, SQL_INCOMING, SQL_INPUTS, sql_metrics()])
 HEALTH_ADAPTERS = "sales,products,suppliers,shipments,inventory_records"
 
 
-def _health(d):
-    return inv.inventory_health(d.products, d.inventory_records, d.sales, d.shipments, d.suppliers)
+def _health(d, **kw):
+    return inv.inventory_health(d.products, d.inventory_records, d.sales, d.shipments, d.suppliers, **kw)
 
 
 # ----------------------------------------------------------------------------------------
@@ -433,7 +435,7 @@ r4 AS (
                           recommended_order_quantity)
               ELSE 'Reduce holding-cost exposure by aligning replenishment with forecast demand.' END
            AS expected_impact,
-         product_name AS affected_entity, 0 AS source_rank,
+         product_name AS affected_entity, CAST(product_id AS BIGINT) AS product_id, CAST(NULL AS BIGINT) AS supplier_id, 0 AS source_rank,
          concat_ws('|', product_name, printf('%012d', CAST(product_id AS BIGINT))) AS source_order
   FROM h WHERE stockout_risk IN ('HIGH', 'CRITICAL') OR overstock_risk IN ('HIGH', 'CRITICAL')),
 r5 AS (
@@ -441,13 +443,13 @@ r5 AS (
          printf('Supplier risk score is %s/100 with %s%% historical delay rate.', CAST(risk_score AS VARCHAR),
                 CAST(CAST(round_even(delay_rate * 100, 0) AS BIGINT) AS VARCHAR)) AS reason,
          'Consider alternate sourcing or increased safety stock.' AS expected_impact, name AS affected_entity,
-         1 AS source_rank, printf('%012.1f|%012d', risk_score, supplier_id) AS source_order
+         CAST(NULL AS BIGINT) AS product_id, CAST(supplier_id AS BIGINT) AS supplier_id, 1 AS source_rank, printf('%012.1f|%012d', risk_score, supplier_id) AS source_order
   FROM sc WHERE risk_tier IN ('HIGH', 'CRITICAL')),
 r6 AS (
   SELECT company_id, CASE WHEN severity = 'CRITICAL' THEN 'high' ELSE 'medium' END AS priority,
          'anomaly' AS type, 'Investigate ' || entity_type || ' anomaly' AS title, explanation AS reason,
          'Validate the underlying event before it distorts planning decisions.' AS expected_impact,
-         entity_id AS affected_entity, 2 AS source_rank, printf('%06d', rank) AS source_order
+         entity_id AS affected_entity, CAST(NULL AS BIGINT) AS product_id, CAST(NULL AS BIGINT) AS supplier_id, 2 AS source_rank, printf('%06d', rank) AS source_order
   FROM zr WHERE rank <= 5),
 ru AS (SELECT * FROM r4 UNION ALL SELECT * FROM r5 UNION ALL SELECT * FROM r6),
 rr AS (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY
@@ -456,16 +458,23 @@ rr AS (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY
        FROM ru)"""
 
 
-def _recs(d):
+def _recs(d, limit=rec.MAX_PER_COMPANY):
     health = _health(d)
     card = sup.supplier_scorecard(d.suppliers, d.shipments)
     z = anom.merged_ranking(anom.zscore_anomalies(anom.daily_product_demand(d.sales)), limit=rec.ANOMALY_POOL)
     return rec.merge_recommendations(rec.inventory_recommendations(health), rec.supplier_recommendations(card),
-                                     rec.anomaly_recommendations(z))
+                                     rec.anomaly_recommendations(z), limit=limit)
+
+
+@query("top_recommendations", oracle(HEALTH_ADAPTERS, SQL_RECS + """
+SELECT company_id, priority, type, title, reason, expected_impact, affected_entity, product_id, supplier_id, rank FROM rr WHERE rank <= 6"""))
+def q_top_recommendations(d):
+    """K5: the dashboard's six first recommendations per company."""
+    return _recs(d, 6)
 
 
 @query("recommendations_rules", oracle(HEALTH_ADAPTERS, SQL_RECS + """
-SELECT company_id, priority, type, title, reason, expected_impact, affected_entity, rank FROM rr WHERE rank <= 30"""))
+SELECT company_id, priority, type, title, reason, expected_impact, affected_entity, product_id, supplier_id, rank FROM rr WHERE rank <= 30"""))
 def q_recommendations_rules(d):
     """Inventory, supplier and demand-anomaly recommendations, top 30 per company by priority."""
     return _recs(d)
@@ -478,7 +487,7 @@ FROM h LEFT JOIN products p ON h.company_id = p.company_id AND h.product_id = p.
 GROUP BY h.company_id"""))
 def q_inventory_value(d):
     """K2: inventory value (level x unit cost) and units per company."""
-    return dash.inventory_value(_health(d), d.products)
+    return dash.inventory_value(_health(d, carry=("unit_cost",)))
 
 
 SQL_COUNTS = """
@@ -498,6 +507,26 @@ def _counts(d):
     return dash.company_counts(d.companies, d.products, d.suppliers, d.sales, d.shipments)
 
 
+@query("tenant_sales", oracle("sales", """
+SELECT company_id, product_id, sale_date, quantity, region FROM sales WHERE company_id = 3"""))
+def q_tenant_sales(d):
+    """K7: one tenant's view of a table; the filter prunes its partitions."""
+    return dash.for_tenant(d.sales, 3).select("company_id", "product_id", "sale_date", "quantity", "region")
+
+
+@query("risk_distribution", oracle("shipments", """
+te AS (SELECT company_id, shipment_key, order_date, ((l_orderkey * 13 + l_partkey * 7) % 1000) / 1000.0 * 0.8
+              + CASE WHEN actual_delivery > planned_delivery THEN 0.2 ELSE 0.0 END AS score FROM shipments)
+SELECT company_id, count(CASE WHEN score >= 0.85 THEN 1 END) AS critical, count(CASE WHEN score >= 0.7 AND score < 0.85 THEN 1 END) AS high,
+       count(CASE WHEN score >= 0.4 AND score < 0.7 THEN 1 END) AS medium, count(CASE WHEN score < 0.4 THEN 1 END) AS low
+FROM te GROUP BY company_id"""))
+def q_risk_distribution(d):
+    """K3: shipments per delay-risk tier and tenant, here of the deterministic score."""
+    late = F.coalesce((F.col("actual_delivery") > F.col("planned_delivery")).cast("double"), F.lit(0.0))
+    score = ((F.col("l_orderkey") * 13 + F.col("l_partkey") * 7) % 1000) / 1000.0 * 0.8 + late * 0.2
+    return dash.risk_distribution(d.shipments.withColumn("risk_tier", tier(score, DELAY_TIERS)))
+
+
 @query("company_summary", oracle("companies,products,suppliers,sales,shipments", SQL_COUNTS + "\nSELECT * FROM cnt"))
 def q_company_summary(d):
     """K6: per company product/supplier/sales/shipment counts and sales date range."""
@@ -518,7 +547,7 @@ SELECT c.company_id, c.name, c.product_count AS products, c.shipment_count AS sh
 FROM cnt c LEFT JOIN summary s ON c.company_id = s.company_id LEFT JOIN val v ON c.company_id = v.company_id"""))
 def q_chain_health_stock_only(d):
     """K1/K4 without the delay model: KPI row per company, health from stockout risk only."""
-    return dash.dashboard_kpis(d.companies, dash.inventory_rollup(_health(d), d.products), _counts(d))
+    return dash.dashboard_kpis(d.companies, dash.inventory_rollup(_health(d, carry=("unit_cost",))), _counts(d))
 
 
 def sql_suff_cte(name: str, src: str, date_col: str, min_n: int, noun: str, empty: str) -> str:

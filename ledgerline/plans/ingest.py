@@ -312,6 +312,62 @@ def q_upsert_suppliers(d):
     return out
 
 
+@query("tabular_read", oracle("raw_suppliers", """
+SELECT "Vendor_ID", "Vendor_Name", "Lead_Time_Days", "On_Time_Rate", "Cost_Index", "Reject_Rate" FROM raw_suppliers"""))
+def q_tabular_read(d):
+    """The supplier upload written as CSV and read back, every column text."""
+    from ledgerline.sources.tabular import read_tabular
+    headers = UPLOADS["raw_suppliers"][1]
+    path = f"{_scratch(d, 'csv')}/up.csv"
+    d.raw_suppliers.select(*[F.col(h).alias(f" {h} ") for h in headers]).write.option("header", True).option(
+        "ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return read_tabular(d.spark, path)
+
+
+PREVIEW_ORDER = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+
+
+@query("preview_sales", oracle("raw_sales", f"SELECT * FROM raw_sales ORDER BY {', '.join(PREVIEW_ORDER)} LIMIT 10"))
+def q_preview_sales(d):
+    """The first ten rows of an upload."""
+    return mp.preview(d.raw_sales, 10, PREVIEW_ORDER)
+
+
+@query("report_without_date", oracle("raw_sales", sql_mapped("raw_sales") + f""",
+s AS (SELECT count(*) AS n, count(CASE WHEN {_miss('product_id')} THEN 1 END) AS np, count(CASE WHEN {_miss('quantity')} THEN 1 END) AS nq,
+             count(CASE WHEN {_miss('product_id')} OR {_miss('quantity')} OR coalesce({_num('quantity')} < 0, false) THEN 1 END) AS bad,
+             count(CASE WHEN coalesce({_num('quantity')} < 0, false) THEN 1 END) AS neg, count(DISTINCT product_id)
+               + max(CASE WHEN product_id IS NULL THEN 1 ELSE 0 END) AS keys FROM mp)
+SELECT 'sales' AS dataset_type, n AS row_count, n - bad AS valid_row_count, 'error' AS severity, 'date' AS field,
+       'Required field ''date'' is not mapped to any column.' AS message,
+       CAST(greatest(0, least(100, round_even(100.0 - 40.0 * bad / n - 15.0 - 2.0 * (CASE WHEN np > 0 AND np / n <= {val.ERROR_SHARE} THEN 1 ELSE 0 END
+         + CASE WHEN nq > 0 AND nq / n <= {val.ERROR_SHARE} THEN 1 ELSE 0 END + CASE WHEN n > keys THEN 1 ELSE 0 END), 0))) AS BIGINT) AS data_quality_score
+FROM s"""))
+def q_report_without_date(d):
+    """V1: the finding for a required field that no column was mapped to."""
+    return val.validation_report(mapped(d, "raw_sales").drop("date"), "sales").where(F.col("field") == "date")
+
+
+@query("stored_daily_sales", oracle("", """
+SELECT l.l_partkey AS product_id, CAST(o.o_orderdate AS DATE) AS date, CAST(count(*) AS DOUBLE) AS quantity,
+       0 AS promotion
+FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
+GROUP BY l.l_partkey, CAST(o.o_orderdate AS DATE)"""))
+def q_stored_daily_sales(d):
+    """The processed sales written to a table and read back."""
+    path = _scratch(d, "tables")
+    prep.write_table(prep.prep_daily_sales(d.t.lineitem, d.online_orders), path)
+    return d.spark.read.parquet(path)
+
+
+@query("unmapped_required")
+def q_unmapped_required(d):
+    """Required fields that no header of the four uploads maps to (all map; without its date column sales lacks one)."""
+    feeds = [(FEED_IDS[n], UPLOADS[n][0], [c for c in getattr(d, n).columns if c in UPLOADS[n][1]]) for n in UPLOADS]
+    feeds.append((0, "sales", [c for c in d.raw_sales.columns if c in UPLOADS["raw_sales"][1] and c != "Date"]))
+    return mp.unmapped_required(mp.suggest_mapping(mp.headers_of(d.spark, feeds)))
+
+
 @query("prep_shipments", oracle("", f"""
 SELECT CAST(o_orderkey AS VARCHAR) AS shipment_id, 'mixed' AS product_id, 'mixed' AS supplier_id,
        'Olist Warehouse' AS origin, 'Customer' AS destination, 'Correios' AS carrier, 'road' AS transport_mode,

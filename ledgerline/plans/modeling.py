@@ -1,9 +1,9 @@
 """Registered model-backed queries (rows-only checks: model outputs have no SQL twin).
 
 Trained models are memoised per (session, data folder), so the queries that
-share the base demand or delay models fit them once per process. The
-registered queries use 10-tree ensembles to keep the checks quick; the
-library defaults are the reference's sizes.
+share the base demand or delay models fit them once per process. Trees and
+boosting steps are the reference's; a fit sees at most ``demand.FIT_ROWS``
+labelled rows.
 """
 
 from __future__ import annotations
@@ -23,23 +23,19 @@ from ledgerline.operators import isolation_forest as iso
 from ledgerline.operators import recommend as rec
 from ledgerline.operators import scenario as scn
 from ledgerline.operators import supplier as sup
+from ledgerline.plans.features import LATEST
 from ledgerline.plans.register import query
 
-N_EST = 10
-_MODELS: dict = {}
-
-
 def _memo(d, key, build):
-    k = (id(d.spark), d.t.root, key)
-    if k not in _MODELS:
-        _MODELS[k] = build()
-    return _MODELS[k]
+    kept = d.__dict__.setdefault("_models", {})  # goes with the input it was fitted on
+    if key not in kept:
+        kept[key] = build()
+    return kept[key]
 
 
 def base_demand(d):
-    """Base (pooled) demand model on the brand pool: the reference's base model grain."""
-    return _memo(d, "demand", lambda: dm.train_demand_model(d.sales_pool, keys=("product_id",), scope=(),
-                                                            n_estimators=N_EST))
+    """Base demand model over every tenant's products, pooled."""
+    return _memo(d, "demand", lambda: dm.train_demand_model(d.sales, scope=()))
 
 
 def _delay_feat(d):
@@ -63,11 +59,11 @@ def _shipment_anomalies(d):
 
 
 def base_classifier(d):
-    return _memo(d, "clf", lambda: dl.train_delay_classifier(_delay_feat(d), scope=(), n_estimators=N_EST))
+    return _memo(d, "clf", lambda: dl.train_delay_classifier(_delay_feat(d), scope=()))
 
 
 def base_duration(d):
-    return _memo(d, "dur", lambda: dl.train_duration_model(_delay_feat(d), scope=(), n_estimators=N_EST))
+    return _memo(d, "dur", lambda: dl.train_duration_model(_delay_feat(d), scope=()))
 
 
 @query("demand_model_metrics")
@@ -78,8 +74,8 @@ def q_demand_model_metrics(d):
 
 @query("demand_forecast")
 def q_demand_forecast(d):
-    """30-day recursive forecast of every brand with the base model (array forest)."""
-    return dm.forecast_products(d.sales_pool, base_demand(d), 30)
+    """30-day recursive forecast of every product of every tenant with the base model (array forest)."""
+    return dm.forecast_products(d.sales, base_demand(d), 30)
 
 
 @query("delay_model_metrics")
@@ -94,7 +90,7 @@ def q_duration_model_metrics(d):
     return dl.metrics_rows(d.spark, base_duration(d))
 
 
-def _latest_scored(d, limit=50):
+def _latest_scored(d, limit=LATEST):
     feat = _serving(d)
     w = Window.partitionBy("company_id").orderBy(*[F.col(c).desc() for c in
                                                    ("order_date", "l_orderkey", "l_linenumber", "l_partkey",
@@ -105,7 +101,7 @@ def _latest_scored(d, limit=50):
 
 @query("shipment_risk")
 def q_shipment_risk(d):
-    """Each tenant's 50 newest shipments scored (probability, tier, expected delay) with truth."""
+    """Each tenant's newest shipments scored (probability, tier, expected delay) with truth."""
     s = _latest_scored(d)
     return s.select("company_id", "shipment_key", "order_date", "rank", "delay_probability", "risk_tier",
                     "expected_delay_days",
@@ -174,9 +170,9 @@ def q_dashboard(d):
     """K1/K3/K4: KPI row per tenant with shipment risk counts from the delay model over all shipments."""
     scored = dl.score_shipments(_serving(d), base_classifier(d))
     risk = dash.risk_distribution(scored)
-    health = inv.inventory_health(d.products, d.inventory_records, d.sales, d.shipments, d.suppliers)
+    health = inv.inventory_health(d.products, d.inventory_records, d.sales, d.shipments, d.suppliers, carry=("unit_cost",))
     counts = dash.company_counts(d.companies, d.products, d.suppliers, d.sales, d.shipments)
-    k = dash.dashboard_kpis(d.companies, dash.inventory_rollup(health, d.products), counts,
+    k = dash.dashboard_kpis(d.companies, dash.inventory_rollup(health), counts,
                             risk.select("company_id", "critical", "high"))
     return k.join(risk.select("company_id", F.col("critical").alias("risk_critical"), F.col("high").alias("risk_high"),
                               F.col("medium").alias("risk_medium"), F.col("low").alias("risk_low")),

@@ -25,7 +25,8 @@ JOIN part p ON l.l_partkey = p.p_partkey""",
 SELECT DISTINCT s.s_nationkey AS company_id,
        s.s_nationkey * 100 + CAST(substr(p.p_brand, 7) AS INT) AS product_id,
        p.p_brand AS external_product_id, p.p_brand AS name,
-       CAST(50 + ((s.s_nationkey * 100 + CAST(substr(p.p_brand, 7) AS INT)) * 37) % 950 AS DOUBLE) AS unit_cost
+       CAST(50 + ((s.s_nationkey * 100 + CAST(substr(p.p_brand, 7) AS INT)) * 37) % 950 AS DOUBLE) AS unit_cost,
+       'Category ' || CAST((s.s_nationkey * 100 + CAST(substr(p.p_brand, 7) AS INT)) % 7 AS VARCHAR) AS category
 FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey JOIN part p ON l.l_partkey = p.p_partkey""",
     "suppliers": """
 SELECT s_nationkey AS company_id, s_suppkey AS supplier_id, s_name AS name,

@@ -250,6 +250,7 @@ class SupplyChainData:
             F.col("p_brand").alias("external_product_id"),
             F.col("p_brand").alias("name"),
             (F.lit(50) + (pid * 37) % 950).cast("double").alias("unit_cost"),
+            F.concat(F.lit("Category "), (pid % 7).cast("string")).alias("category"),
         )
 
     @cached_property
