@@ -31,6 +31,7 @@ HORIZONS = (7, 30, 90)
 MIN_USABLE_ROWS, MIN_TRAIN_ROWS, MIN_TEST_ROWS = 50, 20, 5
 MIN_SALES_ROWS_TO_FORECAST = 20
 SEED = 42
+FIT_PARTITIONS = 8  # of such a sample: a boosted fit is hundreds of short jobs
 FIT_ROWS = 100_000  # labelled rows a fit sees at most (a hash sample of all); evaluation covers every row
 
 
@@ -73,7 +74,7 @@ def _encode(train: DataFrame, other: DataFrame, keys, scope):
 def fit_sample(df: DataFrame, n: int, keys, most: int = FIT_ROWS) -> DataFrame:
     """About ``most`` of ``n`` labelled rows, picked by a hash of their keys: the same rows on any cluster."""
     share = F.lit(min(1.0, most / max(n, 1)))
-    return df.where(F.pmod(F.xxhash64(*keys, F.lit(SEED)), F.lit(1 << 20)) < share * (1 << 20))
+    return df.where(F.pmod(F.xxhash64(*keys, F.lit(SEED)), F.lit(1 << 20)) < share * (1 << 20)).repartition(FIT_PARTITIONS, *keys)
 
 
 def _mae(pred: DataFrame) -> float:

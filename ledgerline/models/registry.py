@@ -34,11 +34,12 @@ def registry_path(spark: SparkSession) -> str:
 
 
 def read_registry(spark: SparkSession, path: str | None = None) -> DataFrame:
+    """The registry, empty before anything is written; a storage error is an error, not an empty registry."""
     path = path or registry_path(spark)
-    try:
-        return spark.read.schema(gov.REGISTRY_SCHEMA).parquet(path)
-    except Exception:  # noqa: BLE001 - no registry written yet
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
         return spark.createDataFrame([], gov.REGISTRY_SCHEMA)
+    return spark.read.schema(gov.REGISTRY_SCHEMA).parquet(path)
 
 
 def append_registry(spark: SparkSession, rows: list[tuple], path: str | None = None) -> None:
@@ -75,33 +76,41 @@ def train_base(spark, sales: DataFrame, shipments: DataFrame, suppliers: DataFra
         return [_row(spark, "demand", None, m, m.metrics, span[0], span[1])]
     feat = dl.feature_frame(shipments, suppliers, scope=())
     clf = dl.train_delay_classifier(feat, n_estimators=n_estimators)
-    out = [_row(spark, "shipment_delay", None, clf.model, clf.metrics, clf.metrics["train_rows"], 0)]
+    size = _completed(shipments)
+    out = [_row(spark, "shipment_delay", None, clf.model, clf.metrics, *size)]
     try:
         dur = dl.train_duration_model(feat, n_estimators=n_estimators)
-        out.append(_row(spark, "shipment_duration", None, dur.model, dur.metrics, dur.metrics["train_rows"], 0))
+        out.append(_row(spark, "shipment_duration", None, dur.model, dur.metrics, *size))
     except dm.InsufficientData:
         pass
     return out
 
 
-def _train_one(spark, kind, cid, sales, shipments, suppliers, n_estimators):
+def _completed(shipments: DataFrame) -> tuple[int, int]:
+    """Completed shipments and the days their orders span: what the registry records of a shipment model's data."""
+    r = shipments.where(F.col("actual_delivery").isNotNull()).agg(
+        F.count(F.lit(1)), F.datediff(F.max("order_date"), F.min("order_date"))).first()
+    return r[0], r[1] or 0
+
+
+def _train_one(spark, kind, cid, sales, shipments, suppliers, n_estimators, size):
     spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"tenant_{cid}")
     try:
         if kind == "demand":
             s = sales.where(F.col("company_id") == cid)
             m = dm.train_demand_model(s, scope=(), n_estimators=n_estimators)
-            return [_row(spark, "demand", cid, m, m.metrics, m.metrics["train_rows"], 0)], None
+            return [_row(spark, "demand", cid, m, m.metrics, *size)], None
         sh = shipments.where(F.col("company_id") == cid)
         feat = dl.feature_frame(sh, suppliers.where(F.col("company_id") == cid), scope=())
         clf = dl.train_delay_classifier(feat, n_estimators=n_estimators)
-        rows = [_row(spark, "shipment_delay", cid, clf.model, clf.metrics, clf.metrics["train_rows"], 0)]
+        rows = [_row(spark, "shipment_delay", cid, clf.model, clf.metrics, *size)]
         try:
             dur = dl.train_duration_model(feat, n_estimators=n_estimators)
-            rows.append(_row(spark, "shipment_duration", cid, dur.model, dur.metrics, dur.metrics["train_rows"], 0))
+            rows.append(_row(spark, "shipment_duration", cid, dur.model, dur.metrics, *size))
         except dm.InsufficientData:
             pass  # a company classifier without a company duration model serves no duration (reference rule)
         return rows, None
-    except dm.InsufficientData as e:
+    except Exception as e:  # noqa: BLE001 - one tenant's failure is its outcome and never loses the others' fits
         return [], str(e)
     finally:
         spark.sparkContext.setLocalProperty("spark.scheduler.pool", None)
@@ -119,13 +128,13 @@ def train_tenants(spark, companies: DataFrame, sales: DataFrame, shipments: Data
     outcomes, todo = [], []
     for r in suff:
         if r["is_sufficient"]:
-            todo.append(r["company_id"])
+            todo.append((r["company_id"], (r["record_count"], r["history_days"])))
         else:
             outcomes.append((r["company_id"], kind, False, r["reason"]))
     rows = []
     with ThreadPoolExecutor(max_workers=max_parallel) as pool:
-        futs = {cid: pool.submit(_train_one, spark, kind, cid, sales, shipments, suppliers, n_estimators)
-                for cid in todo}
+        futs = {cid: pool.submit(_train_one, spark, kind, cid, sales, shipments, suppliers, n_estimators, size)
+                for cid, size in todo}
         for cid, f in futs.items():
             r, err = f.result()
             rows.extend(r)
@@ -133,9 +142,17 @@ def train_tenants(spark, companies: DataFrame, sales: DataFrame, shipments: Data
     return rows, outcomes
 
 
-def ensure_model(spark, companies: DataFrame, kind: str, train_base_fn) -> DataFrame:
-    """Each tenant's own active model, else the base; train the base only if none exists."""
+def ensure_model(spark, companies: DataFrame, kind: str, train_base_fn, train_tenants_fn=None) -> DataFrame:
+    """Each tenant's own active model, else the base.
+
+    Tenants without a model of their own are first offered to ``train_tenants_fn`` (companies -> registry rows and
+    outcomes); the base is trained only if none exists.
+    """
     reg = read_registry(spark)
+    if train_tenants_fn is not None:
+        own = reg.where((F.col("model_type") == kind) & F.col("company_id").isNotNull()).select("company_id").distinct()
+        append_registry(spark, train_tenants_fn(companies.join(own, "company_id", "left_anti"))[0])
+        reg = read_registry(spark)
     if reg.where((F.col("model_type") == kind) & F.col("company_id").isNull()).limit(1).count() == 0:
         append_registry(spark, train_base_fn())
         reg = read_registry(spark)

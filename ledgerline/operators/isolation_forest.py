@@ -1,15 +1,12 @@
 """Shipment isolation forest (A2), after Liu, Ting & Zhou (2008), for every tenant at once.
 
-* Fit: per tenant a uniform sample pool (at most ``pool_factor`` x 100 x 256
-  rows, drawn with a per-tenant Bernoulli rate from the tenant counts) is
-  grouped by tenant in ``applyInPandas``; 100 isolation trees of up to 256
-  rows each are grown in numpy. A group is bounded by the pool size, never by
-  the tenant's size.
-* Score: forests are small (<= 100 x 511 nodes per tenant) and shipped as a
-  broadcast, at most ``tenants_per_broadcast`` tenants at a time; every row
-  is scored in ``mapInPandas``.
-* Threshold: the contamination quantile of each tenant's scores with
-  ``percentile_approx`` (sklearn uses the exact percentile of the same scores).
+* Fit: every (tenant, tree) takes the 256 rows of smallest hash(row key, tree), so the sample doesn't depend on how
+  the rows are laid out. A row is offered only to the trees for which its hash is small enough to be among them (a bound
+  from the tenant's row count), then the smallest are kept per (tenant, tree); each tree is grown from its own group.
+* Score: the forests are a table. Each tenant's rows are dealt into buckets of about ``BUCKET_ROWS`` and meet their
+  forest there, so a large tenant is many tasks and nothing passes through the driver.
+* Threshold: the exact percentile of each tenant's scores, linearly interpolated between neighbouring ranks, which
+  distributed prefix sums over the distinct scores find.
 """
 
 from __future__ import annotations
@@ -22,11 +19,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
+
+from ledgerline.functions.metrics import prefix_sums
+from ledgerline.session import cut_lineage
 
 N_TREES = 100
 MAX_SAMPLES = 256
 CONTAMINATION = 0.05
 MIN_ROWS = 15
+OFFERED = 420        # rows offered to a tree on average; fewer than 256 has a chance under 1e-12
+BUCKET_ROWS = 50_000
 SEED = 42
 FEATURES = ("distance_km", "weight_kg", "quantity")
 EULER = 0.5772156649015329
@@ -81,29 +84,30 @@ def grow_tree(x: np.ndarray, rng: np.random.Generator, limit: int):
     return feat, thr, left, right, leaf
 
 
-def _fit_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    cid = int(pdf["company_id"].iloc[0])
-    n_total = int(pdf["_n"].iloc[0])
-    x = pdf[list(FEATURES)].to_numpy(dtype=np.float64)
-    psi = min(MAX_SAMPLES, n_total, len(x))
-    limit = int(math.ceil(math.log2(max(psi, 2))))
-    rng = np.random.default_rng([SEED, cid])
-    rows = []
-    for t in range(N_TREES):
-        idx = rng.choice(len(x), size=psi, replace=False)
-        f, th, lt, rt, lv = grow_tree(x[idx], rng, limit)
-        rows.append((cid, t, psi, f, th, lt, rt, lv))
-    return pd.DataFrame(rows, columns=[f.name for f in TREE_SCHEMA.fields])
-
-
-def fit_forests(rows: DataFrame, pool_factor: float = 1.2) -> DataFrame:
-    """Trees per tenant with at least ``MIN_ROWS`` rows (features null -> 0)."""
-    x = rows.select("company_id", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in FEATURES])
+def _fit_tree(pdf: pd.DataFrame) -> pd.DataFrame:
+    cid, tree = int(pdf["company_id"].iloc[0]), int(pdf["tree"].iloc[0])
+    x = pdf.sort_values("rank")[list(FEATURES)].to_numpy(dtype=np.float64)
+    limit = int(math.ceil(math.log2(max(len(x), 2))))
+    f, th, lt, rt, lv = grow_tree(x, np.random.default_rng([SEED, cid, tree]), limit)
+    return pd.DataFrame([(cid, tree, len(x), f, th, lt, rt, lv)], columns=[c.name for c in TREE_SCHEMA.fields])
+
+
+def fit_forests(rows: DataFrame, key: str = "shipment_key") -> DataFrame:
+    """Trees per tenant with at least ``MIN_ROWS`` rows (features null -> 0); ``key`` identifies a row."""
+    x = rows.select(F.col("company_id").cast("int").alias("company_id"), F.col(key).cast("string").alias("_key"),
+                    *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in FEATURES])
     counts = x.groupBy("company_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= MIN_ROWS)
-    pool = N_TREES * MAX_SAMPLES * pool_factor
-    rate = F.least(F.lit(1.0), F.lit(pool) / F.col("_n"))
-    sampled = x.join(counts, "company_id").where(F.rand(SEED) < rate)
-    return sampled.groupBy("company_id").applyInPandas(_fit_group, TREE_SCHEMA)
+    unit = 1 << 40
+
+    def draw(tree):
+        return F.pmod(F.xxhash64("_key", tree, F.lit(SEED)), F.lit(unit))
+
+    bound = F.least(F.lit(1.0), F.lit(float(OFFERED)) / F.col("_n")) * unit
+    offered = x.join(counts, "company_id").withColumn(
+        "tree", F.explode(F.filter(F.sequence(F.lit(0), F.lit(N_TREES - 1)), lambda t: draw(t) < bound)))
+    rank = F.row_number().over(Window.partitionBy("company_id", "tree").orderBy(draw(F.col("tree")), "_key"))
+    sample = offered.withColumn("rank", rank).where(F.col("rank") <= MAX_SAMPLES)
+    return sample.select("company_id", "tree", "rank", *FEATURES).groupBy("company_id", "tree").applyInPandas(_fit_tree, TREE_SCHEMA)
 
 
 def _path_lengths(forest: list, x: np.ndarray) -> np.ndarray:
@@ -122,48 +126,41 @@ def _path_lengths(forest: list, x: np.ndarray) -> np.ndarray:
     return total / len(forest)
 
 
-def score_rows(rows: DataFrame, forests: DataFrame, keep: Sequence[str], tenants_per_broadcast: int = 100) -> DataFrame:
-    """score_samples = -2^(-E[h(x)] / c(psi)) for every row of every fitted tenant."""
-    spark = rows.sparkSession
-    tenants = [r["company_id"] for r in forests.select("company_id").distinct().orderBy("company_id").collect()]
-    out_schema = T.StructType([f for f in rows.select(*keep).schema.fields] + [
-        T.StructField("company_id_", T.IntegerType()), T.StructField("if_score", T.DoubleType())])
-    x = rows.select(*keep, F.col("company_id").alias("company_id_"),
+def score_rows(rows: DataFrame, forests: DataFrame, keep: Sequence[str], key: str = "shipment_key") -> DataFrame:
+    """score_samples = -2^(-E[h(x)] / c(psi)) for every row of every fitted tenant: company_id, ``keep`` and if_score."""
+    kept = [c for c in keep if c != "company_id"]
+    x = rows.select(F.col("company_id").cast("int").alias("company_id"), *kept, F.col(key).cast("string").alias("_key"),
                     *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"_x{i}") for i, c in enumerate(FEATURES)])
-    parts = []
-    for i in range(0, len(tenants), tenants_per_broadcast):
-        chunk = tenants[i:i + tenants_per_broadcast]
-        fdf = forests.where(F.col("company_id").isin(chunk)).toPandas()
-        packed = {}
-        for cid, g in fdf.groupby("company_id"):
-            g = g.sort_values("tree")
-            packed[int(cid)] = (int(g["psi"].iloc[0]), [
-                (np.asarray(r.feature, dtype=np.int64), np.asarray(r.threshold), np.asarray(r.left, dtype=np.int64),
-                 np.asarray(r.right, dtype=np.int64), np.asarray(r.leaf_value)) for r in g.itertuples()])
-        bc = spark.sparkContext.broadcast(packed)
-
-        def run(batches, bc=bc):
-            forests_by = bc.value
-            for pdf in batches:
-                scores = np.full(len(pdf), np.nan)
-                for cid, idx in pdf.groupby("company_id_").indices.items():
-                    if int(cid) not in forests_by:
-                        continue
-                    psi, forest = forests_by[int(cid)]
-                    xv = pdf.iloc[idx][[f"_x{j}" for j in range(len(FEATURES))]].to_numpy(dtype=np.float64)
-                    h = _path_lengths(forest, xv)
-                    scores[idx] = -np.power(2.0, -h / float(c_factor([psi])[0]))
-                out = pdf[[*keep, "company_id_"]].copy()
-                out["if_score"] = scores
-                yield out
-
-        parts.append(x.where(F.col("company_id_").isin(chunk)).mapInPandas(run, out_schema))
-    if not parts:
-        return spark.createDataFrame([], out_schema)
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
-    return u
+    buckets = x.groupBy("company_id").agg(F.ceil(F.count(F.lit(1)) / BUCKET_ROWS).alias("_buckets"))
+    x = x.join(buckets, "company_id").withColumn("_bucket", F.pmod(F.xxhash64("_key"), F.col("_buckets"))).drop("_buckets")
+    f = forests.join(buckets, "company_id").withColumn("_bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_buckets") - 1)))
+    out_schema = T.StructType([x.schema["company_id"], *[x.schema[c] for c in kept], T.StructField("if_score", T.DoubleType())])
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = left[["company_id", *kept]].copy()
+        if not len(left) or not len(right):
+            return out.iloc[:0].assign(if_score=pd.Series(dtype="float64"))
+        forest = [(np.asarray(r.feature, dtype=np.int64), np.asarray(r.threshold), np.asarray(r.left, dtype=np.int64),
+                   np.asarray(r.right, dtype=np.int64), np.asarray(r.leaf_value)) for r in right.sort_values("tree").itertuples()]
+        h = _path_lengths(forest, left[[f"_x{j}" for j in range(len(FEATURES))]].to_numpy(dtype=np.float64))
+        out["if_score"] = -np.power(2.0, -h / float(c_factor([int(right["psi"].max())])[0]))
+        return out
+
+    return x.groupBy("company_id", "_bucket").cogroup(f.groupBy("company_id", "_bucket")).applyInPandas(run, out_schema)
+
+
+def score_quantile(scored: DataFrame, share: float) -> DataFrame:
+    """(company_id, _offset): the exact ``share`` quantile of each tenant's scores, interpolated linearly between ranks."""
+    distinct = scored.groupBy("company_id", "if_score").agg(F.count(F.lit(1)).alias("_c"))
+    placed = prefix_sums(distinct, ["company_id"], "if_score", ["_c"])  # _cum__c: rows of smaller score
+    total = distinct.groupBy("company_id").agg((F.lit(share) * (F.sum("_c") - 1)).alias("_at"))
+    low, up = F.floor("_at"), F.ceil("_at")
+
+    def of(rank):
+        return F.max(F.when((F.col("_cum__c") <= rank) & (rank < F.col("_cum__c") + F.col("_c")), F.col("if_score")))
+
+    ends = placed.join(total, "company_id").groupBy("company_id", "_at").agg(of(low).alias("_a"), of(up).alias("_b"))
+    return ends.select("company_id", (F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_at") - low)).alias("_offset"))
 
 
 def shipment_anomalies(shipments: DataFrame, contamination: float = CONTAMINATION,
@@ -174,9 +171,8 @@ def shipment_anomalies(shipments: DataFrame, contamination: float = CONTAMINATIO
     """
     keep = ["shipment_key", "order_date", "quantity"]
     forests = forests if forests is not None else fit_forests(shipments)
-    scored = score_rows(shipments, forests, keep).withColumnRenamed("company_id_", "company_id")
-    offset = scored.groupBy("company_id").agg(
-        F.percentile_approx("if_score", contamination, 100000).alias("_offset"))
+    scored = cut_lineage(score_rows(shipments, forests, keep))  # scored once for the quantile and the rows
+    offset = score_quantile(scored, contamination)
     j = scored.join(offset, "company_id").withColumn("decision", F.col("if_score") - F.col("_offset"))
     an = j.where(F.col("decision") < 0)
     score = F.least(F.lit(1.0), F.abs("decision") * 2)

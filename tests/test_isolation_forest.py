@@ -29,3 +29,30 @@ def test_isolation_forest_flags_outliers(spark):
 def test_c_factor():
     assert iso.c_factor([1])[0] == 0 and iso.c_factor([2])[0] == 1
     assert abs(iso.c_factor([256])[0] - (2 * (np.log(255) + iso.EULER) - 2 * 255 / 256)) < 1e-12
+
+
+def _frame(spark, n, parts):
+    rng = np.random.default_rng(4)
+    rows = [(1 + i % 2, f"k{i}", dt.date(2026, 1, 1), float(rng.normal(500, 20)), float(rng.normal(100, 5)), float(rng.integers(1, 9))) for i in range(n)]
+    return spark.createDataFrame(rows, "company_id int, shipment_key string, order_date date, distance_km double, weight_kg double, "
+                                       "quantity double").repartition(parts)
+
+
+def test_same_rows_are_flagged_on_any_layout(spark, monkeypatch):
+    monkeypatch.setattr(iso, "BUCKET_ROWS", 300)
+    a, b = (sorted(map(str, iso.shipment_anomalies(_frame(spark, 3000, p)).collect())) for p in (2, 9))
+    assert a == b and len(a) > 100
+
+
+def test_each_tree_has_its_rows(spark):
+    trees = iso.fit_forests(_frame(spark, 3000, 4)).collect()
+    assert len(trees) == 200 and {t["psi"] for t in trees} == {256}
+
+
+def test_quantile_is_exact(spark):
+    rng = np.random.default_rng(1)
+    x = {c: rng.integers(0, 40, n) / 40.0 for c, n in ((1, 501), (2, 1000), (3, 17), (4, 1))}
+    df = spark.createDataFrame([(c, float(v)) for c, vs in x.items() for v in vs], "company_id int, if_score double")
+    for share in (0.05, 0.5, 0.0, 1.0):
+        got = {r["company_id"]: r["_offset"] for r in iso.score_quantile(df, share).collect()}
+        assert all(abs(got[c] - np.quantile(v, share)) < 1e-12 for c, v in x.items())
