@@ -49,3 +49,25 @@ def test_query_over_all_documents(spark):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF_MID}/documents.parquet").select("doc_id", "text").collect()]
     expected = {i: (n, gone, hashlib.sha256((kept or "").encode()).hexdigest()) for i, (n, gone, kept) in plain(rows, 20).items()}
     assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in QUERIES["op6_substring_dedup"](spark, SF_MID).collect()} == expected
+
+
+@pytest.mark.parametrize(("window", "letters", "shard"), [(20, 2, 10**6), (20, 30, 900), (6, 3, 500)])
+def test_suffix_automata_remove_the_same(spark, window, letters, shard):
+    from ledgerline.llm import suffix_automaton as A
+
+    r = random.Random(letters)
+    pool = [" ".join(f"w{r.randrange(letters)}" for _ in range(r.randint(1, 60))) for _ in range(12)]
+    rows = [(i, r.choice([" ", "\n"]).join(r.choice(pool) for _ in range(r.randint(0, 4)))) for i in range(50)] + [(90, None), (91, ""), (None, pool[0])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {x["doc_id"]: (x["n_words"], x["n_removed"], x["kept"]) for x in A.dedup(df, window=window, shard_words=shard).collect() if x["doc_id"] is not None}
+    assert got == plain(rows, window)
+    assert A.dedup(df.limit(0)).count() == 0
+
+
+def test_known_passages_go(spark):
+    from ledgerline.llm import suffix_automaton as A
+
+    known = " ".join(f"k{i}" for i in range(25))
+    rows = [(1, f"a b {known} c"), (2, " ".join(known.split()[:19])), (3, None), (4, known + " " + known)]
+    out = {x["doc_id"]: x["kept"] for x in A.remove_known(spark.createDataFrame(rows, "doc_id long, text string"), [known, "x"]).collect()}
+    assert out == {1: "a b c", 2: rows[1][1], 3: None, 4: ""}
