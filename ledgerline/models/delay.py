@@ -10,6 +10,7 @@ shipment's explanation never leaves its row (no shuffle).
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
@@ -18,7 +19,7 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomF
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.functions import metrics as met
@@ -311,3 +312,42 @@ def shipment_detail(shipments: DataFrame, suppliers: DataFrame, clf: DelayModel,
     tenant = shipments.where(F.col("company_id") == company_id)
     feat = serving_features(tenant, suppliers.where(F.col("company_id") == company_id), scope=("company_id",))
     return score_shipments(feat.where(F.col("shipment_key") == shipment_key), clf, dur)
+
+
+# ---------------------------------------------------------------------------------------------
+# Bundles and serving through the registry (G4 -> C15)
+# ---------------------------------------------------------------------------------------------
+def save_model(m: DelayModel, path: str) -> None:
+    """Bundle: the fitted pipeline, and its name, kind, feature names and metrics."""
+    spark = SparkSession.getActiveSession()
+    m.model.write().overwrite().save(f"{path}/model")
+    meta = {"name": m.name, "kind": m.kind, "feature_names": m.feature_names, "metrics": m.metrics}
+    spark.createDataFrame([(json.dumps(meta, default=float),)], "meta string").coalesce(1).write.mode("overwrite").json(f"{path}/meta")
+
+
+def load_model(spark, path: str) -> DelayModel:
+    meta = json.loads(spark.read.schema("meta string").json(f"{path}/meta").first()["meta"])
+    return DelayModel(meta["name"], PipelineModel.load(f"{path}/model"), meta["feature_names"], meta["metrics"], meta["kind"])
+
+
+def score_with_registry(feat: DataFrame, classifiers: DataFrame, durations: DataFrame) -> DataFrame:
+    """C15 for every tenant with the models the registry holds for it.
+
+    ``classifiers`` and ``durations`` come from ``governance.active_model``. A tenant is scored by its own classifier,
+    else the base; a duration is given only by a duration model of the same source. Models, not tenants, are walked
+    through: tenants of one pair of models are scored together.
+    """
+    spark = feat.sparkSession
+    d = durations.select("company_id", F.col("model_path").alias("d_path"), F.col("model_source").alias("d_source"))
+    pairs: dict[tuple, list] = {}
+    for r in classifiers.join(d, "company_id", "left").select("company_id", "model_path", "model_source", "d_path", "d_source").collect():
+        same = r["d_path"] if r["d_source"] == r["model_source"] else None
+        pairs.setdefault((r["model_path"], r["model_source"], same), []).append(r["company_id"])
+    out = None
+    for (clf, source, dur), tenants in pairs.items():
+        rows = feat.where(F.col("company_id").isin(tenants))
+        scored = score_shipments(rows, load_model(spark, clf), load_model(spark, dur) if dur else None).withColumn("model_source", F.lit(source))
+        out = scored if out is None else out.unionByName(scored)
+    if out is None:
+        raise InsufficientData("no tenant has an active delay classifier")
+    return out

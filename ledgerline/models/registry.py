@@ -56,7 +56,7 @@ def _save(model, spark, model_type, company_id) -> str:
     if isinstance(model, dm.DemandModel):
         dm.save_model(model, path)
     else:
-        model.write().overwrite().save(path)
+        dl.save_model(model, path)
     return path
 
 
@@ -67,6 +67,14 @@ def _row(spark, model_type, company_id, fitted, metrics, size, days):
             json.dumps(metrics, default=float), path)
 
 
+def register_base(spark, sales: DataFrame, shipments: DataFrame, demand: dm.DemandModel, clf: dl.DelayModel, dur: dl.DelayModel | None) -> list[tuple]:
+    """G5 for models that are fitted already: save them and give their registry rows."""
+    span = sales.agg(F.count(F.lit(1)), F.datediff(F.max("sale_date"), F.min("sale_date"))).first()
+    size = _completed(shipments)
+    rows = [_row(spark, "demand", None, demand, demand.metrics, span[0], span[1]), _row(spark, "shipment_delay", None, clf, clf.metrics, *size)]
+    return rows + ([_row(spark, "shipment_duration", None, dur, dur.metrics, *size)] if dur else [])
+
+
 def train_base(spark, sales: DataFrame, shipments: DataFrame, suppliers: DataFrame, kind: str,
                n_estimators: int | None = None) -> list[tuple]:
     """Pooled model over every tenant (the one deliberate cross-tenant read)."""
@@ -77,10 +85,10 @@ def train_base(spark, sales: DataFrame, shipments: DataFrame, suppliers: DataFra
     feat = dl.feature_frame(shipments, suppliers, scope=())
     clf = dl.train_delay_classifier(feat, n_estimators=n_estimators)
     size = _completed(shipments)
-    out = [_row(spark, "shipment_delay", None, clf.model, clf.metrics, *size)]
+    out = [_row(spark, "shipment_delay", None, clf, clf.metrics, *size)]
     try:
         dur = dl.train_duration_model(feat, n_estimators=n_estimators)
-        out.append(_row(spark, "shipment_duration", None, dur.model, dur.metrics, *size))
+        out.append(_row(spark, "shipment_duration", None, dur, dur.metrics, *size))
     except dm.InsufficientData:
         pass
     return out
@@ -103,10 +111,10 @@ def _train_one(spark, kind, cid, sales, shipments, suppliers, n_estimators, size
         sh = shipments.where(F.col("company_id") == cid)
         feat = dl.feature_frame(sh, suppliers.where(F.col("company_id") == cid), scope=())
         clf = dl.train_delay_classifier(feat, n_estimators=n_estimators)
-        rows = [_row(spark, "shipment_delay", cid, clf.model, clf.metrics, *size)]
+        rows = [_row(spark, "shipment_delay", cid, clf, clf.metrics, *size)]
         try:
             dur = dl.train_duration_model(feat, n_estimators=n_estimators)
-            rows.append(_row(spark, "shipment_duration", cid, dur.model, dur.metrics, *size))
+            rows.append(_row(spark, "shipment_duration", cid, dur, dur.metrics, *size))
         except dm.InsufficientData:
             pass  # a company classifier without a company duration model serves no duration (reference rule)
         return rows, None

@@ -8,13 +8,14 @@ labelled rows.
 
 from __future__ import annotations
 
-import datetime as dt
+import uuid
 
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ledgerline.models import delay as dl
 from ledgerline.models import demand as dm
+from ledgerline.models import registry as reg
 from ledgerline.operators import anomaly as anom
 from ledgerline.operators import dashboard as dash
 from ledgerline.operators import governance as gov
@@ -25,6 +26,7 @@ from ledgerline.operators import scenario as scn
 from ledgerline.operators import supplier as sup
 from ledgerline.plans.features import LATEST
 from ledgerline.plans.register import query
+from ledgerline.session import checkpoint_root
 
 def _memo(d, key, build):
     kept = d.__dict__.setdefault("_models", {})  # goes with the input it was fitted on
@@ -119,6 +121,40 @@ def q_risk_factors(d):
                 "f.value", "f.direction")
 
 
+@query("shipment_detail")
+def q_shipment_detail(d):
+    """The newest shipment of tenant 3, scored alone from its tenant's history."""
+    own = d.shipments.where(F.col("company_id") == 3)
+    key = own.orderBy(F.desc("order_date"), F.desc("shipment_key")).select("shipment_key").first()["shipment_key"]
+    one = dl.shipment_detail(d.shipments, d.suppliers, base_classifier(d), base_duration(d), 3, key)
+    return one.select("company_id", "shipment_key", "delay_probability", "risk_tier", "expected_delay_days")
+
+
+def _base_registry(d):
+    """A registry of its own that holds the base models fitted on these tables."""
+    def build():
+        path = f"{checkpoint_root(d.spark)}/registry-{uuid.uuid4().hex}"
+        reg.append_registry(d.spark, reg.register_base(d.spark, d.sales, d.shipments, base_demand(d), base_classifier(d), base_duration(d)), path)
+        return path
+
+    return reg.read_registry(d.spark, _memo(d, "registry", build))
+
+
+@query("trained_registry")
+def q_trained_registry(d):
+    """The registry rows that the base fits wrote, with the size and days of what they were fitted on."""
+    return gov.registry_status(_base_registry(d)).drop("model_path", "metrics_json", "registry_id", "training_date")
+
+
+@query("risk_by_registry")
+def q_risk_by_registry(d):
+    """Every shipment scored by the models that the registry holds for its tenant, read back from storage."""
+    registry = _base_registry(d)
+    active = {k: gov.active_model(d.companies, registry, k) for k in ("shipment_delay", "shipment_duration")}
+    scored = dl.score_with_registry(_serving(d), active["shipment_delay"], active["shipment_duration"])
+    return scored.select("company_id", "shipment_key", "delay_probability", "risk_tier", "expected_delay_days", "model_source")
+
+
 @query("shipment_isolation_forest")
 def q_shipment_isolation_forest(d):
     """A2: per-tenant isolation forest over (distance, weight, quantity); 5% contamination."""
