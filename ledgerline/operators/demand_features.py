@@ -39,11 +39,13 @@ def daily_sales(sales: DataFrame, keys: Sequence[str] = PRODUCT, date_col: str =
 def daily_densify(sales: DataFrame, keys: Sequence[str] = PRODUCT, date_col: str = "sale_date") -> DataFrame:
     """each product on a continuous daily calendar from its own first to last day; gaps -> 0."""
     daily = daily_sales(sales, keys, date_col)
-    span = daily.groupBy(*keys).agg(F.min("date").alias("d0"), F.max("date").alias("d1"))
-    cal = span.select(*keys, F.explode(F.sequence("d0", "d1", F.expr("INTERVAL 1 DAY"))).alias("date"))
-    return (cal.join(daily, [*keys, "date"], "left")
-            .select(*keys, "date", F.coalesce("quantity", F.lit(0.0)).alias("quantity"),
-                    F.coalesce("promotion", F.lit(0)).alias("promotion")))
+    # every active day also makes the empty days up to the next one: no second scan and no join
+    following = F.lead("date").over(Window.partitionBy(*keys).orderBy("date"))
+    days = daily.withColumn("_last", F.coalesce(F.date_sub(following, 1), F.col("date")))
+    days = days.select("*", F.explode(F.sequence("date", "_last", F.expr("INTERVAL 1 DAY"))).alias("_day"))
+    active = F.col("_day") == F.col("date")
+    return days.select(*keys, F.col("_day").alias("date"), F.when(active, F.col("quantity")).otherwise(0.0).alias("quantity"),
+                       F.when(active, F.col("promotion")).otherwise(0).alias("promotion"))
 
 
 def calendar_features(df: DataFrame, origin: str | Column | None = None) -> DataFrame:
@@ -87,6 +89,8 @@ def demand_feature_matrix(sales: DataFrame, keys: Sequence[str] = PRODUCT, date_
                           origin=None) -> DataFrame:
     """Dense daily table with calendar, lag and rolling features, warm-up rows dropped."""
     dense = daily_densify(sales, keys, date_col)
+    if origin is None:  # the first dense day is the first day of the facts
+        origin = sales.select(F.min(date_col).cast("date")).scalar()
     feat = lag_roll_features(calendar_features(dense, origin), keys)
     return feat.dropna(subset=LAG_ROLL_COLUMNS)
 

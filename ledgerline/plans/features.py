@@ -69,7 +69,7 @@ def q_daily_densify(d):
 @query("calendar_features", oracle("sales", SQL_DENSE + "," + SQL_CALENDAR + "\nSELECT * FROM calf"))
 def q_calendar_features(d):
     """day of week (Mon=0), month, weekend flag and trend index on the dense table."""
-    return dfe.calendar_features(dfe.daily_densify(d.sales))
+    return dfe.calendar_features(dfe.daily_densify(d.sales), d.sales.select(F.min("sale_date")).scalar())
 
 
 @query("lag_features", oracle("sales", SQL_DENSE + "," + SQL_CALENDAR + "," + SQL_LAGROLL + """
