@@ -1,15 +1,21 @@
-"""Removal of repeated word passages over a whole corpus.
+"""Removal of repeated word passages over a whole corpus, with suffix automata of reference shards.
 
 A window is ``WINDOW`` consecutive words of one document; every word covered by a window whose word sequence also
 starts earlier (in a smaller doc_id, or earlier in the same document) goes. Windows are judged on the input.
 
-Every window is filed under its anchor: of the 5-word groups inside it the one of smallest hash, the first of equals.
-Equal windows have equal anchors, so bringing together the rows of an anchor (its hash, document, place, and 40 bits of
-hash for each of its up to 16 windows) finds all repeats with one row for about nine windows. A task keeps only the
-first of the windows it has seen repeated itself, so a passage that stands in a third of all documents reaches the
-shuffle about once a task. Rows of an anchor are read in the order of documents and places; all but the first of a
-window are removals, which go back to their documents as (place, bit mask). Windows count as equal when 104 bits of
-hash agree.
+The reference is made of the passages that recur: every window that starts somewhere for the first time and stands
+elsewhere again. It is cut into shards of about ``SHARD_WORDS`` words; a task builds the suffix automaton of a shard,
+streams the passages of other documents that may be copies through it, and where the matching statistic reaches the
+window and the state's first start is earlier, the window goes. Overlapping windows join to maximal spans. Since the
+reference grows with the corpus, a shard goes to the tasks that need it instead of being broadcast to all;
+``remove_known`` broadcasts the automaton of a reference of bounded size.
+
+What recurs is found by anchors: each window is filed under the smallest hash of the 5-word groups inside it, the first
+of equals. Equal windows have equal anchors, so one shuffled row for about nine windows (anchor hash, document, place,
+and 32 bits of hash for each window) brings all repeats together. A task keeps only the first of the windows that it has
+seen repeated itself, so a passage that stands in a third of all documents reaches the shuffle about once a task.
+Anchors also name the shard: a passage meets the shard that holds its first occurrence. Hashes only choose what is
+streamed; the automaton compares words.
 
 Results: null texts and texts under ``WINDOW`` words lose nothing; rows that share an id are taken as one document,
 whose removed places go from each of them; rows without id neither lose words nor remove any; an empty table gives an
@@ -28,13 +34,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerline.llm.common import WORD, slices, tidily, with_schema, without
+from ledgerline.llm.common import WORD, hinted, save, slices, tidily, with_schema, without, word_count
 from ledgerline.llm.shingles import hashed_words, windows
+from ledgerline.llm.suffix_automaton import SuffixAutomaton
 
 WINDOW = 20
 GROUP = 5
 SLICE_BYTES = 2_000_000
 SEEN = 500_000
+SHARD_WORDS = 200_000
+RUN_WORDS = 28         # of a passage, on average
+PASSAGES = 20_000      # streamed by a task, about
+BROADCAST_IDS = 500_000
 _WORD = re.compile(WORD)
 
 
@@ -60,8 +71,8 @@ def _runs(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
 
 
 def _packed(value: np.ndarray, keep: np.ndarray) -> np.ndarray:
-    """40 bits of each kept hash, as bytes."""
-    return (value[keep] >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+    """32 bits of each kept hash, as bytes."""
+    return (value[keep] >> np.uint64(32)).astype("<u4").view(np.uint8)
 
 
 class _Combiner:
@@ -70,8 +81,9 @@ class _Combiner:
     def __init__(self):
         self.hash, self.doc = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
-    def later(self, value: np.ndarray, doc: np.ndarray) -> np.ndarray:
-        """Windows that a smaller document of this task has sent on, or that stand earlier in this slice (sorted by document)."""
+    def later(self, value: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Windows that a smaller document of this task has sent on, or that stand earlier in this slice (sorted by
+        document); and those that others here are copies of."""
         order = np.argsort(value, kind="stable")
         v, d = value[order], doc[order]
         again = np.zeros(len(v), bool)
@@ -83,6 +95,8 @@ class _Combiner:
             at = np.minimum(np.searchsorted(self.hash, value), len(self.hash) - 1)
             out |= (self.hash[at] == value) & (self.doc[at] < doc)
         fresh = np.unique(first[again])
+        copied = np.zeros(len(v), bool)
+        copied[order[fresh]] = True
         if len(fresh) and len(self.hash) < SEEN:
             h, d = np.concatenate([self.hash, v[fresh]]), np.concatenate([self.doc, d[fresh]])
             order = np.lexsort((d, h))
@@ -90,10 +104,10 @@ class _Combiner:
             one = np.ones(len(h), bool)
             one[1:] = h[1:] != h[:-1]
             self.hash, self.doc = h[one], d[one]
-        return out
+        return out, copied
 
 
-ANCHORS = "key long, doc long, place int, sent int, gone int, hashes binary"
+ANCHORS = "key long, doc long, place int, sent int, gone int, copied int, hashes binary"
 
 
 def _anchor_rows(column: pa.Array, doc: np.ndarray, combiner: _Combiner, window: int) -> pa.RecordBatch:
@@ -101,20 +115,27 @@ def _anchor_rows(column: pa.Array, doc: np.ndarray, combiner: _Combiner, window:
     at, value, anchor, groups = anchors(words, counts, window)
     row = np.repeat(np.arange(len(counts)), counts)[at]
     place = at - (np.cumsum(counts) - counts)[row]
-    later = combiner.later(value, doc[row])
+    later, copied = combiner.later(value, doc[row])
     first = _runs(anchor, row)
     size = np.diff(np.append(first, len(at)))
     bit = np.left_shift(1, np.arange(len(at)) - np.repeat(first, size))
-    gone = np.add.reduceat(np.where(later, bit, 0), first) if len(first) else np.zeros(0, np.int64)
-    sent = np.left_shift(1, size) - 1 - gone
-    kept = _packed(value, ~later)
-    many = np.add.reduceat((~later).astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
-    offsets = np.concatenate([[0], np.cumsum(many) * 5]).astype(np.int32)
-    hashes = pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(kept))])
-    # rows that send nothing on have no need to meet others: their documents spread them
-    key = np.where(sent > 0, groups[anchor[first]].view(np.int64), doc[row[first]])
-    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc[row[first]]), pa.array(place[first].astype(np.int32)), pa.array(sent.astype(np.int32)),
-                                       pa.array(gone.astype(np.int32)), hashes], ["key", "doc", "place", "sent", "gone", "hashes"])
+
+    def mask(which: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(np.where(which, bit, 0), first) if len(first) else np.zeros(0, np.int64)
+
+    sent, gone = mask(~later), mask(later)
+    held = groups[anchor[first]]
+    alone = sent == 0  # sends nothing on: no need to meet others, so its document spreads it, and the anchor rides along
+    many = np.where(alone, 2, np.add.reduceat((~later).astype(np.int64), first)) if len(first) else np.zeros(0, np.int64)
+    offsets = np.concatenate([[0], np.cumsum(many) * 4])
+    data = np.zeros(int(offsets[-1]), np.uint8)
+    own = np.repeat(alone, many * 4)
+    data[~own] = _packed(value, ~later)
+    data[own] = held[alone].astype("<u8").view(np.uint8)
+    hashes = pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)])
+    key = np.where(alone, doc[row[first]], held.view(np.int64))
+    columns = [key, doc[row[first]], place[first].astype(np.int32), sent.astype(np.int32), gone.astype(np.int32), mask(copied & ~later).astype(np.int32)]
+    return pa.RecordBatch.from_arrays([*map(pa.array, columns), hashes], ["key", "doc", "place", "sent", "gone", "copied", "hashes"])
 
 
 def anchor_rows(docs: DataFrame, text: str, window: int) -> DataFrame:
@@ -135,36 +156,52 @@ _BITS = np.array([bin(i).count("1") for i in range(1 << 16)], np.int64)
 
 
 def _judge(rows: pa.Table, before: tuple) -> tuple[pa.RecordBatch, tuple]:
-    """Removals of rows sorted by (key, doc, place); ``before``: key, windows, documents and places first seen of the key that goes on."""
-    key, doc, place, sent, gone = (rows.column(c).to_numpy() for c in ("key", "doc", "place", "sent", "gone"))
-    raw = np.frombuffer(b"".join(rows.column("hashes").to_pylist()), np.uint8).reshape(-1, 5)
-    value = np.zeros((len(raw), 8), np.uint8)
-    value[:, :5] = raw
-    value = value.view("<u8").reshape(-1)
-    many = _BITS[sent & 0xFFFF] + _BITS[sent >> 16]
+    """Passages of rows sorted by (key, doc, place): (anchor, doc, place, mask, held), held 1 for those that recur and
+    start there first, 0 for their copies. ``before``: what was seen of the key that goes on."""
+    key, doc, place, sent, gone, copied = (rows.column(c).to_numpy() for c in ("key", "doc", "place", "sent", "gone", "copied"))
+    blob = rows.column("hashes").combine_chunks()
+    raw = np.frombuffer(b"".join(blob.to_pylist()), "<u4")
+    width = np.diff(np.frombuffer(blob.buffers()[1], np.int32)[blob.offset: blob.offset + len(blob) + 1]) // 4
+    inside = np.repeat(sent > 0, width)
+    anchor = key.copy()
+    anchor[sent == 0] = np.ascontiguousarray(raw[~inside]).view("<i8")
+    value = raw[inside].astype(np.uint64)
+    many = np.where(sent > 0, width, 0)
     row = np.repeat(np.arange(len(key)), many)
     nth = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
     offset = _nth_bit(sent, row, nth)
     start = place[row].astype(np.int64) + offset
-    d, k = doc[row], key[row]
+    d, k, twice = doc[row], key[row], (copied[row] >> offset) & 1 == 1
     if len(before[1]) and len(key) and key[0] == before[0]:
         n = len(before[1])
         value, k = np.concatenate([before[1], value]), np.concatenate([np.full(n, before[0]), k])
-        d, start = np.concatenate([before[2], d]), np.concatenate([before[3], start])
+        d, start, twice = (np.concatenate([b, x]) for b, x in zip(before[2:], (d, start, twice), strict=True))
         row, offset = np.concatenate([np.full(n, -1), row]), np.concatenate([np.zeros(n, np.int64), offset])
     order = np.lexsort((value, k))  # stable: documents and places stay in order
     v, kk = value[order], k[order]
     new = np.ones(len(v), bool)
     new[1:] = (v[1:] != v[:-1]) | (kk[1:] != kk[:-1])
-    first = order[np.maximum.accumulate(np.where(new, np.arange(len(v)), 0))]
-    away = order[((d[order] != d[first]) | (start[order] != start[first])) & (row[order] >= 0)]
-    mask = gone.astype(np.int64)
-    np.bitwise_or.at(mask, row[away], np.left_shift(1, offset[away]))
-    out = np.flatnonzero(mask)
-    last = key[-1]
-    goes = order[new & (kk == last)]
-    batch = pa.RecordBatch.from_arrays([pa.array(doc[out]), pa.array(place[out]), pa.array(mask[out].astype(np.int32))], ["doc", "place", "mask"])
-    return batch, (last, v[new & (kk == last)], d[goes], start[goes])
+    group = np.cumsum(new) - 1
+    head = order[new]  # first starts
+    first = head[group]
+    differs = (d[order] != d[first]) | (start[order] != start[first])
+    away = order[differs & (row[order] >= 0)]
+    gone_mask, held_mask = gone.astype(np.int64), np.zeros(len(key), np.int64)
+    np.bitwise_or.at(gone_mask, row[away], np.left_shift(1, offset[away]))
+    recurs = np.zeros(len(head), bool)
+    np.logical_or.at(recurs, group, differs | twice[order])
+    last = key[-1] if len(key) else 0
+    # a key that goes on in the next batch tells of its first starts there again: every one counts as recurring
+    recurs |= kk[new] == last
+    lead = head[recurs & (row[head] >= 0)]
+    np.bitwise_or.at(held_mask, row[lead], np.left_shift(1, offset[lead]))
+    out, ref = np.flatnonzero(gone_mask), np.flatnonzero(held_mask)
+    both = np.concatenate([out, ref])
+    batch = pa.RecordBatch.from_arrays([pa.array(anchor[both]), pa.array(doc[both]), pa.array(place[both]), pa.array(np.concatenate([gone_mask[out], held_mask[ref]]).astype(np.int32)),
+                                        pa.array(np.repeat([0, 1], [len(out), len(ref)]).astype(np.int32))], ["anchor", "doc", "place", "mask", "held"])
+    on = new & (kk == last)
+    goes = order[on]
+    return batch, (last, v[on], d[goes], start[goes], twice[goes])
 
 
 def _nth_bit(mask: np.ndarray, row: np.ndarray, nth: np.ndarray) -> np.ndarray:
@@ -187,28 +224,81 @@ def _nth_bit(mask: np.ndarray, row: np.ndarray, nth: np.ndarray) -> np.ndarray:
     return out
 
 
-def removals(docs: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
-    """(doc, place, mask): bit b set when the window at word ``place + b`` of ``doc`` also starts earlier."""
+def passages(docs: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
+    """(anchor, doc, place, mask, held): bit b set for the window at word ``place + b`` of ``doc``; held 1 where windows
+    that recur start first, 0 where their copies stand."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before = (0, np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        before = (0, np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))
         for batch in batches:
             if batch.num_rows:
                 out, before = _judge(pa.Table.from_batches([batch]), before)
                 yield out
 
     rows = anchor_rows(docs, text, window).repartition("key").sortWithinPartitions("key", "doc", "place")
-    return rows.mapInArrow(tidily(run), "doc long, place int, mask int")
+    return rows.mapInArrow(tidily(run), "anchor long, doc long, place int, mask int, held int")
 
 
-def cut(docs: DataFrame, found: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
+def _words_of(docs: DataFrame, found: DataFrame, text: str, window: int) -> DataFrame:
+    """``found`` with the words of each passage, from its document's text."""
+    per = found.groupBy("doc").agg(F.collect_list(F.struct("anchor", "place", "mask", "held")).alias("runs"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col(text).cast("string").alias("text")).filter("text IS NOT NULL").join(per, "doc")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list = []
+            for doc, t, runs in zip(batch.column("doc").to_pylist(), batch.column("text").to_pylist(), batch.column("runs").to_pylist(), strict=True):
+                words = _WORD.findall(t)
+                out += [(r["anchor"], doc, r["place"], r["mask"], r["held"], " ".join(words[r["place"]: r["place"] + r["mask"].bit_length() - 1 + window])) for r in runs]
+            columns = zip(*out, strict=True) if out else [[]] * 6
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["anchor", "doc", "place", "mask", "held", "words"])
+
+    return rows.select("doc", "text", "runs").mapInArrow(tidily(run), "anchor long, doc long, place int, mask int, held int, words string")
+
+
+def confirmed(docs: DataFrame, found: DataFrame, text: str = "text", window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """(doc, place, mask): the copies among ``found`` whose windows the automaton of their shard holds with an earlier start."""
+    totals = {r["held"]: r["count"] for r in found.groupBy("held").count().collect()}
+    shards = max(1, -(-totals.get(1, 0) * RUN_WORDS // shard_words))
+    rows = _words_of(docs, found, text, window).withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
+    sizes = save(found.filter("held = 0").groupBy(F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard")).agg(
+        F.ceil(F.count(F.lit(1)) / PASSAGES).alias("parts")), "passage-shards")
+    rows = rows.join(hinted(sizes, shards), "shard")
+    mine = F.when(F.col("held") == 1, F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc", "place"), F.col("parts"))))
+    rows = rows.withColumn("part", F.explode(mine)).select("shard", "part", "doc", "place", "mask", "held", "words")
+
+    def run(rows: pa.Table) -> pa.Table:
+        held = rows.column("held").to_numpy()
+        doc, place, mask = (rows.column(c).to_numpy() for c in ("doc", "place", "mask"))
+        words = rows.column("words").to_pylist()
+        own = np.flatnonzero(held == 1)
+        sam = SuffixAutomaton((((int(doc[i]), int(place[i])), words[i].split(" ")) for i in own[np.lexsort((place[own], doc[own]))]), window)
+        out = []
+        for i in np.flatnonzero(held == 0):
+            bits, at = 0, (int(doc[i]), int(place[i]))
+            for o, (other, base), there in sam.windows(words[i].split(" ")):
+                if (other, base + there) < (at[0], at[1] + o):
+                    bits |= 1 << o
+            if bits & int(mask[i]):
+                out.append((*at, bits & int(mask[i])))
+        columns = zip(*out, strict=True) if out else [[]] * 3
+        return pa.table([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.int32()), strict=True)], ["doc", "place", "mask"])
+
+    return rows.groupBy("shard", "part").applyInArrow(run, "doc long, place int, mask int")
+
+
+def cut(docs: DataFrame, found: DataFrame | None, text: str = "text", window: int = WINDOW) -> DataFrame:
     """``docs`` with n_words, n_removed and kept: the words no removed window covers, joined by one space (null stays null)."""
     added = [("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept", T.StringType())]
     schema = with_schema(docs, added)
     names = [f.name for f in schema.fields[:-3]]
-    per = found.groupBy("doc").agg(F.collect_list(F.struct("place", "mask")).alias("__gone"))
     rows = without(docs.withColumn("__text", F.col(text).cast("string")), *(n for n, _ in added))
-    rows = rows.join(per.withColumnRenamed("doc", "__doc"), F.col("doc_id").cast("long") == F.col("__doc"), "left")
+    if found is None:
+        rows = rows.withColumn("__gone", F.lit(None).cast("array<struct<place:int,mask:int>>"))
+    else:
+        per = found.groupBy(F.col("doc").alias("__doc")).agg(F.collect_list(F.struct("place", "mask")).alias("__gone"))
+        rows = rows.join(per, F.col("doc_id").cast("long") == F.col("__doc"), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -238,5 +328,54 @@ def cut(docs: DataFrame, found: DataFrame, text: str = "text", window: int = WIN
     return rows.mapInArrow(tidily(run), schema)
 
 
-def dedup(docs: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
-    return cut(docs, removals(docs, text, window), text, window)
+def dedup(docs: DataFrame, text: str = "text", window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """``docs`` with n_words, n_removed and kept. Texts are shuffled only for the documents that passages touch, as long
+    as their ids can be broadcast (their number is checked), and for all beyond."""
+    found = save(passages(docs, text, window), "passages")
+    touched = save(found.select(F.col("doc").alias("__touched")).distinct(), "passage-docs")
+    few = hinted(touched, n := touched.count(), BROADCAST_IDS)
+    same = F.col("doc_id").cast("long") == F.col("__touched")
+    gone = save(confirmed(docs.join(few, same, "left_semi"), found, text, window, shard_words), "passage-copies")
+    if n > BROADCAST_IDS:
+        return cut(docs, gone, text, window)
+    rest = docs.join(few, same, "left_anti")
+    return cut(docs.join(few, same, "left_semi"), gone, text, window).unionByName(cut(rest, None, text, window))
+
+
+def _stream(docs: DataFrame, automaton, text: str, itself: bool) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sam: SuffixAutomaton = automaton.value
+        for batch in batches:
+            doc, place = [], []
+            for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for at, other, there in sam.windows(_WORD.findall(t)):
+                    if not itself or (other, there) < (d, at):
+                        doc.append(d)
+                        place.append(at)
+            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(place, pa.int32()), pa.array(np.ones(len(doc), np.int32))], ["doc", "place", "mask"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
+    return rows.filter(F.col("doc").isNotNull() & F.col("text").isNotNull()).mapInArrow(tidily(run), "doc long, place int, mask int")
+
+
+def remove_known(docs: DataFrame, reference: list[str], text: str = "text", window: int = WINDOW) -> DataFrame:
+    """``docs`` without the words of windows that a text of ``reference`` (bounded: it is broadcast) holds."""
+    sam = SuffixAutomaton(((i, _WORD.findall(t)) for i, t in enumerate(reference)), window)
+    found = _stream(docs, docs.sparkSession.sparkContext.broadcast(sam), text, False)
+    return cut(docs, found.distinct(), text, window)
+
+
+def dedup_by_passes(docs: DataFrame, text: str = "text", window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """As ``dedup``, with every document passing the broadcast automaton of every shard of the corpus, one after the
+    other: work grows with the square of the corpus."""
+    spark = docs.sparkSession
+    known = docs.filter(F.col("doc_id").isNotNull() & F.col(text).isNotNull())
+    words = known.agg(F.sum(word_count(text))).first()[0] or 0
+    shards = max(1, -(-words // shard_words))
+    found = None
+    for k in range(shards):
+        part = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(shards)) == k).select(F.col("doc_id").cast("long").alias("d"), F.col(text).alias("t"))
+        rows = sorted((r["d"], _WORD.findall(r["t"])) for r in part.distinct().collect())
+        one = save(_stream(docs, spark.sparkContext.broadcast(SuffixAutomaton(rows, window)), text, True), "automaton")
+        found = one if found is None else found.unionByName(one)
+    return cut(docs, found.distinct(), text, window)

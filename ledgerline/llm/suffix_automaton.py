@@ -1,39 +1,19 @@
-"""Passage removal with broadcast suffix automata of reference shards.
+"""A suffix automaton over word sequences.
 
-Documents are streamed word by word through the automaton of a shard; the matching statistic at a word is the length of
-the longest passage ending there that the shard holds. Where it reaches the window, the window's state knows where its
-words first start in the shard, and if that is earlier the window goes; overlapping windows join to maximal spans.
-
-``remove_known`` is for a reference of bounded size (a benchmark, a blocklist of passages): one automaton, one pass.
-``dedup`` takes the corpus as its own reference, ``shard_words`` words a shard, and gives the same windows as
-``substring_dedup.removals``; but every document passes every shard, so its work grows with the square of the corpus
-(README has figures), which is why the registered query uses the other.
-
-Results: as in ``substring_dedup``; rows that share an id are one document.
+A text is streamed through it word by word; the matching statistic at a word is the length of the longest passage ending
+there that the automaton holds. Where it reaches the window, the window's state knows where its words first start.
 """
 
 from __future__ import annotations
 
-import re
 from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from ledgerline.llm.common import WORD, save, tidily, word_count
-from ledgerline.llm.substring_dedup import WINDOW, cut
-
-SHARD_WORDS = 200_000
-_WORD = re.compile(WORD)
-
 
 class SuffixAutomaton:
-    """All passages of (document, words) given in ascending order of document."""
+    """All passages of (name, words), given in ascending order of name."""
 
-    def __init__(self, docs: Iterable[tuple[int, list[str]]], window: int):
+    def __init__(self, docs: Iterable[tuple[object, list[str]]], window: int):
         self.window, self.next, self.link, self.len, self.first = window, [{}], [-1], [0], [-1]
         self.docs, self.starts = [], []
         last, at = 0, 0
@@ -75,8 +55,8 @@ class SuffixAutomaton:
                 link[q] = link[cur] = clone
         return cur
 
-    def windows(self, words: list[str]) -> Iterator[tuple[int, int, int]]:
-        """(place, document, place there) of each window of ``words`` that the reference holds, and its first start."""
+    def windows(self, words: list[str]) -> Iterator[tuple[int, object, int]]:
+        """(place, name, place there) of each window of ``words`` that is held, with its first start."""
         nxt, link, length = self.next, self.link, self.len
         state = size = 0
         for i, w in enumerate(words):
@@ -89,41 +69,3 @@ class SuffixAutomaton:
                 place = self.first[self.at[state]] - self.window + 1
                 k = bisect_right(self.starts, place) - 1
                 yield i - self.window + 1, self.docs[k], place - self.starts[k]
-
-
-def _stream(docs: DataFrame, automaton, text: str, itself: bool) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sam: SuffixAutomaton = automaton.value
-        for batch in batches:
-            doc, place = [], []
-            for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for at, other, there in sam.windows(_WORD.findall(t)):
-                    if not itself or (other, there) < (d, at):
-                        doc.append(d)
-                        place.append(at)
-            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(place, pa.int32()), pa.array(np.ones(len(doc), np.int32))], ["doc", "place", "mask"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
-    return rows.filter(F.col("doc").isNotNull() & F.col("text").isNotNull()).mapInArrow(tidily(run), "doc long, place int, mask int")
-
-
-def remove_known(docs: DataFrame, reference: list[str], text: str = "text", window: int = WINDOW) -> DataFrame:
-    """``docs`` without the words of windows that a text of ``reference`` (bounded: it is broadcast) holds."""
-    sam = SuffixAutomaton(((i, _WORD.findall(t)) for i, t in enumerate(reference)), window)
-    found = _stream(docs, docs.sparkSession.sparkContext.broadcast(sam), text, False)
-    return cut(docs, found.distinct(), text, window)
-
-
-def dedup(docs: DataFrame, text: str = "text", window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """The corpus against itself, one broadcast automaton of about ``shard_words`` words after the other."""
-    spark = docs.sparkSession
-    known = docs.filter(F.col("doc_id").isNotNull() & F.col(text).isNotNull())
-    words = known.agg(F.sum(word_count(text))).first()[0] or 0
-    shards = max(1, -(-words // shard_words))
-    found = None
-    for k in range(shards):
-        part = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(shards)) == k).select(F.col("doc_id").cast("long").alias("d"), F.col(text).alias("t"))
-        rows = sorted((r["d"], _WORD.findall(r["t"])) for r in part.distinct().collect())
-        one = save(_stream(docs, spark.sparkContext.broadcast(SuffixAutomaton(rows, window)), text, True), "automaton")
-        found = one if found is None else found.unionByName(one)
-    return cut(docs, found.distinct(), text, window)

@@ -26,13 +26,15 @@ def plain(rows, window):
 def test_random_repeats(spark, monkeypatch, window, letters, slice_bytes, seen):
     monkeypatch.setattr(D, "SLICE_BYTES", slice_bytes)
     monkeypatch.setattr(D, "SEEN", seen)
+    monkeypatch.setattr(D, "PASSAGES", 40)
+    monkeypatch.setattr(D, "BROADCAST_IDS", 500_000 if letters > 2 else 3)
     r = random.Random(window * letters)
     pool = [" ".join(f"w{r.randrange(letters)}" for _ in range(r.randint(1, 90))) for _ in range(25)]
     rows = [(i, r.choice([" ", "\n", "\t \n"]).join(r.choice(pool) for _ in range(r.randint(0, 5)))) for i in range(120)]
     rows += [(500, None), (501, ""), (502, " \n"), (503, "a " * 30_000), (504, "b c " * 500), (505, "b c " * 501)]
     r.shuffle(rows)
     df = spark.createDataFrame([(*x, 1, 2) for x in rows], "doc_id long, text string, doc int, KEPT int").repartition(5)
-    out = D.dedup(df, window=window)
+    out = D.dedup(df, window=window, shard_words=3000)
     assert out.columns == ["doc_id", "text", "doc", "n_words", "n_removed", "kept"]
     assert {x["doc_id"]: (x["n_words"], x["n_removed"], x["kept"]) for x in out.collect()} == plain(rows, window)
 
@@ -53,21 +55,17 @@ def test_query_over_all_documents(spark):
 
 @pytest.mark.parametrize(("window", "letters", "shard"), [(20, 2, 10**6), (20, 30, 900), (6, 3, 500)])
 def test_suffix_automata_remove_the_same(spark, window, letters, shard):
-    from ledgerline.llm import suffix_automaton as A
-
     r = random.Random(letters)
     pool = [" ".join(f"w{r.randrange(letters)}" for _ in range(r.randint(1, 60))) for _ in range(12)]
     rows = [(i, r.choice([" ", "\n"]).join(r.choice(pool) for _ in range(r.randint(0, 4)))) for i in range(50)] + [(90, None), (91, ""), (None, pool[0])]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = {x["doc_id"]: (x["n_words"], x["n_removed"], x["kept"]) for x in A.dedup(df, window=window, shard_words=shard).collect() if x["doc_id"] is not None}
+    got = {x["doc_id"]: (x["n_words"], x["n_removed"], x["kept"]) for x in D.dedup_by_passes(df, window=window, shard_words=shard).collect() if x["doc_id"] is not None}
     assert got == plain(rows, window)
-    assert A.dedup(df.limit(0)).count() == 0
+    assert D.dedup_by_passes(df.limit(0)).count() == 0
 
 
 def test_known_passages_go(spark):
-    from ledgerline.llm import suffix_automaton as A
-
     known = " ".join(f"k{i}" for i in range(25))
     rows = [(1, f"a b {known} c"), (2, " ".join(known.split()[:19])), (3, None), (4, known + " " + known)]
-    out = {x["doc_id"]: x["kept"] for x in A.remove_known(spark.createDataFrame(rows, "doc_id long, text string"), [known, "x"]).collect()}
+    out = {x["doc_id"]: x["kept"] for x in D.remove_known(spark.createDataFrame(rows, "doc_id long, text string"), [known, "x"]).collect()}
     assert out == {1: "a b c", 2: rows[1][1], 3: None, 4: ""}
