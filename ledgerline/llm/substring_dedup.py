@@ -14,8 +14,8 @@ What recurs is found by anchors: each window is filed under the smallest hash of
 of equals. Equal windows have equal anchors, so one shuffled row for about nine windows (anchor hash, document, place,
 and 32 bits of hash for each window) brings all repeats together. A task keeps only the first of the windows that it has
 seen repeated itself, so a passage that stands in a third of all documents reaches the shuffle about once a task.
-Anchors also name the shard: a passage meets the shard that holds its first occurrence. Hashes only choose what is
-streamed; the automaton compares words.
+A copy goes to the shard that holds the document it is a copy of. Hashes only choose what is streamed; the
+automaton compares words.
 
 Results: null texts and texts under ``WINDOW`` words lose nothing; rows that share an id are taken as one document,
 whose removed places go from each of them; rows without id neither lose words nor remove any; an empty table gives an
@@ -43,10 +43,10 @@ GROUP = 5
 SLICE_BYTES = 2_000_000
 SEEN = 500_000
 SHARD_WORDS = 200_000
-RUN_WORDS = 28         # of a passage, on average
-PASSAGES = 20_000      # streamed by a task, about
+STREAMED = 500_000     # windows that a task streams, about
 BROADCAST_IDS = 500_000
 _WORD = re.compile(WORD)
+_BITS = np.array([bin(i).count("1") for i in range(1 << 16)], np.int64)
 
 
 def anchors(words: np.ndarray, counts: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -64,12 +64,6 @@ def anchors(words: np.ndarray, counts: np.ndarray, window: int = WINDOW) -> tupl
     return at, windows(words, window)[at], best[at], g
 
 
-def _runs(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
-    return np.flatnonzero(new)
-
-
 def _packed(value: np.ndarray, keep: np.ndarray) -> np.ndarray:
     """32 bits of each kept hash, as bytes."""
     return (value[keep] >> np.uint64(32)).astype("<u4").view(np.uint8)
@@ -81,19 +75,21 @@ class _Combiner:
     def __init__(self):
         self.hash, self.doc = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
-    def later(self, value: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def later(self, value: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Windows that a smaller document of this task has sent on, or that stand earlier in this slice (sorted by
-        document); and those that others here are copies of."""
+        document); the document that sent them; and the windows that others here are copies of."""
         order = np.argsort(value, kind="stable")
         v, d = value[order], doc[order]
         again = np.zeros(len(v), bool)
         again[1:] = v[1:] == v[:-1]
         first = np.maximum.accumulate(np.where(~again, np.arange(len(v)), 0))
-        out = np.zeros(len(v), bool)
-        out[order] = again
+        out, sender = np.zeros(len(v), bool), np.zeros(len(v), np.int64)
+        out[order], sender[order] = again, d[first]
         if len(self.hash):
             at = np.minimum(np.searchsorted(self.hash, value), len(self.hash) - 1)
-            out |= (self.hash[at] == value) & (self.doc[at] < doc)
+            known = (self.hash[at] == value) & (self.doc[at] < doc)
+            out |= known
+            sender = np.where(known, self.doc[at], sender)
         fresh = np.unique(first[again])
         copied = np.zeros(len(v), bool)
         copied[order[fresh]] = True
@@ -104,10 +100,11 @@ class _Combiner:
             one = np.ones(len(h), bool)
             one[1:] = h[1:] != h[:-1]
             self.hash, self.doc = h[one], d[one]
-        return out, copied
+        return out, sender, copied
 
 
-ANCHORS = "key long, doc long, place int, sent int, gone int, copied int, hashes binary"
+#: sent: windows to be compared, with their hashes under the anchor as key; gone: copies of windows that ``ref`` sent.
+ANCHORS = "key long, doc long, place int, sent int, gone int, copied int, ref long, hashes binary"
 
 
 def _anchor_rows(column: pa.Array, doc: np.ndarray, combiner: _Combiner, window: int) -> pa.RecordBatch:
@@ -115,27 +112,33 @@ def _anchor_rows(column: pa.Array, doc: np.ndarray, combiner: _Combiner, window:
     at, value, anchor, groups = anchors(words, counts, window)
     row = np.repeat(np.arange(len(counts)), counts)[at]
     place = at - (np.cumsum(counts) - counts)[row]
-    later, copied = combiner.later(value, doc[row])
-    first = _runs(anchor, row)
-    size = np.diff(np.append(first, len(at)))
-    bit = np.left_shift(1, np.arange(len(at)) - np.repeat(first, size))
-
-    def mask(which: np.ndarray) -> np.ndarray:
-        return np.add.reduceat(np.where(which, bit, 0), first) if len(first) else np.zeros(0, np.int64)
-
-    sent, gone = mask(~later), mask(later)
-    held = groups[anchor[first]]
-    alone = sent == 0  # sends nothing on: no need to meet others, so its document spreads it, and the anchor rides along
-    many = np.where(alone, 2, np.add.reduceat((~later).astype(np.int64), first)) if len(first) else np.zeros(0, np.int64)
-    offsets = np.concatenate([[0], np.cumsum(many) * 4])
-    data = np.zeros(int(offsets[-1]), np.uint8)
-    own = np.repeat(alone, many * 4)
-    data[~own] = _packed(value, ~later)
-    data[own] = held[alone].astype("<u8").view(np.uint8)
-    hashes = pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)])
-    key = np.where(alone, doc[row[first]], held.view(np.int64))
-    columns = [key, doc[row[first]], place[first].astype(np.int32), sent.astype(np.int32), gone.astype(np.int32), mask(copied & ~later).astype(np.int32)]
-    return pa.RecordBatch.from_arrays([*map(pa.array, columns), hashes], ["key", "doc", "place", "sent", "gone", "copied", "hashes"])
+    later, sender, copied = combiner.later(value, doc[row])
+    held = groups[anchor].view(np.int64)
+
+    def rows_of(which: np.ndarray, by: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first windows, masks, masks of the copied) of the runs of ``which`` with one anchor and one ``by``."""
+        w = np.flatnonzero(which)
+        new = np.ones(len(w), bool)
+        new[1:] = (anchor[w[1:]] != anchor[w[:-1]]) | (row[w[1:]] != row[w[:-1]]) | (by[w[1:]] != by[w[:-1]])
+        start = np.flatnonzero(new)
+        if not len(start):
+            return w, w, w
+        bit = np.left_shift(1, place[w] - np.repeat(place[w[start]], np.diff(np.append(start, len(w)))))
+        return w[start], np.add.reduceat(bit, start), np.add.reduceat(np.where(copied[w], bit, 0), start)
+
+    s_at, s_mask, s_copied = rows_of(~later, anchor)
+    g_at, g_mask, _ = rows_of(later, sender)
+    kept = _packed(value, ~later)
+    many = _BITS[s_mask & 0xFFFF] + _BITS[s_mask >> 16] if len(s_mask) else np.zeros(0, np.int64)
+    offsets = np.concatenate([[0], np.cumsum(many) * 4, np.full(len(g_at), len(kept))]).astype(np.int32)
+    hashes = pa.BinaryArray.from_buffers(pa.binary(), len(s_at) + len(g_at), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(kept))])
+    at_, none = np.concatenate([s_at, g_at]), np.zeros(len(g_at), np.int64)
+    # what sends nothing on has no need to meet others: its document spreads it
+    key = np.concatenate([held[s_at], doc[row[g_at]]])
+    columns = [key, doc[row[at_]], place[at_].astype(np.int32), np.concatenate([s_mask, none]).astype(np.int32),
+               np.concatenate([np.zeros(len(s_at), np.int64), g_mask]).astype(np.int32), np.concatenate([s_copied, none]).astype(np.int32),
+               np.concatenate([np.zeros(len(s_at), np.int64), sender[g_at]])]
+    return pa.RecordBatch.from_arrays([*map(pa.array, columns), hashes], ["key", "doc", "place", "sent", "gone", "copied", "ref", "hashes"])
 
 
 def anchor_rows(docs: DataFrame, text: str, window: int) -> DataFrame:
@@ -152,21 +155,12 @@ def anchor_rows(docs: DataFrame, text: str, window: int) -> DataFrame:
     return rows.filter(F.col("doc").isNotNull() & F.col("text").isNotNull()).mapInArrow(tidily(run), ANCHORS)
 
 
-_BITS = np.array([bin(i).count("1") for i in range(1 << 16)], np.int64)
-
-
 def _judge(rows: pa.Table, before: tuple) -> tuple[pa.RecordBatch, tuple]:
-    """Passages of rows sorted by (key, doc, place): (anchor, doc, place, mask, held), held 1 for those that recur and
-    start there first, 0 for their copies. ``before``: what was seen of the key that goes on."""
-    key, doc, place, sent, gone, copied = (rows.column(c).to_numpy() for c in ("key", "doc", "place", "sent", "gone", "copied"))
-    blob = rows.column("hashes").combine_chunks()
-    raw = np.frombuffer(b"".join(blob.to_pylist()), "<u4")
-    width = np.diff(np.frombuffer(blob.buffers()[1], np.int32)[blob.offset: blob.offset + len(blob) + 1]) // 4
-    inside = np.repeat(sent > 0, width)
-    anchor = key.copy()
-    anchor[sent == 0] = np.ascontiguousarray(raw[~inside]).view("<i8")
-    value = raw[inside].astype(np.uint64)
-    many = np.where(sent > 0, width, 0)
+    """Windows of rows sorted by (key, doc, place), as (doc, place, mask, ref, held): held 1 where windows that recur
+    stand as a reference, 0 where copies of windows of ``ref`` stand. ``before``: what was seen of the key that goes on."""
+    key, doc, place, sent, gone, copied, ref = (rows.column(c).to_numpy() for c in ("key", "doc", "place", "sent", "gone", "copied", "ref"))
+    value = np.frombuffer(b"".join(rows.column("hashes").to_pylist()), "<u4").astype(np.uint64)
+    many = _BITS[sent & 0xFFFF] + _BITS[sent >> 16]
     row = np.repeat(np.arange(len(key)), many)
     nth = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
     offset = _nth_bit(sent, row, nth)
@@ -185,20 +179,31 @@ def _judge(rows: pa.Table, before: tuple) -> tuple[pa.RecordBatch, tuple]:
     head = order[new]  # first starts
     first = head[group]
     differs = (d[order] != d[first]) | (start[order] != start[first])
-    away = order[differs & (row[order] >= 0)]
-    gone_mask, held_mask = gone.astype(np.int64), np.zeros(len(key), np.int64)
-    np.bitwise_or.at(gone_mask, row[away], np.left_shift(1, offset[away]))
     recurs = np.zeros(len(head), bool)
-    np.logical_or.at(recurs, group, differs | twice[order])
+    np.logical_or.at(recurs, group, differs)
     last = key[-1] if len(key) else 0
-    # a key that goes on in the next batch tells of its first starts there again: every one counts as recurring
-    recurs |= kk[new] == last
-    lead = head[recurs & (row[head] >= 0)]
-    np.bitwise_or.at(held_mask, row[lead], np.left_shift(1, offset[lead]))
-    out, ref = np.flatnonzero(gone_mask), np.flatnonzero(held_mask)
-    both = np.concatenate([out, ref])
-    batch = pa.RecordBatch.from_arrays([pa.array(anchor[both]), pa.array(doc[both]), pa.array(place[both]), pa.array(np.concatenate([gone_mask[out], held_mask[ref]]).astype(np.int32)),
-                                        pa.array(np.repeat([0, 1], [len(out), len(ref)]).astype(np.int32))], ["anchor", "doc", "place", "mask", "held"])
+    recurs |= kk[new] == last  # a key that goes on in the next batch may find copies there
+    basis = twice.copy()  # windows that a task has dropped copies of, and first starts
+    basis[head[recurs]] = True
+
+    def masks(which: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(row, mask, of) of windows, one for each row and value of ``of``."""
+        which = which[np.lexsort((of[which], row[which]))]
+        edge = np.ones(len(which), bool)
+        edge[1:] = (row[which[1:]] != row[which[:-1]]) | (of[which[1:]] != of[which[:-1]])
+        at = np.flatnonzero(edge)
+        bits = np.add.reduceat(np.left_shift(1, offset[which]), at) if len(at) else at
+        return row[which[at]], bits, of[which[at]]
+
+    source = np.zeros(len(d), np.int64)
+    source[order] = d[first]
+    copies = masks(order[differs & (row[order] >= 0)], source)
+    refs = masks(np.flatnonzero(basis & (row >= 0)), d)
+    dropped = np.flatnonzero(gone)
+    at = np.concatenate([copies[0], dropped, refs[0]])
+    batch = pa.RecordBatch.from_arrays([pa.array(doc[at]), pa.array(place[at]), pa.array(np.concatenate([copies[1], gone[dropped], refs[1]]).astype(np.int32)),
+                                        pa.array(np.concatenate([copies[2], ref[dropped], refs[2]])), pa.array((np.arange(len(at)) >= len(at) - len(refs[0])).astype(np.int32))],
+                                       ["doc", "place", "mask", "ref", "held"])
     on = new & (kk == last)
     goes = order[on]
     return batch, (last, v[on], d[goes], start[goes], twice[goes])
@@ -225,8 +230,8 @@ def _nth_bit(mask: np.ndarray, row: np.ndarray, nth: np.ndarray) -> np.ndarray:
 
 
 def passages(docs: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
-    """(anchor, doc, place, mask, held): bit b set for the window at word ``place + b`` of ``doc``; held 1 where windows
-    that recur start first, 0 where their copies stand."""
+    """(doc, place, mask, ref, held): bit b set for the window at word ``place + b`` of ``doc``; held 1 where windows that
+    recur stand as a reference (``ref`` is ``doc``), 0 where copies of windows of ``ref`` stand."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = (0, np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))
@@ -236,12 +241,26 @@ def passages(docs: DataFrame, text: str = "text", window: int = WINDOW) -> DataF
                 yield out
 
     rows = anchor_rows(docs, text, window).repartition("key").sortWithinPartitions("key", "doc", "place")
-    return rows.mapInArrow(tidily(run), "anchor long, doc long, place int, mask int, held int")
+    return rows.mapInArrow(tidily(run), "doc long, place int, mask int, ref long, held int")
+
+
+def _joined(runs: list[dict], window: int) -> Iterator[tuple[int, int, int, int]]:
+    """(ref, held, first word, end) of the passages that the windows of one document make, joined where they touch."""
+    last = None
+    for ref, held, place, end in sorted((r["ref"], r["held"], r["place"], r["place"] + r["mask"].bit_length() - 1 + window) for r in runs):
+        if last and last[:2] == (ref, held) and place <= last[3]:
+            last = (ref, held, last[2], max(last[3], end))
+        else:
+            if last:
+                yield last
+            last = (ref, held, place, end)
+    if last:
+        yield last
 
 
 def _words_of(docs: DataFrame, found: DataFrame, text: str, window: int) -> DataFrame:
-    """``found`` with the words of each passage, from its document's text."""
-    per = found.groupBy("doc").agg(F.collect_list(F.struct("anchor", "place", "mask", "held")).alias("runs"))
+    """(ref, held, doc, place, words): the passages of ``found``, from their documents' texts."""
+    per = found.groupBy("doc").agg(F.collect_list(F.struct("ref", "held", "place", "mask")).alias("runs"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col(text).cast("string").alias("text")).filter("text IS NOT NULL").join(per, "doc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,43 +268,44 @@ def _words_of(docs: DataFrame, found: DataFrame, text: str, window: int) -> Data
             out: list = []
             for doc, t, runs in zip(batch.column("doc").to_pylist(), batch.column("text").to_pylist(), batch.column("runs").to_pylist(), strict=True):
                 words = _WORD.findall(t)
-                out += [(r["anchor"], doc, r["place"], r["mask"], r["held"], " ".join(words[r["place"]: r["place"] + r["mask"].bit_length() - 1 + window])) for r in runs]
-            columns = zip(*out, strict=True) if out else [[]] * 6
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["anchor", "doc", "place", "mask", "held", "words"])
+                out += [(ref, held, doc, a, " ".join(words[a:b])) for ref, held, a, b in _joined(runs, window)]
+            columns = zip(*out, strict=True) if out else [[]] * 5
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["ref", "held", "doc", "place", "words"])
 
-    return rows.select("doc", "text", "runs").mapInArrow(tidily(run), "anchor long, doc long, place int, mask int, held int, words string")
+    return rows.select("doc", "text", "runs").mapInArrow(tidily(run), "ref long, held int, doc long, place int, words string")
 
 
 def confirmed(docs: DataFrame, found: DataFrame, text: str = "text", window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """(doc, place, mask): the copies among ``found`` whose windows the automaton of their shard holds with an earlier start."""
-    totals = {r["held"]: r["count"] for r in found.groupBy("held").count().collect()}
-    shards = max(1, -(-totals.get(1, 0) * RUN_WORDS // shard_words))
-    rows = _words_of(docs, found, text, window).withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
-    sizes = save(found.filter("held = 0").groupBy(F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard")).agg(
-        F.ceil(F.count(F.lit(1)) / PASSAGES).alias("parts")), "passage-shards")
+    """(doc, place, n): the n consecutive windows of the copies in ``found`` that the automaton of their shard holds with an earlier start."""
+    total = found.filter("held = 1").agg(F.sum(F.bit_count("mask"))).first()[0] or 0
+    shards = max(1, -(-total // shard_words))
+    shard = F.pmod(F.xxhash64("ref"), F.lit(shards)).alias("shard")
+    rows = _words_of(docs, found, text, window).withColumn("shard", shard)
+    sizes = save(found.filter("held = 0").groupBy(shard).agg(F.ceil(F.sum(F.bit_count("mask")) / STREAMED).alias("parts")), "passage-shards")
     rows = rows.join(hinted(sizes, shards), "shard")
     mine = F.when(F.col("held") == 1, F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc", "place"), F.col("parts"))))
-    rows = rows.withColumn("part", F.explode(mine)).select("shard", "part", "doc", "place", "mask", "held", "words")
+    rows = rows.withColumn("part", F.explode(mine)).select("shard", "part", "doc", "place", "held", "words")
 
     def run(rows: pa.Table) -> pa.Table:
         held = rows.column("held").to_numpy()
-        doc, place, mask = (rows.column(c).to_numpy() for c in ("doc", "place", "mask"))
+        doc, place = (rows.column(c).to_numpy() for c in ("doc", "place"))
         words = rows.column("words").to_pylist()
         own = np.flatnonzero(held == 1)
         sam = SuffixAutomaton((((int(doc[i]), int(place[i])), words[i].split(" ")) for i in own[np.lexsort((place[own], doc[own]))]), window)
-        out = []
+        out: list = []
         for i in np.flatnonzero(held == 0):
-            bits, at = 0, (int(doc[i]), int(place[i]))
+            d, a, run = int(doc[i]), int(place[i]), None
             for o, (other, base), there in sam.windows(words[i].split(" ")):
-                if (other, base + there) < (at[0], at[1] + o):
-                    bits |= 1 << o
-            if bits & int(mask[i]):
-                out.append((*at, bits & int(mask[i])))
+                if (other, base + there) < (d, a + o):
+                    if run and run[1] + run[2] == a + o:
+                        run[2] += 1
+                    else:
+                        out.append(run := [d, a + o, 1])
         columns = zip(*out, strict=True) if out else [[]] * 3
-        return pa.table([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.int32()), strict=True)], ["doc", "place", "mask"])
+        return pa.table([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.int32()), strict=True)], ["doc", "place", "n"])
 
-    return rows.groupBy("shard", "part").applyInArrow(run, "doc long, place int, mask int")
+    return rows.groupBy("shard", "part").applyInArrow(run, "doc long, place int, n int")
 
 
 def cut(docs: DataFrame, found: DataFrame | None, text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -295,9 +315,9 @@ def cut(docs: DataFrame, found: DataFrame | None, text: str = "text", window: in
     names = [f.name for f in schema.fields[:-3]]
     rows = without(docs.withColumn("__text", F.col(text).cast("string")), *(n for n, _ in added))
     if found is None:
-        rows = rows.withColumn("__gone", F.lit(None).cast("array<struct<place:int,mask:int>>"))
+        rows = rows.withColumn("__gone", F.lit(None).cast("array<struct<place:int,n:int>>"))
     else:
-        per = found.groupBy(F.col("doc").alias("__doc")).agg(F.collect_list(F.struct("place", "mask")).alias("__gone"))
+        per = found.groupBy(F.col("doc").alias("__doc")).agg(F.collect_list(F.struct("place", "n")).alias("__gone"))
         rows = rows.join(per, F.col("doc_id").cast("long") == F.col("__doc"), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,13 +329,12 @@ def cut(docs: DataFrame, found: DataFrame | None, text: str = "text", window: in
                 total.append(len(words))
                 if t is not None and gone[i].is_valid and words:
                     flat = gone[i].values
-                    place, mask = (flat.field(c).to_numpy().astype(np.int64) for c in (0, 1))
-                    b = np.arange(32)
-                    starts = (place[:, None] + b)[(mask[:, None] >> b & 1) == 1]
-                    starts = starts[starts + window <= len(words)]
+                    place, n = (flat.field(c).to_numpy().astype(np.int64) for c in (0, 1))
+                    end = np.minimum(place + n - 1 + window, len(words))
+                    inside = place + window <= len(words)
                     step = np.zeros(len(words) + 1, np.int64)
-                    np.add.at(step, starts, 1)
-                    np.add.at(step, starts + window, -1)
+                    np.add.at(step, place[inside], 1)
+                    np.add.at(step, end[inside], -1)
                     left = np.flatnonzero(np.cumsum(step[:-1]) == 0)
                     away.append(len(words) - len(left))
                     words = [words[j] for j in left.tolist()]
@@ -352,10 +371,10 @@ def _stream(docs: DataFrame, automaton, text: str, itself: bool) -> DataFrame:
                     if not itself or (other, there) < (d, at):
                         doc.append(d)
                         place.append(at)
-            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(place, pa.int32()), pa.array(np.ones(len(doc), np.int32))], ["doc", "place", "mask"])
+            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(place, pa.int32()), pa.array(np.ones(len(doc), np.int32))], ["doc", "place", "n"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
-    return rows.filter(F.col("doc").isNotNull() & F.col("text").isNotNull()).mapInArrow(tidily(run), "doc long, place int, mask int")
+    return rows.filter(F.col("doc").isNotNull() & F.col("text").isNotNull()).mapInArrow(tidily(run), "doc long, place int, n int")
 
 
 def remove_known(docs: DataFrame, reference: list[str], text: str = "text", window: int = WINDOW) -> DataFrame:

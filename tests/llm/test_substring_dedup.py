@@ -26,7 +26,7 @@ def plain(rows, window):
 def test_random_repeats(spark, monkeypatch, window, letters, slice_bytes, seen):
     monkeypatch.setattr(D, "SLICE_BYTES", slice_bytes)
     monkeypatch.setattr(D, "SEEN", seen)
-    monkeypatch.setattr(D, "PASSAGES", 40)
+    monkeypatch.setattr(D, "STREAMED", 300)
     monkeypatch.setattr(D, "BROADCAST_IDS", 500_000 if letters > 2 else 3)
     r = random.Random(window * letters)
     pool = [" ".join(f"w{r.randrange(letters)}" for _ in range(r.randint(1, 90))) for _ in range(25)]
