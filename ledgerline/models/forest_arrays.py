@@ -7,9 +7,9 @@ shipped to executors as a broadcast and evaluated inside ``mapInPandas`` --
 the recursive forecast then needs no ``model.transform`` per step.
 
 Left branch: continuous ``x <= threshold``; categorical ``x in left categories``.
-RF regression = mean over trees, GBT regression = weighted sum,
-GBT class probability = 1 / (1 + e^(-2 * margin)), RF class probability =
-mean of the leaves' normalised class counts.
+Regressors only: a forest is the mean over its trees, boosting their weighted
+sum. Nothing else in Spark scores a row whose features depend on the score of
+the day before without a job a day; classifiers are scored by ``transform``.
 """
 
 from __future__ import annotations
@@ -24,13 +24,13 @@ from ledgerline.session import checkpoint_root
 
 @dataclass
 class ForestArrays:
-    kind: str                     # rf_reg | gbt_reg | gbt_clf | rf_clf
+    kind: str                     # rf_reg | gbt_reg
     weights: np.ndarray           # per-tree weight
     feature: list = field(default_factory=list)     # per tree: int array (-1 at leaves)
     threshold: list = field(default_factory=list)   # per tree: float array
     left: list = field(default_factory=list)
     right: list = field(default_factory=list)
-    value: list = field(default_factory=list)       # leaf prediction (or P(class 1) for rf_clf)
+    value: list = field(default_factory=list)       # leaf prediction
     categories: list = field(default_factory=list)  # per tree: dict node -> set(left categories)
 
     @property
@@ -59,18 +59,14 @@ class ForestArrays:
     def predict(self, x: np.ndarray) -> np.ndarray:
         x = np.asarray(x, dtype=np.float64)
         per_tree = np.stack([self._tree_eval(t, x) for t in range(len(self.feature))])
-        if self.kind in ("rf_reg", "rf_clf"):
+        if self.kind == "rf_reg":
             return per_tree.mean(axis=0)
-        margin = (per_tree * self.weights[:, None]).sum(axis=0)
-        if self.kind == "gbt_clf":
-            return 1.0 / (1.0 + np.exp(-2.0 * margin))
-        return margin
+        return (per_tree * self.weights[:, None]).sum(axis=0)
 
 
 def _kind(model) -> str:
     name = type(model).__name__
-    return {"RandomForestRegressionModel": "rf_reg", "GBTRegressionModel": "gbt_reg",
-            "GBTClassificationModel": "gbt_clf", "RandomForestClassificationModel": "rf_clf"}[name]
+    return {"RandomForestRegressionModel": "rf_reg", "GBTRegressionModel": "gbt_reg"}[name]
 
 
 def from_model(model, spark: SparkSession | None = None) -> ForestArrays:
@@ -96,12 +92,7 @@ def from_model(model, spark: SparkSession | None = None) -> ForestArrays:
         cats: dict[int, set] = {}
         for r in rs:
             i = int(r["id"])
-            if kind == "rf_clf":
-                stats = np.asarray(r["impurityStats"], dtype=np.float64)
-                tot = stats.sum()
-                val[i] = stats[1] / tot if tot > 0 and len(stats) > 1 else 0.0
-            else:
-                val[i] = float(r["prediction"])
+            val[i] = float(r["prediction"])
             if r["leftChild"] >= 0:
                 sp = r["split"]
                 feat[i] = int(sp["featureIndex"])
