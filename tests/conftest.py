@@ -12,8 +12,9 @@ SF_MID = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="session")
-def spark():
-    s = build_session("local[*]", app_name="ledgerline-tests", shuffle_partitions=8)
+def spark(tmp_path_factory):
+    shared = str(tmp_path_factory.mktemp("shared"))
+    s = build_session("local[*]", app_name="ledgerline-tests", shuffle_partitions=8, extra={"spark.checkpoint.dir": shared})
     yield s
     s.stop()
 
