@@ -10,6 +10,7 @@ from ledgerline.operators import demand_features as dfe
 from ledgerline.operators import shipment_features as sfe
 from ledgerline.plans.oracle_adapters import oracle
 from ledgerline.plans.register import query
+from ledgerline.session import cut_lineage
 
 R = 6  # decimals for float outputs compared across engines
 LATEST = 100  # default length of the newest-shipments list
@@ -312,8 +313,9 @@ def _ship_features(d, completed_only=True):
 def _build_ship_features(d, completed_only=True):
     sh = sfe.attach_suppliers(d.shipments, d.suppliers, "inner")
     done = sh.where(F.col("actual_delivery").isNotNull())
-    cut = dfe.nearest_quantile_cutoff(done, "order_date", 1 - dfe.TEST_FRACTION)
-    sh = sh.join(cut.select("company_id", "cutoff"), "company_id", "left")
+    # one row a tenant, written once: the history steps read their input several times
+    cut = cut_lineage(dfe.nearest_quantile_cutoff(done, "order_date", 1 - dfe.TEST_FRACTION).select("company_id", "cutoff"))
+    sh = sh.join(cut, "company_id", "left")
     return sfe.shipment_feature_matrix(sh, train_end=F.col("cutoff"), completed_only=completed_only)
 
 
