@@ -31,12 +31,15 @@ def _apart(docs: DataFrame, stage: Callable[[DataFrame], DataFrame]) -> DataFram
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised: texts without a letter, or that resemble no learned language, go."""
+    """Documents whose language is recognised: texts without a letter, or whose grams no learned language takes, go.
+
+    ``MIN_SCORE`` doesn't decide: the scores of a text sum to 1, so the best is at least 1 / languages.
+    """
     apply_defaults(spark)
 
     def stage(d: DataFrame) -> DataFrame:
-        found = language_id.predict(d, language_id.train(d.select("doc_id", "text", "lang")))
-        return found.filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= MIN_SCORE)).select(d.columns)
+        found = language_id.predict(d, language_id.train(d.select("doc_id", "text", "lang")), recognised=True)
+        return found.filter("recognised").select(d.columns)
 
     return _apart(docs, stage)
 

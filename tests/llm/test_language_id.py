@@ -1,8 +1,11 @@
+import random
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline as P
 from ledgerline.llm import language_id as L
 from ledgerline.llm.queries import QUERIES
 from tests.conftest import SF_MID
@@ -59,3 +62,25 @@ def test_sample_is_bounded(spark):
     df = spark.createDataFrame([(i, f"word{i} some text", "en") for i in range(300)], "doc_id long, text string, lang string")
     model = L.train(df, per_lang=10, landmarks=4)
     assert model.langs == ["en"] and model.landmarks.shape == (L.SLOTS, 4)
+
+
+@pytest.mark.parametrize("n", [2, 4, 8])
+def test_junk_goes_and_clean_texts_of_any_length_stay(spark, n):
+    """Each language has syllables of its own letters or order; junk has letters of all, in no language's order."""
+    r = random.Random(n)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    tongues = [["".join(r.sample(letters, 3)) for _ in range(25)] for _ in range(n)]
+
+    def prose(k, words):
+        return " ".join("".join(r.choice(tongues[k]) for _ in range(r.randint(1, 2))) for _ in range(words))
+
+    def junk(words):
+        return " ".join("".join(r.choice(letters) for _ in range(r.randint(3, 8))) for _ in range(words))
+
+    rows = [(k * 1000 + i, prose(k, 80), f"l{k}") for k in range(n) for i in range(40)]
+    clean = [(20_000 + 10 * k + i, prose(k, words), None) for k in range(n) for i, words in enumerate((1, 2, 3, 10, 100, 60_000))]
+    noise = [(30_000 + i, junk(words), None) for i, words in enumerate((20, 50, 300, 20_000))]
+    docs = spark.createDataFrame(rows + clean + noise, "doc_id long, text string, lang string")
+    stayed = {x["doc_id"] for x in P.identify(spark, docs, "").collect()}
+    assert not stayed & {x[0] for x in noise}
+    assert stayed == {x[0] for x in rows + clean}
