@@ -1,8 +1,9 @@
 """Near-duplicate groups by weighted MinHash.
 
 A text's features are its five-word shingles with their repeats, weighted by term frequency times a damped inverse
-document frequency: 1 + log((1 + N) / (1 + df)) / (2 log(1 + N)), in 16 levels, where df counts all documents in a
-table of 2**20 hashed shingle slots (a few MB, whatever the corpus). Improved consistent weighted sampling draws
+document frequency: 1 + log((1 + N) / (1 + df)) / (2 log(1 + N)), in 16 levels, where df is the shingle's own
+document frequency (by its 64-bit hash) over all documents. Shingles are dealt out by hash and counted; those of two
+documents or more go back to the chunks of documents that have them, any other has a df of 1. Improved consistent weighted sampling draws
 ``SAMPLES`` samples a text; four make a band, and texts that share a band meet. Texts that agree on at least
 ``PLAUSIBLE`` of all samples (one byte each travels along) are joined to candidate groups, and inside these every pair
 that shares a band is verified: two texts are linked when the weighted Jaccard similarity of their shingles is
@@ -12,8 +13,9 @@ last.
 No pairs are emitted: tasks hand on spanning forests. A candidate group beyond ``BLOCK`` texts is compared block by
 block: every block with itself and with the first, then whatever isn't in the group's main class yet with all blocks,
 so a large group of true copies costs a multiple of its size and loses no link. A band bucket beyond ``BUCKET`` texts
-is taken as one candidate group without comparing samples. The corpus is read three times and never shuffled while the
-candidates' ids can be broadcast (their number is checked).
+is taken as one candidate group without comparing samples. Texts are shuffled once,
+into chunks of about ``CHUNK`` documents, and not again while the candidates' ids can be broadcast (their number is
+checked).
 
 Results: null texts and texts without words are each a class of their own, except rows of one id; a text of fewer than
 five words has one shingle; rows that share an id share a class; rows without id get a null class; an empty table gives
@@ -22,7 +24,9 @@ an empty result.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +46,7 @@ SLOT_BITS, LEVELS = 20, 16
 POOL_BITS = 16
 BLOCK, BUCKET, PACK = 512, 4096, 256
 SLICE_BYTES = 1_500_000
+CHUNK, BUCKET_SHINGLES, HELD_SHINGLES = 256, 1 << 20, 1 << 21
 BROADCAST_IDS = 500_000
 
 
@@ -60,7 +65,10 @@ def _slices(column: pa.Array) -> Iterator[pa.Array]:
 
 
 def levels_of(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """Weight level of each shingle slot, from the document frequencies of all documents."""
+    """Weight level of each of 2**20 shingle slots, by the documents a slot has: an estimate that fades as input grows.
+
+    ``near_duplicates`` counts shingles instead; while a slot has one shingle at most the levels are the same.
+    """
     blocks, fan = 64, 256
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,10 +98,86 @@ def levels_of(docs: DataFrame, text: str = "text") -> np.ndarray:
         return np.zeros(1 << SLOT_BITS, np.uint8)
     n = sum(r["n"] for r in rows)
     df = np.concatenate([np.frombuffer(bytes(r["df"]), "<i8") for r in rows])
+    return level(df, n)
+
+
+def level(df: np.ndarray, n: int) -> np.ndarray:
+    """Weight level of document frequencies among ``n`` documents."""
     idf = np.log((1 + n) / (1 + df)) / np.log(1 + n) if n else np.zeros(len(df))
     return np.rint(np.clip(idf, 0, 1) * (LEVELS - 1)).astype(np.uint8)
 
 
+def shingle_levels(docs: DataFrame, n: int, buckets: int) -> DataFrame:
+    """Levels of the shingles that stand in two of ``n`` documents (chunk, text) or more, to every chunk that has them.
+
+    Rows are (chunk, shingles, levels), a few for each chunk. A shingle counts once a document.
+    """
+    def bucket_of(h: np.ndarray) -> np.ndarray:
+        return ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+    def packed(h: np.ndarray, doc: np.ndarray, chunk: np.ndarray) -> pa.RecordBatch:
+        order = np.argsort(h, kind="stable")  # documents come in order, so repeats of one stand together
+        h, doc = h[order], doc[order]
+        first = np.ones(len(h), bool)
+        first[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+        h, chunk = h[first], chunk[doc[first]]
+        shared = np.zeros(len(h), bool)
+        shared[1:] = h[1:] == h[:-1]
+        shared[:-1] |= shared[1:]
+        some, at = h[shared], chunk[shared]
+        order = np.lexsort((at, some))
+        some, at = some[order], at[order]
+        first = np.flatnonzero(np.concatenate([[True], (some[1:] != some[:-1]) | (at[1:] != at[:-1])])) if len(some) else np.zeros(0, np.int64)
+        count = np.concatenate([np.ones(int((~shared).sum()), np.uint32), np.diff(np.append(first, len(some))).astype(np.uint32)])
+        h, chunk = np.concatenate([h[~shared], some[first]]), np.concatenate([chunk[~shared], at[first]])
+        bucket = bucket_of(h)
+        order = np.lexsort((chunk, bucket))
+        h, chunk, count, bucket = h[order], chunk[order].astype("<i4"), count[order].astype("<u4"), bucket[order]
+        cuts = np.flatnonzero(np.diff(bucket)) + 1
+        starts = [0, *cuts.tolist()] if len(h) else []
+        ends = [*cuts.tolist(), len(h)]
+        return pa.RecordBatch.from_arrays([pa.array(bucket[starts], pa.int32()) if starts else pa.array([], pa.int32()),
+                                           *(pa.array([x[a:b].tobytes() for a, b in zip(starts, ends, strict=False)], pa.binary()) for x in (h, chunk, count))],
+                                          ["bucket", "shingles", "chunks", "counts"])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list = []
+        size = docs_held = 0
+        for batch in batches:
+            chunk = batch.column("chunk").to_numpy().astype(np.int64)
+            done = 0
+            for part in _slices(batch.column("text")):
+                h, per = shingled(*hashed_words(part)[:2], WORDS)
+                held.append((h, np.repeat(np.arange(len(per), dtype=np.int64) + docs_held, per), chunk[done:done + len(per)]))
+                done, docs_held, size = done + len(per), docs_held + len(per), size + len(h)
+                if size >= HELD_SHINGLES:
+                    yield packed(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                    held, size, docs_held = [], 0, 0
+        if held:
+            yield packed(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    def count(rows: pa.Table) -> pa.Table:
+        h, chunk, counts = (np.frombuffer(b"".join(rows.column(c).to_pylist()), t) for c, t in (("shingles", "<u8"), ("chunks", "<i4"), ("counts", "<u4")))
+        order = np.argsort(h, kind="stable")
+        h, chunk, counts = h[order], chunk[order], counts[order]
+        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+        df = np.add.reduceat(counts, first, dtype=np.int64) if len(h) else first
+        df = np.repeat(df, np.diff(np.append(first, len(h))))
+        h, chunk, df = h[df > 1], chunk[df > 1], df[df > 1]
+        order = np.lexsort((h, chunk))
+        h, chunk, df = h[order], chunk[order], df[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (chunk[1:] != chunk[:-1])
+        h, chunk, levels = h[new], chunk[new], level(df[new], n)
+        cuts = (np.flatnonzero(np.diff(chunk)) + 1).tolist()
+        spans = list(zip([0, *cuts], [*cuts, len(h)], strict=True)) if len(h) else []
+        return pa.table({"chunk": pa.array([int(chunk[a]) for a, _ in spans], pa.int32()), "shingles": pa.array([h[a:b].tobytes() for a, b in spans], pa.binary()),
+                         "levels": pa.array([levels[a:b].tobytes() for a, b in spans], pa.binary())})
+
+    dealt = docs.select("chunk", "text").mapInArrow(tidily(deal), "bucket int, shingles binary, chunks binary, counts binary")
+    return dealt.groupBy("bucket").applyInArrow(count, "chunk int, shingles binary, levels binary")
+
+
 class Sampler:
     """Improved consistent weighted sampling with a pool of 2**16 variates, tabulated by weight level.
 
@@ -101,7 +185,7 @@ class Sampler:
     The element of smallest a is drawn; its pool entry and the rest of its hash stand for (element, t).
     """
 
-    def __init__(self, levels: np.ndarray):
+    def __init__(self, levels: np.ndarray | None = None):
         rng, n = np.random.default_rng(20), 1 << POOL_BITS
         r, c, b = rng.gamma(2, 1, n), rng.gamma(2, 1, n), rng.random(n)
         w = np.log(weight(np.arange(LEVELS)))[:, None]
@@ -113,8 +197,12 @@ class Sampler:
         self.seeds = mix(np.arange(1, SAMPLES + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) | np.uint64(1)
 
     def draw(self, shingles: np.ndarray, elements: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """rows x SAMPLES for rows with elements."""
-        row = self.levels[slot(shingles)].astype(np.int64) << POOL_BITS
+        """rows x SAMPLES for rows with elements, of the levels that the sampler was made with."""
+        return self.draw_at(self.levels[slot(shingles)], elements, n)
+
+    def draw_at(self, levels: np.ndarray, elements: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The same for elements of the given levels."""
+        row = levels.astype(np.int64) << POOL_BITS
         starts = np.cumsum(n) - n
         out = np.empty((len(n), SAMPLES), np.uint64)
         for k, seed in enumerate(self.seeds):
@@ -126,36 +214,69 @@ class Sampler:
         return out
 
 
-def signatures(docs: DataFrame, levels: np.ndarray, text: str = "text") -> DataFrame:
-    """(doc_id, digest, sketch, bands) of all documents; sketch and bands are null where there are no words."""
-    shared = docs.sparkSession.sparkContext.broadcast(levels)
+@cache
+def _sampler() -> Sampler:
+    return Sampler()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sampler = Sampler(shared.value)
-        for batch in batches:
-            sketches: list = []
-            bands: list = []
-            for part in _slices(batch.column("text")):
-                h, n = shingled(*hashed_words(part)[:2], WORDS)
-                full = np.flatnonzero(n)
-                elements, s = multiset(h, n)
-                sketch, band = [None] * len(n), [None] * len(n)
-                if len(full):
-                    drawn = sampler.draw(s, elements, n[full])
-                    folded = mix(drawn)
-                    joint = np.zeros((len(full), SAMPLES // ROWS), np.uint64)
-                    for i in range(ROWS):
-                        joint = mix(joint * np.uint64(0x9E3779B97F4A7C15) + folded[:, i::ROWS] + np.arange(SAMPLES // ROWS, dtype=np.uint64)[None, :])
-                    small = folded.astype(np.uint8)
-                    for i, r in enumerate(full.tolist()):
-                        sketch[r], band[r] = small[i].tobytes(), joint[i].view(np.int64)
-                sketches += sketch
-                bands += band
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), pa.array(sketches, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                                             ["doc_id", "digest", "sketch", "bands"])
 
+def signatures(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(doc_id, digest, sketch, bands, levels) of all documents, the levels packed in the order of the sorted elements.
+
+    Sketch, bands and levels are null where there are no words, and digest too where there is no id.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.withColumn("digest", F.md5("text")).mapInArrow(tidily(run), "doc_id long, digest string, sketch binary, bands array<long>")
+    size = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    n, chunks, buckets = size["n"], max(1, size["n"] // CHUNK), max(1, (size["bytes"] or 0) // (6 * BUCKET_SHINGLES))  # a word takes about 6 bytes
+    rows = rows.withColumn("digest", F.md5("text"))
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "digest"), F.lit(chunks)).cast("int"))
+    single = int(level(np.ones(1), n)[0])
+
+    def run(texts: pa.Table, found: pa.Table) -> pa.Table:
+        sampler = _sampler()
+        known = np.frombuffer(b"".join(found.column("shingles").to_pylist()), "<u8")
+        order = np.argsort(known)
+        known, known_level = known[order], np.frombuffer(b"".join(found.column("levels").to_pylist()), np.uint8)[order]
+        sketches: list = []
+        bands: list = []
+        packed: list = []
+        texts = texts.combine_chunks()
+        for part in (p for c in texts.column("text").chunks for p in _slices(c)):
+            h, per = shingled(*hashed_words(part)[:2], WORDS)
+            full = np.flatnonzero(per)
+            elements, s = multiset(h, per)
+            sketch, band, own = [None] * len(per), [None] * len(per), [None] * len(per)
+            if len(full):
+                levels = np.full(len(s), single, np.uint8)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+                    hit = known[at] == s
+                    levels[hit] = known_level[at[hit]]
+                drawn = sampler.draw_at(levels, elements, per[full])
+                folded = mix(drawn)
+                joint = np.zeros((len(full), SAMPLES // ROWS), np.uint64)
+                for i in range(ROWS):
+                    joint = mix(joint * np.uint64(0x9E3779B97F4A7C15) + folded[:, i::ROWS] + np.arange(SAMPLES // ROWS, dtype=np.uint64)[None, :])
+                small = folded.astype(np.uint8)
+                ends = np.cumsum(per)
+                for i, r in enumerate(full.tolist()):
+                    sketch[r], band[r] = small[i].tobytes(), joint[i].view(np.int64)
+                    order = np.argsort(elements[ends[r] - per[r]:ends[r]])
+                    own[r] = zlib.compress(levels[ends[r] - per[r]:ends[r]][order].tobytes(), 1)
+            sketches += sketch
+            bands += band
+            packed += own
+        return pa.table({"doc_id": texts.column("doc_id"), "digest": texts.column("digest"), "sketch": pa.array(sketches, pa.binary()),
+                         "bands": pa.array(bands, pa.list_(pa.int64())), "levels": pa.array(packed, pa.binary())})
+
+    schema = "doc_id long, digest string, sketch binary, bands array<long>, levels binary"
+    named = rows.filter("doc_id IS NOT NULL")
+    signed = named.groupBy("chunk").cogroup(shingle_levels(rows, n, buckets).groupBy("chunk")).applyInArrow(lambda a, b: run(a, b) if a.num_rows else _nothing(schema), schema)
+    return signed.unionByName(rows.filter("doc_id IS NULL").select("doc_id"), allowMissingColumns=True)
+
+
+def _nothing(schema: str) -> pa.Table:
+    types = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
+    return pa.table({name: pa.array([], types[kind]) for name, kind in (f.split(" ") for f in schema.split(", "))})
 
 
 def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -226,18 +347,17 @@ def plausible_edges(buckets: DataFrame) -> DataFrame:
     return buckets.repartition("band").sortWithinPartitions("band", "node").mapInArrow(tidily(run), "a long, b long").filter("a != b").distinct()
 
 
-def links(members: DataFrame, levels: np.ndarray, similarity: float = SIMILARITY) -> DataFrame:
-    """Forests (a, b) of the verified links in each ``pack`` of (pack, side, grp, node, bands, elements, shingle slots).
+def links(members: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Forests (a, b) of the verified links in each ``pack`` of (pack, side, grp, node, bands, elements, their levels).
 
     Pairs are those of one grp that share a band; with side 1 and 2 present only pairs across, of different label.
     """
-    shared = members.sparkSession.sparkContext.broadcast(weight(levels.astype(np.float64)))
+    weights = weight(np.arange(LEVELS, dtype=np.float64))
 
     def verify(rows: pa.Table) -> pa.Table:
-        weights = shared.value
         group, node, side, label = (rows.column(c).to_numpy() for c in ("grp", "node", "side", "label"))
         packed = rows.column("elements").to_pylist()
-        slots = rows.column("slots").to_pylist()
+        levels = rows.column("levels").to_pylist()
         bands = np.array(rows.column("bands").to_pylist(), np.int64)
         a_all, b_all = [], []
         order = np.argsort(group, kind="stable")
@@ -248,7 +368,7 @@ def links(members: DataFrame, levels: np.ndarray, similarity: float = SIMILARITY
             if not len(i):
                 continue
             e = [np.frombuffer(packed[x], np.uint64) for x in at]
-            w = [weights[np.frombuffer(slots[x], np.uint32)] for x in at]
+            w = [weights[np.frombuffer(zlib.decompress(levels[x]), np.uint8)] for x in at]
             total = np.array([x.sum() for x in w])
             # the smaller total bounds the shared weight
             fits = np.minimum(total[i], total[j]) >= similarity * np.maximum(total[i], total[j]) * (1 - 1e-9)
@@ -306,56 +426,51 @@ def _common(e: list, w: list, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 
 def _with_elements(docs: DataFrame, members: DataFrame, n: int, text: str) -> DataFrame:
-    """Candidates (node, ...) with their elements, read from the texts of the documents they stand for."""
+    """Candidates (node, digest, ...) with their sorted elements, read from the texts of the documents they stand for."""
     few = hinted(members, n, BROADCAST_IDS)
     rows = docs.select(F.col("doc_id").cast("long").alias("node"), F.col(text).cast("string").alias("text")).join(few, "node")
+    rows = rows.filter(F.md5("text") == F.col("digest")).drop("digest")
     kept = [f for f in rows.schema.fieldNames() if f != "text"]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             elements: list = []
-            slots: list = []
             for part in _slices(batch.column("text")):
                 h, n = shingled(*hashed_words(part)[:2], WORDS)
-                e, s = multiset(h, n)
+                e, _ = multiset(h, n)
                 ends = np.cumsum(n).tolist()
-                place = slot(s).astype("<u4")
-                for a, b in zip([0, *ends[:-1]], ends, strict=True):
-                    order = np.argsort(e[a:b])
-                    elements.append(e[a:b][order].tobytes())
-                    slots.append(place[a:b][order].tobytes())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(elements, pa.binary()), pa.array(slots, pa.binary())], [*kept, "elements", "slots"])
+                elements += [np.sort(e[a:b]).tobytes() for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(elements, pa.binary())], [*kept, "elements"])
 
-    return rows.mapInArrow(tidily(run), schema + ", elements binary, slots binary")
+    return rows.mapInArrow(tidily(run), schema + ", elements binary")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, class_id, n_class) of every row of ``docs``: the smallest doc_id of its class and the class's rows."""
-    levels = levels_of(docs, text)
-    signed = save(signatures(docs, levels, text), "minhash-signatures")
+    signed = save(signatures(docs, text), "minhash-signatures")
     texts = signed.filter("sketch IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(
-        F.min("doc_id").alias("node"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
+        F.min("doc_id").alias("node"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"), F.first("levels").alias("levels"))
     texts = save(texts, "minhash-texts")
     buckets = texts.select(F.explode("bands").alias("band"), "node", "sketch")
     groups = components(plausible_edges(buckets))
     sizes = groups.groupBy("root").count()
-    grouped = groups.join(sizes, "root").join(texts.select("node", "bands"), "node")
-    grouped = save(grouped.select("node", F.col("root").alias("grp"), "count", "bands"), "minhash-groups")
+    grouped = groups.join(sizes, "root").join(texts.select("node", "digest", "bands", "levels"), "node")
+    grouped = save(grouped.select("node", F.col("root").alias("grp"), "count", "digest", "bands", "levels"), "minhash-groups")
     n = grouped.count()
     packs = max(1, n // PACK)
-    small = grouped.filter(F.col("count") <= BLOCK).select("node", "grp", "bands", F.lit(0).alias("side"), F.lit(0).cast("long").alias("label"),
+    small = grouped.filter(F.col("count") <= BLOCK).select("node", "grp", "digest", "bands", "levels", F.lit(0).alias("side"), F.lit(0).cast("long").alias("label"),
                                                             F.concat_ws(":", F.lit("s"), F.pmod(F.xxhash64("grp"), F.lit(packs))).alias("pack"))
     blocks = F.ceil(F.col("count") / BLOCK)
     big = grouped.filter(F.col("count") > BLOCK).withColumn("block", F.pmod(F.xxhash64("node"), blocks))
-    same = big.select("node", "grp", "bands", F.lit(0).alias("side"), F.lit(0).cast("long").alias("label"), F.concat_ws(":", F.lit("b"), "grp", "block").alias("pack"))
+    same = big.select("node", "grp", "digest", "bands", "levels", F.lit(0).alias("side"), F.lit(0).cast("long").alias("label"), F.concat_ws(":", F.lit("b"), "grp", "block").alias("pack"))
     lead = big.filter("block = 0").withColumn("to", F.explode(F.sequence(F.lit(1).cast("long"), blocks - 1)))
-    lead = lead.select("node", "grp", "bands", F.lit(1).alias("side"), F.lit(1).cast("long").alias("label"), F.concat_ws(":", F.lit("l"), "grp", "to").alias("pack"))
-    rest = big.filter("block > 0").select("node", "grp", "bands", F.lit(2).alias("side"), F.lit(2).cast("long").alias("label"), F.concat_ws(":", F.lit("l"), "grp", "block").alias("pack"))
+    lead = lead.select("node", "grp", "digest", "bands", "levels", F.lit(1).alias("side"), F.lit(1).cast("long").alias("label"), F.concat_ws(":", F.lit("l"), "grp", "to").alias("pack"))
+    rest = big.filter("block > 0").select("node", "grp", "digest", "bands", "levels", F.lit(2).alias("side"), F.lit(2).cast("long").alias("label"), F.concat_ws(":", F.lit("l"), "grp", "block").alias("pack"))
     first = small.unionByName(same).unionByName(lead).unionByName(rest)
-    found = save(links(_with_elements(docs, first, n, text), levels, similarity), "minhash-links")
+    found = save(links(_with_elements(docs, first, n, text), similarity), "minhash-links")
     if big.select("node").limit(1).count():
-        found = found.unionByName(_leftovers(docs, big, found, levels, similarity, text, n))
+        found = found.unionByName(_leftovers(docs, big, found, similarity, text, n))
     by_id = signed.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("digest").alias("d"), F.max("digest").alias("e"))
     per_text = texts.select("digest", "node")
     classes = components(found.unionByName(_repeated_ids(signed, by_id, per_text)))
@@ -372,7 +487,7 @@ def _repeated_ids(signed: DataFrame, by_id: DataFrame, per_text: DataFrame) -> D
     return signed.join(several, "doc_id").join(per_text, "digest").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
 
 
-def _leftovers(docs: DataFrame, big: DataFrame, found: DataFrame, levels: np.ndarray, similarity: float, text: str, n: int) -> DataFrame:
+def _leftovers(docs: DataFrame, big: DataFrame, found: DataFrame, similarity: float, text: str, n: int) -> DataFrame:
     """Links of the texts of large groups that aren't in their group's main class after the first round."""
     classes = components(found)
     now = big.join(classes, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
@@ -384,7 +499,7 @@ def _leftovers(docs: DataFrame, big: DataFrame, found: DataFrame, levels: np.nda
     blocks = F.ceil(F.col("count") / BLOCK)
     ask = left.join(slots, "grp").withColumn("q", F.pmod(F.xxhash64(F.col("node"), F.lit(1)), F.col("k")))
     ask = ask.withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    ask = ask.select("node", "grp", "bands", F.lit(1).alias("side"), "label", F.concat_ws(":", "grp", "q", "to").alias("pack"))
+    ask = ask.select("node", "grp", "digest", "bands", "levels", F.lit(1).alias("side"), "label", F.concat_ws(":", "grp", "q", "to").alias("pack"))
     held = now.join(slots, "grp").withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
-    held = held.select("node", "grp", "bands", F.lit(2).alias("side"), "label", F.concat_ws(":", "grp", "q", "block").alias("pack"))
-    return save(links(_with_elements(docs, ask.unionByName(held), n, text), levels, similarity), "minhash-links")
+    held = held.select("node", "grp", "digest", "bands", "levels", F.lit(2).alias("side"), "label", F.concat_ws(":", "grp", "q", "block").alias("pack"))
+    return save(links(_with_elements(docs, ask.unionByName(held), n, text), similarity), "minhash-links")

@@ -1,4 +1,5 @@
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -157,3 +158,54 @@ def test_components(spark, seed):
     alone = {x for x in root if all(a == b for a, b in edges if x in (a, b))}
     assert got == {x: c for x, c in root.items() if x not in alone}
     assert cc.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_levels_follow_each_shingle_s_own_document_frequency(spark, monkeypatch):
+    """Several chunks and buckets: the levels are those of the exact frequencies."""
+    monkeypatch.setattr(M, "CHUNK", 7)
+    monkeypatch.setattr(M, "BUCKET_SHINGLES", 1000)
+    monkeypatch.setattr(M, "HELD_SHINGLES", 3000)
+    r = random.Random(4)
+    passages = [" ".join(f"p{k}x{i}" for i in range(r.randint(5, 30))) for k in range(20)]
+    texts = [" ".join([*(f"u{i}x{j}" for j in range(r.randint(0, 200))), *r.sample(passages[1:], r.randint(0, 4)), passages[0]]) for i in range(120)]
+    texts += [texts[0], texts[0], None, "", "so few"]
+    df = spark.createDataFrame([(i if i % 50 else None, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    count = Counter(s for t in texts for s in shingles_of(t))
+    n = len(texts)
+    got = {x["doc_id"]: x["levels"] for x in M.signatures(df).filter("doc_id IS NOT NULL").collect()}
+    assert len(got) == sum(i % 50 > 0 for i in range(n))
+    for i, packed in got.items():
+        own = shingles_of(texts[i])
+        if not own:
+            assert packed is None
+            continue
+        names = list(own)
+        h = [int(S.shingled(*S.hashed_words(pa.array([" ".join(s)], pa.string()))[:2], 5)[0][0]) for s in names]
+        expected = [int(M.level(np.array([count[s]]), n)[0]) for _, s in sorted(zip(h, names, strict=True))]
+        assert list(zlib.decompress(packed)) == expected
+
+
+@pytest.mark.parametrize(("size", "words", "changed"), [(2, 199, 17), (40, 193, 13)])
+def test_pairs_near_the_threshold_do_not_depend_on_unrelated_documents(spark, size, words, changed):
+    """Copies with one run of words changed, 0.8 to 0.84 alike without weights, beside nine million unrelated shingles:
+    the weights of their own document frequencies keep them apart in a pair and in a large group."""
+    rows = []
+    for base in range(6 // size + size // 40):
+        for k in range(size):
+            copy = [f"b{base}w{i}" for i in range(words)]
+            copy[60:60 + changed] = [f"c{base}x{k}x{i}" for i in range(changed)]
+            rows.append((len(rows), " ".join(copy)))
+    other = 66 - len(rows)
+    count = Counter(s for _, t in rows for s in shingles_of(t))
+
+    def linked(a, b):
+        w = {s: M.weight(round(15 * np.log(67 / (1 + count[s])) / np.log(67))) for s in a | b}
+        return sum(min(a[s], b[s]) * w[s] for s in w) / sum(max(a[s], b[s]) * w[s] for s in w)
+
+    a, b = shingles_of(rows[0][1]), shingles_of(rows[1][1])
+    assert 0.8 <= sum((a & b).values()) / sum((a | b).values()) < 0.84
+    noise = spark.range(other).selectExpr("id + 1000 doc_id", f"array_join(transform(sequence(1, {9_000_000 // other}), i -> concat('n', id, 'x', i)), ' ') text")
+    df = spark.createDataFrame(rows, "doc_id long, text string").unionByName(noise)
+    got = {x["doc_id"]: x["class_id"] for x in M.near_duplicates(df).collect()}
+    assert {i: c for i, c in got.items() if i < 1000} == brute(rows, linked=linked) == {i: i for i, _ in rows}
+    assert all(i == c for i, c in got.items())
