@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions import metrics as met
 from ledgerline.functions.exprs import DELAY_TIERS, tier
-from ledgerline.models.demand import FIT_ROWS, InsufficientData, fit_sample
+from ledgerline.models.demand import FIT_ROWS, InsufficientData, fit_all, fit_sample
 from ledgerline.operators import demand_features as dfe
 from ledgerline.operators import shipment_features as sfe
 
@@ -191,8 +191,8 @@ def train_delay_classifier(feat: DataFrame, scope=(), n_estimators: int | None =
             frame.unpersist()
 
 
-def train_duration_model(feat: DataFrame, scope=(), n_estimators: int | None = None, fit_rows: int = FIT_ROWS) -> DelayModel:
-    """Delay length in days, trained on delayed shipments only (at most about ``fit_rows`` of them a fit)."""
+def train_duration_model(feat: DataFrame, scope=(), n_estimators: int | None = None) -> DelayModel:
+    """Delay length in days, trained on delayed shipments only, all of the split."""
     dl = feat.where(F.col("is_delayed") == 1).withColumn("delay_days", F.col("delay_days").cast("double")) \
         .persist(StorageLevel.MEMORY_AND_DISK)
     held = [dl]
@@ -209,9 +209,9 @@ def train_duration_model(feat: DataFrame, scope=(), n_estimators: int | None = N
             raise InsufficientData(f"duration model: the time split leaves {n_tr} training and {n_te} test shipments")
         encoder = Pipeline(stages=encoder_stages()).fit(train_full)
         sub, valid = _split(train_full, dfe.VALIDATION_FRACTION, scope)
-        sub_v = _encoded(fit_sample(sub, n_tr, _row_keys(sub), fit_rows), encoder, "delay_days")
+        sub_v = _encoded(fit_all(sub, n_tr, _row_keys(sub)), encoder, "delay_days")
         val_v = _encoded(valid, encoder, "delay_days")
-        tr_v = _encoded(fit_sample(train_full, n_tr, _row_keys(train_full), fit_rows), encoder, "delay_days")
+        tr_v = _encoded(fit_all(train_full, n_tr, _row_keys(train_full)), encoder, "delay_days")
         held += [sub_v, val_v, tr_v]
 
         def mae(pm, df):

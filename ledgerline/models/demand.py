@@ -31,8 +31,9 @@ HORIZONS = (7, 30, 90)
 MIN_USABLE_ROWS, MIN_TRAIN_ROWS, MIN_TEST_ROWS = 50, 20, 5
 MIN_SALES_ROWS_TO_FORECAST = 20
 SEED = 42
-FIT_PARTITIONS = 8  # of such a sample: a boosted fit is hundreds of short jobs
-FIT_ROWS = 100_000  # labelled rows a fit sees at most (a hash sample of all); evaluation covers every row
+FIT_PARTITIONS = 8  # at least, for a fit: a boosted fit is hundreds of short jobs
+PARTITION_ROWS = 50_000  # of a regressor's fit, which sees every row of its split
+FIT_ROWS = 100_000  # labelled rows a classifier's fit sees at most (a hash sample of all); evaluation covers every row
 
 
 class InsufficientData(ValueError):
@@ -77,18 +78,22 @@ def fit_sample(df: DataFrame, n: int, keys, most: int = FIT_ROWS) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(*keys, F.lit(SEED)), F.lit(1 << 20)) < share * (1 << 20)).repartition(FIT_PARTITIONS, *keys)
 
 
+def fit_all(df: DataFrame, n: int, keys) -> DataFrame:
+    """All ``n`` rows of a split, dealt by their keys to as many partitions as they need."""
+    return df.repartition(max(FIT_PARTITIONS, n // PARTITION_ROWS), *keys)
+
+
 def _mae(pred: DataFrame) -> float:
     return pred.select(F.avg(F.abs(F.greatest(F.col("prediction"), F.lit(0.0)) - F.col("quantity")))).first()[0]
 
 
 def train_demand_model(sales: DataFrame, keys=("company_id", "product_id"), scope=(), date_col: str = "sale_date",
-                       n_estimators: int | None = None, fit_rows: int = FIT_ROWS) -> DemandModel:
+                       n_estimators: int | None = None) -> DemandModel:
     """One model over all of ``sales`` (pooled base model when ``scope`` is empty).
 
     The feature frame is persisted (MEMORY_AND_DISK) across the candidate fits
     and released at the end; lost executors just recompute it from lineage.
-    Each fit sees at most about ``fit_rows`` labelled rows; means, splits and
-    metrics cover all.
+    Fits, means, splits and metrics cover all rows of their split.
     """
     keys, scope = list(keys), list(scope)
     feat = dfe.demand_feature_matrix(sales, keys, date_col).persist(StorageLevel.MEMORY_AND_DISK)
@@ -108,14 +113,14 @@ def train_demand_model(sales: DataFrame, keys=("company_id", "product_id"), scop
         valid = inner.where(F.col("is_test")).drop("cutoff", "is_test")
         sub_e, val_e, _, _ = _encode(sub, valid, keys, scope or [])
         rows = [*keys, "date"]
-        sub_v = _assemble(fit_sample(sub_e, n_train, rows, fit_rows)).select("features", "quantity").persist(StorageLevel.MEMORY_AND_DISK)
+        sub_v = _assemble(fit_all(sub_e, n_train, rows)).select("features", "quantity").persist(StorageLevel.MEMORY_AND_DISK)
         val_v = _assemble(val_e).select("features", "quantity").persist(StorageLevel.MEMORY_AND_DISK)
         cands = candidates(n_estimators)
         val_maes = {name: _mae(est.fit(sub_v).transform(val_v)) for name, est in cands.items()}
         best = min(val_maes, key=val_maes.get)
         sub_v.unpersist(), val_v.unpersist()
         tr_e, te_e, prod, glob = _encode(train_full, test, keys, scope or [])
-        model = cands[best].fit(_assemble(fit_sample(tr_e, n_train, rows, fit_rows)).select("features", "quantity"))
+        model = cands[best].fit(_assemble(fit_all(tr_e, n_train, rows)).select("features", "quantity"))
         te_p = model.transform(_assemble(te_e)).withColumn("prediction", F.greatest("prediction", F.lit(0.0)))
         te_p = dfe.naive_baseline(te_p)
         g = [F.lit(1).alias("_all")]

@@ -2,7 +2,7 @@
 
 Trained models are memoised per (session, data folder), so the queries that
 share the base demand or delay models fit them once per process. Trees and
-boosting steps are the reference's; a fit sees at most ``demand.FIT_ROWS``
+boosting steps are the reference's; a classifier's fit sees at most ``demand.FIT_ROWS``
 labelled rows.
 """
 

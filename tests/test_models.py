@@ -108,3 +108,30 @@ def test_classifier_refuses_little_data(spark):
     feat = dl.feature_frame(spark.createDataFrame(rows, SHIP_SCHEMA), spark.createDataFrame(sups, SUPPLIER_SCHEMA))
     with pytest.raises(ValueError):
         dl.train_delay_classifier(feat, n_estimators=5)
+
+
+def test_regressors_are_fitted_on_every_row_of_their_split(spark, delay_models, monkeypatch):
+    """More training rows than FIT_ROWS: both demand fits take all; the fit of the delay length takes no sample either."""
+    from pyspark.ml.regression import DecisionTreeRegressor
+
+    seen = []
+
+    class Counted:
+        def fit(self, df):
+            seen.append(df.count())
+            return DecisionTreeRegressor(maxDepth=2, labelCol="quantity").fit(df)
+
+    days = "sequence(date'2023-01-01', date'2023-12-31')"
+    sales = spark.range(500).selectExpr("1L company_id", "concat('P', id) product_id", f"explode({days}) sale_date", "cast(id % 7 + 1 as double) quantity")
+    sales = sales.withColumns({"is_promotion": F.lit(0), "promotion_flag": F.lit(0), "unit_price": F.lit(1.0)})
+    monkeypatch.setattr(dm, "candidates", lambda n=None: {"counted": Counted()})
+    m = dm.train_demand_model(sales)
+    assert m.metrics["train_rows"] > dm.FIT_ROWS and len(seen) == 2
+    assert seen[1] == m.metrics["train_rows"] and 0.7 * seen[1] < seen[0] < seen[1] and seen[0] > dm.FIT_ROWS
+
+    def no_sample(*_):
+        raise AssertionError("a regressor takes every row")
+
+    monkeypatch.setattr(dl, "fit_sample", no_sample)
+    sh, su, _, _ = delay_models
+    assert dl.train_duration_model(dl.feature_frame(sh, su, scope=()), n_estimators=2).metrics["train_rows"] > 0
