@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import chat_format, language_id, learned_partitions, line_dedup, minhash_dedup, mixing, pivot_topk, sentencepiece_codec, substring_dedup, token_rollup
+from ledgerline.llm import (chat_format, collocations, divergence, language_id, learned_partitions, line_dedup, minhash_dedup, mixing, pivot_topk,
+                            sentencepiece_codec, substring_dedup, token_files, token_rollup)
 from ledgerline.llm.common import save, scratch, table, word_count
 from ledgerline.session import apply_defaults
 
@@ -32,6 +33,13 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def byte_vocabulary() -> str:
+    """Path of the public vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 @query
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text encoded with begin and end ids and decoded again, as digests."""
@@ -135,3 +143,29 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the words of 20-word windows that also start earlier in the corpus."""
     kept = substring_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.encode(F.coalesce("kept", F.lit("")), "UTF-8"), 256).alias("kept_sha256"))
+
+
+@query
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the sources of each language differ from each other, and the terms that set each apart from its language."""
+    return divergence.audit(table(spark, sf_dir, "documents").select("lang", "source", "text"))
+
+
+ORACLE["op11_source_divergence"] = divergence.ORACLE
+
+
+@query
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text encoded into Arrow files of equal-length sequences, read back and digested."""
+    folder = scratch(spark, "token-files")
+    token_files.write(table(spark, sf_dir, "documents").select("doc_id", "text"), byte_vocabulary(), folder)
+    return token_files.read(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 phrases of two to four words of each language, by the score of their weakest cut."""
+    return collocations.top(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
+ORACLE["op13_collocations"] = collocations.ORACLE

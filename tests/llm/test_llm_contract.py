@@ -14,7 +14,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 def test_one_query_for_each_operator():
     names = list(E.queries())
-    assert [sum(bool(re.match(rf"op{n}_", x)) for x in names) for n in range(1, 11)] == [1] * 10 and "pipeline" in names
+    assert [sum(bool(re.match(rf"op{n}_", x)) for x in names) for n in range(1, 14)] == [1] * 13 and "pipeline" in names
     assert set(E.oracle_sql()) <= set(names)
 
 
@@ -26,7 +26,7 @@ def test_nothing_else_imports_the_subpackage():
                 assert not any(n.startswith("ledgerline.llm") or n == "corpus_pipeline" for n in names), path
 
 
-@pytest.mark.parametrize("name", ["op2_pivot_topk", "op4_mixing", "op7_line_dedup"])
+@pytest.mark.parametrize("name", ["op2_pivot_topk", "op4_mixing", "op7_line_dedup", "op11_source_divergence", "op13_collocations"])
 def test_oracles(spark, name):
     con = duckdb.connect()
     for t in TABLES:
