@@ -51,30 +51,49 @@ DATE_FORMS = (
 )
 
 
-def to_date_lenient(x) -> Column:
+def _any_form() -> tuple[str, str]:
+    """One pattern for all forms, and its replacement: year, month, day and, for month/day/year in numbers, the separator,
+    each behind a control character. Groups of the forms that don't match are empty."""
+    patterns, groups, n = [], ([], [], [], []), 0
+    for form, order in DATE_FORMS:
+        numbers = order == (3, 1, 2) and form.startswith("(\\d")
+        patterns.append(form.replace("[-/.]", "([-/.])", 1) if numbers else form)
+        places = [order[0] + 1, order[1], order[2] + 1] if numbers else list(order)
+        for name, place in zip(groups, places + ([2] if numbers else []), strict=False):
+            name.append(n + place)
+        n += 4 if numbers else 3
+    return rf"(?i)^(?:{'|'.join(patterns)}){_TIME}$", "".join("\x01" + "".join(f"${g}" for g in name) for name in groups)
+
+
+_WHOLE, _PARTS = _any_form()
+
+
+def to_date_lenient(x, this_year: Column | int | None = None) -> Column:
     """Parse a raw value to a date; unparseable -> null.
 
     Accepts the usual written forms, alone or with a time of day (whose zone is
     not applied: the date is the one written): year first with ``- / .`` or
     nothing between, month/day/year (day first where the first number can't be
-    a month), and English month names. Two-digit years are the ones within 50 years of today.
+    a month), and English month names. Two-digit years are the ones within 50 years of ``this_year`` (today's).
+    ISO dates are cast; anything else is rewritten by one pattern to its year, month and day.
     """
-    x = F.lower(F.regexp_replace(F.trim(c(x).cast("string")), r"^[A-Za-z]{3,9},\s*", ""))
-    now = F.year(F.current_date())
-    out = []
-    for form, (y, m, d) in DATE_FORMS:
-        whole = rf"(?i)^{form}{_TIME}$"
-        year, month, day = (F.regexp_extract(x, whole, g) for g in (y, m, d))
+    text = F.trim(c(x).cast("string"))
+    now = F.year(F.current_date()) if this_year is None else F.lit(this_year)
+
+    def date(p: Column) -> Column:
+        year, month, day = p[1], p[2], p[3]
         number = F.position(F.substring(month, 1, 3), F.lit("janfebmaraprmayjunjulaugsepoctnovdec"))
         month = F.when(month.rlike("^[a-z]"), ((number + 2) / 3).cast("int").cast("string")).otherwise(month)
         near = now - now % 100 + year.try_cast("int")
         near = F.when(near >= now + 50, near - 100).when(near < now - 50, near + 100).otherwise(near)
         year = F.when(F.length(year) == 2, near.cast("string")).otherwise(year)
-        first = (y, m, d) == (3, 1, 2) and form[1] == "\\"
-        swap = (month.try_cast("int") > 12) if first else F.lit(False)
-        text = F.concat_ws("-", year, F.when(swap, day).otherwise(month), F.when(swap, month).otherwise(day))
-        out.append(F.when(x.rlike(whole), F.try_to_timestamp(text, F.lit("y-M-d"))))
-    return F.coalesce(*out).cast("date")
+        swap = (p[4] != "") & (month.try_cast("int") > 12)
+        return F.try_to_timestamp(F.concat_ws("-", year, F.when(swap, day).otherwise(month), F.when(swap, month).otherwise(day)), F.lit("y-M-d")).cast("date")
+
+    plain = F.lower(F.regexp_replace(F.translate(text, "\x01", "?"), r"^[A-Za-z]{3,9},\s*", ""))
+    parts = F.split(F.regexp_replace(plain, _WHOLE, _PARTS), "\x01")
+    written = F.transform(F.array(parts), lambda p: F.when(F.size(p) == 5, date(p)))[0]  # the parts are made once
+    return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), text.try_cast("date")).otherwise(written)
 
 
 def truthy(x) -> Column:
