@@ -18,13 +18,13 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.functions import metrics as met
 from ledgerline.functions.exprs import DELAY_TIERS, tier
-from ledgerline.models.demand import FIT_ROWS, InsufficientData, fit_all, fit_sample
+from ledgerline.models import trees
+from ledgerline.models.demand import FIT_ROWS, InsufficientData, fit, fit_sample, forest_bytes, forest_of
 from ledgerline.operators import demand_features as dfe
 from ledgerline.operators import shipment_features as sfe
 
@@ -37,7 +37,7 @@ TOP_FACTORS = 5
 @dataclass
 class DelayModel:
     name: str
-    model: PipelineModel
+    model: PipelineModel | TreeScorer
     feature_names: list
     metrics: dict = field(default_factory=dict)
     kind: str = "classifier"
@@ -75,14 +75,36 @@ def classifier_candidates(total_weight: float, n_estimators: int | None = None)
     }
 
 
-def duration_candidates(n_estimators: int | None = None) -> dict:
-    """C12 regressors on delayed shipments."""
-    return {
-        "random_forest": [RandomForestRegressor(labelCol="delay_days", numTrees=n_estimators or 200, maxDepth=8,
-                                                minInstancesPerNode=2, featureSubsetStrategy="all", seed=SEED)],
-        "gradient_boosting": [GBTRegressor(labelCol="delay_days", maxIter=n_estimators or 150, maxDepth=3,
-                                           stepSize=0.05, seed=SEED)],
-    }
+#: C12 regressors of the reference: trees, depth, rows of a leaf, learning rate.
+DURATION_CANDIDATES = {
+    "random_forest": {"trees": 200, "depth": 8, "min_leaf": 2, "rate": None},
+    "gradient_boosting": {"trees": 150, "depth": 3, "min_leaf": 1, "rate": 0.05},
+}
+
+
+class TreeScorer:
+    """Encoder stages and a forest: what a duration model is scored with."""
+
+    def __init__(self, stages: list, forest: trees.Forest, slots: int) -> None:
+        self.stages, self.forest, self.slots = stages, forest, slots
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return trees.predicted(PipelineModel(stages=self.stages).transform(df), _slots(self.slots), self.forest)
+
+    def save(self, path: str) -> None:
+        PipelineModel(stages=self.stages).write().overwrite().save(f"{path}/encoder")
+        spark = SparkSession.getActiveSession()
+        spark.createDataFrame([(self.slots, bytearray(forest_bytes(self.forest)))], "slots int, forest binary").coalesce(1).write.mode("overwrite").parquet(f"{path}/forest")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> TreeScorer:
+        r = spark.read.schema("slots int, forest binary").parquet(f"{path}/forest").first()
+        return TreeScorer(PipelineModel.load(f"{path}/encoder").stages, forest_of(bytes(r["forest"])), r["slots"])
+
+
+def _slots(n: int) -> list[Column]:
+    x = vector_to_array("features")
+    return [x[i] for i in range(n)]
 
 
 def _split(df: DataFrame, frac: float, scope) -> tuple[DataFrame, DataFrame]:
@@ -209,19 +231,19 @@ def train_duration_model(feat: DataFrame, scope=(), n_estimators: int | None = N
             raise InsufficientData(f"duration model: the time split leaves {n_tr} training and {n_te} test shipments")
         encoder = Pipeline(stages=encoder_stages()).fit(train_full)
         sub, valid = _split(train_full, dfe.VALIDATION_FRACTION, scope)
-        sub_v = _encoded(fit_all(sub, n_tr, _row_keys(sub)), encoder, "delay_days")
+        slots = len(_names(encoder.stages))
         val_v = _encoded(valid, encoder, "delay_days")
-        tr_v = _encoded(fit_all(train_full, n_tr, _row_keys(train_full)), encoder, "delay_days")
-        held += [sub_v, val_v, tr_v]
+        held.append(val_v)
+        pack = lambda df: trees.pack(_exploded(encoder.transform(df), slots, "delay_days", *_row_keys(df)), [F.col(f"s{i}") for i in range(slots)], "delay_days", _row_keys(df))
+        packed = pack(sub)
 
-        def mae(pm, df):
-            p = pm.transform(df).select(F.avg(F.abs(F.greatest("prediction", F.lit(0.0)) - F.col("delay_days"))))
+        def mae(forest, df):
+            p = trees.predicted(df, _slots(slots), forest).select(F.avg(F.abs(F.greatest("prediction", F.lit(0.0)) - F.col("delay_days"))))
             return float(p.first()[0])
 
-        val_mae = {name: mae(Pipeline(stages=st).fit(sub_v), val_v) for name, st in duration_candidates(n_estimators).items()}
+        val_mae = {name: mae(fit(spec, packed, n_estimators), val_v) for name, spec in DURATION_CANDIDATES.items()}
         best = min(val_mae, key=val_mae.get)
-        fitted = Pipeline(stages=duration_candidates(n_estimators)[best]).fit(tr_v)
-        pm = PipelineModel(stages=encoder.stages + fitted.stages)
+        pm = TreeScorer(encoder.stages, fit(DURATION_CANDIDATES[best], pack(train_full), n_estimators), slots)
         pred = pm.transform(test).withColumn("prediction", F.greatest("prediction", F.lit(0.0))) \
             .withColumn("mean_pred", F.lit(known["mean"])).withColumn("_g", F.lit(1))
         base = dfe.regression_metrics(pred, "delay_days", "mean_pred", ["_g"]).first()
@@ -230,16 +252,26 @@ def train_duration_model(feat: DataFrame, scope=(), n_estimators: int | None = N
                    "comparison": {"mean_baseline": {k: base[k] for k in ("mae", "rmse", "r2")},
                                   best: {k: fin[k] for k in ("mae", "rmse", "r2")}},
                    "validation_maes": val_mae}
-        return DelayModel(best, pm, feature_names(pm), metrics, "duration")
+        return DelayModel(best, pm, _names(encoder.stages), metrics, "duration")
     finally:
         for frame in held:
             frame.unpersist()
 
 
+def _exploded(df: DataFrame, slots: int, *keep: str) -> DataFrame:
+    """The feature vector as columns s0, s1, ..., unpacked once a row."""
+    x = df.select(*keep, vector_to_array("features").alias("x"))
+    return x.select(*keep, *[F.col("x")[i].alias(f"s{i}") for i in range(slots)])
+
+
 def feature_names(pm: PipelineModel) -> list[str]:
+    return _names(pm.stages)
+
+
+def _names(stages: list) -> list[str]:
     """Names of the assembled feature slots (numeric columns, then one-hot slots)."""
     names = list(sfe.NUMERIC_FEATURE_COLUMNS)
-    for st in pm.stages:
+    for st in stages:
         if type(st).__name__ == "StringIndexerModel":
             col = st.getInputCol()
             names += [f"{col}_{lab}" for lab in st.labels]  # dropLast removes the 'keep' slot
@@ -258,7 +290,7 @@ def score_shipments(shipments_feat: DataFrame, clf: DelayModel, dur: DelayModel
     pred = _p1(clf.model.transform(shipments_feat))
     imp, signed = _importances(clf)
     names = clf.feature_names[:len(imp)]
-    x = vector_to_array("scaled" if signed else "features")
+    x = vector_to_array("features")
     facts = F.arrays_zip(F.array(*[F.lit(n) for n in names]).alias("feature"),
                          F.array(*[F.lit(float(abs(v))) for v in imp]).alias("importance"),
                          F.array(*[F.lit(float(v)) for v in imp]).alias("coef"),
@@ -320,14 +352,18 @@ def shipment_detail(shipments: DataFrame, suppliers: DataFrame, clf: DelayModel,
 def save_model(m: DelayModel, path: str) -> None:
     """Bundle: the fitted pipeline, and its name, kind, feature names and metrics."""
     spark = SparkSession.getActiveSession()
-    m.model.write().overwrite().save(f"{path}/model")
+    if isinstance(m.model, TreeScorer):
+        m.model.save(f"{path}/model")
+    else:
+        m.model.write().overwrite().save(f"{path}/model")
     meta = {"name": m.name, "kind": m.kind, "feature_names": m.feature_names, "metrics": m.metrics}
     spark.createDataFrame([(json.dumps(meta, default=float),)], "meta string").coalesce(1).write.mode("overwrite").json(f"{path}/meta")
 
 
 def load_model(spark, path: str) -> DelayModel:
     meta = json.loads(spark.read.schema("meta string").json(f"{path}/meta").first()["meta"])
-    return DelayModel(meta["name"], PipelineModel.load(f"{path}/model"), meta["feature_names"], meta["metrics"], meta["kind"])
+    model = TreeScorer.load(spark, f"{path}/model") if meta["kind"] == "duration" else PipelineModel.load(f"{path}/model")
+    return DelayModel(meta["name"], model, meta["feature_names"], meta["metrics"], meta["kind"])
 
 
 def score_with_registry(feat: DataFrame, classifiers: DataFrame, durations: DataFrame) -> DataFrame:

@@ -1,28 +1,28 @@
-"""Demand model (D6-D11): fit/select/refit on MLlib, recursive forecast on array forests.
+"""Demand model (D6-D11): fit/select/refit on distributed trees, recursive forecast, serving by registry.
 
-Training is distributed MLlib (random forest vs gradient boosting, chosen on
-a time-based validation split). Forecasting does not call ``model.transform``
-per step: each product's last 60 dense days travel as one array row, and a
-``mapInPandas`` task steps a whole Arrow batch of products through the
-horizon with the broadcast forest arrays.
+Both candidates (random forest, gradient boosting) are grown by ``models.trees`` from every row of their split and chosen
+on a time-based validation split. Forecasting steps whole Arrow batches of products through the horizon, the day's
+features computed from the history array that each product carries.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import io
 import json
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerline.models.forest_arrays import ForestArrays, from_model
+from ledgerline.models import trees
+from ledgerline.models.trees import Forest
 from ledgerline.operators import demand_features as dfe
 
 MODEL_FEATURES = dfe.FEATURE_COLUMNS + ["product_mean_demand"]
@@ -31,8 +31,7 @@ HORIZONS = (7, 30, 90)
 MIN_USABLE_ROWS, MIN_TRAIN_ROWS, MIN_TEST_ROWS = 50, 20, 5
 MIN_SALES_ROWS_TO_FORECAST = 20
 SEED = 42
-FIT_PARTITIONS = 8  # at least, for a fit: a boosted fit is hundreds of short jobs
-PARTITION_ROWS = 50_000  # of a regressor's fit, which sees every row of its split
+FIT_PARTITIONS = 8  # of a classifier's fit: a boosted fit is hundreds of short jobs
 FIT_ROWS = 100_000  # labelled rows a classifier's fit sees at most (a hash sample of all); evaluation covers every row
 
 
@@ -43,7 +42,7 @@ class InsufficientData(ValueError):
 @dataclass
 class DemandModel:
     name: str
-    model: object
+    model: Forest
     origin: dt.date                 # training trend origin (first dense date)
     product_means: DataFrame        # (company_id, product_id, product_mean_demand) from the training split
     global_mean: float
@@ -51,25 +50,31 @@ class DemandModel:
     keys: tuple = ("company_id", "product_id")
 
 
-def candidates(n_estimators: int | None = None) -> dict:
-    """D6/D7 with the reference's settings (``n_estimators`` overrides both tree counts)."""
-    return {
-        "random_forest": RandomForestRegressor(numTrees=n_estimators or 200, maxDepth=10, minInstancesPerNode=3,
-                                               featureSubsetStrategy="all", seed=SEED, labelCol="quantity"),
-        "gradient_boosting": GBTRegressor(maxIter=n_estimators or 200, maxDepth=3, stepSize=0.05, seed=SEED,
-                                          labelCol="quantity"),
-    }
+#: D6/D7 settings of the reference: trees, depth, rows of a leaf, learning rate.
+CANDIDATES = {
+    "random_forest": {"trees": 200, "depth": 10, "min_leaf": 3, "rate": None},
+    "gradient_boosting": {"trees": 200, "depth": 3, "min_leaf": 1, "rate": 0.05},
+}
 
 
-def _assemble(df: DataFrame) -> DataFrame:
-    return VectorAssembler(inputCols=MODEL_FEATURES, outputCol="features", handleInvalid="keep").transform(
-        df.select(*[F.col(c).cast("double").alias(c) if c in MODEL_FEATURES else F.col(c) for c in df.columns]))
+def fit(spec: dict, packed: trees.Packed, n_estimators: int | None = None) -> Forest:
+    """One candidate on all packed rows (``n_estimators`` overrides its tree count)."""
+    n = n_estimators or spec["trees"]
+    if spec["rate"] is None:
+        return trees.fit_forest(packed, n, spec["depth"], spec["min_leaf"], SEED)
+    return trees.fit_boosted(packed, n, spec["depth"], spec["rate"], spec["min_leaf"])
+
+
+def model_columns() -> list[Column]:
+    return [F.col(c) for c in MODEL_FEATURES]
 
 
 def _encode(train: DataFrame, other: DataFrame, keys, scope):
     prod, glob = dfe.mean_encoding(train, keys, scope)
-    return (dfe.apply_mean_encoding(train, prod, glob, keys, scope),
-            dfe.apply_mean_encoding(other, prod, glob, keys, scope), prod, glob)
+    if scope:
+        return (dfe.apply_mean_encoding(train, prod, glob, keys, scope), dfe.apply_mean_encoding(other, prod, glob, keys, scope), prod, glob)
+    known = F.lit(glob.first()[0]).cast("double")  # one number
+    return (*(df.join(prod, list(keys), "left").withColumn("product_mean_demand", F.coalesce("product_mean_demand", known)) for df in (train, other)), prod, glob)
 
 
 def fit_sample(df: DataFrame, n: int, keys, most: int = FIT_ROWS) -> DataFrame:
@@ -78,11 +83,6 @@ def fit_sample(df: DataFrame, n: int, keys, most: int = FIT_ROWS) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(*keys, F.lit(SEED)), F.lit(1 << 20)) < share * (1 << 20)).repartition(FIT_PARTITIONS, *keys)
 
 
-def fit_all(df: DataFrame, n: int, keys) -> DataFrame:
-    """All ``n`` rows of a split, dealt by their keys to as many partitions as they need."""
-    return df.repartition(max(FIT_PARTITIONS, n // PARTITION_ROWS), *keys)
-
-
 def _mae(pred: DataFrame) -> float:
     return pred.select(F.avg(F.abs(F.greatest(F.col("prediction"), F.lit(0.0)) - F.col("quantity")))).first()[0]
 
@@ -113,15 +113,14 @@ def train_demand_model(sales: DataFrame, keys=("company_id", "product_id"), scop
         valid = inner.where(F.col("is_test")).drop("cutoff", "is_test")
         sub_e, val_e, _, _ = _encode(sub, valid, keys, scope or [])
         rows = [*keys, "date"]
-        sub_v = _assemble(fit_all(sub_e, n_train, rows)).select("features", "quantity").persist(StorageLevel.MEMORY_AND_DISK)
-        val_v = _assemble(val_e).select("features", "quantity").persist(StorageLevel.MEMORY_AND_DISK)
-        cands = candidates(n_estimators)
-        val_maes = {name: _mae(est.fit(sub_v).transform(val_v)) for name, est in cands.items()}
+        packed = trees.pack(sub_e, model_columns(), "quantity", rows)
+        val_e = val_e.persist(StorageLevel.MEMORY_AND_DISK)
+        val_maes = {name: _mae(trees.predicted(val_e, model_columns(), fit(spec, packed, n_estimators))) for name, spec in CANDIDATES.items()}
         best = min(val_maes, key=val_maes.get)
-        sub_v.unpersist(), val_v.unpersist()
+        val_e.unpersist()
         tr_e, te_e, prod, glob = _encode(train_full, test, keys, scope or [])
-        model = cands[best].fit(_assemble(fit_all(tr_e, n_train, rows)).select("features", "quantity"))
-        te_p = model.transform(_assemble(te_e)).withColumn("prediction", F.greatest("prediction", F.lit(0.0)))
+        model = fit(CANDIDATES[best], trees.pack(tr_e, model_columns(), "quantity", rows), n_estimators)
+        te_p = trees.predicted(te_e, model_columns(), model).withColumn("prediction", F.greatest("prediction", F.lit(0.0)))
         te_p = dfe.naive_baseline(te_p)
         g = [F.lit(1).alias("_all")]
         base = dfe.regression_metrics(te_p.select("*", *g), "quantity", "baseline_pred", ["_all"]).first()
@@ -195,54 +194,53 @@ def _step_features(hist: np.ndarray, target: np.ndarray, origin: np.datetime64,
     return np.column_stack([lag1, lag7, lag14, m7, m14, s7, s14, dow, month, weekend, trend, promo, means])
 
 
-def forecast(state: DataFrame, model: DemandModel, horizon: int, forest: ForestArrays | None = None) -> DataFrame:
+def _stepper(horizon: int, keys: list[str]) -> Callable[[pd.DataFrame, Forest, np.datetime64], pd.DataFrame]:
+    """Steps a batch of products (keys, last_date, history, product_mean_demand) through the horizon."""
+
+    def run(pdf: pd.DataFrame, forest: Forest, origin: np.datetime64) -> pd.DataFrame:
+        hist = [np.asarray(h, dtype=np.float64)[-HISTORY_ROWS:] for h in pdf["history"]]
+        longest = max(len(h) for h in hist)
+        mat = np.full((len(pdf), longest), np.nan)
+        for i, h in enumerate(hist):
+            mat[i, longest - len(h):] = h
+        means = pdf["product_mean_demand"].to_numpy(dtype=np.float64)
+        last = pdf["last_date"].to_numpy().astype("datetime64[D]")
+        preds = []
+        for step in range(1, horizon + 1):
+            p = np.clip(forest.predict(_step_features(mat, last + np.timedelta64(step, "D"), origin, means)), 0.0, None)
+            preds.append(p)
+            mat = np.column_stack([mat, p])
+        rows = {k: np.repeat(pdf[k].to_numpy(), horizon) for k in keys}
+        rows["step"] = np.tile(np.arange(1, horizon + 1, dtype=np.int32), len(pdf))
+        rows["date"] = (np.repeat(last, horizon) + np.tile(np.arange(1, horizon + 1), len(pdf)).astype("timedelta64[D]")).astype(object)
+        rows["predicted_quantity"] = np.round(np.stack(preds, axis=1).reshape(-1), 1)
+        return pd.DataFrame(rows)
+
+    return run
+
+
+def _forecast_schema(state: DataFrame, keys: list[str]) -> T.StructType:
+    return T.StructType([f for f in state.schema.fields if f.name in keys] + [T.StructField("step", T.IntegerType()), T.StructField("date", T.DateType()),
+                                                                              T.StructField("predicted_quantity", T.DoubleType())])
+
+
+def forecast(state: DataFrame, model: DemandModel, horizon: int) -> DataFrame:
     """Recursive multi-step forecast for every product of ``state`` (from ``history_state``).
 
     ``state`` must carry ``product_mean_demand`` (see ``forecast_products``).
     """
     if horizon not in HORIZONS:
         raise ValueError(f"horizon must be one of {HORIZONS}")
-    spark = state.sparkSession
-    fa = forest or from_model(model.model, spark)
-    bc = spark.sparkContext.broadcast(fa)
-    origin = np.datetime64(model.origin, "D")
     keys = list(model.keys)
-    key_fields = [f for f in state.schema.fields if f.name in keys]
-    out_schema = T.StructType(key_fields + [T.StructField("step", T.IntegerType()),
-                                            T.StructField("date", T.DateType()),
-                                            T.StructField("predicted_quantity", T.DoubleType())])
-    if list(dfe.FEATURE_COLUMNS[:7]) != ["lag_1", "lag_7", "lag_14", "rollmean_7", "rollmean_14", "rollstd_7",
-                                         "rollstd_14"]:
-        raise AssertionError("feature order changed; update _step_features")
-
-    def run(batches):
-        forest_arrays = bc.value
+    sent = state.sparkSession.sparkContext.broadcast(model.model)
+    origin, step = np.datetime64(model.origin, "D"), _stepper(horizon, keys)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            if pdf.empty:
-                continue
-            hist = np.array([np.asarray(h, dtype=np.float64)[-HISTORY_ROWS:] for h in pdf["history"]], dtype=object)
-            L = max(len(h) for h in hist)
-            mat = np.full((len(pdf), L), np.nan)
-            for i, h in enumerate(hist):
-                mat[i, L - len(h):] = h
-            means = pdf["product_mean_demand"].to_numpy(dtype=np.float64)
-            last = pdf["last_date"].to_numpy().astype("datetime64[D]")
-            preds = []
-            for step in range(1, horizon + 1):
-                target = last + np.timedelta64(step, "D")
-                x = _step_features(mat, target, origin, means)
-                p = np.clip(forest_arrays.predict(x), 0.0, None)
-                preds.append(p)
-                mat = np.column_stack([mat, p])
-            pred = np.stack(preds, axis=1)
-            rows = {k: np.repeat(pdf[k].to_numpy(), horizon) for k in keys}
-            rows["step"] = np.tile(np.arange(1, horizon + 1, dtype=np.int32), len(pdf))
-            rows["date"] = (np.repeat(last, horizon) + np.tile(np.arange(1, horizon + 1), len(pdf))
-                            .astype("timedelta64[D]")).astype("datetime64[D]").astype(object)
-            rows["predicted_quantity"] = np.round(pred.reshape(-1), 1)
-            yield pd.DataFrame(rows)
-
-    return state.mapInPandas(run, out_schema)
+            if not pdf.empty:
+                yield step(pdf, sent.value, origin)
+
+    return state.mapInPandas(run, _forecast_schema(state, keys))
 
 
 def forecast_products(sales: DataFrame, model: DemandModel, horizon: int, date_col: str = "sale_date",
@@ -262,49 +260,150 @@ def forecast_products(sales: DataFrame, model: DemandModel, horizon: int, date_c
 
 
 # ---------------------------------------------------------------------------------------------
-# Model bundle persistence and registry-driven serving (G4/G7 -> D11)
+# Stored models and serving by registry (G4/G7 -> D11)
 # ---------------------------------------------------------------------------------------------
+MODEL_ROW = "model_path string, name string, origin date, global_mean double, keys array<string>, metrics_json string, forest binary"
+#: Products that a serving task steps together.
+SERVED_TOGETHER = 2_000
+
+
+def forest_bytes(forest: Forest) -> bytes:
+    out = io.BytesIO()
+    np.savez_compressed(out, kind=np.array(forest.kind), base=forest.base, rate=forest.rate, feature=forest.feature.astype(np.int16),
+                        threshold=forest.threshold, value=forest.value)
+    return out.getvalue()
+
+
+def forest_of(data: bytes) -> Forest:
+    z = np.load(io.BytesIO(data), allow_pickle=False)
+    return Forest(str(z["kind"]), float(z["base"]), float(z["rate"]), z["feature"].astype(np.int32), z["threshold"], z["value"])
+
+
 def save_model(m: DemandModel, path: str) -> None:
-    """Bundle = fitted MLlib model + training-split product means + meta (name, origin, global mean, keys)."""
+    """A model is one row (name, origin, global mean, metrics, trees) and the product means of its training split."""
     spark = m.product_means.sparkSession
-    m.model.write().overwrite().save(f"{path}/model")
     m.product_means.write.mode("overwrite").parquet(f"{path}/product_means")
-    meta = {"name": m.name, "origin": m.origin.isoformat(), "global_mean": m.global_mean, "keys": list(m.keys),
-            "kind": type(m.model).__name__, "metrics": m.metrics}
-    spark.createDataFrame([(json.dumps(meta, default=float),)], "meta string").coalesce(1) \
-        .write.mode("overwrite").json(f"{path}/meta")
+    row = (path, m.name, m.origin, float(m.global_mean), list(m.keys), json.dumps(m.metrics, default=float), bytearray(forest_bytes(m.model)))
+    spark.createDataFrame([row], MODEL_ROW).coalesce(1).write.mode("overwrite").parquet(f"{path}/model")
 
 
 def load_model(spark, path: str) -> DemandModel:
-    from pyspark.ml.regression import GBTRegressionModel, RandomForestRegressionModel
-    meta = json.loads(spark.read.json(f"{path}/meta").first()["meta"])
-    cls = {"RandomForestRegressionModel": RandomForestRegressionModel,
-           "GBTRegressionModel": GBTRegressionModel}[meta["kind"]]
-    return DemandModel(meta["name"], cls.load(f"{path}/model"), dt.date.fromisoformat(meta["origin"]),
-                       spark.read.parquet(f"{path}/product_means"), float(meta["global_mean"]), meta["metrics"],
-                       tuple(meta["keys"]))
-
-
-def forecast_with_registry(sales: DataFrame, active: DataFrame, horizon: int,
-                           date_col: str = "sale_date") -> DataFrame:
-    """D11 for every tenant with the model G4 picked for it (own active model, else the base).
-
-    ``active`` comes from ``governance.active_model`` over the registry. Only the
-    distinct model paths reach the driver (one per tenant model plus the base);
-    each model forecasts exactly the tenants that use it, in one job.
+    r = spark.read.schema(MODEL_ROW).parquet(f"{path}/model").first()
+    return DemandModel(r["name"], forest_of(bytes(r["forest"])), r["origin"], spark.read.parquet(f"{path}/product_means"), r["global_mean"],
+                       json.loads(r["metrics_json"]), tuple(r["keys"]))
+
+
+def forecast_with_registry(sales: DataFrame, active: DataFrame, models: DataFrame, means: DataFrame, horizon: int,
+                           keys=("company_id", "product_id"), date_col: str = "sale_date") -> DataFrame:
+    """D11 for every tenant with the model G4 picked for it (own active model, else the base), in one job.
+
+    ``active`` comes from ``governance.active_model``; ``models`` (MODEL_ROW, one row a stored model) and ``means``
+    (model_path, keys, product_mean_demand) are the stored models' tables. Products meet their tenant's model in groups of
+    about SERVED_TOGETHER, so a model that serves most tenants is sent to many tasks and no task holds more than that.
     """
-    spark = sales.sparkSession
-    picks = active.select("company_id", "model_path", "model_source", "version").collect()
-    by_path: dict[str, list] = {}
-    for r in picks:
-        by_path.setdefault(r["model_path"], []).append(r)
-    out = None
-    for path, rows in by_path.items():
-        m = load_model(spark, path)
-        tenants = [r["company_id"] for r in rows]
-        fc = forecast_products(sales.where(F.col("company_id").isin(tenants)), m, horizon, date_col,
-                               model_source=rows[0]["model_source"], model_version=rows[0]["version"])
-        out = fc if out is None else out.unionByName(fc)
-    if out is None:
-        raise InsufficientData("no tenant has an active demand model")
-    return out
+    if horizon not in HORIZONS:
+        raise ValueError(f"horizon must be one of {HORIZONS}")
+    keys = list(keys)
+    picks = active.select("company_id", "model_path", "model_source", "version")
+    state = history_state(sales, keys, date_col).join(picks, "company_id").join(means, ["model_path", *keys], "left")
+    head = models.select("model_path", F.col("name").alias("model_name"), "origin", "global_mean")
+    state = state.join(head, "model_path").withColumn("product_mean_demand", F.coalesce("product_mean_demand", "global_mean"))
+    served = state.groupBy("model_path").agg(F.ceil(F.count(F.lit(1)) / F.lit(SERVED_TOGETHER)).cast("long").alias("groups"))
+    state = state.join(served, "model_path").withColumn("grp", F.pmod(F.xxhash64(*keys), F.col("groups")))
+    sent = models.join(served, "model_path").select(F.col("model_path").alias("model_path"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("grp"),
+                                                    F.col("forest").alias("forest"))
+    step, carried = _stepper(horizon, keys), ["last_date", "last_actual_quantity", "model_name", "model_source", "version"]
+    schema = T.StructType([*_forecast_schema(state, keys).fields, *[state.schema[c] for c in carried]])
+
+    def serve(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame({f.name: [] for f in schema.fields})
+        out = step(left, forest_of(right["forest"].iloc[0]), np.datetime64(left["origin"].iloc[0], "D"))
+        return pd.concat([out.reset_index(drop=True), left[carried].loc[left.index.repeat(horizon)].reset_index(drop=True)], axis=1)
+
+    rows = state.select("model_path", "grp", *keys, "history", "product_mean_demand", "origin", *carried)
+    out = rows.groupBy("model_path", "grp").cogroup(sent.groupBy("model_path", "grp")).applyInPandas(serve, schema)
+    return out.withColumnRenamed("version", "model_version")
+
+
+# ---------------------------------------------------------------------------------------------
+# Every tenant's own model
+# ---------------------------------------------------------------------------------------------
+#: Feature rows of a tenant that one task may hold; larger tenants are grown by ``train_demand_model``.
+GROUP_ROWS = 1_000_000
+TENANT_ROW = ("company_id int, name string, origin date, global_mean double, train_rows long, test_rows long, metrics_json string, forest binary, "
+              "product_id array<long>, product_mean array<double>, problem string")
+
+
+def tenant_features(sales: DataFrame, date_col: str = "sale_date") -> DataFrame:
+    """Features of every tenant's products with the part of their tenant's time splits they are in (0 sub, 1 valid, 2 test)
+    and their mean demand in the sub and in the whole training split."""
+    keys, scope = ["company_id", "product_id"], ["company_id"]
+    feat = dfe.demand_feature_matrix(sales, keys, date_col)
+    outer = dfe.time_split(feat, "date", dfe.TEST_FRACTION, scope)
+    train = outer.where(~F.col("is_test")).drop("cutoff", "is_test")
+    cut = dfe.nearest_quantile_cutoff(train, "date", 1 - dfe.VALIDATION_FRACTION, scope).select(*scope, F.col("cutoff").alias("inner"))
+    parts = outer.join(cut, scope, "left").withColumn("part", F.when(F.col("is_test"), 2).when(F.col("date") >= F.col("inner"), 1).otherwise(0))
+    sub, whole = F.col("part") == 0, F.col("part") < 2
+    mean = lambda by, cond: F.avg(F.when(cond, F.col("quantity")))
+    means = parts.groupBy(*keys).agg(mean(keys, sub).alias("m_sub"), mean(keys, whole).alias("m_train"))
+    glob = parts.groupBy(*scope).agg(mean(scope, sub).alias("g_sub"), mean(scope, whole).alias("g_train"), F.min("trend_index").alias("first_index"))
+    return parts.join(means, keys).join(glob, scope).drop("cutoff", "is_test", "inner")
+
+
+def _fit_tenant(n_estimators: int | None) -> Callable[[tuple, pa.Table], pa.Table]:
+    """D8/D9 on one tenant's features."""
+
+    def errors(p: np.ndarray, y: np.ndarray) -> dict:
+        e, some = p - y, y > 1e-6
+        return {"mae": float(np.abs(e).mean()), "rmse": float(np.sqrt((e * e).mean())), "mape": float(np.abs(e[some] / y[some]).mean() * 100) if some.any() else None}
+
+    def grow(spec: dict, x: np.ndarray, y: np.ndarray, key: np.ndarray) -> Forest:
+        cuts = trees.cuts_of_group(x)
+        held = trees.Packed(None, cuts, len(y))
+        n, binned = n_estimators or spec["trees"], trees.bin_rows(x, cuts)
+        if spec["rate"] is None:
+            return trees.forest_of_group(binned, y, key, held.threshold, held.widths, n, spec["depth"], spec["min_leaf"], SEED)
+        return trees.boosted_of_group(binned, y, held.threshold, held.widths, n, spec["depth"], spec["rate"], spec["min_leaf"])
+
+    def train(t: pd.DataFrame) -> dict:
+        t = t.sort_values(["product_id", "date"], kind="stable")
+        part = t["part"].to_numpy()
+        n_train, n_test = int((part < 2).sum()), int((part == 2).sum())
+        if len(t) < MIN_USABLE_ROWS:
+            return {"problem": f"demand model: {len(t)} usable rows, at least {MIN_USABLE_ROWS} are needed"}
+        if n_train < MIN_TRAIN_ROWS or n_test < MIN_TEST_ROWS:
+            return {"problem": f"demand model: the time split leaves {n_train} training and {n_test} test rows"}
+        base, y, key = t[dfe.FEATURE_COLUMNS].to_numpy(float), t["quantity"].to_numpy(float), t["key"].to_numpy(np.int64)
+        mean = lambda m, g: t[m].fillna(t[g]).to_numpy(float)
+        x = np.column_stack([base, mean("m_sub", "g_sub")])
+        sub, valid, test = part == 0, part == 1, part == 2
+        maes = {name: float(np.abs(np.clip(grow(spec, x[sub], y[sub], key[sub]).predict(x[valid]), 0, None) - y[valid]).mean()) for name, spec in CANDIDATES.items()}
+        best = min(maes, key=maes.get)
+        x = np.column_stack([base, mean("m_train", "g_train")])
+        forest = grow(CANDIDATES[best], x[~test], y[~test], key[~test])
+        metrics = {"selected_model": best, "train_rows": n_train, "test_rows": n_test, "validation_maes": maes, "comparison": {
+            "naive_seasonal_baseline": errors(np.clip(t["lag_7"].to_numpy(float)[test], 0, None), y[test]),
+            best: errors(np.clip(forest.predict(x[test]), 0, None), y[test])}}
+        known = t.loc[part < 2, ["product_id", "m_train"]].drop_duplicates("product_id")
+        origin = (pd.to_datetime(t["date"].iloc[0]) - pd.Timedelta(days=int(t["trend_index"].iloc[0]))).date()
+        return {"name": best, "origin": origin, "global_mean": float(t["g_train"].iloc[0]), "train_rows": n_train, "test_rows": n_test,
+                "metrics_json": json.dumps(metrics), "forest": forest_bytes(forest), "product_id": known["product_id"].tolist(), "product_mean": known["m_train"].tolist()}
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        try:
+            found = train(pdf)
+        except Exception as e:  # noqa: BLE001 - one tenant's failure is its outcome and never loses the others' fits
+            found = {"problem": f"{type(e).__name__}: {e}"}
+        empty = dict.fromkeys(["name", "origin", "global_mean", "train_rows", "test_rows", "metrics_json", "forest", "product_id", "product_mean", "problem"])
+        return pd.DataFrame([{"company_id": key[0], **empty, **found}])
+
+    return run
+
+
+def train_tenant_models(sales: DataFrame, tenants: DataFrame, date_col: str = "sale_date", n_estimators: int | None = None) -> DataFrame:
+    """D8 for each of ``tenants`` (company_id) whose features one task can hold, all in one job: TENANT_ROW rows with the
+    fitted model or the problem that kept it from being fitted."""
+    feat = tenant_features(sales.join(tenants.select("company_id"), "company_id", "left_semi"), date_col)
+    feat = feat.withColumn("key", F.xxhash64("company_id", "product_id", "date")).withColumn("company_id", F.col("company_id").cast("int"))
+    return feat.groupBy("company_id").applyInPandas(_fit_tenant(n_estimators), TENANT_ROW)

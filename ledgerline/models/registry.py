@@ -1,14 +1,13 @@
-"""Model governance jobs (G3, G5-G9): train base / tenant models and append registry rows.
+"""Model governance jobs (G3, G5-G9): train base / tenant models and commit registry rows.
 
-The registry is an append-only Parquet table in the shared folder; status and
-version are derived at read time (``governance.registry_status``), so a
-retrain is one append and never rewrites earlier rows. Model artifacts are
-written under a versioned path (the reference overwrote a fixed per-tenant
-file that archived rows still pointed to).
+The registry is a folder with a log: a commit writes its rows (Parquet) to a folder of its own and then creates the next
+numbered file of ``log``, which names that folder. Creating fails if the file is there, so of two trainings that commit at
+once one gets the number and the other takes the next one; rows become visible all at once, and a lost commit changes
+nothing. ``registry_id`` is made of the commit's number and the row's place, versions and status follow from it at read
+time (``governance.registry_status``), and no earlier row is ever rewritten. Model artifacts have a path for each version.
 
-Tenant models are independent Spark jobs submitted from a bounded thread
-pool, each in its own FAIR scheduler pool, so small tenants do not queue
-behind one large tenant's fit.
+All tenants whose data one task can hold are trained in one job, grouped by tenant; a tenant's failure is its outcome and
+doesn't touch the others. Larger tenants are trained one after the other by the distributed learner.
 """
 
 from __future__ import annotations
@@ -16,8 +15,8 @@ from __future__ import annotations
 import datetime as dt
 import json
 import uuid
-from concurrent.futures import ThreadPoolExecutor
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +25,7 @@ from ledgerline.models import demand as dm
 from ledgerline.operators import governance as gov
 from ledgerline.session import checkpoint_root
 
+COMMIT_ROWS = 1_000_000  # of registry ids that belong to a commit
 MODEL_TYPES = ("demand", "shipment_delay", "shipment_duration")
 
 
@@ -33,20 +33,68 @@ def registry_path(spark: SparkSession) -> str:
     return f"{checkpoint_root(spark)}/model_registry"
 
 
+def _fs(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def _commits(spark: SparkSession, path: str) -> list[tuple[int, str]]:
+    """Numbers and row folders of the commits, in order."""
+    fs, log = _fs(spark, f"{path}/log")
+    if not fs.exists(log):
+        return []
+    names = sorted(s.getPath().getName() for s in fs.listStatus(log))
+    return [(int(n.split("-")[0]), n.split("-", 1)[1]) for n in names if "-" in n]
+
+
 def read_registry(spark: SparkSession, path: str | None = None) -> DataFrame:
-    """The registry, empty before anything is written; a storage error is an error, not an empty registry."""
+    """The registry, empty before anything is committed; a storage error is an error, not an empty registry."""
     path = path or registry_path(spark)
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+    commits = _commits(spark, path)
+    if not commits:
         return spark.createDataFrame([], gov.REGISTRY_SCHEMA)
-    return spark.read.schema(gov.REGISTRY_SCHEMA).parquet(path)
+    rows = spark.read.schema(gov.REGISTRY_SCHEMA).parquet(*[f"{path}/rows/{c:09d}-{folder}" for c, folder in commits])
+    return rows
+
+
+def commit_registry(spark: SparkSession, rows: DataFrame, path: str | None = None) -> int:
+    """Add the rows (REGISTRY_SCHEMA; their registry_id only orders them) as one commit and return its number.
+
+    The number is taken by creating ``log/<number>``, which only one writer can do; the commit counts from the moment
+    its rows stand beside it (``log/<number>-<folder>``). A writer that is lost in between leaves a number without rows.
+    """
+    path = path or registry_path(spark)
+    folder = uuid.uuid4().hex
+    fs, log = _fs(spark, f"{path}/log")
+    fs.mkdirs(log)
+    number = max((int(s.getPath().getName().split("-")[0]) for s in fs.listStatus(log)), default=0) + 1
+    while not _create(spark, f"{path}/log/{number:09d}"):
+        number += 1
+    order = F.row_number().over(gov.Window.orderBy("registry_id"))  # rows of one training
+    numbered = rows.withColumn("registry_id", (F.lit(number * COMMIT_ROWS) + order).cast("long")).select(gov.REGISTRY_SCHEMA.names)
+    numbered.coalesce(1).write.mode("overwrite").parquet(f"{path}/rows/{number:09d}-{folder}")
+    if not _create(spark, f"{path}/log/{number:09d}-{folder}"):
+        raise RuntimeError(f"commit {number} exists")
+    return number
+
+
+def _create(spark: SparkSession, path: str) -> bool:
+    """Create an empty file; False if it is there already."""
+    fs, p = _fs(spark, path)
+    try:
+        fs.create(p, False).close()
+        return True
+    except Py4JJavaError as e:
+        if "FileAlreadyExists" in str(e.java_exception) or fs.exists(p):
+            return False
+        raise
 
 
 def append_registry(spark: SparkSession, rows: list[tuple], path: str | None = None) -> None:
-    """Append rows (registry_id, company_id, model_type, model_source, training_date, dataset_size,
+    """Commit rows (registry_id, company_id, model_type, model_source, training_date, dataset_size,
     history_days, metrics_json, model_path)."""
     if rows:
-        spark.createDataFrame(rows, gov.REGISTRY_SCHEMA).write.mode("append").parquet(path or registry_path(spark))
+        commit_registry(spark, spark.createDataFrame(rows, gov.REGISTRY_SCHEMA), path)
 
 
 def _save(model, spark, model_type, company_id) -> str:
@@ -101,102 +149,85 @@ def _completed(shipments: DataFrame) -> tuple[int, int]:
     return r[0], r[1] or 0
 
 
-def _train_one(spark, kind, cid, sales, shipments, suppliers, n_estimators, size):
-    spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"tenant_{cid}")
-    try:
-        if kind == "demand":
-            s = sales.where(F.col("company_id") == cid)
-            m = dm.train_demand_model(s, scope=(), n_estimators=n_estimators)
-            return [_row(spark, "demand", cid, m, m.metrics, *size)], None
-        sh = shipments.where(F.col("company_id") == cid)
-        feat = dl.feature_frame(sh, suppliers.where(F.col("company_id") == cid), scope=())
-        clf = dl.train_delay_classifier(feat, n_estimators=n_estimators)
-        rows = [_row(spark, "shipment_delay", cid, clf, clf.metrics, *size)]
-        try:
-            dur = dl.train_duration_model(feat, n_estimators=n_estimators)
-            rows.append(_row(spark, "shipment_duration", cid, dur, dur.metrics, *size))
-        except dm.InsufficientData:
-            pass  # a company classifier without a company duration model serves no duration (reference rule)
-        return rows, None
-    except Exception as e:  # noqa: BLE001 - one tenant's failure is its outcome and never loses the others' fits
-        return [], str(e)
-    finally:
-        spark.sparkContext.setLocalProperty("spark.scheduler.pool", None)
+OUTCOME = "company_id int, model_type string, trained boolean, reason string"
 
 
-def train_tenants(spark, companies: DataFrame, sales: DataFrame, shipments: DataFrame, suppliers: DataFrame,
-                  kind: str, n_estimators: int | None = None, max_parallel: int = 4):
-    """One model per *sufficient* tenant; returns (registry rows, outcome rows).
+def train_tenants(spark, companies: DataFrame, sales: DataFrame, store: str, n_estimators: int | None = None,
+                  group_rows: int = dm.GROUP_ROWS) -> tuple[DataFrame, DataFrame]:
+    """G6/G9 for demand: a model for each *sufficient* tenant. Returns the registry rows and, for every tenant, whether a
+    model was trained and why not. Models are stored under ``store`` (``stored_models`` and ``stored_means`` read them).
 
-    Sufficiency for every tenant is one aggregate; only the (small) list of
-    tenant ids reaches the driver to drive the fits.
+    Tenants of at most ``group_rows`` feature days are trained in one job; the others, of which there are at most
+    (all days / group_rows), one after the other by the distributed learner.
     """
-    suff = (gov.demand_sufficiency(companies, sales) if kind == "demand"
-            else gov.shipment_sufficiency(companies, shipments)).collect()
-    outcomes, todo = [], []
-    for r in suff:
-        if r["is_sufficient"]:
-            todo.append((r["company_id"], (r["record_count"], r["history_days"])))
-        else:
-            outcomes.append((r["company_id"], kind, False, r["reason"]))
-    rows = []
-    with ThreadPoolExecutor(max_workers=max_parallel) as pool:
-        futs = {cid: pool.submit(_train_one, spark, kind, cid, sales, shipments, suppliers, n_estimators, size)
-                for cid, size in todo}
-        for cid, f in futs.items():
-            r, err = f.result()
-            rows.extend(r)
-            outcomes.append((cid, kind, err is None, err or "trained company-specific model"))
+    suff = gov.demand_sufficiency(companies, sales)
+    days = sales.groupBy("company_id", "product_id").agg((F.datediff(F.max("sale_date"), F.min("sale_date")) + 1).alias("d")).groupBy("company_id").agg(F.sum("d").alias("days"))
+    todo = suff.where("is_sufficient").join(days, "company_id")
+    trained = dm.train_tenant_models(sales, todo.where(F.col("days") <= group_rows), n_estimators=n_estimators)
+    trained = trained.withColumn("model_path", F.concat(F.lit(f"{store}/company_"), F.col("company_id").cast("string")))
+    trained.write.mode("overwrite").parquet(f"{store}/trained")
+    for k, r in enumerate(todo.where(F.col("days") > group_rows).select("company_id").collect()):
+        one = _train_large(spark, r["company_id"], sales, store, n_estimators)
+        one.write.mode("append" if k else "overwrite").parquet(f"{store}/trained_large")
+    done = tenant_models(spark, store)
+    at = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+    rows = done.where("problem IS NULL").join(suff.select("company_id", "record_count", "history_days"), "company_id").select(
+        F.col("company_id").cast("long").alias("registry_id"), F.col("company_id").cast("int"), F.lit("demand").alias("model_type"), F.lit("company").alias("model_source"),
+        F.lit(at).alias("training_date"), F.col("record_count").cast("long").alias("dataset_size"), F.col("history_days").cast("long"), "metrics_json", "model_path")
+    result = suff.select("company_id", "is_sufficient", "reason").join(done.select("company_id", "problem", F.lit(True).alias("tried")), "company_id", "left")
+    outcomes = result.select(F.col("company_id").cast("int"), F.lit("demand").alias("model_type"), (F.coalesce("tried", F.lit(False)) & F.col("problem").isNull()).alias("trained"),
+                             F.when(~F.col("is_sufficient"), F.col("reason")).otherwise(F.coalesce("problem", F.lit("trained company-specific model"))).alias("reason"))
     return rows, outcomes
 
 
-def ensure_model(spark, companies: DataFrame, kind: str, train_base_fn, train_tenants_fn=None) -> DataFrame:
+def _train_large(spark, cid: int, sales: DataFrame, store: str, n_estimators: int | None) -> DataFrame:
+    """One tenant's TENANT_ROW (and its path) by the distributed learner."""
+    path = f"{store}/company_{cid}"
+    none = dict.fromkeys(["name", "origin", "global_mean", "train_rows", "test_rows", "metrics_json", "forest", "product_id", "product_mean", "problem"])
+    try:
+        m = dm.train_demand_model(sales.where(F.col("company_id") == cid), scope=(), n_estimators=n_estimators)
+        means = m.product_means.select("product_id", "product_mean_demand").collect()  # the products of one tenant
+        row = none | {"name": m.name, "origin": m.origin, "global_mean": m.global_mean, "train_rows": m.metrics["train_rows"], "test_rows": m.metrics["test_rows"],
+                      "metrics_json": json.dumps(m.metrics, default=float), "forest": bytearray(dm.forest_bytes(m.model)),
+                      "product_id": [r[0] for r in means], "product_mean": [r[1] for r in means]}
+    except Exception as e:  # noqa: BLE001 - one tenant's failure is its outcome and never loses the others' fits
+        row = none | {"problem": f"{type(e).__name__}: {e}"}
+    return spark.createDataFrame([{"company_id": cid, "model_path": path, **row}], dm.TENANT_ROW + ", model_path string")
+
+
+def tenant_models(spark, store: str) -> DataFrame:
+    """What ``train_tenants`` wrote: TENANT_ROW with model_path."""
+    schema = dm.TENANT_ROW + ", model_path string"
+    found = [f"{store}/{x}" for x in ("trained", "trained_large") if (lambda fs, p: fs.exists(p))(*_fs(spark, f"{store}/{x}"))]
+    return spark.read.schema(schema).parquet(*found)
+
+
+def stored_models(base: list[dm.DemandModel], paths: list[str], tenants: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The tables that ``demand.forecast_with_registry`` serves from: MODEL_ROW rows, and product means by model path, of the
+    base models at ``paths`` and the tenants' models."""
+    spark = tenants.sparkSession
+    rows = [(p, m.name, m.origin, float(m.global_mean), list(m.keys), json.dumps(m.metrics, default=float), bytearray(dm.forest_bytes(m.model))) for m, p in zip(base, paths, strict=True)]
+    good = tenants.where("problem IS NULL")
+    own = good.select("model_path", "name", "origin", "global_mean", F.array(F.lit("company_id"), F.lit("product_id")).alias("keys"), "metrics_json", "forest")
+    models = spark.createDataFrame(rows, dm.MODEL_ROW).unionByName(own)
+    means = good.select("model_path", F.col("company_id").alias("company_id"), F.inline(F.arrays_zip(F.col("product_id").alias("product_id"), F.col("product_mean").alias("product_mean_demand"))))
+    for m, p in zip(base, paths, strict=True):
+        means = means.unionByName(m.product_means.select(F.lit(p).alias("model_path"), F.col("company_id").cast("int").alias("company_id"), F.col("product_id").cast("long").alias("product_id"), "product_mean_demand"))
+    return models, means
+
+
+def ensure_model(spark, companies: DataFrame, kind: str, train_base_fn, train_tenants_fn=None, path: str | None = None) -> DataFrame:
     """Each tenant's own active model, else the base.
 
     Tenants without a model of their own are first offered to ``train_tenants_fn`` (companies -> registry rows and
-    outcomes); the base is trained only if none exists.
+    outcomes, as frames); the base is trained only if none exists.
     """
-    reg = read_registry(spark)
+    reg = read_registry(spark, path)
     if train_tenants_fn is not None:
         own = reg.where((F.col("model_type") == kind) & F.col("company_id").isNotNull()).select("company_id").distinct()
-        append_registry(spark, train_tenants_fn(companies.join(own, "company_id", "left_anti"))[0])
-        reg = read_registry(spark)
+        commit_registry(spark, train_tenants_fn(companies.join(own, "company_id", "left_anti"))[0], path)
+        reg = read_registry(spark, path)
     if reg.where((F.col("model_type") == kind) & F.col("company_id").isNull()).limit(1).count() == 0:
-        append_registry(spark, train_base_fn())
-        reg = read_registry(spark)
+        append_registry(spark, train_base_fn(), path)
+        reg = read_registry(spark, path)
     return gov.active_model(companies, reg, kind)
-
-
-def outcome_frame(spark, outcomes: list[tuple]) -> DataFrame:
-    """Per (tenant, type) whether a model was trained and why not."""
-    return spark.createDataFrame(outcomes, "company_id int, model_type string, trained boolean, reason string")
-
-
-def derived_registry(demand_suff: DataFrame, shipment_suff: DataFrame, d0: dt.date, d1: dt.date, n: int) -> DataFrame:
-    """A registry as two base training rounds and one tenant round would write it.
-
-    Base models are trained at (first day + 180) and at the last day of the
-    sales history (``d0``, ``d1``: three scalars computed once by the caller);
-    every sufficient tenant gets its own model the day after. Used to exercise
-    G3/G4/G8 on data derived from the tables.
-    """
-    spark = demand_suff.sparkSession
-    base_rows = []
-    for ti, mtype in enumerate(MODEL_TYPES):
-        for run, day in ((1, d0 + dt.timedelta(days=180)), (2, d1)):
-            base_rows.append((ti * 1_000_000 + run, None, mtype, "base", dt.datetime.combine(day, dt.time()), int(n),
-                              int((d1 - d0).days), None, f"models/{mtype}/base/{run}"))
-    parts = [spark.createDataFrame(base_rows, gov.REGISTRY_SCHEMA)]
-    for ti, mtype in enumerate(MODEL_TYPES):
-        suff = demand_suff if mtype == "demand" else shipment_suff
-        parts.append(suff.where("is_sufficient").select(
-            (F.lit(ti * 1_000_000) + (F.col("company_id") + 1) * 10 + 3).cast("long").alias("registry_id"),
-            F.col("company_id").cast("int"), F.lit(mtype).alias("model_type"), F.lit("company").alias("model_source"),
-            F.lit(d1 + dt.timedelta(days=1)).cast("timestamp").alias("training_date"),
-            F.col("record_count").cast("long").alias("dataset_size"), F.col("history_days").cast("long"),
-            F.lit(None).cast("string").alias("metrics_json"),
-            F.concat(F.lit(f"models/{mtype}/company_"), F.col("company_id").cast("string")).alias("model_path")))
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
-    return u

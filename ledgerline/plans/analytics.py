@@ -589,78 +589,3 @@ def q_demand_sufficiency(d):
 def q_shipment_sufficiency(d):
     """Does each tenant have enough completed shipments for its own delay models?"""
     return gov.shipment_sufficiency(d.companies, d.shipments)
-
-
-# ----------------------------------------------------------------------------------------
-# Model registry (G3, G4, G8) over a registry derived from the sufficiency results
-# ----------------------------------------------------------------------------------------
-LISTING_COMPANY = 3
-
-SQL_REGISTRY = SQL_DEMAND_SUFF + "," + SQL_SHIP_SUFF + """,
-span AS (SELECT min(sale_date) AS d0, max(sale_date) AS d1, count(*) AS n FROM sales),
-reg AS (
-  SELECT CAST(t.ti * 1000000 + r.run AS BIGINT) AS registry_id, CAST(NULL AS INTEGER) AS company_id,
-         t.mtype AS model_type, 'base' AS model_source,
-         CAST(CASE r.run WHEN 1 THEN span.d0 + 180 ELSE span.d1 END AS TIMESTAMP) AS training_date,
-         CAST(span.n AS BIGINT) AS dataset_size, CAST(span.d1 - span.d0 AS BIGINT) AS history_days,
-         CAST(NULL AS VARCHAR) AS metrics_json, 'models/' || t.mtype || '/base/' || CAST(r.run AS VARCHAR) AS model_path
-  FROM span, (VALUES (0, 'demand'), (1, 'shipment_delay'), (2, 'shipment_duration')) t(ti, mtype),
-       (VALUES (1), (2)) r(run)
-  UNION ALL
-  SELECT CAST(t.ti * 1000000 + (x.company_id + 1) * 10 + 3 AS BIGINT), CAST(x.company_id AS INTEGER), t.mtype,
-         'company', CAST(span.d1 + 1 AS TIMESTAMP), CAST(x.record_count AS BIGINT), CAST(x.history_days AS BIGINT),
-         CAST(NULL AS VARCHAR), 'models/' || t.mtype || '/company_' || CAST(x.company_id AS VARCHAR)
-  FROM (SELECT company_id, record_count, history_days, 'demand' AS k FROM dsuf WHERE is_sufficient
-        UNION ALL SELECT company_id, record_count, history_days, 'ship' FROM ssuf WHERE is_sufficient) x
-  JOIN (VALUES (0, 'demand', 'demand'), (1, 'shipment_delay', 'ship'), (2, 'shipment_duration', 'ship'))
-       t(ti, mtype, k) ON x.k = t.k, span),
-st AS (
-  SELECT *, 'v' || CAST(row_number() OVER (PARTITION BY company_id, model_type ORDER BY training_date, registry_id)
-                        AS VARCHAR) AS version,
-         CASE WHEN row_number() OVER (PARTITION BY company_id, model_type
-                                      ORDER BY training_date DESC, registry_id DESC) = 1
-              THEN 'active' ELSE 'archived' END AS status
-  FROM reg)"""
-
-
-def _derived_registry(d):
-    from ledgerline.models import registry as mreg
-    # three scalars of the sales history, computed once (a global aggregate) and passed as literals
-    span = d.sales.agg(F.min("sale_date").alias("d0"), F.max("sale_date").alias("d1"),
-                       F.count(F.lit(1)).alias("n")).first()
-    return mreg.derived_registry(gov.demand_sufficiency(d.companies, d.sales),
-                                 gov.shipment_sufficiency(d.companies, d.shipments), span["d0"], span["d1"], span["n"])
-
-
-REG_ADAPTERS = "companies,sales,shipments"
-
-
-@query("registry_status", oracle(REG_ADAPTERS, SQL_REGISTRY + "\nSELECT * FROM st"))
-def q_registry_status(d):
-    """Versions v1..vn per (tenant, model type); newest active, older archived."""
-    return gov.registry_status(_derived_registry(d))
-
-
-@query("active_model", oracle(REG_ADAPTERS, SQL_REGISTRY + """,
-act AS (SELECT * FROM st WHERE status = 'active' AND model_type = 'demand'),
-ch AS (SELECT c.company_id,
-              coalesce(o.registry_id, (SELECT registry_id FROM act WHERE company_id IS NULL
-                                       ORDER BY training_date DESC, registry_id DESC LIMIT 1)) AS registry_id
-       FROM companies c LEFT JOIN act o ON o.company_id = c.company_id)
-SELECT ch.registry_id, ch.company_id, st.company_id AS owner_company_id, st.model_type, st.model_source,
-       st.training_date, st.dataset_size, st.history_days, st.metrics_json, st.model_path, st.version, st.status
-FROM ch JOIN st ON ch.registry_id = st.registry_id"""))
-def q_active_model(d):
-    """Each tenant's demand model: its own active one, else the active base model."""
-    return gov.active_model(d.companies, _derived_registry(d), "demand")
-
-
-@query("registry_listing", oracle(REG_ADAPTERS, SQL_REGISTRY + f"""
-SELECT registry_id, company_id, model_type, model_source, training_date, dataset_size, history_days, metrics_json,
-       model_path, version, status,
-       row_number() OVER (ORDER BY CASE WHEN company_id IS NULL THEN 1 ELSE 0 END, training_date DESC,
-                          registry_id DESC) AS listing_rank
-FROM st WHERE company_id = {LISTING_COMPANY} OR company_id IS NULL"""))
-def q_registry_listing(d):
-    """One tenant's registry listing: own entries first, then base entries, newest first."""
-    return gov.registry_listing(_derived_registry(d), LISTING_COMPANY)

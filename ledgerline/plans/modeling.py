@@ -1,9 +1,7 @@
-"""Registered model-backed queries (rows-only checks: model outputs have no SQL twin).
+"""Registered model-backed queries; what is deterministic about a model (registry rows, outcomes) has an SQL twin.
 
-Trained models are memoised per (session, data folder), so the queries that
-share the base demand or delay models fit them once per process. Trees and
-boosting steps are the reference's; a classifier's fit sees at most ``demand.FIT_ROWS``
-labelled rows.
+Fitted models are stored under the fingerprint of the input files, so the queries that share the base demand or delay
+models, in this session or a later one, fit them once. Trees and boosting steps are the reference's.
 """
 
 from __future__ import annotations
@@ -24,20 +22,15 @@ from ledgerline.operators import isolation_forest as iso
 from ledgerline.operators import recommend as rec
 from ledgerline.operators import scenario as scn
 from ledgerline.operators import supplier as sup
+from ledgerline.plans.analytics import SQL_DEMAND_SUFF
 from ledgerline.plans.features import LATEST
+from ledgerline.plans.oracle_adapters import oracle
 from ledgerline.plans.register import query
 from ledgerline.session import checkpoint_root
 
-def _memo(d, key, build):
-    kept = d.__dict__.setdefault("_models", {})  # goes with the input it was fitted on
-    if key not in kept:
-        kept[key] = build()
-    return kept[key]
-
-
 def base_demand(d):
     """Base demand model over every tenant's products, pooled."""
-    return _memo(d, "demand", lambda: dm.train_demand_model(d.sales, scope=()))
+    return d.stored("demand", lambda: dm.train_demand_model(d.sales, scope=()), dm.save_model, lambda path: dm.load_model(d.spark, path))
 
 
 def _delay_feat(d):
@@ -61,11 +54,11 @@ def _shipment_anomalies(d):
 
 
 def base_classifier(d):
-    return _memo(d, "clf", lambda: dl.train_delay_classifier(_delay_feat(d), scope=()))
+    return d.stored("shipment_delay", lambda: dl.train_delay_classifier(_delay_feat(d), scope=()), dl.save_model, lambda path: dl.load_model(d.spark, path))
 
 
 def base_duration(d):
-    return _memo(d, "dur", lambda: dl.train_duration_model(_delay_feat(d), scope=()))
+    return d.stored("shipment_duration", lambda: dl.train_duration_model(_delay_feat(d), scope=()), dl.save_model, lambda path: dl.load_model(d.spark, path))
 
 
 @query("demand_model_metrics")
@@ -130,26 +123,114 @@ def q_shipment_detail(d):
     return one.select("company_id", "shipment_key", "delay_probability", "risk_tier", "expected_delay_days")
 
 
-def _base_registry(d):
-    """A registry of its own that holds the base models fitted on these tables."""
+def _base_rows(d):
+    """Registry rows of a base training round."""
+    return reg.register_base(d.spark, d.sales, d.shipments, base_demand(d), base_classifier(d), base_duration(d))
+
+
+def _tenant_models(d):
+    """Folder of every sufficient tenant's own demand model, and what came of each training."""
+    def build():
+        store = f"{d.folder() or checkpoint_root(d.spark)}/tenants-{uuid.uuid4().hex}"
+        rows, outcomes = reg.train_tenants(d.spark, d.companies, d.sales, store)
+        rows.write.parquet(f"{store}/rows")
+        outcomes.write.parquet(f"{store}/outcomes")
+        return store
+
+    return d.stored("tenant_models", build, lambda store, path: d.spark.createDataFrame([(store,)], "store string").coalesce(1).write.parquet(path),
+                    lambda path: d.spark.read.parquet(path).first()["store"])
+
+
+def _registry(d):
+    """A registry that three trainings committed to: the base models, every sufficient tenant's own, the base again."""
     def build():
-        path = f"{checkpoint_root(d.spark)}/registry-{uuid.uuid4().hex}"
-        reg.append_registry(d.spark, reg.register_base(d.spark, d.sales, d.shipments, base_demand(d), base_classifier(d), base_duration(d)), path)
+        path = f"{d.folder() or checkpoint_root(d.spark)}/registry-{uuid.uuid4().hex}"
+        reg.append_registry(d.spark, _base_rows(d), path)
+        reg.commit_registry(d.spark, d.spark.read.schema(gov.REGISTRY_SCHEMA).parquet(f"{_tenant_models(d)}/rows"), path)
+        reg.append_registry(d.spark, _base_rows(d), path)
         return path
 
-    return reg.read_registry(d.spark, _memo(d, "registry", build))
+    path = d.stored("registry", build, lambda p, path: d.spark.createDataFrame([(p,)], "path string").coalesce(1).write.parquet(path),
+                    lambda path: d.spark.read.parquet(path).first()["path"])
+    return reg.read_registry(d.spark, path)
+
+
+_REGISTRY_SQL = SQL_DEMAND_SUFF + """,
+base AS (SELECT 'demand' AS model_type, (SELECT count(*) FROM sales) AS dataset_size, (SELECT max(sale_date) - min(sale_date) FROM sales) AS history_days
+         UNION ALL SELECT t.m, s.n, s.d FROM (VALUES ('shipment_delay'), ('shipment_duration')) t(m),
+           (SELECT count(*) AS n, max(order_date) - min(order_date) AS d FROM shipments WHERE actual_delivery IS NOT NULL) s),
+reg AS (SELECT CAST(NULL AS INTEGER) AS company_id, model_type, 'base' AS model_source, CAST(dataset_size AS BIGINT) AS dataset_size, CAST(history_days AS BIGINT) AS history_days,
+               k.v AS n, CASE WHEN k.v = 2 THEN 'active' ELSE 'archived' END AS status FROM base, (VALUES (1), (2)) k(v)
+        UNION ALL SELECT CAST(company_id AS INTEGER), 'demand', 'company', CAST(record_count AS BIGINT), CAST(history_days AS BIGINT), 1, 'active' FROM dsuf WHERE is_sufficient)
+"""
+_STATUS = ["company_id", "model_type", "model_source", "dataset_size", "history_days", "version", "status"]
+
+
+@query("registry_status", oracle("companies,sales,shipments", _REGISTRY_SQL + """
+SELECT company_id, model_type, model_source, dataset_size, history_days, 'v' || n AS version, status FROM reg"""))
+def q_registry_status(d):
+    """Versions v1..vn per (tenant, model type) of the registry that fits wrote; newest active, older archived."""
+    return gov.registry_status(_registry(d)).select(_STATUS)
+
+
+@query("active_model", oracle("companies,sales,shipments", _REGISTRY_SQL + """
+SELECT CAST(c.company_id AS INTEGER) AS company_id, CASE WHEN s.is_sufficient THEN CAST(c.company_id AS INTEGER) END AS owner_company_id,
+       CASE WHEN s.is_sufficient THEN 'company' ELSE 'base' END AS model_source, CASE WHEN s.is_sufficient THEN 'v1' ELSE 'v2' END AS version
+FROM companies c JOIN dsuf s ON c.company_id = s.company_id"""))
+def q_active_model(d):
+    """Each tenant's demand model: its own active one, else the active base model."""
+    return gov.active_model(d.companies, _registry(d), "demand").select(F.col("company_id").cast("int"), "owner_company_id", "model_source", "version")
+
+
+@query("registry_listing", oracle("companies,sales,shipments", _REGISTRY_SQL + """,
+listed AS (SELECT CAST(c.company_id AS INTEGER) AS listed_for, r.*, CASE WHEN r.company_id IS NULL THEN 1 ELSE 0 END AS grp
+           FROM companies c JOIN reg r ON r.company_id = c.company_id OR r.company_id IS NULL)
+SELECT listed_for, model_type, model_source, dataset_size, history_days, 'v' || n AS version, status, row_number() OVER (PARTITION BY listed_for ORDER BY grp, n DESC,
+       CASE model_type WHEN 'shipment_duration' THEN 0 WHEN 'shipment_delay' THEN 1 ELSE 2 END) AS listing_rank FROM listed"""))
+def q_registry_listing(d):
+    """Every tenant's registry listing: own entries first, then base entries, newest first."""
+    return gov.registry_listing(_registry(d), d.companies.select(F.col("company_id").cast("int").alias("company_id"))).select(
+        "listed_for", *_STATUS[1:], "listing_rank")
+
+
+@query("tenant_training", oracle("companies,sales", SQL_DEMAND_SUFF + """
+SELECT CAST(company_id AS INTEGER) AS company_id, 'demand' AS model_type, is_sufficient AS trained,
+       CASE WHEN is_sufficient THEN 'trained company-specific model' ELSE reason END AS reason FROM dsuf"""))
+def q_tenant_training(d):
+    """Every sufficient tenant's own demand model trained in one job; the outcome and its reason for each tenant."""
+    return d.spark.read.parquet(f"{_tenant_models(d)}/outcomes")
+
+
+@query("tenant_model_metrics")
+def q_tenant_model_metrics(d):
+    """Selected model, validation MAE of both candidates and test errors against the naive baseline, per tenant."""
+    m = reg.tenant_models(d.spark, _tenant_models(d)).where("problem IS NULL")
+    at = lambda path: F.get_json_object("metrics_json", path).cast("double")
+    return m.select("company_id", F.col("name").alias("selected_model"), "train_rows", "test_rows", at("$.validation_maes.random_forest").alias("forest_mae"),
+                    at("$.validation_maes.gradient_boosting").alias("boosting_mae"), at("$.comparison.naive_seasonal_baseline.mae").alias("baseline_mae"),
+                    F.coalesce(at("$.comparison.random_forest.mae"), at("$.comparison.gradient_boosting.mae")).alias("test_mae"))
+
+
+@query("company_forecast")
+def q_company_forecast(d):
+    """30 days of every product of every tenant by the model the registry holds for the tenant, in one job."""
+    registry = _registry(d)
+    active = gov.active_model(d.companies, registry, "demand")
+    path = registry.where("company_id IS NULL AND model_type = 'demand'").orderBy(F.desc("registry_id")).first()["model_path"]
+    models, means = reg.stored_models([base_demand(d)], [path], reg.tenant_models(d.spark, _tenant_models(d)))
+    return dm.forecast_with_registry(d.sales, active, models, means, 30)
 
 
 @query("trained_registry")
 def q_trained_registry(d):
-    """The registry rows that the base fits wrote, with the size and days of what they were fitted on."""
-    return gov.registry_status(_base_registry(d)).drop("model_path", "metrics_json", "registry_id", "training_date")
+    """The base rows that the fits wrote, with the size and days of what they were fitted on."""
+    return gov.registry_status(_registry(d).where("company_id IS NULL")).drop("model_path", "metrics_json", "registry_id", "training_date")
 
 
 @query("risk_by_registry")
 def q_risk_by_registry(d):
     """Every shipment scored by the models that the registry holds for its tenant, read back from storage."""
-    registry = _base_registry(d)
+    registry = _registry(d)
     active = {k: gov.active_model(d.companies, registry, k) for k in ("shipment_delay", "shipment_duration")}
     scored = dl.score_with_registry(_serving(d), active["shipment_delay"], active["shipment_duration"])
     return scored.select("company_id", "shipment_key", "delay_probability", "risk_tier", "expected_delay_days", "model_source")

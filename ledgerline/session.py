@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import SparkSession
@@ -116,6 +117,16 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root
 
 
+def new_folder(spark: SparkSession, label: str) -> str:
+    """Path of a new folder below the shared checkpoint folder; the file system drops it when the driver ends."""
+    path = f"{checkpoint_root(spark)}/{label}/{uuid.uuid4().hex}"
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(hadoop_path)
+    fs.deleteOnExit(hadoop_path)
+    return path
+
+
 def cut_lineage(df, eager: bool = True):
     """Reliable checkpoint into the shared checkpoint folder (never local)."""
     checkpoint_root(df.sparkSession)

@@ -68,6 +68,11 @@ def _publish(spark: SparkSession, df: DataFrame, path: str) -> str:
     tmp = f"{path}.tmp-{uuid.uuid4().hex}"
     # a few files a tenant, large tenants split: AQE rebalances what one tenant's partition would be
     df.hint("rebalance", "company_id").write.mode("overwrite").partitionBy("company_id").parquet(tmp)
+    return _rename(spark, tmp, path)
+
+
+def _rename(spark: SparkSession, tmp: str, path: str) -> str:
+    """Put a complete folder in place; the first of two writers wins. Returns where to read."""
     jvm = spark.sparkContext._jvm
     src, dst = jvm.org.apache.hadoop.fs.Path(tmp), jvm.org.apache.hadoop.fs.Path(path)
     fs = dst.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -127,18 +132,42 @@ class SupplyChainData:
             cache[key] = self._conformed(key, build)
         return cache[key]
 
-    def _conformed(self, name: str, build) -> DataFrame:
-        if not self.materialize:
-            return build()
-        if self._base is None:
+    def folder(self) -> str | None:
+        """Where what is derived from these input files is kept; None if nothing is kept."""
+        if self.materialize and self._base is None:
             from ledgerline.session import checkpoint_root
             try:
                 root = checkpoint_root(self.spark)
             except RuntimeError:
                 self.materialize = False
-                return build()
+                return None
             self._base = f"{root}/conformed/{fingerprint(self.spark, self.t.root)}"
-        path = f"{self._base}/{name}"
+        return self._base if self.materialize else None
+
+    def stored(self, name: str, build, save, load):
+        """A fitted model (or other artifact that ``save`` writes to a folder), made once for these input files and code:
+        queries and sessions that need it again read it."""
+        kept = self.__dict__.setdefault("_stored", {})
+        if name not in kept:
+            base = self.folder()
+            path = f"{base}/models/{name}"
+            if base is None:
+                kept[name] = build()
+            elif _exists(self.spark, path):
+                kept[name] = load(path)
+            else:
+                import uuid
+                made, tmp = build(), f"{path}.tmp-{uuid.uuid4().hex}"
+                save(made, tmp)
+                _rename(self.spark, tmp, path)
+                kept[name] = made
+        return kept[name]
+
+    def _conformed(self, name: str, build) -> DataFrame:
+        base = self.folder()
+        if base is None:
+            return build()
+        path = f"{base}/{name}"
         if not _exists(self.spark, f"{path}/_SUCCESS"):
             path = _publish(self.spark, build(), path)
         return self.spark.read.parquet(path)

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from fixtures import SALES_SCHEMA, SHIP_SCHEMA, SUPPLIER_SCHEMA, sales_model, shipments_model
 from ledgerline.models import delay as dl
 from ledgerline.models import demand as dm
-from ledgerline.models.forest_arrays import from_model
 
 
 @pytest.fixture(scope="module")
@@ -54,15 +53,31 @@ def test_unseen_product_uses_global_mean(spark, demand_model):
     assert dm.forecast_products(new, m, 7).count() == 7
 
 
-def test_array_forest_equals_transform(spark, demand_model):
-    from ledgerline.operators import demand_features as dfe
+def test_forecast_equals_a_day_by_day_loop(spark, demand_model):
+    """One product, a day at a time, from its own history."""
     sales, m = demand_model
-    fa = from_model(m.model)
-    feat = dfe.apply_mean_encoding(dfe.demand_feature_matrix(sales), m.product_means,
-                                   spark.createDataFrame([(m.global_mean,)], "global_mean_demand double"),
-                                   ["company_id", "product_id"], [])
-    pdf = m.model.transform(dm._assemble(feat)).select(vector_to_array("features").alias("x"), "prediction").toPandas()
-    assert np.abs(fa.predict(np.stack(pdf["x"].values)) - pdf["prediction"].values).max() < 1e-9
+    state = {r["product_id"]: r for r in dm.history_state(sales).collect()}
+    means = {r["product_id"]: r["product_mean_demand"] for r in m.product_means.collect()}
+    got = {}
+    for r in dm.forecast_products(sales, m, 7).collect():
+        got.setdefault(r["product_id"], {})[r["step"]] = r["predicted_quantity"]
+    for product, r in state.items():
+        h = list(r["history"])
+        for step in range(1, 8):
+            day = r["last_date"] + dt.timedelta(days=step)
+            x = [h[-1], h[-7], h[-14], np.mean(h[-7:]), np.mean(h[-14:]), np.std(h[-7:], ddof=1), np.std(h[-14:], ddof=1),
+                 day.weekday(), day.month, day.weekday() >= 5, (day - m.origin).days, 0, means[product]]
+            h.append(max(0.0, float(m.model.predict(np.array([x], float))[0])))
+            assert got[product][step] == pytest.approx(round(h[-1], 1), abs=0.051)
+
+
+def test_stored_model_is_the_same(spark, demand_model, tmp_path):
+    sales, m = demand_model
+    dm.save_model(m, str(tmp_path / "m"))
+    back = dm.load_model(spark, str(tmp_path / "m"))
+    key = lambda r: (r["product_id"], r["step"])
+    assert sorted(dm.forecast_products(sales, back, 7).collect(), key=key) == sorted(dm.forecast_products(sales, m, 7).collect(), key=key)
+    assert back.metrics["selected_model"] == m.name and back.origin == m.origin
 
 
 @pytest.fixture(scope="module")
@@ -112,22 +127,20 @@ def test_classifier_refuses_little_data(spark):
 
 def test_regressors_are_fitted_on_every_row_of_their_split(spark, delay_models, monkeypatch):
     """More training rows than FIT_ROWS: both demand fits take all; the fit of the delay length takes no sample either."""
-    from pyspark.ml.regression import DecisionTreeRegressor
-
     seen = []
+    real = dm.fit
 
-    class Counted:
-        def fit(self, df):
-            seen.append(df.count())
-            return DecisionTreeRegressor(maxDepth=2, labelCol="quantity").fit(df)
+    def counted(spec, packed, n=None):
+        seen.append(packed.rows)
+        return real(spec, packed, 1)
 
     days = "sequence(date'2023-01-01', date'2023-12-31')"
     sales = spark.range(500).selectExpr("1L company_id", "concat('P', id) product_id", f"explode({days}) sale_date", "cast(id % 7 + 1 as double) quantity")
     sales = sales.withColumns({"is_promotion": F.lit(0), "promotion_flag": F.lit(0), "unit_price": F.lit(1.0)})
-    monkeypatch.setattr(dm, "candidates", lambda n=None: {"counted": Counted()})
+    monkeypatch.setattr(dm, "fit", counted)
     m = dm.train_demand_model(sales)
-    assert m.metrics["train_rows"] > dm.FIT_ROWS and len(seen) == 2
-    assert seen[1] == m.metrics["train_rows"] and 0.7 * seen[1] < seen[0] < seen[1] and seen[0] > dm.FIT_ROWS
+    assert m.metrics["train_rows"] > dm.FIT_ROWS and len(seen) == 3 and seen[0] == seen[1]
+    assert seen[2] == m.metrics["train_rows"] and 0.7 * seen[2] < seen[0] < seen[2] and seen[0] > dm.FIT_ROWS
 
     def no_sample(*_):
         raise AssertionError("a regressor takes every row")
@@ -135,3 +148,28 @@ def test_regressors_are_fitted_on_every_row_of_their_split(spark, delay_models,
     monkeypatch.setattr(dl, "fit_sample", no_sample)
     sh, su, _, _ = delay_models
     assert dl.train_duration_model(dl.feature_frame(sh, su, scope=()), n_estimators=2).metrics["train_rows"] > 0
+
+
+def test_duration_model_is_stored_and_read_back(spark, delay_models, tmp_path):
+    sh, su, clf, dur = delay_models
+    dl.save_model(dur, str(tmp_path / "d"))
+    feat = dl.serving_features(sh, su)
+    pick = lambda m: sorted((r["shipment_key"], r["expected_delay_days"]) for r in dl.score_shipments(feat, clf, m).collect())
+    assert pick(dl.load_model(spark, str(tmp_path / "d"))) == pick(dur)
+
+
+def test_factors_of_a_linear_model_report_raw_values(spark, delay_models):
+    """Ranked by the coefficient on the standardised feature, shown with the value as it is."""
+    from ledgerline.operators import shipment_features as sfe
+    from pyspark.ml import Pipeline, PipelineModel
+
+    sh, su, _, _ = delay_models
+    feat = dl.feature_frame(sh, su, scope=())
+    train = dl._weights(feat, ())
+    encoder = Pipeline(stages=dl.encoder_stages()).fit(train)
+    coded = encoder.transform(train).select("features", "label", "sample_weight")
+    fitted = Pipeline(stages=dl.classifier_candidates(1.0)["logistic_regression"]).fit(coded)
+    pm = PipelineModel(stages=encoder.stages + fitted.stages)
+    scored = dl.score_shipments(feat, dl.DelayModel("logistic_regression", pm, dl.feature_names(pm))).collect()
+    shown = [(r[f["feature"]], f["value"]) for r in scored for f in r["top_risk_factors"] if f["feature"] in sfe.NUMERIC_FEATURE_COLUMNS]
+    assert shown and all(float(a) == pytest.approx(b) for a, b in shown)
