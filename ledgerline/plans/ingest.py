@@ -28,7 +28,7 @@ UPLOADS = {
     "raw_suppliers": ("suppliers", ["Vendor_ID", "Vendor_Name", "Lead_Time_Days", "On_Time_Rate", "Cost_Index",
                                     "Reject_Rate"], ["company_id", "row_version", "row_key"]),
 }
-LANDED_FILES = 4
+LANDED_FILES = 2
 FEED_IDS = {name: i + 1 for i, name in enumerate(UPLOADS)}
 
 
@@ -429,14 +429,16 @@ SELECT 'sales' AS dataset_type, 'imported' AS status, count(*) AS row_count, cou
        count(CASE WHEN NOT ({SQL_ACCEPTED['sales']}) THEN 1 END) AS skipped,
        (SELECT count(DISTINCT product_id) FROM mp WHERE {SQL_ACCEPTED['sales']}) AS products FROM mp"""))
 def q_file_arrival_ingest(d):
-    """The sales upload lands as CSV files; a Structured Streaming job (availableNow) maps, validates and loads
-    each file idempotently into the import tenant, from an empty dimension; the audits of all files, and the products that
-    the stored dimension then holds."""
+    """The sales upload lands as CSV files whose headers differ (permuted, and with a further column); a Structured
+    Streaming job (availableNow) maps each by its own header, validates and loads it idempotently into the import tenant,
+    from an empty dimension; the audits of all files, and the products that the stored dimension then holds."""
     from ledgerline.streaming import file_arrival as fa
     dtype, headers, _ = UPLOADS["raw_sales"]
     landing, tables, ckpt = _scratch(d, "landing"), _scratch(d, "tables"), _scratch(d, "streams")
-    d.raw_sales.select(*headers).coalesce(LANDED_FILES).write.option("header", True).mode("overwrite").csv(landing)
-    q = fa.start_file_ingest(d.spark, landing, headers, dtype, IMPORT_COMPANY, tables, ckpt)
+    part = F.pmod(F.xxhash64(*headers), F.lit(3))
+    for k, columns in enumerate((headers, headers[::-1], [*headers[1:], F.lit("x").alias("Remark"), headers[0]])):
+        d.raw_sales.where(part == k).select(*columns).coalesce(LANDED_FILES).write.option("header", True).mode("append").csv(landing)
+    q = fa.start_file_ingest(d.spark, landing, dtype, IMPORT_COMPANY, tables, ckpt)
     q.awaitTermination()
     state = fa.ingest_audit(fa.read_audit(d.spark, tables))
     products = fa.read_dimension(d.spark, tables, "products").agg(F.count(F.lit(1))).scalar()

@@ -26,7 +26,7 @@ def test_stream_ingest_is_idempotent_and_audited(spark, tmp_path):
         calls.append(cid)
         raise RuntimeError("training blew up")
 
-    q = fa.start_file_ingest(spark, landing, HEADERS, "sales", 7, tables, ckpt, _products(spark), on_imported=hook)
+    q = fa.start_file_ingest(spark, landing, "sales", 7, tables, ckpt, _products(spark), on_imported=hook)
     q.awaitTermination()
     audit = fa.ingest_audit(fa.read_audit(spark, tables)).collect()
     assert len(audit) == 1
@@ -42,7 +42,7 @@ def test_stream_ingest_is_idempotent_and_audited(spark, tmp_path):
     # a new file is a new upload; already-processed files are not read again
     with open(os.path.join(landing, "upload2.csv"), "w") as f:
         f.write(CSV)
-    fa.start_file_ingest(spark, landing, HEADERS, "sales", 7, tables, ckpt, _products(spark)).awaitTermination()
+    fa.start_file_ingest(spark, landing, "sales", 7, tables, ckpt, _products(spark)).awaitTermination()
     assert spark.read.parquet(f"{tables}/sales").count() == 6
     assert len(fa.ingest_audit(fa.read_audit(spark, tables)).collect()) == 2
 
@@ -76,7 +76,7 @@ def test_two_streams_keep_rows_and_dimensions(spark, tmp_path):
     tables, head = str(tmp_path / "t"), ["Shipment_No", "SKU", "Ship_From", "Ship_To", "ETA", "Delivery_Date", "Vendor_ID"]
     for k in (1, 2):
         _land(tmp_path / f"in{k}", "up.csv", ",".join(head) + "\n" + f"S{k}1,NEW-{k},A,B,2026-02-0{k},2026-02-0{k},V-{k}\nS{k}2,SHARED,A,B,01-Feb-2026,,V-0\n")
-        fa.start_file_ingest(spark, str(tmp_path / f"in{k}"), head, "shipments", 7, tables, str(tmp_path / f"c{k}")).awaitTermination()
+        fa.start_file_ingest(spark, str(tmp_path / f"in{k}"), "shipments", 7, tables, str(tmp_path / f"c{k}")).awaitTermination()
     rows = {r["external_shipment_id"]: r for r in spark.read.parquet(f"{tables}/shipments").collect()}
     assert set(rows) == {"S11", "S12", "S21", "S22"} and rows["S12"]["product_id"] == rows["S22"]["product_id"]
     assert len({r["product_id"] for r in rows.values()}) == 3 and len({r["supplier_id"] for r in rows.values()}) == 3
@@ -102,7 +102,26 @@ def test_files_without_rows_are_audited(spark, tmp_path):
     tables, landing = str(tmp_path / "t"), str(tmp_path / "in")
     _land(landing, "empty.csv", ",".join(HEADERS) + "\n")
     _land(landing, "full.csv", CSV)
-    fa.start_file_ingest(spark, landing, HEADERS, "sales", 7, tables, str(tmp_path / "c")).awaitTermination()
+    fa.start_file_ingest(spark, landing, "sales", 7, tables, str(tmp_path / "c")).awaitTermination()
     assert fa.audit_empty_files(spark, landing, "sales", 7, tables) == 1 and fa.audit_empty_files(spark, landing, "sales", 7, tables) == 0
     assert {r["file_name"]: (r["status"], r["row_count"]) for r in fa.ingest_audit(fa.read_audit(spark, tables)).collect()} == {
         "empty.csv": ("rejected", 0), "full.csv": ("imported", 5)}
+
+
+def test_every_file_is_mapped_by_its_own_header(spark, tmp_path):
+    """Permuted, additional, repeated, quoted and unnamed columns; one batch holds all files, one of them not importable."""
+    tables, landing = str(tmp_path / "t"), str(tmp_path / "in")
+    files = {"a.csv": "Date,SKU,Qty\n2026-01-01,A,1\n", "b.csv": "Qty,SKU,Date\n2,B,2026-01-02\n", "c.csv": "SKU,Region,Date,Qty\nC,North,2026-01-03,3\n",
+             "d.csv": '\ufeff"SKU",Date,,Qty,Qty\n"D, or d",2026-01-04,x,4,9\n', "e.csv": "Colour,Date\nred,2026-01-05\n", "f.csv": "", "g.csv": "SKU,Qty,Date\n"}
+    for name, text in files.items():
+        _land(landing, name, text)
+    fa.start_file_ingest(spark, landing, "sales", 7, tables, str(tmp_path / "c")).awaitTermination()
+    products = {r["product_id"]: r["external_product_id"] for r in fa.read_dimension(spark, tables, "products").collect()}
+    got = {(products[r["product_id"]], str(r["sale_date"]), r["quantity"]) for r in spark.read.parquet(f"{tables}/sales").collect()}
+    assert got == {("A", "2026-01-01", 1.0), ("B", "2026-01-02", 2.0), ("C", "2026-01-03", 3.0), ("D, or d", "2026-01-04", 4.0)}
+    audit = {r["file_name"]: (r["status"], r["imported"]) for r in fa.ingest_audit(fa.read_audit(spark, tables)).collect()}
+    assert audit == {**{f"{x}.csv": ("imported", 1) for x in "abcd"}, "e.csv": ("rejected", 0)}
+    assert fa.audit_empty_files(spark, landing, "sales", 7, tables) == 2
+    again = fa.read_audit(spark, tables).count()
+    fa.process_files(spark, [f"file:{landing}/{x}.csv" for x in "abcd"], "sales", 7, tables)  # a repeated batch changes nothing
+    assert spark.read.parquet(f"{tables}/sales").count() == 4 and fa.read_audit(spark, tables).count() == again
