@@ -55,8 +55,8 @@ def test_failed_attempts_empty_batches_and_bad_input(spark):
     rollup = TokenRollup(spark, path)
     assert totals(rollup) == {} and rollup.committed() == set()
     rows = spark.createDataFrame([("insert", "a", "en", "v", 3)] * 2, "kind string, source string, lang string, tokenizer string, n_tokens long")
-    rollup.deltas(rows).write.parquet(f"{path}/batches/b1")
-    fs, marker = rollup._fs(f"{path}/batches/b1/_SUCCESS")
+    rollup.deltas(rows).write.parquet(f"{path}/batches/b1/0")
+    fs, marker = rollup._fs(f"{path}/batches/b1/0/_SUCCESS")
     fs.delete(marker, False)  # as an attempt that was lost leaves it
     assert totals(rollup) == {}
     assert rollup.commit("b1", rows) and totals(rollup) == {("a", "en", "v"): (2, 6)}
@@ -68,6 +68,38 @@ def test_failed_attempts_empty_batches_and_bad_input(spark):
     assert rollup.commit("undo", rows.replace("insert", "delete")) and totals(rollup) == {}
 
 
+def test_commit_during_a_compaction_counts_once(spark, monkeypatch):
+    """A batch that lands between the listing and the sum of a compaction isn't folded into it."""
+    rollup = TokenRollup(spark, scratch(spark, "t"))
+    rows = spark.createDataFrame([("insert", "a", "en", "v", 3)], "kind string, source string, lang string, tokenizer string, n_tokens long")
+    assert rollup.commit("one", rows)
+    real, late = TokenRollup._sum, []
+
+    def interleaved(self, state):
+        if not late:
+            late.append(1)
+            assert TokenRollup(spark, rollup.path).commit("two", rows)
+        return real(self, state)
+
+    monkeypatch.setattr(TokenRollup, "_sum", interleaved)
+    rollup.compact()
+    monkeypatch.undo()
+    assert totals(rollup) == {("a", "en", "v"): (2, 6)} and rollup.committed() == {"one", "two"}
+    rollup.compact()
+    rollup.compact()
+    assert totals(rollup) == {("a", "en", "v"): (2, 6)} and rollup._batches() == {} and not rollup.commit("one", rows)
+
+
+def test_two_writers_of_one_id_count_once(spark):
+    rollup = TokenRollup(spark, scratch(spark, "t"))
+    rows = spark.createDataFrame([("insert", "a", "en", "v", 3)], "kind string, source string, lang string, tokenizer string, n_tokens long")
+    for attempt in ("x", "y"):  # both wrote before either saw the other
+        rollup.deltas(rows).write.parquet(f"{rollup.path}/batches/b/{attempt}")
+    assert totals(rollup) == {("a", "en", "v"): (1, 3)} and not rollup.commit("b", rows)
+    rollup.compact()
+    assert totals(rollup) == {("a", "en", "v"): (1, 3)}
+
+
 def test_query_equals_plain_counts(spark):
     lib = sentencepiece.SentencePieceProcessor(model_file=piece_model())
     docs, tokens, seen = Counter(), Counter(), set()
