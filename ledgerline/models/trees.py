@@ -369,7 +369,7 @@ def fit_boosted(packed: Packed, trees: int, depth: int, rate: float, min_leaf: f
             yield tuple(np.concatenate(c, axis=-1) for c in zip(*held, strict=True))
 
     state = packed.blocks.select("x", "y").repartition(parts).rdd.mapPartitions(lambda rows: joined(arrays(rows))).persist(StorageLevel.MEMORY_AND_DISK)
-    deep = 1 if parts <= FAN_IN else 2
+    deep, before = 1 if parts <= FAN_IN else 2, None
     for tree in range(trees):
         for level in range(depth):
             if not growing.open[tree, 2 ** level - 1:2 ** (level + 1) - 1].any():
@@ -377,6 +377,11 @@ def fit_boosted(packed: Packed, trees: int, depth: int, rate: float, min_leaf: f
             one = growing.only(tree)
             found = state.map(lambda block, one=one, level=level: _residual_sums(*block, one, 0, level, widths))
             _put_level(growing, tree, level, found.treeReduce(np.add, depth=deep) if deep > 1 else found.reduce(np.add), widths, min_leaf)
+            if before is not None:  # the first job of a tree has made its residuals
+                before.unpersist()
+                before = None
+        if tree == trees - 1:
+            break
         one, before = growing.only(tree), state
 
         def step(block, one=one):
@@ -386,9 +391,6 @@ def fit_boosted(packed: Packed, trees: int, depth: int, rate: float, min_leaf: f
         state = before.map(step).persist(StorageLevel.MEMORY_AND_DISK)
         if tree % SAVED_TREES == SAVED_TREES - 1:
             state.checkpoint()
-        if tree < trees - 1:
-            state.foreach(lambda block: None)
-        before.unpersist()
     state.unpersist()
     return growing.done("gradient_boosting", base, rate, packed.threshold)
 
