@@ -93,8 +93,8 @@ def _create(spark: SparkSession, path: str) -> bool:
 def append_registry(spark: SparkSession, rows: list[tuple], path: str | None = None) -> None:
     """Commit rows (registry_id, company_id, model_type, model_source, training_date, dataset_size,
     history_days, metrics_json, model_path)."""
-    if rows:
-        commit_registry(spark, spark.createDataFrame(rows, gov.REGISTRY_SCHEMA), path)
+    if rows:  # in the order given
+        commit_registry(spark, spark.createDataFrame([(i, *r[1:]) for i, r in enumerate(rows)], gov.REGISTRY_SCHEMA), path)
 
 
 def _save(model, spark, model_type, company_id) -> str:

@@ -360,7 +360,26 @@ def q_stored_daily_sales(d):
     return d.spark.read.parquet(path)
 
 
-@query("unmapped_required")
+def _values(rows) -> str:
+    """Rows as an SQL VALUES list."""
+    lit = lambda v: str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, int) else f"'{v}'"
+    return "(VALUES " + ", ".join(f"({', '.join(map(lit, r))})" for r in rows) + ")"
+
+
+_FEEDS = [(FEED_IDS[n], UPLOADS[n][0], UPLOADS[n][1]) for n in UPLOADS] + [(0, "sales", [c for c in UPLOADS["raw_sales"][1] if c != "Date"])]
+SQL_UNMAPPED = f"""
+WITH h AS (SELECT feed_id, dataset_type, regexp_replace(lower(header), '[^\\p{{L}}\\p{{N}}]', '', 'g') AS norm
+           FROM {_values([(i, t, c) for i, t, cs in _FEEDS for c in cs])} v(feed_id, dataset_type, header)),
+f AS (SELECT * FROM {_values(reg.field_rows())} v(dataset_type, field, field_pos, required)),
+a AS (SELECT * FROM {_values(reg.alias_rows())} v(field, field_order, alias)),
+found AS (SELECT h.feed_id, coalesce(e.field, (SELECT min_by(a.field, a.field_order) FROM a WHERE a.alias = h.norm)) AS field
+          FROM h LEFT JOIN f e ON e.dataset_type = h.dataset_type AND e.field = h.norm)
+SELECT CAST(t.feed_id AS BIGINT) AS feed_id, t.dataset_type, f.field, CAST(f.field_pos AS INTEGER) AS field_pos
+FROM (SELECT DISTINCT feed_id, dataset_type FROM h) t JOIN f ON f.dataset_type = t.dataset_type AND f.required
+WHERE NOT EXISTS (SELECT 1 FROM found x WHERE x.feed_id = t.feed_id AND x.field = f.field)"""
+
+
+@query("unmapped_required", SQL_UNMAPPED)
 def q_unmapped_required(d):
     """Required fields that no header of the four uploads maps to (all map; without its date column sales lacks one)."""
     feeds = [(FEED_IDS[n], UPLOADS[n][0], [c for c in getattr(d, n).columns if c in UPLOADS[n][1]]) for n in UPLOADS]
