@@ -1,13 +1,16 @@
 """Whole texts to token ids of a byte-level BPE file, each distinct chunk encoded once a task.
 
-A chunk ends before a space that stands between two characters which are surely no white space: the pre-tokenizer's
-pattern lets a space stand only in front of its word there, so chunks are encoded one by one as they would be within the
-text. Files with a normalizer, another pre-tokenizer, or added tokens that swallow spaces are applied to whole texts.
+Texts are cut where the pre-tokenizer's pattern always has a boundary: before a space between two characters which are
+surely no white space (a space belongs to the word after it), around a line feed between such characters, and between a
+letter and one of ``.,;:!?``. So chunks are encoded one by one as they would be within the text. Files with a normalizer, another pre-tokenizer, or added tokens that swallow spaces are applied to whole texts.
 """
 
 from __future__ import annotations
 
+import functools
+import itertools
 import json
+import os
 
 import numpy as np
 import pyarrow as pa
@@ -18,10 +21,16 @@ from ledgerline.llm.common import text_bytes
 
 #: Distinct chunks that are kept with their ids.
 KNOWN_CHUNKS = 400_000
+#: Each encoded chunk is a large object of the library until its ids are taken.
+ENCODED_AT_ONCE = 2_000
 _PLAIN = np.zeros(256, bool)
 _PLAIN[0x21:0x7F] = True
 _TWO = np.zeros(256, bool)  # lead bytes of two-byte characters, none of which is white space from C3 on
 _TWO[0xC3:0xE0] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+_MARK = np.zeros(256, bool)
+_MARK[list(b".,;:!?")] = True
 
 
 def splits_at_spaces(path: str) -> bool:
@@ -34,8 +43,15 @@ def splits_at_spaces(path: str) -> bool:
             and all(" " not in t["content"] and not (t["lstrip"] or t["rstrip"] or t["normalized"] or t["single_word"]) for t in spec["added_tokens"]))
 
 
+@functools.cache
+def shared_encoder(path: str) -> Encoder:
+    """One encoder a worker process, with what it knows from earlier tasks."""
+    return Encoder(path)
+
+
 class Encoder:
     def __init__(self, path: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
         self.tokenizer = Tokenizer.from_file(path)
         self.by_chunk = splits_at_spaces(path)
         self._forget()
@@ -49,32 +65,36 @@ class Encoder:
         return self.tokenizer.get_vocab_size(with_added_tokens=True)
 
     def _learn(self, chunks: pa.Array) -> None:
-        coded = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(chunks.to_pylist(), add_special_tokens=False)]
+        sizes, ids = [], [self.ids]
+        for at in range(0, len(chunks), ENCODED_AT_ONCE):
+            coded = [e.ids for e in self.tokenizer.encode_batch_fast(chunks.slice(at, ENCODED_AT_ONCE).to_pylist(), add_special_tokens=False)]
+            sizes += map(len, coded)
+            ids.append(np.fromiter(itertools.chain.from_iterable(coded), np.uint32))
         self.known = pa.concat_arrays([self.known, chunks])
-        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum([len(c) for c in coded], dtype=np.int64)])
-        self.ids = np.concatenate([self.ids, *coded])
+        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(sizes, dtype=np.int64)])
+        self.ids = np.concatenate(ids)
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all rows in a row, and how many each has; null is empty."""
         raw, at = text_bytes(column)
-        if self.by_chunk:
-            cuts = self._cuts(raw)
-            cuts = np.union1d(cuts, at)
-        else:
-            cuts = np.unique(at)
+        cut = np.zeros(len(raw) + 1, bool)
+        if self.by_chunk and len(raw):
+            self._cut(raw, cut)
+        cut[at] = True
+        cuts = np.flatnonzero(cut)
         if len(cuts) < 2:
             return np.zeros(0, np.uint32), np.zeros(len(column), np.int64)
-        cuts = cuts.astype(np.int64)
         chunks = pa.Array.from_buffers(pa.large_string(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(np.ascontiguousarray(raw))]).dictionary_encode()
         place = pc.index_in(chunks.dictionary, value_set=self.known)
-        new = chunks.dictionary.filter(pc.is_null(place))
-        if len(new):
-            if len(self.known) and len(self.known) + len(new) > KNOWN_CHUNKS:
-                self._forget()
-                new = chunks.dictionary
-            self._learn(new)
-            place = pc.index_in(chunks.dictionary, value_set=self.known)
-        which = place.to_numpy(zero_copy_only=False)[chunks.indices.to_numpy()]
+        new = pc.is_null(place).to_numpy(zero_copy_only=False)
+        if new.any() and len(self.known) and len(self.known) + int(new.sum()) > KNOWN_CHUNKS:
+            self._forget()
+            new = np.ones(len(place), bool)
+        at_known = pc.fill_null(place, 0).to_numpy().astype(np.int64)
+        if new.any():
+            at_known[new] = len(self.known) + np.arange(int(new.sum()))
+            self._learn(chunks.dictionary.filter(pa.array(new)))
+        which = at_known[chunks.indices.to_numpy()]
         size = self.first[which + 1] - self.first[which]
         ends = np.cumsum(size)
         total = int(ends[-1])
@@ -83,11 +103,14 @@ class Encoder:
         return ids, np.diff(reach)
 
     @staticmethod
-    def _cuts(raw: np.ndarray) -> np.ndarray:
-        """Positions of the spaces between two characters that are no white space."""
+    def _cut(raw: np.ndarray, cut: np.ndarray) -> None:
+        """Mark the positions in front of which no token reaches across."""
         plain = _PLAIN[raw]
-        space = np.flatnonzero(raw == 0x20)
-        space = space[(space > 0) & (space < len(raw) - 1)]
-        after = plain[space + 1] | _TWO[raw[space + 1]]
-        before = plain[space - 1] | (_TWO[raw[np.maximum(space - 2, 0)]] & (space > 1) & (raw[space - 1] >= 0x80))
-        return space[after & before]
+        gap = np.flatnonzero((raw == 0x20) | (raw == 0x0A))
+        gap = gap[(gap > 0) & (gap < len(raw) - 1)]
+        after = plain[gap + 1] | _TWO[raw[gap + 1]]
+        before = plain[gap - 1] | (_TWO[raw[np.maximum(gap - 2, 0)]] & (gap > 1) & (raw[gap - 1] >= 0x80))
+        gap = gap[after & before]
+        cut[gap] = True
+        cut[gap[raw[gap] == 0x0A] + 1] = True
+        cut[1:-1] |= _MARK[raw[1:]] & _LETTER[raw[:-1]]

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ledgerline.llm.byte_bpe import Encoder
+from ledgerline.llm.byte_bpe import shared_encoder
 from ledgerline.llm.common import give_back, slices, tidily
 from ledgerline.llm.word_spans import in_slices
 
@@ -93,7 +93,7 @@ class FileWriter:
 
 def _writer(folder: str, vocabulary: str, id_type: pa.DataType, end: int, length: int, file_tokens: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary)
+        encoder = shared_encoder(vocabulary)
         kind = np.dtype("<u2") if encoder.vocabulary_size() <= 1 << 16 else np.dtype("<u4")
         part, roll, out = TaskContext.get().partitionId(), 0, None
         for batch in batches:
