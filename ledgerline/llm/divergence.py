@@ -1,6 +1,7 @@
 """Source divergence audit by chunk factorization.
 
-A chunk is what stands between ASCII white space. Chunks are counted per document, in numpy, and summed by language,
+A chunk is what stands between ASCII white space, lower-cased (A-Z) and without the ASCII characters at its ends that no
+term can have. Chunks are counted per document, in numpy, and summed by language,
 source and chunk; each globally distinct chunk is then cut into its terms once, and its terms are joined back to the
 counts. A document counts once for a term however many of its chunks have it: chunks of ``min_docs`` documents or more
 settle their terms by themselves, and the others have at most two documents, whose numbers travel as a smallest and a
@@ -18,11 +19,11 @@ third of all rows costs no more elsewhere; the pairs of sources are summed over
 
 from __future__ import annotations
 
-import string
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,6 +37,9 @@ TOP_TERMS = 200
 SCALE = 1_000_000_000
 #: Cells (sources x terms) of one bucket of the pair sums, about.
 BUCKET_CELLS = 1_000_000
+SLICE_BYTES = 8 << 20
+#: ASCII characters that are in no term.
+_NO_TERM = "".join(chr(c) for c in range(128) if not chr(c).isalpha())
 _KINDS = byte_kinds(b"\x20\x09\x0a\x0b\x0c\x0d")
 _SUMS = pa.schema([("lang", pa.string()), ("s1", pa.int64()), ("s2", pa.int64()), ("value", pa.int64())])
 _COUNTED = "lang string, source string, chunk string, n long, docs long, d1 long, d2 long"
@@ -46,15 +50,17 @@ def _chunk_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     number; a row with the chunk '' stands for each group."""
     for batch in batches:
         group = pa.StructArray.from_arrays([batch.column("lang"), batch.column("source")], ["lang", "source"])
-        for at, texts in in_slices(batch.column("text")):
+        for at, texts in in_slices(batch.column("text"), SLICE_BYTES):
             langs, sources = (batch.column(c).slice(at, len(texts)).dictionary_encode() for c in ("lang", "source"))
             code = langs.indices.to_numpy().astype(np.int64) * len(sources.dictionary) + sources.indices.to_numpy()
             seen, code = np.unique(code, return_inverse=True)
             doc = batch.column("doc").slice(at, len(texts)).to_numpy()
             found = words(texts, _KINDS)
             chunk = found.text.dictionary_encode()
-            n_chunks = max(len(chunk.dictionary), 1)
-            per_doc, n = np.unique(found.row * n_chunks + chunk.indices.to_numpy(), return_counts=True)  # (document, chunk)
+            bare = pc.utf8_trim(pc.ascii_lower(chunk.dictionary), characters=_NO_TERM).dictionary_encode()
+            n_chunks = max(len(bare.dictionary), 1)
+            which = bare.indices.to_numpy().astype(np.int64)[chunk.indices.to_numpy()]
+            per_doc, n = np.unique(found.row * n_chunks + which, return_counts=True)  # (document, chunk)
             row, which = np.divmod(per_doc, n_chunks)
             order = np.argsort(code[row] * n_chunks + which, kind="stable")
             key = (code[row] * n_chunks + which)[order]
@@ -72,7 +78,7 @@ def _chunk_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             total = np.add.reduceat(n[order], first) if len(first) else n
             yield pa.record_batch({
                 "lang": langs.dictionary.take(pa.array(pick_l)), "source": sources.dictionary.take(pa.array(pick_s)),
-                "chunk": pa.concat_arrays([chunk.dictionary.take(pa.array(which)).cast(pa.string()), pa.array([""] * len(seen))]),
+                "chunk": pa.concat_arrays([bare.dictionary.take(pa.array(which)).cast(pa.string()), pa.array([""] * len(seen))]),
                 "n": np.concatenate([total, zero]), "docs": np.concatenate([last - first + 1, zero]),
                 "d1": pa.concat_arrays([pa.array(small, pa.int64()), none]), "d2": pa.concat_arrays([pa.array(large, pa.int64()), none])})
 
@@ -86,9 +92,8 @@ def chunk_counts(docs: DataFrame) -> DataFrame:
 
 
 def chunk_terms(chunks: DataFrame) -> DataFrame:
-    """(chunk, term) of distinct chunks, a row for each occurrence of a term in the chunk; A-Z are lower-cased."""
-    found = F.regexp_extract_all("chunk", F.lit(TERM), F.lit(0))
-    return chunks.select("chunk", F.explode(found).alias("term")).withColumn("term", F.translate("term", string.ascii_uppercase, string.ascii_lowercase))
+    """(chunk, term) of distinct chunks, a row for each occurrence of a term in the chunk."""
+    return chunks.select("chunk", F.explode(F.regexp_extract_all("chunk", F.lit(TERM), F.lit(0))).alias("term"))
 
 
 def _share(count: Column, n: Column, v: Column) -> Column:
