@@ -14,8 +14,8 @@ No pairs are emitted: tasks hand on spanning forests. A candidate group beyond `
 block: every block with itself and with the first, then whatever isn't in the group's main class yet with all blocks,
 so a large group of true copies costs a multiple of its size and loses no link. A band bucket beyond ``BUCKET`` texts
 is taken as one candidate group without comparing samples. Texts are shuffled once,
-into chunks of about ``CHUNK`` documents, and not again while the candidates' ids can be broadcast (their number is
-checked).
+compressed, into chunks of about ``CHUNK`` documents, and not again while the candidates can be broadcast (the bytes of
+all rows that would be are checked).
 
 Results: null texts and texts without words are each a class of their own, except rows of one id; a text of fewer than
 five words has one shingle; rows that share an id share a class; rows without id get a null class; an empty table gives
@@ -47,7 +47,7 @@ POOL_BITS = 16
 BLOCK, BUCKET, PACK = 512, 4096, 256
 SLICE_BYTES = 1_500_000
 CHUNK, BUCKET_SHINGLES, HELD_SHINGLES = 256, 1 << 20, 1 << 21
-BROADCAST_IDS = 500_000
+BROADCAST_BYTES = 64 << 20
 
 
 def weight(level: np.ndarray) -> np.ndarray:
@@ -231,6 +231,19 @@ def signatures(docs: DataFrame, text: str = "text") -> DataFrame:
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "digest"), F.lit(chunks)).cast("int"))
     single = int(level(np.ones(1), n)[0])
 
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd", compression_level=3)
+        for batch in batches:
+            texts = [None if t is None else t.encode() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "digest", "chunk")), pa.array([None if t is None else codec.compress(t, asbytes=True) for t in texts], pa.binary()),
+                                              pa.array([0 if t is None else len(t) for t in texts], pa.int64())], ["doc_id", "digest", "chunk", "packed", "size"])
+
+    def unpacked(texts: pa.Table) -> Iterator[pa.Array]:
+        codec, size = pa.Codec("zstd"), texts.column("size").to_numpy()
+        for a, b in slices(size, SLICE_BYTES):
+            rows = zip(texts.column("packed").slice(a, b - a).to_pylist(), size[a:b].tolist(), strict=True)
+            yield pa.array([None if t is None else codec.decompress(t, k, asbytes=True) for t, k in rows], pa.binary()).cast(pa.string())
+
     def run(texts: pa.Table, found: pa.Table) -> pa.Table:
         sampler = _sampler()
         known = np.frombuffer(b"".join(found.column("shingles").to_pylist()), "<u8")
@@ -240,7 +253,7 @@ def signatures(docs: DataFrame, text: str = "text") -> DataFrame:
         bands: list = []
         packed: list = []
         texts = texts.combine_chunks()
-        for part in (p for c in texts.column("text").chunks for p in _slices(c)):
+        for part in unpacked(texts):
             h, per = shingled(*hashed_words(part)[:2], WORDS)
             full = np.flatnonzero(per)
             elements, s = multiset(h, per)
@@ -269,7 +282,8 @@ def signatures(docs: DataFrame, text: str = "text") -> DataFrame:
                          "bands": pa.array(bands, pa.list_(pa.int64())), "levels": pa.array(packed, pa.binary())})
 
     schema = "doc_id long, digest string, sketch binary, bands array<long>, levels binary"
-    named = rows.filter("doc_id IS NOT NULL")
+    named = rows.filter("doc_id IS NOT NULL").select("doc_id", "digest", "chunk", "text")
+    named = named.mapInArrow(tidily(pack), "doc_id long, digest string, chunk int, packed binary, size long")  # the one shuffle of whole texts
     signed = named.groupBy("chunk").cogroup(shingle_levels(rows, n, buckets).groupBy("chunk")).applyInArrow(lambda a, b: run(a, b) if a.num_rows else _nothing(schema), schema)
     return signed.unionByName(rows.filter("doc_id IS NULL").select("doc_id"), allowMissingColumns=True)
 
@@ -425,9 +439,14 @@ def _common(e: list, w: list, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return np.where(edge > 0, edge, 0.0)
 
 
-def _with_elements(docs: DataFrame, members: DataFrame, n: int, text: str) -> DataFrame:
-    """Candidates (node, digest, ...) with their sorted elements, read from the texts of the documents they stand for."""
-    few = hinted(members, n, BROADCAST_IDS)
+def _with_elements(docs: DataFrame, members: DataFrame, text: str) -> DataFrame:
+    """Candidates (node, digest, ...) with their sorted elements, read from the texts of the documents they stand for.
+
+    The candidates, as often as they are compared, are broadcast if they take at most BROADCAST_BYTES; else both sides are
+    shuffled by node.
+    """
+    size = members.agg(F.sum(F.octet_length("levels") + 8 * F.size("bands") + F.octet_length("pack") + 64)).first()[0] or 0
+    few = F.broadcast(members) if size <= BROADCAST_BYTES else members
     rows = docs.select(F.col("doc_id").cast("long").alias("node"), F.col(text).cast("string").alias("text")).join(few, "node")
     rows = rows.filter(F.md5("text") == F.col("digest")).drop("digest")
     kept = [f for f in rows.schema.fieldNames() if f != "text"]
@@ -468,9 +487,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", similarity: float = SIM
     lead = lead.select("node", "grp", "digest", "bands", "levels", F.lit(1).alias("side"), F.lit(1).cast("long").alias("label"), F.concat_ws(":", F.lit("l"), "grp", "to").alias("pack"))
     rest = big.filter("block > 0").select("node", "grp", "digest", "bands", "levels", F.lit(2).alias("side"), F.lit(2).cast("long").alias("label"), F.concat_ws(":", F.lit("l"), "grp", "block").alias("pack"))
     first = small.unionByName(same).unionByName(lead).unionByName(rest)
-    found = save(links(_with_elements(docs, first, n, text), similarity), "minhash-links")
+    found = save(links(_with_elements(docs, first, text), similarity), "minhash-links")
     if big.select("node").limit(1).count():
-        found = found.unionByName(_leftovers(docs, big, found, similarity, text, n))
+        found = found.unionByName(_leftovers(docs, big, found, similarity, text))
     by_id = signed.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("digest").alias("d"), F.max("digest").alias("e"))
     per_text = texts.select("digest", "node")
     classes = components(found.unionByName(_repeated_ids(signed, by_id, per_text)))
@@ -487,7 +506,7 @@ def _repeated_ids(signed: DataFrame, by_id: DataFrame, per_text: DataFrame) -> D
     return signed.join(several, "doc_id").join(per_text, "digest").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
 
 
-def _leftovers(docs: DataFrame, big: DataFrame, found: DataFrame, similarity: float, text: str, n: int) -> DataFrame:
+def _leftovers(docs: DataFrame, big: DataFrame, found: DataFrame, similarity: float, text: str) -> DataFrame:
     """Links of the texts of large groups that aren't in their group's main class after the first round."""
     classes = components(found)
     now = big.join(classes, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
@@ -502,4 +521,4 @@ def _leftovers(docs: DataFrame, big: DataFrame, found: DataFrame, similarity: fl
     ask = ask.select("node", "grp", "digest", "bands", "levels", F.lit(1).alias("side"), "label", F.concat_ws(":", "grp", "q", "to").alias("pack"))
     held = now.join(slots, "grp").withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
     held = held.select("node", "grp", "digest", "bands", "levels", F.lit(2).alias("side"), "label", F.concat_ws(":", "grp", "q", "block").alias("pack"))
-    return save(links(_with_elements(docs, ask.unionByName(held), n, text), similarity), "minhash-links")
+    return save(links(_with_elements(docs, ask.unionByName(held), text), similarity), "minhash-links")
