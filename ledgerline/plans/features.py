@@ -257,8 +257,8 @@ FROM lab"""))
 def q_supplier_prior_rate(d):
     """H5/H6: supplier's prior delay rate and its previous shipment's outcome."""
     df = sfe.mask_labels(sfe.delay_labels(d.shipments))
-    df = sfe.prior_rate(df, ["company_id", "supplier_id"], "supplier_recent_delay_rate", "row_prior")
-    df = sfe.previous_outcome(df, ["company_id", "supplier_id"])
+    df = sfe.with_history(df, ["company_id"], "supplier_id", "supplier_recent_delay_rate", "previous_shipment_delayed")
+    df = df.fillna(0.0, ["previous_shipment_delayed"])
     return df.select("shipment_key", "company_id", "supplier_id", "order_date",
                      F.round("supplier_recent_delay_rate", R).alias("supplier_recent_delay_rate"),
                      "previous_shipment_delayed")
@@ -346,8 +346,7 @@ def q_shipment_history_with_gaps(d):
     gaps = d.shipments.withColumns({"sup": F.when(F.col("l_orderkey") % 11 != 0, F.col("supplier_id")),
                                     "order_date": F.when(F.col("l_orderkey") % 13 != 0, F.col("order_date"))})
     df = sfe.mask_labels(sfe.delay_labels(gaps)).withColumn("route", sfe.route_key())
-    df = sfe.prior_rate(df, ["company_id", "route"], "route_rate")
-    df = sfe.with_history(df, ["company_id"], "sup", "supplier_rate", "previous")
+    df = sfe.with_histories(df, ["company_id"], [("route", "route_rate", None), ("sup", "supplier_rate", "previous")])
     return df.select("shipment_key", "company_id", F.round("route_rate", R).alias("route_rate"),
                      F.round("supplier_rate", R).alias("supplier_rate"), F.coalesce("previous", F.lit(0.0)).alias("previous"))
 
