@@ -173,3 +173,28 @@ def test_factors_of_a_linear_model_report_raw_values(spark, delay_models):
     scored = dl.score_shipments(feat, dl.DelayModel("logistic_regression", pm, dl.feature_names(pm))).collect()
     shown = [(r[f["feature"]], f["value"]) for r in scored for f in r["top_risk_factors"] if f["feature"] in sfe.NUMERIC_FEATURE_COLUMNS]
     assert shown and all(float(a) == pytest.approx(b) for a, b in shown)
+
+
+def test_delay_training_keeps_one_narrow_copy_of_the_rows(spark, delay_models, monkeypatch):
+    """What the trainings keep of the feature rows: model columns, labels and keys, once; and no other column changes a fit."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    sh, su, clf, dur = delay_models
+    feat = dl.feature_frame(sh, su, scope=()).withColumn("long_note", F.lit("x" * 500))
+    kept, real = [], DataFrame.persist
+    monkeypatch.setattr(DataFrame, "persist", lambda self, *a: kept.append(self.columns) or real(self, *a))
+    again = dl.train_delay_classifier(feat, n_estimators=10), dl.train_duration_model(feat, n_estimators=10)
+    assert kept and not any("long_note" in c or "origin" in c for c in kept)
+    assert sum("distance_km" in c for c in kept) == 2  # one a training
+    assert [m.metrics["comparison"] for m in again] == [clf.metrics["comparison"], dur.metrics["comparison"]]
+
+
+def test_independent_fits_run_side_by_side(spark):
+    import threading
+
+    from ledgerline.session import side_by_side
+
+    meet = threading.Barrier(2, timeout=60)
+    assert side_by_side(spark, {"a": lambda: (meet.wait(), spark.range(3).count())[1], "b": lambda: (meet.wait(), spark.range(4).count())[1]}) == {"a": 3, "b": 4}
+    with pytest.raises(ZeroDivisionError):
+        side_by_side(spark, {"a": lambda: 1 / 0, "b": lambda: 2})

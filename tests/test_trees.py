@@ -127,3 +127,42 @@ def test_not_worse_than_mllib(spark, table):
              (T.fit_boosted(packed, 60, 3, 0.1), GBTRegressor(maxIter=60, maxDepth=3, stepSize=0.1, labelCol="y", seed=1))]
     for ours, theirs in pairs:
         assert mae(T.predicted(test, cols, ours)) <= 1.05 * mae(theirs.fit(made.transform(train)).transform(made.transform(test)))
+
+
+def test_joint_sums_equal_plain_ones():
+    """Features summed together in one pass give what each gives by itself; four passes over the rows serve eight features."""
+    rng = np.random.default_rng(3)
+    widths = np.array([32, 7, 1, 2, 12, 2, 32, 3])
+    x = np.stack([rng.integers(0, w, 40_000) for w in widths]).astype(np.uint8)
+    w, y, node = rng.integers(1, 4, 40_000).astype(float), rng.integers(0, 50, 40_000).astype(float), rng.integers(0, 4, 40_000)
+    held = T._Rows(x, widths)
+    got = T.sums(held, None, node, 4, w, w * y)
+    some = np.flatnonzero(rng.random(40_000) < 0.3)
+    part = T.sums(held, some, node[some], 4, None, y[some])
+    at = np.cumsum(widths) - widths
+    for f, width in enumerate(widths):
+        for n in range(4):
+            m, s = node == n, node[some] == n
+            assert (got[n, 0, at[f]:at[f] + width] == np.bincount(x[f, m], w[m], minlength=width)).all()
+            assert (got[n, 1, at[f]:at[f] + width] == np.bincount(x[f, m], (w * y)[m], minlength=width)).all()
+            assert (part[n, 0, at[f]:at[f] + width] == np.bincount(x[f, some][s], minlength=width)).all()
+            assert (part[n, 1, at[f]:at[f] + width] == np.bincount(x[f, some][s], y[some][s], minlength=width)).all()
+    assert len(held.joined(4)) <= 4
+
+
+def test_bootstrap_weights_are_the_poisson_quantiles_of_the_hash():
+    key = np.random.default_rng(5).integers(-2 ** 62, 2 ** 62, 200_000)
+    h = key.view(np.uint64) + np.uint64(4 * 0x9E3779B97F4A7C15 & (1 << 64) - 1) + np.uint64(9)
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    share = ((h ^ (h >> np.uint64(31))) >> np.uint64(11)) * 2.0 ** -53
+    assert (T.poisson(key, 3, 9) == sum((share >= c) for c in T._POISSON_CDF)).all()
+
+
+def test_late_residuals_make_the_same_trees(table, monkeypatch):
+    df, cols, x, y = table
+    packed = T.pack(df, cols, "y", ["id"])
+    late = T.fit_boosted(packed, 8, 3, 0.3, 5)
+    monkeypatch.setattr(T, "LATE_ROWS", 0)
+    each = T.fit_boosted(packed, 8, 3, 0.3, 5)
+    assert (late.feature == each.feature).all() and (late.value == each.value).all()
