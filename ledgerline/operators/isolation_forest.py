@@ -4,7 +4,9 @@
   the rows are laid out. A row is offered only to the trees for which its hash is small enough to be among them (a bound
   from the tenant's row count), then the smallest are kept per (tenant, tree); each tree is grown from its own group.
 * Score: the forests are a table. Each tenant's rows are dealt into buckets of about ``BUCKET_ROWS`` and meet their
-  forest there, so a large tenant is many tasks and nothing passes through the driver.
+  forest there, so a large tenant is many tasks and nothing passes through the driver. Rows go down a tree in chunks that
+  stay in a core's cache, all of them one level at a time. The scored rows are kept in the shared folder, as they are read
+  twice.
 * Threshold: the exact percentile of each tenant's scores, linearly interpolated between neighbouring ranks, which
   distributed prefix sums over the distinct scores find.
 """
@@ -16,13 +18,14 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ledgerline.functions.metrics import prefix_sums
-from ledgerline.session import cut_lineage
+from ledgerline.session import new_folder
 
 N_TREES = 100
 MAX_SAMPLES = 256
@@ -30,6 +33,7 @@ CONTAMINATION = 0.05
 MIN_ROWS = 15
 OFFERED = 420        # rows offered to a tree on average; fewer than 256 has a chance under 1e-12
 BUCKET_ROWS = 50_000
+CHUNK_ROWS = 8_192   # rows that go down the trees together
 SEED = 42
 FEATURES = ("distance_km", "weight_kg", "quantity")
 EULER = 0.5772156649015329
@@ -103,50 +107,59 @@ def fit_forests(rows: DataFrame, key: str = "shipment_key") -> DataFrame:
         return F.pmod(F.xxhash64("_key", tree, F.lit(SEED)), F.lit(unit))
 
     bound = F.least(F.lit(1.0), F.lit(float(OFFERED)) / F.col("_n")) * unit
-    offered = x.join(counts, "company_id").withColumn(
-        "tree", F.explode(F.filter(F.sequence(F.lit(0), F.lit(N_TREES - 1)), lambda t: draw(t) < bound)))
+    # every (row, tree) is drawn in generated code: filtering an array of trees would be interpreted
+    trees = F.explode(F.array(*[F.lit(t) for t in range(N_TREES)]))
+    offered = x.join(F.broadcast(counts), "company_id").withColumn("_bound", bound).withColumn("tree", trees).where(draw(F.col("tree")) < F.col("_bound"))
     rank = F.row_number().over(Window.partitionBy("company_id", "tree").orderBy(draw(F.col("tree")), "_key"))
     sample = offered.withColumn("rank", rank).where(F.col("rank") <= MAX_SAMPLES)
     return sample.select("company_id", "tree", "rank", *FEATURES).groupBy("company_id", "tree").applyInPandas(_fit_tree, TREE_SCHEMA)
 
 
 def _path_lengths(forest: list, x: np.ndarray) -> np.ndarray:
+    """Mean path length of each row; a leaf is its own child, so all rows of a chunk take the same steps."""
     total = np.zeros(len(x))
-    rows = np.arange(len(x))
+    trees = []
     for feat, thr, lt, rt, lv in forest:
-        node = np.zeros(len(x), dtype=np.int64)
-        active = feat[node] >= 0
-        while active.any():
-            idx = rows[active]
-            nd = node[idx]
-            go_left = x[idx, feat[nd]] < thr[nd]
-            node[idx] = np.where(go_left, lt[nd], rt[nd])
-            active = feat[node] >= 0
-        total += lv[node]
+        here, inner = np.arange(len(feat)), feat >= 0
+        child = np.column_stack([np.where(inner, rt, here), np.where(inner, lt, here)]).reshape(-1)
+        depth, at = 0, np.zeros(1, np.int64)
+        while inner[at].any():
+            at, depth = np.unique(child.reshape(-1, 2)[at]), depth + 1
+        trees.append((np.where(inner, feat, 0), thr, child, lv, depth))
+    for a in range(0, len(x), CHUNK_ROWS):
+        part = np.ascontiguousarray(x[a:a + CHUNK_ROWS])
+        flat, first = part.reshape(-1), np.arange(len(part)) * x.shape[1]
+        for feat, thr, child, lv, depth in trees:
+            node = np.zeros(len(part), np.int64)
+            for _ in range(depth):
+                value = flat.take(feat.take(node) + first)
+                node = child.take(2 * node + (value < thr.take(node)))
+            total[a:a + CHUNK_ROWS] += lv.take(node)
     return total / len(forest)
 
 
 def score_rows(rows: DataFrame, forests: DataFrame, keep: Sequence[str], key: str = "shipment_key") -> DataFrame:
     """score_samples = -2^(-E[h(x)] / c(psi)) for every row of every fitted tenant: company_id, ``keep`` and if_score."""
     kept = [c for c in keep if c != "company_id"]
-    x = rows.select(F.col("company_id").cast("int").alias("company_id"), *kept, F.col(key).cast("string").alias("_key"),
+    x = rows.select(F.col("company_id").cast("int").alias("company_id"), *kept, F.xxhash64(F.col(key).cast("string")).alias("_hash"),
                     *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"_x{i}") for i, c in enumerate(FEATURES)])
-    buckets = x.groupBy("company_id").agg(F.ceil(F.count(F.lit(1)) / BUCKET_ROWS).alias("_buckets"))
-    x = x.join(buckets, "company_id").withColumn("_bucket", F.pmod(F.xxhash64("_key"), F.col("_buckets"))).drop("_buckets")
-    f = forests.join(buckets, "company_id").withColumn("_bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_buckets") - 1)))
+    buckets = x.groupBy("company_id").agg(F.ceil(F.count(F.lit(1)) / BUCKET_ROWS).alias("_buckets"))  # a row a tenant
+    x = x.join(F.broadcast(buckets), "company_id").withColumn("_bucket", F.pmod("_hash", "_buckets")).drop("_buckets", "_hash")
+    f = forests.join(F.broadcast(buckets), "company_id").withColumn("_bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_buckets") - 1)))
     out_schema = T.StructType([x.schema["company_id"], *[x.schema[c] for c in kept], T.StructField("if_score", T.DoubleType())])
 
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = left[["company_id", *kept]].copy()
-        if not len(left) or not len(right):
-            return out.iloc[:0].assign(if_score=pd.Series(dtype="float64"))
-        forest = [(np.asarray(r.feature, dtype=np.int64), np.asarray(r.threshold), np.asarray(r.left, dtype=np.int64),
-                   np.asarray(r.right, dtype=np.int64), np.asarray(r.leaf_value)) for r in right.sort_values("tree").itertuples()]
-        h = _path_lengths(forest, left[[f"_x{j}" for j in range(len(FEATURES))]].to_numpy(dtype=np.float64))
-        out["if_score"] = -np.power(2.0, -h / float(c_factor([int(right["psi"].max())])[0]))
-        return out
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = left.select(["company_id", *kept])
+        if not left.num_rows or not right.num_rows:
+            return out.slice(0, 0).append_column("if_score", pa.array([], pa.float64()))
+        array = lambda v, kind: np.array(v, dtype=kind)
+        forest = [(array(r["feature"], np.int64), array(r["threshold"], float), array(r["left"], np.int64), array(r["right"], np.int64), array(r["leaf_value"], float))
+                  for r in right.sort_by("tree").to_pylist()]
+        h = _path_lengths(forest, np.column_stack([left.column(f"_x{j}").to_numpy() for j in range(len(FEATURES))]))
+        psi = max(right.column("psi").to_pylist())
+        return out.append_column("if_score", pa.array(-np.power(2.0, -h / float(c_factor([psi])[0]))))
 
-    return x.groupBy("company_id", "_bucket").cogroup(f.groupBy("company_id", "_bucket")).applyInPandas(run, out_schema)
+    return x.groupBy("company_id", "_bucket").cogroup(f.groupBy("company_id", "_bucket")).applyInArrow(run, out_schema)
 
 
 def score_quantile(scored: DataFrame, share: float) -> DataFrame:
@@ -171,9 +184,11 @@ def shipment_anomalies(shipments: DataFrame, contamination: float = CONTAMINATIO
     """
     keep = ["shipment_key", "order_date", "quantity"]
     forests = forests if forests is not None else fit_forests(shipments)
-    scored = cut_lineage(score_rows(shipments, forests, keep))  # scored once for the quantile and the rows
-    offset = score_quantile(scored, contamination)
-    j = scored.join(offset, "company_id").withColumn("decision", F.col("if_score") - F.col("_offset"))
+    path = new_folder(shipments.sparkSession, "scored")  # scored once for the quantile and the rows
+    score_rows(shipments, forests, keep).write.mode("overwrite").parquet(path)
+    scored = shipments.sparkSession.read.parquet(path)
+    offset = score_quantile(scored, contamination)  # a row a tenant
+    j = scored.join(F.broadcast(offset), "company_id").withColumn("decision", F.col("if_score") - F.col("_offset"))
     an = j.where(F.col("decision") < 0)
     score = F.least(F.lit(1.0), F.abs("decision") * 2)
     return an.select(

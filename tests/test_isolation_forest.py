@@ -56,3 +56,38 @@ def test_quantile_is_exact(spark):
     for share in (0.05, 0.5, 0.0, 1.0):
         got = {r["company_id"]: r["_offset"] for r in iso.score_quantile(df, share).collect()}
         assert all(abs(got[c] - np.quantile(v, share)) < 1e-12 for c, v in x.items())
+
+
+def test_path_lengths_equal_a_walk():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(700, 3)).round(1)
+    x[5, 1] = np.nan
+    grown = [iso.grow_tree(x[rng.permutation(700)[:256]], np.random.default_rng(t), 8) for t in range(20)] + [iso.grow_tree(x[:1], rng, 1)]
+    forest = [tuple(np.asarray(a) for a in t) for t in grown]
+
+    def walk(tree, row):
+        feat, thr, left, right, leaf = tree
+        at = 0
+        while feat[at] >= 0:
+            at = left[at] if row[feat[at]] < thr[at] else right[at]
+        return leaf[at]
+
+    want = np.array([sum(walk(t, row) for t in forest) / len(forest) for row in x])
+    for chunk in (64, 8192):
+        iso.CHUNK_ROWS, before = chunk, iso.CHUNK_ROWS
+        try:
+            assert np.abs(iso._path_lengths(forest, x) - want).max() < 1e-12
+        finally:
+            iso.CHUNK_ROWS = before
+
+
+def test_rows_meet_small_tables_by_broadcast(spark, monkeypatch):
+    """Tenants' counts and offsets don't sort the rows by tenant, and no tree is drawn in an interpreted array function."""
+    from pyspark.sql import functions as F
+    df, asked = _frame(spark, 300, 2), []
+    broadcast = F.broadcast
+    monkeypatch.setattr(F, "broadcast", lambda d: asked.append(sorted(d.columns)) or broadcast(d))
+    plan = iso.fit_forests(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "filter(" not in plan.lower() and "lambdafunction" not in plan.lower() and "strategy=broadcast" in plan
+    iso.shipment_anomalies(df)
+    assert asked.count(["_buckets", "company_id"]) == 2 and ["_offset", "company_id"] in asked
