@@ -67,3 +67,23 @@ def test_upload_pipeline_counts(spark):
     assert {r["company_id"] for r in sales.collect()} == {7}      # tenant isolation
     q = val.quarantine(mapped, "sales").collect()
     assert sorted(r["reasons"] for r in q) == ["missing_quantity", "negative_quantity"]
+
+
+def test_facts_meet_a_small_dimension_without_a_shuffle(spark, tmp_path):
+    """Known, new, missing and repeated members get the ids they had when facts met the dimension and its new members."""
+    from ledgerline.operators import loading as ld
+    raw = [(1, "S1", "A", "V1"), (1, "S2", "NEW", "V9"), (1, "S3", "A", None), (2, "S4", "A", "V1"), (None, "S5", "A", "V1"), (1, "S6", "TWICE", "V1"), (1, "S7", "BLANK", "V1")]
+    mapped = spark.createDataFrame([(*r, "2026-01-01") for r in raw], "company_id int, shipment_id string, product_id string, supplier_id string, planned_delivery string")
+    dims = {"products": spark.createDataFrame([(1, 10, "A"), (1, 11, "TWICE"), (1, 12, "TWICE"), (1, None, "BLANK"), (None, 13, "A")], "company_id int, product_id long, external_product_id string"),
+            "suppliers": spark.createDataFrame([(1, 5, "V1")], "company_id int, supplier_id long, external_supplier_id string")}
+    for name, df in dims.items():
+        df.write.parquet(str(tmp_path / name))
+    stored = {name: spark.read.parquet(str(tmp_path / name)) for name in dims}
+    rows, new, new_suppliers, _ = ld.load_shipments(mapped, None, stored["products"], stored["suppliers"])
+    assert "hashpartitioning" not in rows._jdf.queryExecution().executedPlan().toString()
+    made = {(r["company_id"], r["external_product_id"]): r["product_id"] for r in new.collect()}
+    supplied = {(r["company_id"], r["external_supplier_id"]): r["supplier_id"] for r in new_suppliers.collect()}
+    assert {(1, "NEW"), (2, "A")} <= set(made) and (1, "A") not in made
+    got = sorted(((r["external_shipment_id"], r["product_id"], r["supplier_id"]) for r in rows.collect()), key=str)
+    assert got == sorted([("S1", 10, 5), ("S2", made[1, "NEW"], supplied[1, "V9"]), ("S3", 10, None), ("S4", made[2, "A"], supplied[2, "V1"]), ("S5", None, None),
+                          ("S6", 11, 5), ("S6", 12, 5), ("S7", None, 5)], key=str)
