@@ -125,3 +125,22 @@ def test_every_file_is_mapped_by_its_own_header(spark, tmp_path):
     again = fa.read_audit(spark, tables).count()
     fa.process_files(spark, [f"file:{landing}/{x}.csv" for x in "abcd"], "sales", 7, tables)  # a repeated batch changes nothing
     assert spark.read.parquet(f"{tables}/sales").count() == 4 and fa.read_audit(spark, tables).count() == again
+
+
+def test_large_uploads_land_as_more_files(spark, tmp_path, monkeypatch):
+    """Every header line's files are written by as many tasks as the input's splits ask for, two at least."""
+    from ledgerline.plans import ingest
+    from ledgerline.plans.register import QUERIES
+    monkeypatch.setattr(ingest, "SPLITS_A_FILE", 2, raising=False)
+    n = 400
+    spark.range(n, numPartitions=16).selectExpr("id AS l_orderkey", "1 AS l_linenumber", "id % 5 AS l_partkey", "id % 3 AS l_suppkey", "cast(id % 50 AS double) AS l_quantity",
+                                                "timestamp '1998-01-01' AS l_shipdate", "'N' AS l_returnflag").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.range(5).selectExpr("id AS p_partkey", "concat('Brand#', id) AS p_brand").write.parquet(str(tmp_path / "part.parquet"))
+    landed = f"{spark.conf.get('spark.checkpoint.dir')}/landing"
+    before = set(os.listdir(landed)) if os.path.exists(landed) else set()
+    state = QUERIES["file_arrival_ingest"](spark, str(tmp_path)).collect()
+    assert [r["status"] for r in state] == ["imported"] and state[0]["row_count"] == n == state[0]["imported"] + state[0]["skipped"]
+    made, = set(os.listdir(landed)) - before
+    parts = spark.read.parquet(str(tmp_path / "lineitem.parquet")).rdd.getNumPartitions()
+    forms = [[f for f in os.listdir(f"{landed}/{made}/{k}") if f.startswith("part-")] for k in os.listdir(f"{landed}/{made}") if not k.startswith(("_", "."))]
+    assert len(forms) == 3 and all(len(f) == max(parts // 2, ingest.LANDED_FILES) for f in forms)
