@@ -166,3 +166,13 @@ def test_late_residuals_make_the_same_trees(table, monkeypatch):
     monkeypatch.setattr(T, "LATE_ROWS", 0)
     each = T.fit_boosted(packed, 8, 3, 0.3, 5)
     assert (late.feature == each.feature).all() and (late.value == each.value).all()
+
+
+def test_a_tree_of_a_group_may_end_early():
+    """Labels that no split improves: the tree is a leaf, and growing doesn't fail."""
+    from ledgerline.models import trees as t
+    x = np.arange(200, dtype=float)[:, None] % 10
+    cuts = t.cuts_of_group(x)
+    held = t.Packed(None, cuts, 200)
+    forest = t.forest_of_group(t.bin_rows(x, cuts), np.full(200, 4.0), np.arange(200), held.threshold, held.widths, 3, 5, 1, 42)
+    assert np.allclose(forest.predict(x), 4.0) and (forest.feature == -1).all()
