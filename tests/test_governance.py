@@ -139,3 +139,22 @@ def test_ensure_model(spark, tmp_path):
         got = {r["company_id"]: r["model_source"] for r in mreg.ensure_model(spark, comps, "demand", base, own, path).collect()}
         assert got == {1: "company", 2: "base"}
     assert calls == [[1, 2], "base", [2]]
+
+
+def test_tenants_sales_are_summed_before_they_meet(spark, monkeypatch):
+    from ledgerline.models import demand as dm
+
+    seen = []
+    whole = dm.dfe.demand_feature_matrix
+    monkeypatch.setattr(dm.dfe, "demand_feature_matrix", lambda sales, *a: seen.append(sales) or whole(sales, *a))
+    comps, sales = _two_tenants(spark)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as where sizes aren't known beforehand
+    try:
+        made = dm.train_tenant_models(sales, comps.select("company_id"), n_estimators=2)
+        plans = [df._jdf.queryExecution().executedPlan().toString() for df in (*seen, made)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert len(seen) == 1 and "Exchange hashpartitioning(company_id" not in plans[0]  # no sale travels by its tenant alone
+    assert "lag(" not in plans[1]  # features are made once
+    assert made.where("problem IS NULL").count() == 2
