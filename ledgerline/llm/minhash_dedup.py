@@ -113,26 +113,40 @@ def shingle_levels(docs: DataFrame, n: int, buckets: int) -> DataFrame:
     Rows are (chunk, shingles, levels), a few for each chunk. A shingle counts once a document.
     """
     def bucket_of(h: np.ndarray) -> np.ndarray:
-        return ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-
-    def packed(h: np.ndarray, doc: np.ndarray, chunk: np.ndarray) -> pa.RecordBatch:
+        place = h >> np.uint64(32)
+        place *= np.uint64(buckets)
+        place >>= np.uint64(32)
+        return place.astype(np.int32)
+
+    def packed(held: list) -> pa.RecordBatch:  # empties the list; what isn't read again goes at once
+        h, doc, chunk = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
         order = np.argsort(h, kind="stable")  # documents come in order, so repeats of one stand together
-        h, doc = h[order], doc[order]
+        h = h[order]
+        doc = doc[order]
+        del order
         first = np.ones(len(h), bool)
         first[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-        h, chunk = h[first], chunk[doc[first]]
+        h = h[first]
+        chunk = chunk[doc[first]]
+        del doc, first
         shared = np.zeros(len(h), bool)
         shared[1:] = h[1:] == h[:-1]
         shared[:-1] |= shared[1:]
         some, at = h[shared], chunk[shared]
         order = np.lexsort((at, some))
         some, at = some[order], at[order]
+        del order
         first = np.flatnonzero(np.concatenate([[True], (some[1:] != some[:-1]) | (at[1:] != at[:-1])])) if len(some) else np.zeros(0, np.int64)
         count = np.concatenate([np.ones(int((~shared).sum()), np.uint32), np.diff(np.append(first, len(some))).astype(np.uint32)])
-        h, chunk = np.concatenate([h[~shared], some[first]]), np.concatenate([chunk[~shared], at[first]])
+        h = np.concatenate([h[~shared], some[first]])
+        chunk = np.concatenate([chunk[~shared], at[first]])
+        del some, at, first, shared
         bucket = bucket_of(h)
         order = np.lexsort((chunk, bucket))
-        h, chunk, count, bucket = h[order], chunk[order].astype("<i4"), count[order].astype("<u4"), bucket[order]
+        h = h[order]
+        chunk, count, bucket = chunk[order].astype("<i4", copy=False), count[order].astype("<u4", copy=False), bucket[order]
+        del order
         cuts = np.flatnonzero(np.diff(bucket)) + 1
         starts = [0, *cuts.tolist()] if len(h) else []
         ends = [*cuts.tolist(), len(h)]
@@ -144,17 +158,18 @@ def shingle_levels(docs: DataFrame, n: int, buckets: int) -> DataFrame:
         held: list = []
         size = docs_held = 0
         for batch in batches:
-            chunk = batch.column("chunk").to_numpy().astype(np.int64)
+            chunk = batch.column("chunk").to_numpy().astype(np.int32, copy=False)
             done = 0
             for part in _slices(batch.column("text")):
                 h, per = shingled(*hashed_words(part)[:2], WORDS)
-                held.append((h, np.repeat(np.arange(len(per), dtype=np.int64) + docs_held, per), chunk[done:done + len(per)]))
-                done, docs_held, size = done + len(per), docs_held + len(per), size + len(h)
+                held.append((h, np.repeat(np.arange(len(per), dtype=np.int32) + np.int32(docs_held), per), chunk[done:done + len(per)]))
+                del h
+                done, docs_held, size = done + len(per), docs_held + len(per), size + len(held[-1][0])
                 if size >= HELD_SHINGLES:
-                    yield packed(*(np.concatenate(x) for x in zip(*held, strict=True)))
-                    held, size, docs_held = [], 0, 0
+                    yield packed(held)
+                    size = docs_held = 0
         if held:
-            yield packed(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            yield packed(held)
 
     def count(rows: pa.Table) -> pa.Table:
         h, chunk, counts = (np.frombuffer(b"".join(rows.column(c).to_pylist()), t) for c, t in (("shingles", "<u8"), ("chunks", "<i4"), ("counts", "<u4")))
