@@ -214,14 +214,13 @@ def test_pairs_near_the_threshold_do_not_depend_on_unrelated_documents(spark, si
 def test_a_task_deals_its_shingles_out_in_bounded_memory(spark, monkeypatch):
     import tracemalloc
 
-    from pyspark.sql import DataFrame
-
     held = 1 << 18
     monkeypatch.setattr(M, "HELD_SHINGLES", held)
     monkeypatch.setattr(M, "SLICE_BYTES", 100_000)  # so that what is held takes the most
     kept = []
-    monkeypatch.setattr(DataFrame, "mapInArrow", lambda df, run, schema, *a: kept.append(run) or df.sparkSession.createDataFrame([], schema))
-    M.shingle_levels(spark.createDataFrame([], "chunk int, text string"), 1200, 4)
+    empty = spark.createDataFrame([], "chunk int, text string")
+    monkeypatch.setattr(type(empty), "mapInArrow", lambda df, run, schema, *a: kept.append(run) or df.sparkSession.createDataFrame([], schema))
+    M.shingle_levels(empty, 1200, 4)
     word = np.random.default_rng(1)
     batch = pa.record_batch({"chunk": pa.array(np.arange(1200) % 7, pa.int32()), "text": [" ".join(map(str, word.integers(0, 3000, 400))) for _ in range(1200)]})
     tracemalloc.start()
