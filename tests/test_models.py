@@ -198,3 +198,43 @@ def test_independent_fits_run_side_by_side(spark):
     assert side_by_side(spark, {"a": lambda: (meet.wait(), spark.range(3).count())[1], "b": lambda: (meet.wait(), spark.range(4).count())[1]}) == {"a": 3, "b": 4}
     with pytest.raises(ZeroDivisionError):
         side_by_side(spark, {"a": lambda: 1 / 0, "b": lambda: 2})
+
+
+@pytest.fixture(scope="module")
+def many_shipments(spark):
+    """150,000 completed shipments as training rows; their delay hangs on distance and reliability."""
+    from ledgerline.operators import shipment_features as sfe
+
+    u = lambda k: F.pmod(F.xxhash64("id", F.lit(k)), F.lit(1000)) / 1000.0
+    df = spark.range(150_000).select(F.col("id").cast("string").alias("shipment_key"), F.date_add(F.lit("2024-01-01").cast("date"), F.pmod("id", F.lit(700)).cast("int")).alias("order_date"),
+                                     *[F.round(u(i), 2).alias(c) for i, c in enumerate(sfe.NUMERIC_FEATURE_COLUMNS)], F.concat(F.lit("m"), F.pmod("id", F.lit(3))).alias("transport_mode"),
+                                     F.concat(F.lit("c"), F.pmod("id", F.lit(4))).alias("carrier"), u(99).alias("luck"))
+    chance = 0.1 + 0.5 * (F.col("distance_km") > 0.6).cast("double") * (1 - F.col("supplier_reliability"))
+    return df.withColumn("is_delayed", (F.col("luck") < chance).cast("double")).drop("luck")
+
+
+def test_classifiers_are_fitted_on_every_row_of_their_split(spark, many_shipments, monkeypatch):
+    """More training rows than FIT_ROWS: forest, boosting and regression take all of the inner split, the refit all of the training."""
+    from pyspark.ml.classification import LogisticRegression
+
+    seen, real, linear = [], dl.fit, LogisticRegression._fit
+    monkeypatch.setattr(dl, "fit", lambda spec, packed, n=None: seen.append(packed.rows) or real(spec, packed, n))
+    monkeypatch.setattr(LogisticRegression, "_fit", lambda self, df: seen.append(df.count()) or linear(self, df))
+    m = dl.train_delay_classifier(many_shipments, n_estimators=3)
+    n = m.metrics["train_rows"]
+    assert n > dm.FIT_ROWS and len(seen) == 4 and seen[3] == n
+    assert seen[0] == seen[1] == seen[2] and 0.7 * n < seen[0] < n and set(m.metrics["validation_auc"]) == set(dl.classifier_candidates(1.0))
+
+
+def test_a_classifier_of_many_rows_scores_and_is_stored(spark, many_shipments, tmp_path, monkeypatch):
+    for name in dl.CLASSIFIER_TREES:
+        monkeypatch.setattr(dl, "_auc", lambda df, name=name: 0.0)
+        monkeypatch.setattr(dl, "each_fit", lambda *_, name=name: {name: 1.0})
+        clf = dl.train_delay_classifier(many_shipments, n_estimators=4)
+        assert clf.name == name and clf.metrics["comparison"][name]["roc_auc"] > 0.6
+        dl.save_model(clf, str(tmp_path / name))
+        some = many_shipments.where("shipment_key < '2'").drop("is_delayed")
+        pick = lambda m: sorted((r["shipment_key"], r["delay_probability"], tuple(map(tuple, r["top_risk_factors"]))) for r in dl.score_shipments(some, m).collect())
+        assert pick(dl.load_model(spark, str(tmp_path / name))) == pick(clf)
+        top = {f[0] for r in pick(clf) for f in r[2][:2]}
+        assert top == {"distance_km", "supplier_reliability"} and all(0 <= r[1] <= 1 for r in pick(clf))

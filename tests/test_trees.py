@@ -176,3 +176,74 @@ def test_a_tree_of_a_group_may_end_early():
     held = t.Packed(None, cuts, 200)
     forest = t.forest_of_group(t.bin_rows(x, cuts), np.full(200, 4.0), np.arange(200), held.threshold, held.widths, 3, 5, 1, 42)
     assert np.allclose(forest.predict(x), 4.0) and (forest.feature == -1).all()
+
+
+def test_broadcast_and_dealt_tables_grow_the_same_trees(spark, table, monkeypatch):
+    """Regression and classes with sample weights: what one task grows is what a job a level grows."""
+    df, cols, x, y = table
+    classed = df.withColumns({"hit": (F.col("y") > 1.5).cast("double"), "w": F.when(F.col("y") > 1.5, 0.7).otherwise(1.9)})
+    packed, weighted = T.pack(df.withColumn("y", F.round("y")), cols, "y", ["id"]), T.pack(classed, cols, "hit", ["id"], weight="w")
+    fits = lambda: [T.fit_forest(packed, 4, 5, 3, 7), T.fit_boosted(packed, 6, 3, 0.3), T.fit_forest(weighted, 4, 5, 3, 7, subset=2), T.fit_boosted(weighted, 6, 3, 0.3, logistic=True)]
+    held = fits()
+    monkeypatch.setattr(T, "HELD_ROWS", 0)
+    monkeypatch.setattr(T, "NODES", 4)
+    for one, other in zip(held, fits(), strict=True):
+        assert (one.feature == other.feature).all() and np.allclose(one.value, other.value) and np.allclose(one.threshold, other.threshold)
+        assert np.allclose(one.importance, other.importance) and one.importance.sum() == pytest.approx(1)
+
+
+def test_late_residuals_of_a_dealt_table_make_the_same_trees(table, monkeypatch):
+    df, cols, x, y = table
+    monkeypatch.setattr(T, "HELD_ROWS", 0)
+    packed = T.pack(df.withColumn("w", F.abs("y") + 0.1).withColumn("hit", (F.col("y") > 1.5).cast("double")), cols, "hit", ["id"], weight="w")
+    late = T.fit_boosted(packed, 8, 3, 0.3, 5, logistic=True)
+    monkeypatch.setattr(T, "LATE_ROWS", 0)
+    each = T.fit_boosted(packed, 8, 3, 0.3, 5, logistic=True)
+    assert (late.feature == each.feature).all() and np.allclose(late.value, each.value)
+
+
+def test_class_trees_equal_mllib(spark, table):
+    """On features of few values the logistic trees are MLlib's, and a forest of classes is as good as MLlib's."""
+    from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    rng = np.random.default_rng(2)
+    a, b, c = rng.integers(0, 9, 3000), rng.integers(0, 7, 3000), rng.integers(0, 5, 3000)
+    hit = rng.random(3000) < 1 / (1 + np.exp(-(0.6 * a - 0.9 * b + 0.3 * a * (c > 2))))
+    rows = [(i, float(a[i]), float(b[i]), float(c[i]), float(hit[i]), 0.6 if hit[i] else 1.7) for i in range(3000)]
+    df = VectorAssembler(inputCols=list("abc"), outputCol="features").transform(spark.createDataFrame(rows, "id int, a double, b double, c double, label double, w double").repartition(4))
+    x = np.column_stack([a, b, c]).astype(float)
+    packed = T.pack(df, [F.col(n) for n in "abc"], "label", ["id"], weight="w")
+    theirs = lambda m: np.array([r[0] for r in m.transform(df).orderBy("id").select(vector_to_array("probability")[1]).collect()])
+    boosted = T.fit_boosted(packed, 12, 3, 0.05, logistic=True)
+    model = GBTClassifier(weightCol="w", maxIter=12, maxDepth=3, stepSize=0.05, seed=42).fit(df)
+    assert np.abs(1 / (1 + np.exp(-2 * boosted.predict(x))) - theirs(model)).max() < 1e-6
+    assert np.abs(boosted.importance - model.featureImportances.toArray()).max() < 1e-6
+    forest = T.fit_forest(packed, 60, 6, 3, 42, subset=2)
+    model = RandomForestClassifier(weightCol="w", numTrees=60, maxDepth=6, minInstancesPerNode=3, featureSubsetStrategy="sqrt", seed=42).fit(df)
+    # MLlib merges sibling leaves of the same class, so its probabilities are coarser
+    auc = lambda p: np.mean(np.sign(p[hit][:, None] - p[~hit][None]) / 2 + 0.5)
+    assert auc(forest.predict(x)) > auc(theirs(model)) - 0.005 and np.abs(forest.predict(x) - theirs(model)).mean() < 0.06
+    drawn = T.fit_forest(packed, 1, 3, 3, 42, subset=1)
+    assert len({f for f in drawn.feature[0] if f >= 0}) > 1  # each node draws anew
+
+
+def test_weighted_forest_equals_brute_force(spark, table):
+    """Weights times bootstrap decide on splits and values; the least size of a leaf is in drawn rows."""
+    df, cols, x, y = table
+    hit = y > 1.5
+    w = np.where(np.arange(700) % 3 == 0, 0.4, 1.3)
+    classed = df.withColumns({"hit": (F.col("y") > 1.5).cast("double"), "w": F.when(F.col("id") % 3 == 0, 0.4).otherwise(1.3)})
+    packed = T.pack(classed, cols, "hit", ["id"], weight="w")
+    forest = T.fit_forest(packed, 3, 3, 1, 11)
+    key = np.array([r[0] for r in spark.range(700).select(F.xxhash64("id")).collect()], np.int64)
+    for t in range(3):
+        same_tree(forest, t, plain_tree(x, hit.astype(float), w * T.poisson(key, t, 11), packed.cuts, 3, 1e-9))
+    forest = T.fit_forest(packed, 6, 5, 40, 11, subset=2)
+    for t in range(6):
+        node = np.zeros(700, int)
+        for _ in range(5):
+            f = forest.feature[t, node]
+            node = np.where(f < 0, node, 2 * node + 1 + (x[np.arange(700), np.maximum(f, 0)] > forest.threshold[t, node]))
+        assert len(set(node)) > 2 and all(T.poisson(key, t, 11)[node == n].sum() >= 40 for n in set(node))
