@@ -144,3 +144,18 @@ def test_large_uploads_land_as_more_files(spark, tmp_path, monkeypatch):
     parts = spark.read.parquet(str(tmp_path / "lineitem.parquet")).rdd.getNumPartitions()
     forms = [[f for f in os.listdir(f"{landed}/{made}/{k}") if f.startswith("part-")] for k in os.listdir(f"{landed}/{made}") if not k.startswith(("_", "."))]
     assert len(forms) == 3 and all(len(f) == max(parts // 2, ingest.LANDED_FILES) for f in forms)
+
+
+def test_an_upload_is_not_cached_on_disk(spark, tmp_path, monkeypatch):
+    """What doesn't fit into memory is made again: a cache on disk would hold all strings of the upload."""
+    from pyspark import StorageLevel
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from ledgerline.streaming import file_arrival as fa
+
+    levels, real = [], DataFrame.persist
+    monkeypatch.setattr(DataFrame, "persist", lambda self, *a: levels.append(a) or real(self, *a))
+    rows = spark.createDataFrame([("P1", "3", "2025-01-02"), ("P2", "4", "2025-01-03")], "SKU string, Qty_Sold string, Date string")
+    fa.process_upload(rows, 7, 1, "sales", str(tmp_path))
+    assert levels == [(StorageLevel.MEMORY_ONLY,)]
+    assert {(r["status"], r["imported"]) for r in fa.ingest_audit(fa.read_audit(spark, str(tmp_path))).collect()} == {("imported", 2)}
