@@ -79,3 +79,22 @@ def test_new_input_gives_new_answers_in_the_same_folder(spark, tmp_path):
     (root / "supplier.parquet").unlink()
     few.to_parquet(root / "supplier.parquet")
     assert before > 3 and data(spark, str(root)).suppliers.count() == 3
+
+
+def test_labels_and_keys_do_not_travel_with_the_histories(spark, monkeypatch):
+    """What follows from other columns is left out of the shuffled rows and made again behind: same features, same key."""
+    from types import SimpleNamespace
+
+    from fixtures import SUPPLIER_SCHEMA, shipments_model
+    from ledgerline.plans import features as pf
+
+    seen, real = [], sfe.with_histories
+    monkeypatch.setattr(sfe, "with_histories", lambda df, *a, **k: seen.append(set(df.columns)) or real(df, *a, **k))
+    rows, sups = shipments_model(60)
+    ships = spark.createDataFrame(rows, SHIP_SCHEMA).selectExpr("* EXCEPT (shipment_key)", "concat_ws('-', l_orderkey, l_linenumber, l_partkey, supplier_id) AS shipment_key")
+    made = pf._build_ship_features(SimpleNamespace(unkeyed_shipments=ships.drop("shipment_key"), suppliers=spark.createDataFrame(sups, SUPPLIER_SCHEMA)))
+    assert len(seen) == 1 and not seen[0] & {"shipment_key", "delay_days", "target_is_delayed"} and "is_delayed_obs" in seen[0]
+    want = ships.selectExpr("shipment_key", "datediff(actual_delivery, planned_delivery) AS delay_days")
+    got = made.selectExpr("shipment_key", "delay_days")
+    assert got.count() == 60 and got.exceptAll(want).count() == 0
+    assert made.where("is_delayed IS DISTINCT FROM CAST(delay_days > 0 AS DOUBLE)").count() == 0
